@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import OP9_SQL, op9_benchmark_decontamination
+from .pii import op5_pii_pseudonyms
+from .sentencepiece_wfst import op3_sentencepiece_wfst
 from .simhash import op10_simhash_near_dedup
 from .toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_sentencepiece_wfst": op3_sentencepiece_wfst,
+    "op5_pii_pseudonyms": op5_pii_pseudonyms,
     "op6_toxicity": op6_toxicity,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_benchmark_decontamination": OP9_SQL}
