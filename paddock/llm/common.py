@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +57,22 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z; all other characters stay as they are."""
     return F.translate(text, UPPER, LOWER)
+
+
+#: What a Python task holds as objects at a time, in bytes of text; a longer text makes a piece of its own.
+PIECE_BYTES = 1 << 20
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches cut into pieces of about PIECE_BYTES of the column."""
+    for batch in batches:
+        texts = batch.column(batch.schema.names.index(column))
+        lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist() if texts.nbytes > PIECE_BYTES else []
+        start = held = 0
+        for i, n in enumerate(lengths):
+            if held and held + n > PIECE_BYTES:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        if start < batch.num_rows:
+            yield batch.slice(start)

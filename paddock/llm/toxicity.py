@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, table
+from .common import fold_of, pieces, table
 
 BUCKETS, DIM, GRAMS, WINDOW, MIN_DOCS = 1 << 16, 4, (3, 4, 5), 8, 2
 #: Adam's step, and the pull of the embeddings towards zero, which is where n-grams that tell nothing stay.
@@ -151,7 +151,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
 
 
 class Scorer:
-    """Scores texts; keeps the logits of the words met, and forgets them all when there are too many."""
+    """Scores texts; keeps the logits of the words met first, up to a number."""
 
     def __init__(self, model: Model):
         self.model, self.known = model, {}
@@ -160,11 +160,12 @@ class Scorer:
         tokens = [(t or "").lower().split() for t in texts]
         n_tokens = np.array([len(ws) for ws in tokens], np.int64)
         flat = [w for ws in tokens for w in ws]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
         if new := list(set(flat).difference(self.known)):
             self.known.update(zip(new, word_logits([normal(w) for w in new], self.model).tolist()))
         values = np.fromiter(map(self.known.__getitem__, flat), np.float64, len(flat))
+        if len(self.known) > CACHE_WORDS:
+            for w in new:
+                del self.known[w]
         means, owner = window_means(values, n_tokens)
         best = np.where(n_tokens > 0, -np.inf, 0.0)
         np.maximum.at(best, owner, means)
@@ -179,9 +180,11 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Of repeated doc_ids in labels the highest label counts; null labels and null ids don't."""
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(fold_of(F.col("doc_id"), 5) != 0)
-    rows = docs.select("doc_id", "text").filter(F.octet_length("text").between(1, SAMPLE_BYTES)).join(marks, "doc_id")
-    by_class = [rows.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_PER_CLASS) for k in (0, 1)]
-    return by_class[0].unionByName(by_class[1]).select("text", "toxic")
+    short = docs.select("doc_id", "text").filter(F.octet_length("text").between(1, SAMPLE_BYTES))
+    ids = short.select("doc_id").join(marks, "doc_id").distinct()
+    by_class = [ids.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_CLASS) for k in (0, 1)]
+    picked = F.broadcast(by_class[0].unionByName(by_class[1]))
+    return short.join(picked, "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic").orderBy(F.xxhash64("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -197,7 +200,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         if key not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[key] = Scorer(shared.value)
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_SCORERS[key](batch.column(text_at).to_pylist()))], schema=pa.schema([*batch.schema, pa.field("toxicity", pa.float64())]))
 
     plain = docs.drop("toxicity")
