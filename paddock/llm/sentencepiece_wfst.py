@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_of, table
+from .common import crc32_of, pieces, table
 
 META = "▁"
 #: Fixed values of the model file's format: piece types and fields.
@@ -304,7 +304,7 @@ def encode(docs: DataFrame, model: bytes, out: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
-        for batch in batches:
+        for batch in pieces(batches):
             ids = [c.encode(t or "") for t in batch.column(text_at).to_pylist()]
             offsets = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
             flat = np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32)
@@ -342,7 +342,7 @@ def _digests(docs: DataFrame, model: bytes) -> DataFrame:
         import zlib
 
         c = codec(shared.value)
-        for batch in batches:
+        for batch in pieces(batches):
             n, crc, back = [], [], []
             for text in batch.column("text").to_pylist():
                 ids = c.encode(text or "")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, table, written
+from .common import LOWER, UPPER, pieces, table, written
 
 SEED, SHINGLE, TAU = 42, 3, 3
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -66,7 +66,7 @@ def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         hashes = [np.array(shingle_hashes(t), np.uint64) for t in batch.column("text").to_pylist()]
         counts = np.array([len(h) for h in hashes], np.int64)
         bits = majority_bits(np.concatenate([*hashes, np.zeros(0, np.uint64)]), counts).view(np.int64)
