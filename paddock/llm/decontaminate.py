@@ -47,7 +47,7 @@ def index(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The written postings (row, doc_id, pos, term) and the terms of the windows (w, off, term)."""
     terms = windows.select("w", F.posexplode("phrase").alias("off", "word"))
     vocabulary = written(terms.select("word").distinct().withColumn("term", F.monotonically_increasing_id()), "vocabulary")
-    marked = small(vocabulary.unionByName(docs.sparkSession.createDataFrame([("\x00", END)], "word string, term long")))
+    marked = small(vocabulary.unionByName(docs.sparkSession.range(1).select(F.lit("\x00").alias("word"), F.lit(END).cast("long").alias("term"))))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("words"))
     tokens = rows.select("row", "doc_id", F.posexplode(F.concat("words", F.array(F.lit("\x00")))).alias("pos", "word"))
     postings = written(tokens.join(marked, "word").select("row", "doc_id", "pos", "term"), "postings")

@@ -7,17 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP9_SQL, op9_benchmark_decontamination
+from .histogram_sort import OP2_SQL, op2_histogram_sort
+from .language_id import op8_language_id
 from .pii import op5_pii_pseudonyms
+from .rans_tokens import op7_rans_tokens
 from .sentencepiece_wfst import op3_sentencepiece_wfst
 from .simhash import op10_simhash_near_dedup
 from .toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_histogram_sort": op2_histogram_sort,
     "op3_sentencepiece_wfst": op3_sentencepiece_wfst,
     "op5_pii_pseudonyms": op5_pii_pseudonyms,
     "op6_toxicity": op6_toxicity,
+    "op7_rans_tokens": op7_rans_tokens,
+    "op8_language_id": op8_language_id,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {"op9_benchmark_decontamination": OP9_SQL}
+ORACLES: dict[str, str] = {"op2_histogram_sort": OP2_SQL, "op9_benchmark_decontamination": OP9_SQL}
