@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paddock.llm import simhash, toxicity
+from paddock.llm import decontaminate, pii, sentencepiece_wfst, simhash, toxicity
 from paddock.llm.common import table, written
 
 
@@ -18,9 +19,32 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.keep_first(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("simhash_near_dedup", drop_near_copies)]
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of ten consecutive words of a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
-#: A trained classifier and a chain of written stages; tested stage by stage against brute force.
+
+def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Validated numbers, dates and addresses become pseudonyms of the same format."""
+    return pii.rewrite(docs)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their ids, their number, and whether the ids decode to the text."""
+    model = sentencepiece_wfst.model_bytes()
+    rows = sentencepiece_wfst.decode(sentencepiece_wfst.encode(docs, model), model)
+    return rows.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_copies),
+    ("benchmark_decontamination", drop_contaminated),
+    ("pii_pseudonyms", pseudonymise),
+    ("sentencepiece_wfst", tokenise),
+]
+
+#: A trained classifier and transducers are beyond SQL; the stages are tested one by one against brute force.
 ORACLE_SQL = None
 
 

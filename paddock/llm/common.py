@@ -63,14 +63,14 @@ def ascii_lower(text: Column) -> Column:
 PIECE_BYTES = 1 << 20
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut into pieces of about PIECE_BYTES of the column."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into pieces of about ``limit`` bytes of the column."""
     for batch in batches:
         texts = batch.column(batch.schema.names.index(column))
-        lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist() if texts.nbytes > PIECE_BYTES else []
+        lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist() if texts.nbytes > limit else []
         start = held = 0
         for i, n in enumerate(lengths):
-            if held and held + n > PIECE_BYTES:
+            if held and held + n > limit:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n

@@ -7,17 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP9_SQL, op9_benchmark_decontamination
+from .flac import op4_flac_media
 from .histogram_sort import OP2_SQL, op2_histogram_sort
 from .language_id import op8_language_id
 from .pii import op5_pii_pseudonyms
+from .quotes import op1_quotation_linking
 from .rans_tokens import op7_rans_tokens
 from .sentencepiece_wfst import op3_sentencepiece_wfst
 from .simhash import op10_simhash_near_dedup
 from .toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quotation_linking": op1_quotation_linking,
     "op2_histogram_sort": op2_histogram_sort,
     "op3_sentencepiece_wfst": op3_sentencepiece_wfst,
+    "op4_flac_media": op4_flac_media,
     "op5_pii_pseudonyms": op5_pii_pseudonyms,
     "op6_toxicity": op6_toxicity,
     "op7_rans_tokens": op7_rans_tokens,
