@@ -149,9 +149,9 @@ def trend_slope_last_k(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {LAPS}, p AS (SELECT *, day::DOUBLE AS age FROM laps), a AS (SELECT *, quantile_cont(x, 0.5) OVER (PARTITION BY driver, code) AS m FROM p), b AS (SELECT *, 1.4826 * quantile_cont(abs(x - m), 0.5) OVER (PARTITION BY driver, code) AS s FROM a)
-SELECT driver, code, round(CASE WHEN count(x) >= 4 AND count(DISTINCT age) >= 3 AND var_pop(age) > 1e-9 THEN regr_slope(x, age) END, 5) AS slope FROM b WHERE s = 0 OR abs(x - m) <= 4 * s GROUP BY 1, 2""")
+SELECT driver, code, round(CASE WHEN count(x) >= 4 AND count(DISTINCT age) >= 3 AND var_pop(age) > 1e-9 THEN regr_slope(x, age) END + 1e-9, 6) AS slope FROM b WHERE s = 0 OR abs(x - m) <= 4 * s GROUP BY 1, 2""")
 def robust_slope(spark: SparkSession, d: str) -> DataFrame:
-    return stats.robust_slope(laps(spark, d).withColumn("age", F.col("day").cast("double")), ["driver", "code"], "age", "x").withColumn("slope", F.round("slope", 5))
+    return stats.robust_slope(laps(spark, d).withColumn("age", F.col("day").cast("double")), ["driver", "code"], "age", "x").withColumn("slope", F.round(F.col("slope") + 1e-9, 6))
 
 
 @query(f"""WITH {LAPS}, s AS (SELECT driver, day, avg((x > 50)::INT) - 0.5 AS v, count(*) * 4 AS n FROM laps GROUP BY 1, 2), a AS (SELECT *, row_number() OVER (PARTITION BY driver ORDER BY day DESC) - 1 AS age FROM s),
