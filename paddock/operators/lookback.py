@@ -34,6 +34,17 @@ def history(facts: DataFrame, n: int, y: str = "y", r: str = "r") -> DataFrame:
     return facts.join(F.broadcast(seen), [y, r])
 
 
+def seen_by(facts: DataFrame, cutoffs: DataFrame, n: int, y: str = "year", r: str = "round") -> DataFrame:
+    """As ``history``, for given cut-offs (y, r), which need not have facts of their own: cut_y, cut_r, age and the facts' columns."""
+    marked = facts.select(y, r).distinct().withColumn("_f", F.lit(1)).unionByName(cutoffs.select(y, r).distinct().withColumn("_f", F.lit(0)))
+    rounds = marked.groupBy(y, r).agg(F.max("_f").alias("_f"), F.min("_f").alias("_c"))
+    upto = F.sum("_f").over(Window.orderBy(y, r).rowsBetween(Window.unboundedPreceding, -1))
+    numbered = rounds.withColumn("_before", F.coalesce(upto, F.lit(0)))
+    cuts = numbered.join(cutoffs.select(y, r).distinct(), [y, r], "left_semi").select(F.col(y).alias("cut_y"), F.col(r).alias("cut_r"), F.col("_before").alias("_m"))
+    places = cuts.select("cut_y", "cut_r", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("age"), "_m").withColumn("_no", F.col("_m") - F.col("age") + 1)
+    return facts.join(F.broadcast(numbered.filter("_f = 1").select(y, r, (F.col("_before") + 1).alias("_no")).join(places, "_no").drop("_no", "_m")), [y, r])
+
+
 def latest(facts: DataFrame, key: list[str], value: str, order: list[str]) -> DataFrame:
     """The value of each key's last row in the order."""
     return facts.groupBy(*key).agg(F.max_by(value, F.struct(*order)).alias(value))
