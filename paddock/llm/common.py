@@ -5,7 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -76,3 +77,14 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             held += n
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+_HELD: dict[object, Any] = {}
+
+
+def held(key: object, make: Callable[[], Any]) -> Any:
+    """An object that a worker process keeps between batches and tasks: the one that was asked for last, no other."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, pieces, table
+from .common import fold_of, held, pieces, table
 
 WINDOW, SYMBOLS = 512, 64
 #: The bound of the training sample of a language: letters, from documents of so many bytes, by hash of the id.
@@ -134,9 +134,6 @@ class Parser:
         return [self.languages[b] if n else UNKNOWN for b, n in zip(best, letters)], np.clip(score, 0, 1)
 
 
-_PARSERS: dict[int, Parser] = {}
-
-
 def fit(docs: DataFrame) -> dict[str, str]:
     """The bounded sample text of each language, of documents outside the held-out fold. Null and empty labels don't count."""
     usable = docs.filter((F.col("lang") != "") & F.octet_length("text").between(*DOC_BYTES) & (fold_of(F.col("doc_id"), 4) != 2)).select("doc_id", "text", "lang")
@@ -153,14 +150,12 @@ def fit(docs: DataFrame) -> dict[str, str]:
 
 def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     """docs with lang_pred and lang_score; ``und`` and 0 if the text is null or has no letter."""
-    shared, key = docs.sparkSession.sparkContext.broadcast(samples), hash(tuple(sorted(samples.items())))
+    shared, key = docs.sparkSession.sparkContext.broadcast(samples), ("language", hash(tuple(sorted(samples.items()))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _PARSERS:
-            _PARSERS.clear()
-            _PARSERS[key] = Parser(shared.value)
+        parser = held(key, lambda: Parser(shared.value))
         for batch in pieces(batches):
-            names, scores = _PARSERS[key].predict(batch.column(text_at).to_pylist())
+            names, scores = parser.predict(batch.column(text_at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], schema=pa.schema([*batch.schema, pa.field("lang_pred", pa.string()), pa.field("lang_score", pa.float64())]))
 
     plain = docs.drop("lang_pred", "lang_score")

@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, table, written
+from .common import held, pieces, table, written
 
 MAGIC = b"PRANS1\0\0"
 SCALE_BITS, LANES, BLOCK, LOW = 18, 32, 16_384, np.uint64(1 << 31)
-CHUNK_IDS, CACHE_WORDS = 1_000_000, 600_000
+CHUNK_IDS, CACHE_WORDS = 1_000_000, 300_000
 END = 0
 
 
@@ -154,14 +154,9 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def encoder(spec: str) -> Encoder:
-    if hash(spec) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[hash(spec)] = Encoder(spec)
-    return _ENCODERS[hash(spec)]
+    """The one of a worker process."""
+    return held(("tokenizer", hash(spec)), lambda: Encoder(spec))
 
 
 def tokenizer_spec(path: str | None = None) -> str:

@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_of, pieces, table
+from .common import crc32_of, held, pieces, table
 
 META = "▁"
 #: Fixed values of the model file's format: piece types and fields.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-CACHE_WORDS, CACHE_STRETCHES, CACHE_PAIRS = 600_000, 400_000, 1_000_000
+CACHE_WORDS, CACHE_STRETCHES, CACHE_PAIRS = 300_000, 200_000, 300_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -248,7 +248,7 @@ class Codec:
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if self.fst.dummy_prefix and "  " not in text and META not in text:
+        if self.fst.dummy_prefix and text[0] != " " and "  " not in text and META not in text:
             words = self.words
             return np.frombuffer(b"".join([words[w] for w in text.split(" ")]), np.uint32)
         normal = text.replace(" ", META)
@@ -276,16 +276,9 @@ class Codec:
         return text[1:] if self.fst.dummy_prefix and text.startswith(" ") else text
 
 
-_CODECS: dict[int, Codec] = {}
-
-
 def codec(model: bytes) -> Codec:
-    """One for each worker process and model."""
-    key = hash(model)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(model)
-    return _CODECS[key]
+    """The one of a worker process."""
+    return held(("sentencepiece", hash(model)), lambda: Codec(model))
 
 
 def model_bytes(path: str | None = None) -> bytes:

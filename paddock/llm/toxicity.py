@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, pieces, table
+from .common import fold_of, held, pieces, table
 
 BUCKETS, DIM, GRAMS, WINDOW, MIN_DOCS = 1 << 16, 4, (3, 4, 5), 8, 2
 #: Adam's step, and the pull of the embeddings towards zero, which is where n-grams that tell nothing stay.
 STEP, DECAY = 0.1, 1e-5
 #: The bound of the training sample: so many labelled documents a class, of at most so many bytes each, by hash of the id.
 SAMPLE_PER_CLASS, SAMPLE_BYTES, EPOCHS = 2000, 4096, 50
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 _EDGES = ".,;:!?\"'()[]{}<>|*$%&#-_"
 
 
@@ -172,9 +172,6 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(best + self.model.bias, -40, 40)))
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text, toxic: at most SAMPLE_PER_CLASS rows a class of at most SAMPLE_BYTES bytes, none of the held-out fold.
 
@@ -194,14 +191,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with toxicity (0 to 1). Null and empty texts get the score of the bias alone. A column of this name is replaced."""
-    shared, key = docs.sparkSession.sparkContext.broadcast(model), f"{id(model)}-{model.bias!r}"
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), ("toxicity", model.bias, float(model.gram_logit.sum()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(shared.value)
+        scorer = held(key, lambda: Scorer(shared.value))
         for batch in pieces(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_SCORERS[key](batch.column(text_at).to_pylist()))], schema=pa.schema([*batch.schema, pa.field("toxicity", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scorer(batch.column(text_at).to_pylist()))], schema=pa.schema([*batch.schema, pa.field("toxicity", pa.float64())]))
 
     plain = docs.drop("toxicity")
     text_at = plain.columns.index("text")
