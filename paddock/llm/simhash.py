@@ -125,7 +125,7 @@ def components(nodes: DataFrame, edges: DataFrame, name: str = "component") -> D
     while True:
         turn += 1
         near = both.join(state, both.b == state.node).groupBy("a").agg(F.min("label").alias("near"))
-        got = state.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("got"))
+        got = state.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("got"))
         best = got.groupBy("old").agg(F.min("got").alias("best"))
         new = written(got.join(best, "old").select("node", F.least("got", "best").alias("label"), (F.least("got", "best") < F.col("old")).alias("fell")), f"{name}-{turn}")
         state = new.select("node", "label")
