@@ -11,7 +11,7 @@ from .flac import op4_flac_media
 from .histogram_sort import OP2_SQL, op2_histogram_sort
 from .language_id import op8_language_id
 from .pii import op5_pii_pseudonyms
-from .quotes import op1_quotation_linking
+from .quotes import OP1_SQL, op1_quotation_linking
 from .rans_tokens import op7_rans_tokens
 from .sentencepiece_wfst import op3_sentencepiece_wfst
 from .simhash import op10_simhash_near_dedup
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {"op2_histogram_sort": OP2_SQL, "op9_benchmark_decontamination": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_quotation_linking": OP1_SQL, "op2_histogram_sort": OP2_SQL, "op9_benchmark_decontamination": OP9_SQL}

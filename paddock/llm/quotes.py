@@ -115,3 +115,26 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
 
 def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_quotes(table(spark, sf_dir, "conversations"))
+
+
+OP1_SQL = r"""
+WITH RECURSIVE msgs AS (SELECT row_number() OVER () AS mid, * FROM conversations),
+lines AS (SELECT mid, conv_id, turn, i AS pos, ls[i] AS line, ls[i + 1] AS following FROM (SELECT mid, conv_id, turn, string_split_regex(text, '\r?\n') AS ls FROM msgs WHERE text IS NOT NULL), range(1, len(ls) + 1) t(i)),
+parsed AS (SELECT mid, conv_id, turn, pos, line, len(regexp_replace(regexp_extract(line, '^((?:[ \t]{0,3}>)+)', 1), '[^>]', '', 'g')) AS level, following,
+  trim(regexp_replace(lower(regexp_replace(line, '^((?:[ \t]{0,3}>)+)[ \t]?', '')), '\s+', ' ', 'g')) AS body FROM lines),
+stated AS (SELECT *, CASE WHEN body = '' THEN -1 ELSE level END AS state FROM parsed),
+stepped AS (SELECT *, lag(state) OVER (PARTITION BY mid ORDER BY pos) AS before FROM stated),
+runs AS (SELECT *, sum((before IS NULL OR before <> state)::INT) OVER (PARTITION BY mid ORDER BY pos) AS run FROM stepped),
+units AS (SELECT DISTINCT conv_id, turn, mid, level, body FROM (SELECT conv_id, turn, mid, level, string_agg(body, ' ' ORDER BY pos) AS body FROM runs WHERE state >= 0 GROUP BY conv_id, turn, mid, level, run UNION ALL SELECT conv_id, turn, mid, level, body FROM runs WHERE state >= 0)),
+links AS (SELECT q.conv_id, q.mid, q.level, length(q.body) AS size, max(o.turn) AS source FROM units q JOIN units o ON o.conv_id = q.conv_id AND o.body = q.body AND o.level = 0 AND o.turn < q.turn WHERE q.level > 0 GROUP BY q.conv_id, q.mid, q.level, q.body),
+votes AS (SELECT conv_id, mid, source, sum(size) AS size FROM links WHERE level = 1 GROUP BY 1, 2, 3),
+best AS (SELECT conv_id, mid, arg_max(source, (size, source)) AS parent_turn FROM votes GROUP BY 1, 2),
+replies AS (SELECT b.mid, b.parent_turn, min(m.mid) AS parent FROM best b JOIN msgs m ON m.conv_id = b.conv_id AND m.turn = b.parent_turn GROUP BY 1, 2),
+climb AS (SELECT mid, parent AS root, 1 AS depth FROM replies UNION ALL SELECT c.mid, r.parent, c.depth + 1 FROM climb c JOIN replies r ON r.mid = c.root),
+roots AS (SELECT mid, arg_max(root, depth) AS root, max(depth) AS depth FROM climb GROUP BY 1),
+clean AS (SELECT mid, regexp_replace(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE level = 0 AND NOT (regexp_matches(line, '(?i)^.{0,200}\b(wrote|writes|said|schrieb|a écrit|escribió)[ \t]*:[ \t]*$') AND coalesce(regexp_matches(following, '^[ \t]{0,3}>'), false))), '^\s+|\s+$', '', 'g') AS text FROM parsed GROUP BY 1)
+SELECT m.conv_id, m.turn, m.role, CASE WHEN m.text IS NULL THEN NULL WHEN contains(m.text, '>') THEN coalesce(c.text, '') ELSE regexp_replace(m.text, '^\s+|\s+$', '', 'g') END AS text, p.parent_turn, coalesce(t.turn, m.turn) AS root_turn,
+  coalesce(r.depth, 0)::BIGINT AS depth, coalesce(q.n, 0)::BIGINT AS n_quotes, coalesce(l.n, 0)::BIGINT AS n_linked
+FROM msgs m LEFT JOIN clean c USING (mid) LEFT JOIN replies p USING (mid) LEFT JOIN roots r USING (mid) LEFT JOIN msgs t ON t.mid = r.root
+LEFT JOIN (SELECT mid, count(*) AS n FROM units WHERE level > 0 GROUP BY 1) q ON q.mid = m.mid LEFT JOIN (SELECT mid, count(*) AS n FROM links GROUP BY 1) l ON l.mid = m.mid
+"""

@@ -41,6 +41,24 @@ def test_quotes_nest_link_and_go(spark):
     assert quotes.link_quotes(df.limit(0)).count() == 0
 
 
+def test_quotes_equal_the_sql(spark):
+    import duckdb
+
+    rng = random.Random(8)
+    said = ["Yes.", "How  do I sort?", "Use orderBy", "No", "A user wrote:", "see > here", ""]
+    rows = []
+    for t in range(60):
+        lines = [rng.choice(["", "", "> ", ">> ", "> > ", "  >"]) + rng.choice(said) for _ in range(rng.randrange(5))]
+        rows.append((t % 3, t // 3, rng.choice("ab"), "\n".join(lines) if t % 13 else None))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    want = con.execute(quotes.OP1_SQL)
+    names = [c[0] for c in want.description]
+    got = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).select(*names).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
+
+
 def test_long_reply_chains(spark):
     rows = [(1, t, "u", (f"> line {t - 1}\n" if t else "") + f"line {t}") for t in range(40)]
     out = {r.turn: r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
