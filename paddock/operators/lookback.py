@@ -10,6 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rounds are a calendar's: a table of one row a round that has more is refused, as it would not be broadcast safely.
+MOST_ROUNDS = 5000
+
+
+def few(df: DataFrame, most: int = MOST_ROUNDS) -> DataFrame:
+    """df marked for a broadcast; the query raises if it has more than ``most`` rows."""
+    n = F.row_number().over(Window.orderBy(F.lit(1)))
+    fits = F.when(F.col("_n") > most, F.raise_error(F.lit(f"more than {most} rows to broadcast"))).otherwise(F.lit(True)).cast("boolean")
+    return F.broadcast(df.withColumn("_n", n).filter(fits).drop("_n"))
+
+
 def before(y: Column, r: Column, cut_y: Column, cut_r: Column) -> Column:
     """The strict as-of predicate."""
     return (y < cut_y) | ((y == cut_y) & (r < cut_r))
@@ -17,7 +28,7 @@ def before(y: Column, r: Column, cut_y: Column, cut_r: Column) -> Column:
 
 def numbered_rounds(facts: DataFrame, y: str = "y", r: str = "r") -> DataFrame:
     """The distinct rounds with their place ``ord`` in time (from 1)."""
-    return facts.select(y, r).distinct().withColumn("ord", F.row_number().over(Window.orderBy(y, r)))
+    return facts.select(y, r).distinct().withColumn("ord", F.row_number().over(Window.orderBy(y, r))).withColumn("ord", F.when(F.col("ord") > MOST_ROUNDS, F.raise_error(F.lit("too many rounds"))).otherwise(F.col("ord")).cast("int"))
 
 
 def visible(rounds: DataFrame, n: int) -> DataFrame:
@@ -39,9 +50,9 @@ def seen_by(facts: DataFrame, cutoffs: DataFrame, n: int, y: str = "year", r: st
     marked = facts.select(y, r).distinct().withColumn("_f", F.lit(1)).unionByName(cutoffs.select(y, r).distinct().withColumn("_f", F.lit(0)))
     rounds = marked.groupBy(y, r).agg(F.max("_f").alias("_f"), F.min("_f").alias("_c"))
     upto = F.sum("_f").over(Window.orderBy(y, r).rowsBetween(Window.unboundedPreceding, -1))
-    numbered = rounds.withColumn("_before", F.coalesce(upto, F.lit(0)))
+    numbered = rounds.withColumn("_before", F.coalesce(upto, F.lit(0))).withColumn("_before", F.when(F.col("_before") >= MOST_ROUNDS, F.raise_error(F.lit("too many rounds"))).otherwise(F.col("_before")).cast("int"))
     cuts = numbered.join(cutoffs.select(y, r).distinct(), [y, r], "left_semi").select(F.col(y).alias("cut_y"), F.col(r).alias("cut_r"), F.col("_before").alias("_m"))
-    places = cuts.select("cut_y", "cut_r", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("age"), "_m").withColumn("_no", F.col("_m") - F.col("age") + 1)
+    places = cuts.select("cut_y", "cut_r", F.explode(F.sequence(F.lit(1), F.least(F.lit(n), F.greatest(F.col("_m"), F.lit(1))))).alias("age"), "_m").filter("age <= _m").withColumn("_no", F.col("_m") - F.col("age") + 1)
     return facts.join(F.broadcast(numbered.filter("_f = 1").select(y, r, (F.col("_before") + 1).alias("_no")).join(places, "_no").drop("_no", "_m")), [y, r])
 
 

@@ -34,7 +34,7 @@ def two_level_median(df: DataFrame, inner: list[str], outer: list[str], x: str)
 def exceedance(df: DataFrame, field: list[str], group: list[str], x: str, p: float = 0.9) -> DataFrame:
     """The share of a group's values above the field's percentile."""
     limit = df.groupBy(*field).agg(percentile(x, p).alias("_p"))
-    return df.join(F.broadcast(limit), field).groupBy(*group).agg(F.avg((F.col(x) > F.col("_p")).cast("int")).alias("risk"))
+    return df.join(limit, field).groupBy(*group).agg(F.avg((F.col(x) > F.col("_p")).cast("int")).alias("risk"))
 
 
 def first_two_gap(df: DataFrame, key: list[str], member: str, x: str, within: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lookback import few
 from .stats import clip
 
 #: Points of the first ten ranks, and what an outcome is worth.
@@ -17,7 +18,7 @@ def time_split(df: DataFrame, y: str, r: str, last: int) -> DataFrame:
     rounds = df.select(y, r).distinct()
     ranked = rounds.withColumn("_n", F.row_number().over(Window.orderBy(F.desc(y), F.desc(r)))).withColumn("_all", F.count("*").over(Window.partitionBy()))
     checked = F.when(F.col("_all") <= last, F.raise_error(F.lit("too few rounds to split"))).otherwise(F.col("_n") <= last)
-    return df.join(F.broadcast(ranked.select(y, r, checked.cast("boolean").alias("is_validation"))), [y, r])
+    return df.join(few(ranked.select(y, r, checked.cast("boolean").alias("is_validation"))), [y, r])
 
 
 def fit_scaler(df: DataFrame, columns: list[str], flags: list[str] = ()) -> DataFrame:

@@ -56,7 +56,7 @@ class Context:
         return lookback.seen_by(facts, self.cutoffs, n)
 
     def now(self, facts: DataFrame) -> DataFrame:
-        return facts.join(F.broadcast(self.cutoffs.select(*RACE).distinct()), RACE, "left_semi")
+        return facts.join(lookback.few(self.cutoffs.select(*RACE).distinct()), RACE, "left_semi")
 
 
 Feature = Callable[[Context], DataFrame]
@@ -153,7 +153,7 @@ def with_same_track(ctx: Context, seen: DataFrame) -> DataFrame:
     """seen with ``same``: the past round shares a key with the cut-off."""
     keys = track_keys(ctx)
     past, cut = keys.select(*RACE, F.col("keys").alias("_pk")), keys.select(F.col("year").alias("cut_y"), F.col("round").alias("cut_r"), F.col("keys").alias("_ck"))
-    return seen.join(F.broadcast(past), RACE, "left").join(F.broadcast(cut), CUT, "left").withColumn("same", F.coalesce(F.arrays_overlap("_pk", "_ck"), F.lit(False))).drop("_pk", "_ck")
+    return seen.join(lookback.few(past), RACE, "left").join(lookback.few(cut), CUT, "left").withColumn("same", F.coalesce(F.arrays_overlap("_pk", "_ck"), F.lit(False))).drop("_pk", "_ck")
 
 
 @feature
@@ -165,14 +165,14 @@ def track_onehot(ctx: Context) -> DataFrame:
     out = on_roster(ctx, back(agg.withColumns({f"{p}last_seen_year": F.col("m.year"), f"{p}last_seen_round": F.col("m.round")}).drop("m"))).na.fill(0, [f"{p}hist_n"])
     cut = ctx.now(track_keys(ctx)).select(*RACE, "track")
     names = sorted(r.track for r in cut.select("track").distinct().collect() if r.track)
-    return out.join(F.broadcast(cut), RACE, "left").withColumns({f"track_is_{n}": (F.coalesce("track", F.lit("")) == n).cast("double") for n in names}).drop("track")
+    return out.join(lookback.few(cut), RACE, "left").withColumns({f"track_is_{n}": (F.coalesce("track", F.lit("")) == n).cast("double") for n in names}).drop("track")
 
 
 @feature
 def track_profile(ctx: Context) -> DataFrame:
     """Profile columns of the round's track and the indices derived from them."""
     cut = ctx.now(track_keys(ctx)).select(*RACE, F.col("track").alias("slug"))
-    return ctx.roster.select(*KEY).distinct().join(F.broadcast(tracks.profiles(cut, ctx.tables.get("track_profiles"))), RACE, "left")
+    return ctx.roster.select(*KEY).distinct().join(lookback.few(tracks.profiles(cut, ctx.tables.get("track_profiles"))), RACE, "left")
 
 
 @feature
@@ -180,7 +180,7 @@ def driver_track_cluster_pre(ctx: Context) -> DataFrame:
     """The last eight races of the track's cluster, shrunk towards the field of drivers."""
     clusters = track_keys(ctx).select(*RACE, tracks.cluster_of(F.col("track")).alias("cluster"))
     now = clusters.withColumnsRenamed({"year": "cut_y", "round": "cut_r", "cluster": "wanted"})
-    seen = ctx.past(race_results(ctx).join(F.broadcast(clusters), RACE), 10_000).join(F.broadcast(now), CUT).filter("cluster = wanted")
+    seen = ctx.past(race_results(ctx).join(lookback.few(clusters), RACE), 2_000).join(lookback.few(now), CUT).filter("cluster = wanted")
     last = lookback.last_rows(seen, [*CUT, "driver"], [F.asc("age")], 8)
     retired = F.coalesce(text.any_word(F.col("status"), text.DNF_WORDS), F.lit(False))
     own = last.groupBy(*CUT, "driver").agg(F.count("position").alias("n"), percentile("position", 0.5).alias("finish_p50"), F.avg(F.coalesce("points", F.lit(0.0))).alias("points_mean"), rate(F.col("position").between(1, 10), F.col("position")).alias("top10_rate"), percentile("grid", 0.5).alias("grid_p50"), rate(retired).alias("retire_rate"))
@@ -338,7 +338,7 @@ def reliability_risk_pre(ctx: Context) -> DataFrame:
     last = F.col("back") <= 10
     season = F.col("year") == F.col("cut_y")
     agg = back(seen.groupBy(*CUT, "driver").agg(*[F.avg(F.when(c, F.col(k))).alias(f"{k}_{n}") for k in ("acc", "mech") for n, c in (("prev", last), ("season", season))]))
-    out = on_roster(ctx, agg).join(F.broadcast(conditions(ctx)), RACE, "left")
+    out = on_roster(ctx, agg).join(lookback.few(conditions(ctx)), RACE, "left")
     base = lambda k: 0.6 * F.coalesce(F.col(f"{k}_prev"), F.lit(0.05)) + 0.4 * F.coalesce(F.col(f"{k}_season"), F.lit(0.03))
     delta = (F.col("track_temp") - 25) / 10
     chaos = clip(F.col("sc") * F.col("overtake") * F.col("rain"), 0, 1)

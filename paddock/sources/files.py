@@ -6,6 +6,9 @@ all files of one call by one header; each group is read with its own names and t
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +74,9 @@ def missing_rounds(schedule: DataFrame, present: DataFrame, sessions: list[str],
     done = F.least(*[F.coalesce(F.col(s) <= now, F.lit(True)).cast("int") for s in sessions], F.lit(1)) == 1
     known = F.coalesce(*[F.col(s) for s in sessions]).isNotNull()
     return schedule.filter(done & known).select("year", "round").distinct().join(present.select("year", "round").distinct(), ["year", "round"], "left_anti")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all executors share; a folder of its own only where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="paddock-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -47,3 +47,21 @@ def test_training_ranks_by_pace(spark):
     assert drops["pace"] > 2 * drops["junk"]
     table = training.simulate(scored, KEY, "driver").collect()
     assert len(table) == 10 and sum(r.points for r in table) <= 8 * 101 and sorted(r.rank for r in table) == list(range(1, 11))
+
+
+def test_models_are_stored_with_their_features(spark, tmp_path):
+    from paddock.plans import artifacts
+
+    model = training.RankModel(["a", "b"], hidden=3)
+    artifacts.save(spark, model, str(tmp_path / "m"), {"spearman": 0.5})
+    artifacts.save(spark, training.RankModel(["a", "z"], hidden=3), str(tmp_path / "n"))
+    back = artifacts.first_usable(spark, [str(tmp_path / "n"), str(tmp_path / "m")], ["a", "b", "c"])
+    assert back.features == ["a", "b"] and all((back.weights[k] == v).all() for k, v in model.weights.items())
+    with pytest.raises(ValueError):
+        artifacts.load(spark, str(tmp_path / "n"), ["a"])
+
+
+def test_parameters():
+    from paddock.functions import params
+
+    assert params.number_list("1, 2,5-8,2") == [1, 2, 5, 6, 7, 8] and params.pairs("VER=1,NOR=2.5") == {"VER": 1.0, "NOR": 2.5} and params.name_list(" a,,b ") == ["a", "b"]
