@@ -1,7 +1,7 @@
 """Media columns: FLAC streams of PCM samples, written and read with numpy.
 
 Encoder: mono streams of 8-bit samples (any depth up to 16 works), a fixed block size, and for each frame the linear
-predictor with the smallest residual among the fixed ones (orders 0 to 4) and a quantised least-squares one; residuals are Rice
+predictor with the smallest residual among the fixed ones (orders 0 to ORDERS) and a quantised least-squares one; residuals are Rice
 coded in partitions. The seek table has a point for every frame. Decoder: all subframe kinds (constant, verbatim, fixed,
 linear prediction), both Rice codings with escapes, wasted bits, all channel layouts; header CRC-8, frame CRC-16 and the
 MD5 of the samples are verified. Frames that the seek table lists are decoded in step with each other, the n-th sample
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import pieces, table
 
-BLOCK, RATE, UNIT, LPC_ORDER, LPC_BITS, LPC_SHIFT = 4096, 8000, 64, 4, 12, 9
-PIECE = 2 << 20  # bytes that are worked on at once
+BLOCK, RATE, UNIT, ORDERS, LPC_ORDER, LPC_BITS, LPC_SHIFT = 4096, 8000, 64, 2, 4, 12, 9
+PIECE = 1 << 20  # bytes that are worked on at once
 PARTITION = 8  # 2^8 residual partitions at most, of 64 samples at least
 
 
@@ -61,11 +61,19 @@ def crc16_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return back
 
 
-def put_bits(bits: np.ndarray, at: np.ndarray, values: np.ndarray, widths: np.ndarray) -> None:
-    """Writes values of the given widths, most significant bit first, at places of an array of single bits."""
-    for b in range(int(widths.max(initial=0))):
-        some = widths > b
-        bits[at[some] + b] = values[some] >> (widths[some] - 1 - b) & 1
+def packed(n_bytes: int, at: np.ndarray, values: np.ndarray, widths: np.ndarray) -> bytes:
+    """Values of at most 24 bits written at places (bits) of zeroed bytes, most significant bit first. They don't overlap, so the
+    bytes are sums of what each value puts into the four that it may touch."""
+    shifted = values.astype(np.int64) << (32 - (at & 7) - widths)
+    first, out = at >> 3, np.zeros(n_bytes + 4)
+    for k in range(4):
+        part = shifted >> (24 - 8 * k) & 255
+        if k == 3:
+            some = np.flatnonzero(part)
+            out += np.bincount(first[some] + k, part[some], n_bytes + 4)
+        else:
+            out += np.bincount(first + k, part, n_bytes + 4)
+    return out[:n_bytes].astype(np.uint8).tobytes()
 
 
 def utf8_number(n: int) -> bytes:
@@ -82,10 +90,10 @@ def _runs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.arange(int(sizes.sum())) - np.repeat(starts, sizes)
 
 
-def _least_squares(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, within: np.ndarray) -> np.ndarray:
+def _least_squares(x: np.ndarray, past: list[np.ndarray], starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Quantised predictor coefficients (frames x LPC_ORDER, of shift LPC_SHIFT) by the normal equations; zeros for short frames."""
     n, f = LPC_ORDER, x.astype(np.float64)
-    lags = np.stack([np.add.reduceat(np.where(within >= k, f * np.roll(f, k), 0), starts) for k in range(n + 1)], 1)
+    lags = np.stack([np.add.reduceat(f * p, starts) for p in (x, *past)], 1)
     at = np.abs(np.subtract.outer(np.arange(n), np.arange(n)))
     matrix = lags[:, at] + np.eye(n) * (1e-6 * lags[:, :1, None] + 1e-6)
     real = np.linalg.solve(matrix, lags[:, 1:, None])[:, :, 0]
@@ -96,31 +104,36 @@ def _least_squares(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, within:
 def encode_frames(x: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, depth: int = 8) -> list[bytes]:
     """Frames of mono samples that lie after each other in ``x``; all frames are worked on at once."""
     starts, within = _runs(sizes)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    past = [np.where(within >= k, np.roll(x, k), 0) for k in range(1, 5)]
-    cost, ways = [], []
-    for order, c in enumerate(FIXED):
-        res = x - sum((v * past[i] for i, v in enumerate(c)), np.zeros_like(x))
+    x = x.astype(np.int32)
+    past = [np.where(within >= k, np.roll(x, k), np.int32(0)) for k in range(1, LPC_ORDER + 1)]
+    never = np.iinfo(np.int64).max
+    cost, ways, res = [], [], x
+    for order in range(ORDERS + 1):
+        if order:
+            # each order's residual is the step of the one before
+            res = res - np.roll(res, 1)
         ways.append(res)
-        cost.append(np.where(sizes > order, np.add.reduceat(np.where(within >= order, np.abs(res), 0), starts) + depth * order, np.iinfo(np.int64).max))
-    lpc = _least_squares(x, starts, sizes, within)
-    ways.append(x - (sum(lpc[owner, i] * past[i] for i in range(LPC_ORDER)) >> LPC_SHIFT))
-    cost.append(np.where(sizes >= 8 * LPC_ORDER, np.add.reduceat(np.where(within >= LPC_ORDER, np.abs(ways[-1]), 0), starts) + (depth + LPC_BITS) * LPC_ORDER, np.iinfo(np.int64).max))
+        cost.append(np.where(sizes > order, np.add.reduceat(np.where(within >= order, np.abs(res), 0), starts, dtype=np.int64) + depth * order, never))
+    lpc = _least_squares(x, past, starts, sizes)
+    guess = np.zeros_like(x)
+    for i in range(LPC_ORDER):
+        guess += np.repeat(lpc[:, i].astype(np.int32), sizes) * past[i]
+    ways.append(x - (guess >> LPC_SHIFT))
+    cost.append(np.where(sizes >= 8 * LPC_ORDER, np.add.reduceat(np.where(within >= LPC_ORDER, np.abs(ways[-1]), 0), starts, dtype=np.int64) + (depth + LPC_BITS) * LPC_ORDER, never))
     way = np.argmin(cost, axis=0)
-    is_lpc = way == len(FIXED)
+    is_lpc = way == ORDERS + 1
     order = np.where(is_lpc, LPC_ORDER, way)
-    res = np.stack(ways)[way[owner], np.arange(len(x))]
-    coded = within >= order[owner]
-    folded = np.where(coded, res << 1 ^ res >> 63, 0)
+    res = np.choose(np.repeat(way.astype(np.int8), sizes), ways)
+    coded = within >= np.repeat(order, sizes)
+    folded = np.where(coded, res << 1 ^ res >> 31, np.int32(0))
     # partitions: as many as divide the frame into pieces of 64 samples at least
     split = np.zeros(len(sizes), np.int64)
     for p in range(1, PARTITION + 1):
         split = np.where((sizes % (1 << p) == 0) & (sizes >> p >= 64) & (split == p - 1), p, split)
     each = sizes >> split
     part_starts = np.repeat(starts, 1 << split) + _runs(1 << split)[1] * np.repeat(each, 1 << split)
-    part_owner = np.repeat(np.arange(len(sizes)), 1 << split)
     counts = np.add.reduceat(coded.astype(np.int64), part_starts)
-    mean = np.add.reduceat(folded, part_starts) / np.maximum(counts, 1)
+    mean = np.add.reduceat(folded, part_starts, dtype=np.int64) / np.maximum(counts, 1)
     k = np.clip(np.floor(np.log2(np.maximum(mean, 0.5) * 0.7 + 0.3)), 0, 14).astype(np.int64)
     rice = np.repeat(k, np.diff(np.append(part_starts, len(x))))
     quotient = np.where(coded, folded >> rice, 0)
@@ -133,25 +146,23 @@ def encode_frames(x: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, depth:
     heads = [h + bytes([crc8(h)]) for h in heads]
     n_bytes = -(-body // 8)
     first = 8 * (np.cumsum(n_bytes) - n_bytes)
-    bits = np.zeros(8 * int(n_bytes.sum()), np.uint8)
-    put_bits(bits, first, np.where(is_lpc, 32 | LPC_ORDER - 1, 8 | order) << 1, np.full(len(sizes), 8))
-    warm = np.flatnonzero(~coded)
-    put_bits(bits, first[owner[warm]] + 8 + depth * within[warm], x[warm] & (1 << depth) - 1, np.full(len(warm), depth))
     at = first + 8 + depth * order
-    some = np.flatnonzero(is_lpc)
-    put_bits(bits, at[some], np.full(len(some), LPC_BITS - 1 << 5 | LPC_SHIFT), np.full(len(some), 9))
-    for i in range(LPC_ORDER):
-        put_bits(bits, at[some] + 9 + LPC_BITS * i, lpc[some, i] & (1 << LPC_BITS) - 1, np.full(len(some), LPC_BITS))
-    put_bits(bits, first + before - 6, split, np.full(len(sizes), 6))
+    some, warm = np.flatnonzero(is_lpc), np.flatnonzero(~coded)
+    fields = [
+        (first, np.where(is_lpc, 32 | LPC_ORDER - 1, 8 | order) << 1, 8),
+        (np.repeat(first, order) + 8 + depth * within[warm], x[warm] & (1 << depth) - 1, depth),
+        (at[some], np.full(len(some), LPC_BITS - 1 << 5 | LPC_SHIFT), 9),
+        *[(at[some] + 9 + LPC_BITS * i, lpc[some, i] & (1 << LPC_BITS) - 1, LPC_BITS) for i in range(LPC_ORDER)],
+        (first + before - 6, split, 6),
+    ]
     ends = np.cumsum(widths)
-    code = ends - widths - np.repeat(ends[starts] - widths[starts], sizes) + np.repeat(first + before, sizes)
-    put_bits(bits, code[part_starts], k, np.full(len(k), 4))
+    code = ends - widths + np.repeat(first + before - ends[starts] + widths[starts], sizes)
+    fields.append((code[part_starts], k, 4))
     code[part_starts] += 4
     live = np.flatnonzero(coded)
-    stop, low = code[live] + quotient[live], rice[live]
-    bits[stop] = 1
-    put_bits(bits, stop + 1, folded[live] & (1 << low) - 1, low)
-    data = np.packbits(bits).tobytes()
+    low = rice[live]
+    fields.append((code[live] + quotient[live], folded[live] & (1 << low) - 1 | 1 << low, low + 1))
+    data = packed(int(n_bytes.sum()), *[np.concatenate(c) for c in zip(*[(p, v, np.broadcast_to(w, p.shape)) for p, v, w in fields])])
     frames = [h + data[a : a + n] for h, a, n in zip(heads, (first // 8).tolist(), n_bytes.tolist())]
     last = np.cumsum([len(f) for f in frames])
     checks = crc16_runs(np.frombuffer(b"".join(frames), np.uint8), last - np.array([len(f) for f in frames]), last)
@@ -373,6 +384,8 @@ def decode_frames(data: bytes, places: list[int], depths: list[int]) -> tuple[li
         for j, i in enumerate(picked):
             out[i] = np.stack([c[: size[j], j] for c in channels])
         ends[picked] = -(-at // 8)
+    if (ends + 2 > len(data)).any():
+        raise ValueError("a frame runs beyond the end of the data")
     checks = crc16_runs(whole, np.array(places), ends)
     for i, (e, c) in enumerate(zip(ends.tolist(), checks.tolist())):
         if int.from_bytes(data[e : e + 2], "big") != c:
