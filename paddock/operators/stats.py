@@ -17,6 +17,11 @@ def iqr(x: str | Column, least: int = 2) -> Column:
     return F.when(F.count(x) >= least, percentile(x, 0.75) - percentile(x, 0.25))
 
 
+def quartiles(x: str) -> Column:
+    """The three quartiles in one aggregate (array)."""
+    return F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+
+
 def rate(condition: Column, known: Column | None = None) -> Column:
     """Share of rows for which the condition holds; unknown counts as false. Null if ``known`` is null in all rows."""
     share = F.avg(F.coalesce(condition, F.lit(False)).cast("int"))

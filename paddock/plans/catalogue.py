@@ -27,8 +27,9 @@ FROM (SELECT DISTINCT y, r, driver FROM res) c LEFT JOIN hist h ON h.cut_y = c.y
 def asof_entity_priors(spark: SparkSession, d: str) -> DataFrame:
     res = results(spark, d)
     seen = lookback.history(res, 10).groupBy(*DRIVER).agg(
-        F.count("*").alias("hist_n"), stats.percentile("pos", 0.5).alias("finish_p50"), stats.iqr("pos").alias("finish_iqr"), stats.rate(F.col("pos") <= 10, F.col("pos")).alias("top10_rate"),
+        F.count("*").alias("hist_n"), stats.quartiles("pos").alias("q"), F.count("pos").alias("known"), stats.rate(F.col("pos") <= 10, F.col("pos")).alias("top10_rate"),
         stats.rate(F.col("status") == "O").alias("dnf_rate"), stats.percentile("grid", 0.5).alias("grid_p50"), F.avg("points").alias("points_mean"))
+    seen = seen.withColumns({"finish_p50": F.col("q")[1], "finish_iqr": F.when(F.col("known") >= 2, F.col("q")[2] - F.col("q")[0])}).drop("q", "known")
     roster = res.select(F.col("y").alias("cut_y"), F.col("r").alias("cut_r"), "driver").distinct()
     return tidy(roster.join(seen, DRIVER, "left").na.fill(0, ["hist_n"]))
 
