@@ -56,9 +56,9 @@ def index(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def ranked(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """The terms of the windows that can occur, by rank from the rarest: w, off, term, rank, n (the window's words)."""
-    counts = postings.groupBy("term").agg(F.count("*").alias("df"))
+    counts = written(postings.groupBy("term").agg(F.count("*").alias("df")), "term-counts")
     by = Window.partitionBy("w")
-    found = terms.join(counts, "term", "left").select("w", "off", "term", F.row_number().over(by.orderBy("df", "off")).alias("rank"), F.count("*").over(by).alias("n"), F.count("df").over(by).alias("met"))
+    found = terms.join(small(counts), "term", "left").select("w", "off", "term", F.row_number().over(by.orderBy("df", "off")).alias("rank"), F.count("*").over(by).alias("n"), F.count("df").over(by).alias("met"))
     return written(found.filter("met = n").drop("met"), "ranked-terms")
 
 
