@@ -25,14 +25,15 @@ from .common import held, pieces, table, written
 
 MAGIC = b"PRANS1\0\0"
 SCALE_BITS, LANES, BLOCK, LOW = 18, 32, 16_384, np.uint64(1 << 31)
-CHUNK_IDS, CACHE_WORDS = 1_000_000, 300_000
+CHUNK_IDS, CACHE_WORDS, CACHE_TOKENS = 1_000_000, 1_100_000, 900_000
 END = 0
 
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids that occur, ascending, and their frequencies, all at least 1, of 2^SCALE_BITS in sum."""
-    symbols, counts = np.unique(ids, return_counts=True)
-    total = 1 << SCALE_BITS
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    counts, total = counts[symbols], 1 << SCALE_BITS
     freq = np.maximum(1, counts * total // max(1, counts.sum())).astype(np.int64)
     spare = total - int(freq.sum())
     if spare >= 0:
@@ -55,7 +56,9 @@ def encode(ids: np.ndarray) -> bytes:
     if n_blocks == 1:
         steps = -(-len(ids) // LANES)
     padded = np.zeros(n_blocks * steps * LANES, np.int64)
-    padded[: len(ids)] = np.searchsorted(symbols, ids)
+    place = np.zeros(int(symbols[-1]) + 1, np.int64)
+    place[symbols] = np.arange(len(symbols))
+    padded[: len(ids)] = place[ids]
     at = padded.reshape(n_blocks, steps, LANES)
     f, c = freq.astype(np.uint64)[at], low.astype(np.uint64)[at]
     state = np.full((n_blocks, LANES), LOW, np.uint64)
@@ -122,8 +125,8 @@ def decode(chunk: bytes, blocks: range | None = None) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library. Its byte-level pre-tokens are encoded on their own, so those of the pre-tokens
-    met first are kept, up to a number; an added token in a text is left to the library."""
+    """Ids of texts by the tokenizers library. Its byte-level pre-tokens are encoded on their own, so those of the pre-tokens and of
+    the words met first are kept, up to a number; an added token in a text is left to the library."""
 
     def __init__(self, spec: str):
         import regex
@@ -133,22 +136,61 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # the fixed pattern of the file's pre-tokenizer (ByteLevel with use_regex)
         self.pattern = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        self.spaced, self.runs = regex.compile(r" \p{L}+"), regex.compile(r"\s\s")
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
+    def _library(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _learn(self, new: list[str]) -> None:
+        """Encodes pre-tokens. Those of a blank and letters stay apart when they are joined, so many make one call; the library's
+        numbers of the pre-tokens part their ids again."""
+        plain, rest = [], []
+        for p in new:
+            (plain if self.spaced.fullmatch(p) else rest).append(p)
+        for i in range(0, len(rest), 1000):
+            self.known.update(zip(rest[i : i + 1000], self._library(rest[i : i + 1000])))
+        for i in range(0, len(plain), 1000):
+            some = plain[i : i + 1000]
+            e = self.tokenizer.encode("".join(some), add_special_tokens=False)
+            ids, owner = np.array(e.ids, "<u2").tobytes(), np.array(e.word_ids)
+            ends = (2 * np.append(np.flatnonzero(np.diff(owner)) + 1, len(owner))).tolist()
+            if len(ends) != len(some):
+                raise RuntimeError("the library parts joined pre-tokens in another way")
+            self.known.update(zip(some, (ids[a:b] for a, b in zip([0, *ends], ends))))
+
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [self.pattern.findall(t) if t and not any(a in t for a in self.added) else [] for t in texts]
-        known = self.known
-        new = list({p for ps in split for p in ps}.difference(known))
-        for i in range(0, len(new), 1000):
-            known.update(zip(new[i : i + 1000], self._encode(new[i : i + 1000])))
-        out = [np.frombuffer(b"".join([known[p] for p in ps]), "<u2") for ps in split]
-        for i, t in enumerate(texts):
-            if t and not split[i]:
-                out[i] = np.frombuffer(self._encode([t])[0], "<u2")
-        if len(known) > CACHE_WORDS:
+        # words: what stands between single blanks, with the blank before it; a text's first word, and a text with other runs of
+        # white space, begin without a blank and are looked up with a line end before them, which no word begins with
+        words, known = self.words, self.known
+        split, got, met = [], [], set()
+        for t in texts:
+            if not t or any(a in t for a in self.added):
+                split.append([])
+            elif self.runs.search(t):
+                split.append(["\n" + t])
+            else:
+                ws = t.split(" ")
+                ws[0] = "\n" + ws[0]
+                split.append(ws)
+            got.append([words.get(w) for w in split[-1]])
+            if None in got[-1]:
+                met.update(w for w, ids in zip(split[-1], got[-1]) if ids is None)
+        parts = {w: self.pattern.findall(w[1:] if w[:1] == "\n" else " " + w) for w in met}
+        new = list({p for ps in parts.values() for p in ps}.difference(known))
+        self._learn(new)
+        fresh = {w: b"".join([known[p] for p in ps]) for w, ps in parts.items()}
+        out = []
+        for t, ws, ids in zip(texts, split, got):
+            if t and not ws:
+                ids = self._library([t])
+            elif None in ids:
+                ids = [fresh[w] if i is None else i for w, i in zip(ws, ids)]
+            out.append(np.frombuffer(b"".join(ids), "<u2"))
+        if len(words) < CACHE_WORDS:
+            words.update((w, ids) for w, ids in fresh.items() if len(w) <= 64)
+        if len(known) > CACHE_TOKENS:
             for p in new:
                 del known[p]
         return out
