@@ -236,6 +236,40 @@ def test_languages_are_told_apart(spark):
     assert language_id.fit(df.limit(0)) == {} and {r.lang_pred for r in language_id.identify(df, {}).collect()} == {"und"}
 
 
+def test_each_script_keeps_its_letters():
+    rng = random.Random(4)
+    scripts = {"el": (0x3B1, 24), "en": (0x61, 26), "hi": (0x915, 36), "ja": (0x4E00, 1500), "ko": (0xAC00, 1500), "ru": (0x430, 32), "zh": (0x20000, 1500)}
+
+    def text(language, words):
+        first, n = scripts[language]
+        return " ".join("".join(chr(first + rng.randrange(n)) for _ in range(rng.randrange(2, 7))) for _ in range(words))
+
+    samples = {k: text(k, 3000)[: language_id.SAMPLE_LETTERS] for k in scripts}
+    samples["xx"] = "tiny"
+    parser = language_id.Parser(samples)
+    asked = [k for k in scripts for _ in range(20)]
+    assert parser.predict([text(k, 40) for k in asked])[0] == asked
+    for (cells, start), language in zip(parser.tables, parser.languages):
+        assert len(cells) < 12 * language_id.SAMPLE_LETTERS
+        codes = parser.codes(samples[language])[0].tolist()
+        for _ in range(20):
+            at = rng.randrange(len(codes))
+            state = 0
+            for c in codes[at : at + 300]:
+                assert cells[state + c] >> 32 == state
+                state = cells[state + c] & 0xFFFFFFFF
+
+
+def test_every_labelled_language_is_learnt(spark):
+    names = [f"l{i:03}" for i in range(130)]
+    rows = [(4 * i, f"{n} " + chr(0x4E00 + 50 * i) * 3, n) for i, n in enumerate(names)]
+    rows += [(10_000 + i, "long " * 2000, "long") for i in range(8)] + [(20_000 + i, t, "both") for i in range(8) for t in ("short", "whole " * 60)] + [(1, "12 34", "none"), (2, None, "none"), (3, "", "none")]
+    samples = language_id.fit(spark.createDataFrame([(10 * i, t, n) for i, t, n in rows] + [(10 * i + 3, t, n) for i, t, n in rows], "doc_id long, text string, lang string").repartition(5))
+    held = {f"l{i:03}" for i in range(130) if all(zlib.crc32(str(d).encode()) % 4 == 2 for d in (40 * i, 40 * i + 3))}
+    assert set(samples) == set(names) - held | {"long", "both"} and len(samples) > 102
+    assert "short" not in samples["both"] and len(samples["long"]) == language_id.SAMPLE_LETTERS
+
+
 # --- SimHash
 
 
