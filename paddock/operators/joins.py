@@ -68,15 +68,20 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def fuzzy_match(names: DataFrame, known: DataFrame, name: str, least: float = 0.8) -> DataFrame:
-    """name, match, score: equal after normalising, else the most similar known name of the same first letter and like length.
+    """name, match, score: equal after normalising, else the most similar known name of all.
 
-    Candidates meet by first letter and length (a name of 0.8 similarity differs in length by a fifth at most)."""
+    A known name of n letters is within k = n * (1 / least - 1) edits of whatever is similar enough, so of its k + 1 segments one
+    is untouched and stands in the other at most k places away: candidates meet by length, number and letters of a segment."""
     norm = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    edits = lambda n: F.floor(n * (1 / least - 1) + 1e-9).cast("int")
+    start = lambda i: F.floor(i * F.col("_l") / (F.col("_k") + 1)).cast("int")
     a = names.select(name).distinct().withColumn("_a", norm(F.col(name)))
-    b = known.select(F.col(name).alias("match")).distinct().withColumn("_b", norm(F.col("match")))
-    slack = F.ceil((1 / least - 1) * F.length("_a")).cast("int")
-    probes = a.withColumn("_l", F.explode(F.sequence(F.length("_a") - slack, F.length("_a") + slack)))
-    met = probes.join(b.withColumn("_l", F.length("_b")), (F.substring("_a", 1, 1) == F.substring("_b", 1, 1)) & (probes["_l"] == F.length("_b")))
-    scored = met.withColumn("score", similarity(F.col("_a"), F.col("_b"))).filter(F.col("score") >= least)
+    b = known.select(F.col(name).alias("match")).distinct().withColumn("_b", norm(F.col("match"))).withColumn("_l", F.length("_b"))
+    of = lambda df: df.withColumn("_k", edits(F.col("_l"))).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k")))).withColumn("_at", start(F.col("_i"))).withColumn("_n", start(F.col("_i") + 1) - F.col("_at"))
+    lengths = F.sequence(F.ceil(F.length("_a") * least - 1e-9).cast("int"), F.floor(F.length("_a") / least + 1e-9).cast("int"))
+    probes = of(a.withColumn("_l", F.explode(lengths))).withColumn("_at", F.explode(F.sequence(F.col("_at") - F.col("_k"), F.col("_at") + F.col("_k")))).filter((F.col("_at") >= 0) & (F.col("_at") + F.col("_n") <= F.length("_a")))
+    segment = lambda text: F.substring(F.col(text), F.col("_at") + 1, F.col("_n")).alias("_s")
+    met = probes.select(name, "_a", "_l", "_i", segment("_a")).distinct().join(of(b).select("match", "_b", "_l", "_i", segment("_b")), ["_l", "_i", "_s"])
+    scored = met.select(name, "_a", "match", "_b").distinct().withColumn("score", similarity(F.col("_a"), F.col("_b"))).filter(F.col("score") >= least)
     best = F.row_number().over(Window.partitionBy(name).orderBy(F.desc("score"), "match"))
     return scored.withColumn("_n", best).filter("_n = 1").select(name, "match", "score")

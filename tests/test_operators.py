@@ -1,6 +1,7 @@
 """Rules that the catalogue's tables do not reach."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,3 +152,34 @@ def test_without_the_corpus_operators(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_fuzzy_names_equal_brute_force(spark):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            row, last = [i], row
+            for j, d in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (c != d)))
+        return row[-1]
+
+    rng = random.Random(6)
+    known = sorted({"".join(rng.choice("abcd") for _ in range(rng.randrange(1, 16))) for _ in range(120)} | {"interlagos", "Monza", "spa", "!"})
+    asked = {"nterlagos", "xnterlagos", "terlagos", "ainterlagos", "Inter-Lagos", "onza", "ronza", "a", "", "zz"}
+    for name in known:
+        for _ in range(3):
+            letters = list(name)
+            for _ in range(rng.randrange(1, 4)):
+                at = rng.choice([0, rng.randrange(len(letters) + 1)])
+                letters[at : at + rng.randrange(2)] = rng.choice(["", "a", "x"])
+            asked.add("".join(letters))
+    norm = lambda t: "".join(c for c in t.lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789")
+    table = lambda names: spark.createDataFrame([(n,) for n in names], "name string")
+    for least in (0.8, 0.7):
+        want = {}
+        for a in asked:
+            scores = sorted((-(1 - distance(norm(a), norm(b)) / max(len(norm(a)), len(norm(b)), 1)), b) for b in known)
+            if -scores[0][0] >= least:
+                want[a] = scores[0][1], -scores[0][0]
+        got = {r.name: (r.match, r.score) for r in joins.fuzzy_match(table(sorted(asked)), table(known), "name", least).collect()}
+        assert got == want and got["nterlagos"][0] == got["xnterlagos"][0] == got["ainterlagos"][0] == "interlagos"
