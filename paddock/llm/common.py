@@ -46,6 +46,14 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a written table with a column of row numbers, and the column's name: ids may be null or repeated, these are not."""
+    column = "_row"
+    while column in [c.lower() for c in df.columns]:
+        column = f"_{column}"
+    return written(df.withColumn(column, F.monotonically_increasing_id()), name), column
+
+
 def crc32_of(text: Column) -> Column:
     """Unsigned CRC-32 of the UTF-8 bytes; null counts as empty."""
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))

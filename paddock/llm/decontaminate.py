@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table, written
+from .common import ascii_lower, numbered, table, written
 
 WORD, WINDOW = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", 10
 END = -1
@@ -96,9 +96,10 @@ def contamination(docs: DataFrame, items: DataFrame, slop: int = 0) -> DataFrame
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without those that hold a window (and without the rows that share such a row's doc_id)."""
-    bad = contamination(docs, items).filter("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows that hold a window; rows with null or repeated doc_ids are decided one by one."""
+    rows, row = numbered(docs, "decontaminate-rows")
+    bad = contamination(rows.select(F.col(row).alias("doc_id"), "text"), items).filter("contaminated").select(F.col("doc_id").alias(row))
+    return rows.join(bad, row, "left_anti").select(*docs.columns)
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, pieces, table, written
+from .common import LOWER, UPPER, numbered, pieces, table, written
 
 SEED, SHINGLE, TAU = 42, 3, 3
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -70,12 +70,15 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         hashes = [np.array(shingle_hashes(t), np.uint64) for t in batch.column("text").to_pylist()]
         counts = np.array([len(h) for h in hashes], np.int64)
         bits = majority_bits(np.concatenate([*hashes, np.zeros(0, np.uint64)]), counts).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bits)], ["doc_id", "fp"])
+        names = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(bits)], [*names, "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long). Null and empty texts have fingerprint zero."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, *others: str) -> DataFrame:
+    """doc_id, the other columns, fp (the 64 bits as a long). Null and empty texts have fingerprint zero."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *others, "text")
+    fields = ", ".join(f"`{c}` {t}" for c, t in narrow.dtypes if c != "text")
+    return narrow.mapInArrow(_fingerprints, f"{fields}, fp long")
 
 
 def _segment(fp: Column, i: int) -> Column:
@@ -133,6 +136,12 @@ def components(nodes: DataFrame, edges: DataFrame, name: str = "component") -> D
             return state
 
 
+def with_components(classes: DataFrame) -> DataFrame:
+    """classes (one row for each fp, with a label) with component_id: the smallest label that links reach."""
+    linked = components(classes.select(F.col("fp").alias("node"), "label"), links(classes), "simhash-links")
+    return classes.join(linked.select(F.col("node").alias("fp"), F.col("label").alias("low")), "fp", "left").withColumn("component_id", F.coalesce("low", "label")).drop("low")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach, itself included), fp.
 
@@ -140,15 +149,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     its fingerprint). An empty table gives an empty result."""
     prints = written(fingerprints(docs), "simhash")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("label")), "simhash-classes")
-    linked = components(classes.withColumnRenamed("fp", "node"), links(classes), "simhash-links")
-    labels = classes.join(linked.select(F.col("node").alias("fp"), F.col("label").alias("low")), "fp", "left").select("fp", F.coalesce("low", "label").alias("component_id"))
+    labels = with_components(classes).select("fp", "component_id")
     return prints.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component stays: that with the smallest doc_id (of repeated doc_ids all rows stay)."""
-    found = near_duplicates(docs)
-    return docs.join(found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """One row of each component stays: that with the smallest doc_id, null after all others, the first numbered of equal ones.
+    Rows with null or repeated doc_ids are decided one by one."""
+    rows, row = numbered(docs, "simhash-rows")
+    prints = fingerprints(rows.select(F.col(row).alias("doc_id"), "text", F.col("doc_id").alias("own")), "own")
+    first = F.min(F.struct(F.col("own").isNull().alias("lacks"), "own", F.col("doc_id").alias("row")))
+    classes = written(prints.groupBy("fp").agg(first.alias("first")).withColumn("label", F.col("first.row")), "simhash-classes")
+    kept = with_components(classes).groupBy("component_id").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

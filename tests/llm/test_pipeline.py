@@ -1,6 +1,7 @@
 """The pipeline's stages: each works on what the one before it kept, and its decisions take effect."""
 
 from conftest import DATA
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from paddock.llm import decontaminate, pii, simhash, toxicity
@@ -32,3 +33,17 @@ def test_stages(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert out.count() > 0 and "ids" in out.columns
+
+
+def test_null_and_repeated_ids_are_decided_row_by_row(spark):
+    text = lambda seed: " ".join(f"w{(seed * 7919 + i * i) % 997}" for i in range(60))
+    rows = [(None, text(1)), (None, text(2)), (None, text(3)), (7, text(3)), (7, text(4)), (8, text(4)), (7, text(5)), (9, text(6)), (6, text(6)), (None, text(7)), (None, text(7))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_row", F.lit("own")).repartition(3)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, DATA)
+    assert kept.columns == docs.columns
+    want = [(None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (7, text(5)), (6, text(6)), (None, text(7))]
+    assert sorted((tuple(r) for r in kept.select("doc_id", "text").collect()), key=str) == sorted(want, key=str)
+    item = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
+    bad = docs.unionByName(spark.createDataFrame([(None, "so alpha beta gamma delta"), (7, "alpha beta gamma delta x")], "doc_id long, text string").withColumn("_row", F.lit("own")))
+    left = decontaminate.drop_contaminated(bad, item)
+    assert left.columns == docs.columns and sorted((tuple(r) for r in left.select("doc_id", "text").collect()), key=str) == sorted(rows, key=str)
