@@ -21,14 +21,16 @@ _B, _E = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
     "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}" + _E + "|" + r"(?<![0-9A-Za-z(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}" + _E,
-    "card": _B + r"(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{13,19})" + _E,
+    "card": _B + r"(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}|[0-9]{13,19})" + _E,
     "ssn": _B + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + r"(?![-0-9A-Za-z])",
-    "date": _B + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})" + _E,
+    "date": _B + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})" + rf"(?:{_E}|(?=[Tt][0-9]{{2}}))",
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9A-Za-z])",
 }
 ANY = "|".join(PATTERNS.values())
 #: The 146,097 days of 400 years from this one; a product of 27 and 5411, the radices of a date's two parts.
 FIRST_DAY, DATE_RADICES = "1800-01-01", (27, 5411)
+#: The days of the other years from 1 to 9999 are permuted among themselves: those before FIRST_DAY, and the radices of all.
+DAYS_BEFORE, OTHER_RADICES = 657_071, (762, 4601)
 
 
 def _random(key: str, kind: str, turn: Column, half: Column, bound: Column) -> Column:
@@ -118,11 +120,20 @@ def _ssn(value: Column, key: str) -> Column:
 
 def _date(value: Column, key: str) -> Column:
     """Year first, or day first; with slashes month first if day first is no date."""
+    days, others = DATE_RADICES[0] * DATE_RADICES[1], OTHER_RADICES[0] * OTHER_RADICES[1]
+
     def moved(form: str) -> Column:
+        def turned(day: Column) -> Column:
+            near = day.between(0, days - 1)
+            place = F.when(near, day).otherwise(day + DAYS_BEFORE - F.when(day < 0, 0).otherwise(days))
+            radix = [F.when(near, a).otherwise(b) for a, b in zip(DATE_RADICES, OTHER_RADICES)]
+            out = feistel(place % radix[0], F.floor(place / radix[0]), *radix, key, f"date:{form}")
+            back = lambda o: o["r"] * radix[0] + o["l"]
+            new = F.transform(F.transform(F.array(out), back), lambda n: F.when(near, n).otherwise(n - DAYS_BEFORE + F.when(n < DAYS_BEFORE, 0).otherwise(days)))[0]
+            return F.when(day.between(-DAYS_BEFORE, others - DAYS_BEFORE + days - 1), F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), new.cast("int")), form))
+
         day = F.datediff(F.try_to_timestamp(value, F.lit(form)).cast("date"), F.lit(FIRST_DAY).cast("date"))
-        out = feistel(day % DATE_RADICES[0], F.floor(day / DATE_RADICES[0]), F.lit(DATE_RADICES[0]), F.lit(DATE_RADICES[1]), key, f"date:{form}")
-        shown = F.transform(F.array(out), lambda o: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (o["r"] * DATE_RADICES[0] + o["l"]).cast("int")), form))[0]
-        return F.when(day.between(0, DATE_RADICES[0] * DATE_RADICES[1] - 1), shown)
+        return F.transform(F.array(day), turned)[0]
 
     of = lambda like, form: F.when(value.rlike(like), moved(form))
     return F.coalesce(of("^[0-9]{4}-", "yyyy-MM-dd"), of("^[0-9]{4}/", "yyyy/MM/dd"), of(r"^[0-9]{2}\.", "dd.MM.yyyy"), of("^[0-9]{2}/", "dd/MM/yyyy"), of("^[0-9]{2}/", "MM/dd/yyyy"))

@@ -1,5 +1,6 @@
 """Quotation linking, histogram sort, pseudonyms and decontamination against brute force, with odd inputs."""
 
+import datetime as dt
 import hashlib
 import random
 import re
@@ -140,6 +141,30 @@ def test_pseudonyms_keep_the_format_and_link(spark):
     assert pii.pseudonymised(docs(spark, [])).count() == 0
 
 
+def test_timestamps_all_years_and_split_cards(spark):
+    texts = ["at 2024-05-06T10:00:00Z and 2024-05-06 10:00, 2024-05-06Txx", "card 3782-822463-10005, 3782 822463 10005, 378282246310005, bad 3782 822463 10006, mixed 3782 822463-10005, 3056 930902 5904"]
+    edges = ["0001-01-01", "1799-12-31", "1800-01-01", "2199-12-31", "2200-01-01", "9999-12-31", "0000-01-01", "1900-02-29"]
+    out = {r.doc_id: r for r in pii.pseudonymised(docs(spark, [*texts, " ".join(edges)])).collect()}
+    day = {p.old: p.new for p in out[0].pii_found}["2024-05-06"]
+    assert day != "2024-05-06" and out[0].text == f"at {day}T10:00:00Z and {day} 10:00, 2024-05-06Txx"
+    new = {p.old: p.new for p in out[1].pii_found if p.kind == "card"}
+    assert set(new) == {"3782-822463-10005", "3782 822463 10005", "378282246310005", "3056 930902 5904"}
+    assert len({re.sub("[ -]", "", new[k]) for k in new if k.startswith("3782")}) == 1 and all(luhn(re.sub("[ -]", "", n)) and re.sub("[0-9]", "9", n) == re.sub("[0-9]", "9", o) and n != o for o, n in new.items())
+    assert "bad 3782 822463 10006, mixed 3782 822463-10005" in out[1].text
+    found = {p.old: (p.kind, p.new) for p in out[2].pii_found}
+    near = lambda d: "1800" <= d < "2200"
+    assert all(found[d][0] == "date" and found[d][1] != d and near(found[d][1]) == near(d) for d in edges[:6]) and all(found[d] == (None, d) for d in edges[6:])
+
+
+def test_days_of_other_years_are_permuted_one_to_one(spark):
+    n = pii.OTHER_RADICES[0] * pii.OTHER_RADICES[1]
+    first, last = (dt.date(1800, 1, 1) - dt.date(1, 1, 1)).days, (dt.date(9999, 12, 31) - dt.date(1, 1, 1)).days
+    assert first == pii.DAYS_BEFORE and n == last + 1 - pii.DATE_RADICES[0] * pii.DATE_RADICES[1]
+    days = spark.range(4000).select(F.date_format(F.expr("date_add(date'1795-01-01', cast(id as int))"), "yyyy-MM-dd").alias("d"))
+    rows = days.select("d", pii.pseudonym(F.col("d")).new.alias("new")).collect()
+    assert len({r.new for r in rows}) == 4000 and all(("1800" <= r.d < "2200") == ("1800" <= r.new < "2200") and dt.date.fromisoformat(r.new) for r in rows)
+
+
 def test_the_permutations_are_one_to_one(spark):
     n = 27 * 50
     pairs = spark.range(n).select(pii.feistel(F.col("id") % 27, F.floor(F.col("id") / 27), F.lit(27), F.lit(50), "k", "t").alias("o")).select("o.*").distinct()
