@@ -44,7 +44,7 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "weather": sessions.filter("event_type = 'view'").select("year", "round", "session", F.col("t").alias("t_s"), (15 + F.col("value") / 10).alias("air"), (20 + F.col("value") / 5).alias("track"), F.col("value").alias("humidity"), (F.col("value") / 20).alias("wind"), (n % 7 == 0).cast("double").alias("rain")),
         "race_ctrl": e.filter("event_type = 'error'").select("year", "round", F.col("t").alias("t_s"), (n % 50 + 1).cast("int").alias("lap"), F.lit("Other").alias("category"), messages.alias("message"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("flag")),
         "track_status": e.filter("event_type = 'signup'").select("year", "round", F.col("t").alias("t_s"), choose(n, ["1", "2", "4", "6"]).alias("status"), F.lit("").alias("message")),
-        "session_status": e.filter("event_type = 'click' and event_id % 50 = 0").select("year", "round", F.col("t").alias("t_s"), choose(n, ["Started", "Delayed"]).alias("status")),
+        "session_status": e.filter("event_type = 'click'").select("year", "round", F.col("t").alias("t_s"), choose(n, ["Started"] * 39 + ["Delayed"]).alias("status")),
         "telemetry": sessions.select("year", "round", "session", "driver", F.col("t").alias("t_s"), (100 + 2 * F.col("value")).alias("speed"), F.col("value").alias("throttle"), (F.col("value") < 20).cast("double").alias("brake"), (n % 14).cast("double").alias("drs")),
         "pit_stops": laps.filter("session = 'R' and pit_in is not null").select("year", "round", "driver", "lap", (2 + F.col("gap_s")).alias("seconds")),
     }

@@ -1,9 +1,11 @@
 """Feature queries on small weekends with known answers."""
 
 import pytest
+from conftest import DATA
 from pyspark.sql import Row
 
 from paddock.plans import features as fq
+from paddock.plans import weekends
 
 
 def context(spark, cutoffs=((2025, 3),), roster=None, **tables):
@@ -153,3 +155,15 @@ def test_build_joins_all_queries(spark):
     table = fq.train_table(out, fq.results_target(ctx)).collect()
     assert [(r.driver, r.result_outcome, r.outcome_id, r.finish_pos_eff) for r in table] == [("VER", "finish", 0, 20.0)]
     assert {r.driver for r in fq.roster_of(ctx.tables, ctx.cutoffs).collect()} == {"VER"}
+
+
+def test_all_clicks_are_session_statuses(spark):
+    events = [(r.event_id, r.ts, r.event_type) for r in spark.read.parquet(f"{DATA}/events.parquet").collect()]
+    t = weekends.tables(spark, DATA)
+    got = t["session_status"].collect()
+    assert len(got) == sum(kind == "click" for _, _, kind in events) and {r.status for r in got} == {"Started", "Delayed"}
+    day = lambda ts: (ts.year, ts.timetuple().tm_yday)
+    late = {day(ts) for i, ts, kind in events if kind == "click" and i % 40 == 39}
+    control = {day(ts) for i, ts, kind in events if kind == "error" and i % 7 == 4}
+    stats = {(r.year, r["round"]): r.delayed_start_rate for r in fq.chaos_stats(weekends.context(spark, DATA)).collect()}
+    assert {d for d, v in stats.items() if v == 1} == late | control and late - control and any(v == 0 for v in stats.values())
