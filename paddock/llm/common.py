@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -87,6 +88,24 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(start)
 
 
+class Memo(dict):
+    """Results of a pure function: those of the last ``limit`` to twice as many keys met; keys of over 64 letters are not kept."""
+
+    def __init__(self, make: Callable[[Any], Any], limit: int):
+        self.make, self.limit, self.before = make, limit, {}
+
+    def __missing__(self, key: Any) -> Any:
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        if (len(key) if isinstance(key, str) else sum(map(len, key))) <= 64:
+            if len(self) >= self.limit:
+                self.before = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 _HELD: dict[object, Any] = {}
 
 
@@ -94,5 +113,7 @@ def held(key: object, make: Callable[[], Any]) -> Any:
     """An object that a worker process keeps between batches and tasks: the one that was asked for last, no other."""
     if key not in _HELD:
         _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         _HELD[key] = make()
     return _HELD[key]

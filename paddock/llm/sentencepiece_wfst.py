@@ -1,18 +1,23 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-Three transducers are compiled from a model file: the normaliser (white space to the meta symbol, a meta symbol before
-the text), the pieces (a trie whose final states emit ids), and the byte fallback for characters that no piece has.
-An input is composed with them on the fly: the states are pairs of a position and the last piece, and the tropical
-semiring's shortest path over this lattice gives the ids.
+Three transducers are compiled from a model file: the normaliser (the character map's rules, longest match first, then the
+white space rules), the pieces (a trie whose final states emit ids), and the byte fallback for characters that no piece has.
+An input is composed with them on the fly, and the tropical semiring's shortest path over this lattice gives the ids:
+(min, +) relaxation over the positions.
 
 Weights: a unigram model's arc weighs its piece's negative score. A BPE model's path must be the one that merging by
 rank builds. A sequence of pieces is that one exactly if each piece and each pair of neighbours is what merging makes of
 its own characters (a first merge across a border would already happen within the pair); so the weight of an arc after
-another is 0 for such a pair, else infinite, and one path of finite weight is left.
+another is 0 for such a pair, else infinite. Every prefix of a text is merged in one way only, so each position has one
+last piece of finite weight, and the position alone is the state.
 
 No arc goes over a border that no piece crosses, so the shortest path is found for each stretch between such borders;
-stretches repeat a lot and their paths are kept. Decoding gives the normalised text without the meta symbol put before
-it: equal to the input unless that holds the meta symbol itself.
+stretches repeat a lot and the paths of those met lately are kept. Decoding gives the normalised text without the meta
+symbol put before it: equal to the input unless the rules changed that, or it holds the meta symbol itself.
+
+Null and empty texts have no ids and decode to the empty text; rows are coded one by one, so repeated rows and ids, extra
+columns and empty tables need no care; of equal weights the longer last arc wins. A column with the name of an output is replaced.
+Models whose pieces are words or bytes only, and BPE models with unused pieces, raise ValueError.
 """
 
 from __future__ import annotations
@@ -28,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_of, held, pieces, table
+from .common import Memo, crc32_of, held, pieces, table
 
 META = "▁"
-#: Fixed values of the model file's format: piece types and fields.
+#: Fixed values of the model file's format: piece types, model kinds, the penalty of unknown characters, the bonus of pieces of the user.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-CACHE_WORDS, CACHE_STRETCHES, CACHE_PAIRS = 300_000, 200_000, 300_000
+UNKNOWN_COST, USER_BONUS = 10.0, 0.1
+#: Entries of a generation of the caches (of keys of at most 64 letters, so some 40 MB in all).
+CACHE_STRETCHES, CACHE_PAIRS = 80_000, 50_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -62,18 +69,91 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+def character_map(blob: bytes) -> dict[str, str]:
+    """The rules of a precompiled map: a double-array trie of sources, and the targets, each ended by a zero byte."""
+    if not blob:
+        return {}
+    size = struct.unpack("<I", blob[:4])[0]
+    units, targets = np.frombuffer(blob[4 : 4 + size], "<u4").tolist(), blob[4 + size :]
+    children = lambda unit: (unit >> 10) << ((unit & 512) >> 6)
+    rules, stack = {}, [(children(units[0]), b"")]
+    while stack:
+        base, source = stack.pop()
+        for label in range(1, 256):
+            at = base ^ label
+            if at >= len(units) or units[at] & 0x800000FF != label:
+                continue
+            below = at ^ children(units[at])
+            if units[at] >> 8 & 1:
+                start = units[below] & 0x7FFFFFFF
+                rules[(source + bytes([label])).decode()] = targets[start : targets.index(0, start)].decode()
+            stack.append((below, source + bytes([label])))
+    return rules
+
+
+@dataclass
+class Normaliser:
+    """rules: replacements, the longest first; kept: pieces that no rule touches; squeeze: no extra white space; space: what a blank becomes."""
+
+    rules: dict[str, str] = field(default_factory=dict)
+    kept: set[str] = field(default_factory=set)
+    prefix: bool = True
+    squeeze: bool = False
+    space: str = META
+
+    @cached_property
+    def starts(self) -> re.Pattern | None:
+        firsts = {s[0] for s in (*self.rules, *self.kept)}
+        return re.compile(f"[{re.escape(''.join(sorted(firsts)))}]") if firsts else None
+
+    def outputs(self, text: str) -> Iterator[tuple[str, bool]]:
+        """What the transducer emits, arc by arc: stretches of unchanged text (True), targets of rules and kept pieces (False)."""
+        at, longest = 0, max(map(len, (*self.rules, *self.kept)), default=0)
+        for met in self.starts.finditer(text) if self.starts else ():
+            i = met.start()
+            if i < at:
+                continue
+            found = [text[i : i + n] for n in range(min(longest, len(text) - i), 0, -1)]
+            source = next((s for s in found if s in self.kept), None) or next((s for s in found if s in self.rules), None)
+            if source is None:
+                continue
+            if i > at:
+                yield text[at:i], True
+            yield (source if source in self.kept else self.rules[source]), False
+            at = i + len(source)
+        if at < len(text):
+            yield text[at:], True
+
+    def __call__(self, text: str) -> str:
+        if not text:
+            return ""
+        if not self.squeeze:
+            return ((" " if self.prefix else "") + "".join(out for out, _ in self.outputs(text))).replace(" ", self.space)
+        parts, blank = [" "] if self.prefix else [], True
+        for out, plain in self.outputs(text):
+            out = re.sub(" +", " ", out) if plain else out
+            out = out.lstrip(" ") if blank else out
+            if out:
+                parts.append(out)
+                blank = out.endswith(" ")
+        return "".join(parts).replace(" ", self.space).rstrip(self.space)
+
+
 @dataclass
 class Transducer:
     pieces: list[str]
     scores: list[float]
     types: list[int]
     kind: int
-    dummy_prefix: bool = True
-    pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
+    normal: Normaliser = field(default_factory=Normaliser)
+    byte_fallback: bool = True
+
+    def __post_init__(self) -> None:
+        self.pairs = Memo(lambda pair: self.merged(pair[0] + pair[1]) == [*pair], CACHE_PAIRS)
 
     @classmethod
     def compile(cls, model: bytes) -> Transducer:
-        pieces, scores, types, kind, prefix = [], [], [], UNIGRAM, True
+        pieces, scores, types, trainer, rules = [], [], [], {}, {}
         for number, value in _fields(model):
             if number == 1:
                 one = dict(_fields(value))
@@ -81,15 +161,17 @@ class Transducer:
                 scores.append(struct.unpack("<f", one.get(2, bytes(4)))[0])
                 types.append(one.get(3, NORMAL))
             elif number == 2:
-                kind = dict(_fields(value)).get(3, UNIGRAM)
+                trainer = dict(_fields(value))
             elif number == 3:
                 rules = dict(_fields(value))
-                prefix = bool(rules.get(3, 1))
-                if rules.get(2) or rules.get(4, 1) or not rules.get(5, 1):
-                    raise ValueError("only models that keep characters and white space as they are can be compiled")
-        if kind not in (UNIGRAM, BPE):
-            raise ValueError("only unigram and BPE models can be compiled")
-        return cls(pieces, scores, types, kind, prefix)
+        kind = trainer.get(3, UNIGRAM)
+        if kind not in (UNIGRAM, BPE) or trainer.get(24, 0):
+            raise ValueError("only unigram and BPE models with white space as a prefix can be compiled")
+        if kind == BPE and UNUSED in types:
+            raise ValueError("BPE models with unused pieces can't be compiled")
+        kept = {p for p, t in zip(pieces, types) if t == USER_DEFINED}
+        normal = Normaliser(character_map(rules.get(2, b"")), kept, bool(rules.get(3, 1)), bool(rules.get(4, 1)), META if rules.get(5, 1) else " ")
+        return cls(pieces, scores, types, kind, normal, bool(trainer.get(35, 0)))
 
     @cached_property
     def ids(self) -> dict[str, int]:
@@ -107,7 +189,7 @@ class Transducer:
         for piece in self.ids:
             for n in range(1, len(piece)):
                 out.setdefault(piece[:n], False)
-            out[piece] = self.kind == UNIGRAM or self.merged(piece) == [piece]
+            out[piece] = self.kind == UNIGRAM or piece in self.normal.kept or self.merged(piece) == [piece]
         return out
 
     @cached_property
@@ -144,24 +226,38 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def follows(self, a: str, b: str) -> bool:
-        """Whether the arc of b has a finite weight after that of a."""
-        if a[-1] + b[0] not in self.joins:
-            return True
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) > CACHE_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(a + b) == [a, b]
-        return known
+    @cached_property
+    def unknown(self) -> int:
+        return self.types.index(UNKNOWN)
 
-    def shortest_path(self, text: str) -> list[str]:
-        """The arcs' labels: pieces, and characters that no piece has."""
-        return self._lightest(text) if self.kind == UNIGRAM else self._finite(text)
+    @cached_property
+    def frozen(self) -> re.Pattern | None:
+        """The pieces of the user, which merging never touches."""
+        kept = sorted(self.normal.kept, key=lambda p: (-len(p), p))
+        return re.compile(f"({'|'.join(map(re.escape, kept))})") if kept else None
 
-    def ends(self, text: str, at: int) -> list[int]:
-        """Where the arcs from ``at`` end, the nearest first."""
-        arcs, out, end, n = self.arcs, [], at + 1, len(text)
+    @cached_property
+    def costs(self) -> dict[str, float]:
+        """The weights of a unigram model's arcs."""
+        plain = [s for s, t in zip(self.scores, self.types) if t == NORMAL]
+        best = max(plain, default=0.0)
+        return {p: -(len(p.encode()) * best - USER_BONUS) if p in self.normal.kept else -self.scores[i] for p, i in self.ids.items()}
+
+    @cached_property
+    def unknown_cost(self) -> float:
+        return UNKNOWN_COST - min((s for s, t in zip(self.scores, self.types) if t == NORMAL), default=0.0)
+
+    def weight(self, last: str, piece: str) -> float:
+        """The weight of the arc of ``piece`` after that of ``last``."""
+        if self.kind == UNIGRAM:
+            return self.costs.get(piece, self.unknown_cost)
+        return 0.0 if not last or last[-1] + piece[0] not in self.joins or self.pairs[last, piece] else np.inf
+
+    def arc_ends(self, text: str, at: int) -> list[int]:
+        """Where the arcs from ``at`` end; a single character is always one."""
+        arcs, out, end, n = self.arcs, [at + 1], at + 2, len(text)
+        if text[at] not in arcs:
+            return out
         while end <= n:
             final = arcs.get(text[at:end])
             if final is None:
@@ -169,53 +265,63 @@ class Transducer:
             if final:
                 out.append(end)
             end += 1
-        return out or [at + 1]
+        return out
 
-    def _finite(self, text: str) -> list[str]:
-        """All finite weights are 0, so the first path that reaches the end is a shortest one: depth first, the longest arc
-        first; states (position, last piece) that reach no end are not entered again."""
-        n, path, stack, dead = len(text), [], [self.ends(text, 0)], set()
-        at = 0
-        while at < n:
-            ends, last = stack[-1], path[-1] if path else ""
-            while ends:
-                end = ends.pop()
-                piece = text[at:end]
-                if (not last or self.follows(last, piece)) and (end, piece) not in dead:
-                    path.append(piece)
-                    at = end
-                    stack.append(self.ends(text, at) if at < n else [])
-                    break
-            else:
-                stack.pop()
-                path.pop()
-                dead.add((at, last))
-                at -= len(last)
-        return path
-
-    def _lightest(self, text: str) -> list[str]:
-        n, unknown = len(text), 10.0 - min(self.scores)
-        best: list[tuple[float, int]] = [(0.0, 0)] + [(np.inf, 0)] * n
-        for at in range(n):
-            for end in {at + 1, *self.ends(text, at)}:
-                k = self.ids.get(text[at:end])
-                weight = best[at][0] + (-self.scores[k] if k is not None else unknown)
-                if weight < best[end][0]:
-                    best[end] = (weight, at)
-        labels, at = [], n
+    def shortest_path(self, text: str) -> list[str]:
+        """The arcs' labels: pieces, and characters that no piece has."""
+        start = self.best_first(text) if self.kind == BPE else self.relaxed(text)
+        labels, at = [], len(text)
         while at:
-            labels.append(text[best[at][1] : at])
-            at = best[at][1]
+            labels.append(text[start[at] : at])
+            at = start[at]
         return labels[::-1]
 
+    def relaxed(self, text: str) -> list[int]:
+        """Where the last arc of the lightest path to each position starts: (min, +) relaxation from left to right."""
+        n = len(text)
+        best, start = [0.0] + [np.inf] * n, [0] * (n + 1)
+        for at in range(n):
+            for end in self.arc_ends(text, at):
+                if (w := best[at] + self.weight(text[start[at] : at], text[at:end])) < best[end]:
+                    best[end], start[end] = w, at
+        return start
+
+    def best_first(self, text: str) -> list[int]:
+        """The same where weights are 0 or infinite, up to the end of the text: a position that is reached has weight 0 and can't
+        get lighter, so arcs are weighed one by one, that which leads farthest first, until the end is reached."""
+        n, final, joins, pairs = len(text), self.arcs.get, self.joins, self.pairs
+        start = [0] + [-1] * n
+        at, last, arcs = 0, "", []
+        while at < n:
+            # the arcs from here, then the farthest of all that is left
+            arcs.append((at, at + 1))
+            end = at + 1
+            while (found := final(text[at:end])) is not None:
+                if found and end > at + 1:
+                    arcs.append((at, end))
+                if end == n:
+                    break
+                end += 1
+            while True:
+                begin, end = arcs.pop()
+                if start[end] < 0:
+                    piece, last = text[begin:end], text[start[begin] : begin]
+                    if not last or last[-1] + piece[0] not in joins or pairs[last, piece]:
+                        break
+            start[end] = begin
+            at = end
+        return start
+
     def path_ids(self, text: str) -> list[int]:
         out: list[int] = []
-        for label in self.shortest_path(text) if text else []:
-            k = self.ids.get(label)
-            if k is not None:
-                out.append(k)
-            else:
-                out.extend(self.byte_ids[b] for b in label.encode())
+        segments = self.frozen.split(text) if self.kind == BPE and self.frozen else [text]
+        for k, segment in enumerate(segments):
+            for label in [segment] if k % 2 else self.shortest_path(segment):
+                i = self.ids.get(label)
+                if i is not None:
+                    out.append(i)
+                else:
+                    out.extend(self.byte_ids[b] for b in label.encode()) if self.byte_fallback else out.append(self.unknown)
         return out
 
     @cached_property
@@ -226,44 +332,24 @@ class Transducer:
         return np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
-class _Words(dict):
-    """The paths of words with a meta symbol before them."""
-
-    def __init__(self, owner: Codec):
-        self.owner = owner
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.owner.paths(META + word)
-        if len(self) < CACHE_WORDS and len(word) <= 64:
-            self[word] = ids
-        return ids
-
-
 class Codec:
-    """Encodes and decodes. The paths of the words and stretches met first are kept, up to a number."""
+    """Encodes and decodes. The paths of the stretches met lately are kept."""
 
     def __init__(self, model: bytes):
-        self.fst, self.stretches, self.words = Transducer.compile(model), {}, _Words(self)
+        self.fst = fst = Transducer.compile(model)
+        self.stretches = Memo(lambda s: np.array(fst.path_ids(s), np.uint32).tobytes(), CACHE_STRETCHES)
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if self.fst.dummy_prefix and text[0] != " " and "  " not in text and META not in text:
-            words = self.words
-            return np.frombuffer(b"".join([words[w] for w in text.split(" ")]), np.uint32)
-        normal = text.replace(" ", META)
-        return np.frombuffer(self.paths(META + normal if self.fst.dummy_prefix else normal), np.uint32)
-
-    def paths(self, normal: str) -> bytes:
-        out = []
-        for s in self.fst.stretch.findall(normal):
-            ids = self.stretches.get(s)
-            if ids is None:
-                ids = np.array(self.fst.path_ids(s), np.uint32).tobytes()
-                if len(self.stretches) < CACHE_STRETCHES and len(s) <= 64:
-                    self.stretches[s] = ids
-            out.append(ids)
-        return b"".join(out)
+        normal, frozen = self.fst.normal(text), self.fst.kind == BPE and self.fst.frozen
+        runs = [normal] if frozen and frozen.search(normal) else self.fst.stretch.findall(normal)
+        ids = np.frombuffer(b"".join(map(self.stretches.__getitem__, runs)), np.uint32)
+        if self.fst.byte_fallback:
+            return ids
+        # a run of unknown characters is one
+        lost = ids == self.fst.unknown
+        return ids[~(lost & np.append(False, lost[:-1]))]
 
     def decode(self, ids: np.ndarray) -> str:
         data, starts, sizes = self.fst.emitted
@@ -273,7 +359,13 @@ class Codec:
             return ""
         at = np.repeat(starts[ids] - (ends - n), n) + np.arange(ends[-1])
         text = data[at].tobytes().decode("utf-8", "replace")
-        return text[1:] if self.fst.dummy_prefix and text.startswith(" ") else text
+        if not self.fst.normal.squeeze:
+            return text[1:] if self.fst.normal.prefix and text.startswith(" ") else text
+        # of each piece up to the first that leaves text one blank before it goes
+        cut = 0
+        while cut < len(ids) and text[cut : cut + 1] == " " and n[cut] == 1:
+            cut += 1
+        return text[cut + (text[cut : cut + 1] == " ") :]
 
 
 def codec(model: bytes) -> Codec:
@@ -291,35 +383,38 @@ def model_bytes(path: str | None = None) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: bytes, out: str = "ids") -> DataFrame:
-    """docs with the ids of the whole text (array of int). Null and empty texts have no ids."""
+def encode(docs: DataFrame, model: bytes, out: str = "ids", check: str | None = None) -> DataFrame:
+    """docs with the ids of the whole text (array of int), and in the column ``check``, if named, whether they decode to it."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
         for batch in pieces(batches):
-            ids = [c.encode(t or "") for t in batch.column(text_at).to_pylist()]
+            texts = batch.column(text_at).to_pylist()
+            ids = [c.encode(t or "") for t in texts]
             offsets = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
             flat = np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32)
-            arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns, arrays], schema=pa.schema([*batch.schema, pa.field(out, arrays.type)]))
+            arrays = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+            if check:
+                arrays.append(pa.array([c.decode(x) == (t or "") for x, t in zip(ids, texts)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], schema=pa.schema([*batch.schema, *[pa.field(n, a.type) for n, a in zip((out, check), arrays)]]))
 
-    plain = docs.drop(out)
+    plain = docs.drop(out, check) if check else docs.drop(out)
     text_at = plain.columns.index("text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
-    return plain.mapInArrow(run, f"{fields}, `{out}` array<int>")
+    return plain.mapInArrow(run, f"{fields}, `{out}` array<int>" + (f", `{check}` boolean" if check else ""))
 
 
 def decode(rows: DataFrame, model: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """rows with the text of an array of ids."""
+    """rows with the text of an array of ids; a null array gives null."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
         for batch in batches:
             lists = batch.column(ids_at)
-            flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            texts = [c.decode(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+            flat, offsets, some = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(), lists.is_valid().to_pylist()
+            texts = [c.decode(flat[a:b]) if valid else None for a, b, valid in zip(offsets[:-1], offsets[1:], some)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema=pa.schema([*batch.schema, pa.field(out, pa.string())]))
 
     plain = rows.drop(out)

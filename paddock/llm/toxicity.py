@@ -23,7 +23,8 @@ BUCKETS, DIM, GRAMS, WINDOW, MIN_DOCS = 1 << 16, 4, (3, 4, 5), 8, 2
 STEP, DECAY = 0.1, 1e-5
 #: The bound of the training sample: so many labelled documents a class, of at most so many bytes each, by hash of the id.
 SAMPLE_PER_CLASS, SAMPLE_BYTES, EPOCHS = 2000, 4096, 50
-CACHE_WORDS = 300_000
+#: Words in a generation of the cache (the one in use and the one before), and their longest.
+CACHE_WORDS, LONG = 60_000, 64
 _EDGES = ".,;:!?\"'()[]{}<>|*$%&#-_"
 
 
@@ -151,20 +152,25 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
 
 
 class Scorer:
-    """Scores texts; keeps the logits of the words met first, up to a number."""
+    """Scores texts. The logits of words met lately are kept, up to a number; those of over LONG letters are not."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model, self.known, self.before = model, {}, {}
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         tokens = [(t or "").lower().split() for t in texts]
         n_tokens = np.array([len(ws) for ws in tokens], np.int64)
         flat = [w for ws in tokens for w in ws]
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.before = {}, self.known
         if new := list(set(flat).difference(self.known)):
+            again = {w: v for w in new if (v := self.before.get(w)) is not None}
+            new = [w for w in new if w not in again]
+            self.known.update(again)
             self.known.update(zip(new, word_logits([normal(w) for w in new], self.model).tolist()))
         values = np.fromiter(map(self.known.__getitem__, flat), np.float64, len(flat))
-        if len(self.known) > CACHE_WORDS:
-            for w in new:
+        for w in new:
+            if len(w) > LONG:
                 del self.known[w]
         means, owner = window_means(values, n_tokens)
         best = np.where(n_tokens > 0, -np.inf, 0.0)

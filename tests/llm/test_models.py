@@ -53,6 +53,43 @@ def test_unigram_paths_are_the_lightest():
         assert "".join(path) == text and sum(-fst.scores[fst.ids[p]] for p in path) == pytest.approx(lightest(text))
 
 
+def message(number, data):
+    """A length-delimited protobuf field."""
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    return varint(number << 3 | 2) + varint(len(data)) + data
+
+
+@pytest.mark.parametrize("rule", ["identity", "nmt_nfkc", "nfkc_cf"])
+@pytest.mark.parametrize("prefix, squeeze, user", [(0, 0, 1), (0, 1, 0), (1, 0, 0), (1, 1, 1)])
+def test_normalisers_equal_the_library(rule, prefix, squeeze, user):
+    import sentencepiece
+
+    fields = sentencepiece_wfst._fields
+    own = sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()
+    blob = dict(fields(dict(fields(own))[3])).get(2, b"")
+    spec = (message(2, blob) if blob else b"") + bytes([3 << 3, prefix, 4 << 3, squeeze, 5 << 3, 1])
+    model = b"".join(message(n, v) for n, v in fields(sentencepiece_wfst.model_bytes()) if n != 3) + message(3, spec)
+    if user:
+        model += message(1, message(1, b"<sep>") + bytes([3 << 3, sentencepiece_wfst.USER_DEFINED]))
+    rng, alphabet = random.Random(1), [*"abc  \n\tＡｆﬁ①²éÅ½日🎉▁.,<>\u200b\u00a0", "<sep>", "<sep", " the ", "ing"]
+    texts = ["", "   ", "▁▁a", "ＡＢＣ　x  y ﬁ", *("".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(400))]
+    library, codec = sentencepiece.SentencePieceProcessor(model_proto=model), sentencepiece_wfst.Codec(model)
+    for text in texts:
+        assert codec.encode(text).tolist() == library.encode(text), text
+        assert codec.decode(codec.encode(text)) == library.decode(library.encode(text)), text
+
+
+def test_bpe_paths_are_those_of_merging():
+    rng = random.Random(4)
+    pieces = ["<unk>", "a", "b", "c", "ab", "bc", "ca", "abc", "bca", "abab", "cc"]
+    fst = sentencepiece_wfst.Transducer(pieces, [0.0, *[-float(k) for k in range(1, 11)]], [2] + [1] * 10, sentencepiece_wfst.BPE)
+    for _ in range(300):
+        text = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 14)))
+        assert fst.shortest_path(text) == fst.merged(text)
+
+
 # --- FLAC
 
 
