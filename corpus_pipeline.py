@@ -32,8 +32,8 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their ids, their number, and whether the ids decode to the text."""
     model = sentencepiece_wfst.model_bytes()
-    rows = sentencepiece_wfst.decode(sentencepiece_wfst.encode(docs, model), model)
-    return rows.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
+    rows = sentencepiece_wfst.encode(docs, model, check="round_trip")
+    return rows.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 
 STAGES = [
