@@ -29,6 +29,12 @@ def duration_seconds(text: Column) -> Column:
     return F.when(text.rlike(form), signed).otherwise(F.when(~F.isnan(number), number))
 
 
+def milliseconds(text: Column) -> Column:
+    """A plain number is taken as milliseconds, a duration is converted."""
+    number = text.try_cast("double")
+    return F.coalesce(F.when(~F.isnan(number), number), 1000 * duration_seconds(text))
+
+
 def slug_ascii(text: Column) -> Column:
     """Letters without accents and digits; all else becomes one underscore, none at the ends."""
     plain = F.translate(F.lower(text), _ACCENTED, _PLAIN)

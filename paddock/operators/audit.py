@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import correlation
+from .lookback import last_rows
+from .scoring import time_split
+from .stats import correlation, exact_quantiles
 from .windows import average_rank
 
 
@@ -33,7 +35,9 @@ def group_health(health: DataFrame, groups: dict[str, str]) -> DataFrame:
 def psi(df: DataFrame, columns: list[str], is_validation: str, bins: int = 10, eps: float = 1e-6) -> DataFrame:
     """feature, psi between training and validation rows over the training quantiles; values outside their range don't count."""
     long = unpivoted(df, [is_validation], columns).filter("value is not null")
-    cuts = long.filter(~F.col(is_validation)).groupBy("feature").agg(F.percentile("value", F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("edges")).withColumn("edges", F.array_sort(F.array_distinct("edges")))
+    training = df.filter(~F.col(is_validation))
+    edges = [(c, sorted({q for q in exact_quantiles(training, c, [i / bins for i in range(bins + 1)]) if q is not None})) for c in columns]
+    cuts = df.sparkSession.createDataFrame(edges, "feature string, edges array<double>")
     inside = long.join(F.broadcast(cuts), "feature").filter((F.col("value") >= F.element_at("edges", 1)) & (F.col("value") <= F.element_at("edges", -1)) & (F.size("edges") >= 3))
     place = F.least(F.size(F.filter("edges", lambda e: e <= F.col("value"))), F.size("edges") - 1)
     cells = inside.withColumn("bin", place).groupBy("feature", "bin").agg(F.count_if(~F.col(is_validation)).alias("t"), F.count_if(F.col(is_validation)).alias("v"))
@@ -65,11 +69,47 @@ def leakage(df: DataFrame, key: list[str], columns: list[str], target: str, limi
     return plain.join(rho, "feature", "left").na.fill(False, ["ranks_as_target"])
 
 
-def permuted(df: DataFrame, key: list[str], column: str, tie: str, seed: int = 42) -> DataFrame:
-    """df with the column's values shuffled within each group; the shuffle is a hash order, so it repeats."""
+#: Parts of names that a column made after the race may have.
+LATE_NAMES = ("finish", "result", "target", "points", "status", "classified")
+
+
+def looks_late(name: Column) -> Column:
+    return F.lower(name).rlike("|".join(LATE_NAMES))
+
+
+def sorts_as_target(df: DataFrame, key: list[str], columns: list[str], target: str, k: int = 5, limit: float = 0.999) -> DataFrame:
+    """feature, ndcg_one: whether sorting by the column, up or down, puts the first k of every race into the target's order.
+    Gains are n - place, discounts log2(1 + place); rows without the value don't count."""
+    long = unpivoted(df, [*key, target], columns).filter(F.col("value").isNotNull() & F.col(target).isNotNull())
+    w = Window.partitionBy("feature", *key)
+    place = lambda c: F.row_number().over(w.orderBy(c, target))
+    rows = long.withColumn("_t", F.row_number().over(w.orderBy(target, "value"))).withColumn("_u", place(F.asc("value"))).withColumn("_d", place(F.desc("value"))).withColumn("_n", F.count("*").over(w))
+    gain = lambda at: F.sum(F.when(F.col(at) <= k, (F.col("_n") - F.col("_t") + 1) / F.log2(F.col(at) + 1)))
+    ideal = F.sum(F.when(F.col("_t") <= k, (F.col("_n") - F.col("_t") + 1) / F.log2(F.col("_t") + 1)))
+    per = rows.groupBy("feature", *key).agg((F.greatest(gain("_u"), gain("_d")) / ideal).alias("ndcg"))
+    return per.groupBy("feature").agg((F.min("ndcg") > limit).alias("ndcg_one"))
+
+
+def split_keep_last(features: DataFrame, targets: DataFrame, key: list[str], order: list[str], y: str, r: str, last: int) -> DataFrame:
+    """Features joined to targets, one row a key (of repeated ones the last in ``order``), with is_validation for the last rounds."""
+    kept = [last_rows(df, key, [F.desc(c) for c in order if c in df.columns], 1) for df in (features, targets)]
+    return time_split(kept[0].join(kept[1].drop(*order), key), y, r, max(1, last))
+
+
+def suspicion(df: DataFrame) -> DataFrame:
+    """df (polarity_mismatch, flip, psi, grad, drop) with suspicious: their weighted sum, psi up to 2, grad and drop as shares of
+    the greatest."""
+    most = df.agg(F.max("grad").alias("_g"), F.max(F.abs("drop")).alias("_d"))
+    share = lambda c, m: F.coalesce(c / (F.col(m) + 1e-9), F.lit(0.0))
+    fixed = 0.35 * F.coalesce(F.col("polarity_mismatch").cast("double"), F.lit(0.0)) + 0.25 * F.coalesce(F.col("flip").cast("double"), F.lit(0.0)) + 0.20 * F.least(F.greatest(F.coalesce("psi", F.lit(0.0)), F.lit(0.0)), F.lit(2.0)) / 2
+    return df.join(F.broadcast(most)).withColumn("suspicious", fixed + 0.10 * share(F.col("grad"), "_g") + 0.10 * share(F.abs("drop"), "_d")).drop("_g", "_d")
+
+
+def permuted(df: DataFrame, key: list[str], column: str, tie: str, seed: int = 42, order: Column | None = None) -> DataFrame:
+    """df with the column's values shuffled within each group, by a hash of ``tie`` or a given order, so that it repeats."""
     by = Window.partitionBy(*key)
     place = F.row_number().over(by.orderBy(tie))
-    shuffled = df.select(*key, F.col(column).alias("_v"), F.row_number().over(by.orderBy(F.xxhash64(F.lit(seed), tie), tie)).alias("_n"))
+    shuffled = df.select(*key, F.col(column).alias("_v"), F.row_number().over(by.orderBy(F.xxhash64(F.lit(seed), tie) if order is None else order, tie)).alias("_n"))
     return df.withColumn("_n", place).join(shuffled, [*key, "_n"]).withColumn(column, F.col("_v")).drop("_v", "_n")
 
 

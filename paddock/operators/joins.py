@@ -28,6 +28,14 @@ def overlaps(left: DataFrame, right: DataFrame, key: list[str], width: float) ->
     return met.withColumn("seconds", F.least("a1", "b1") - F.greatest("a0", "b0")).drop("_b", "_first", "_start")
 
 
+def rebuilt_laps(laps: DataFrame, tyres: DataFrame, key: list[str], t: str, values: list[str], start: Column | None = None) -> DataFrame:
+    """Laps (key, t: their end) with the latest tyre row at or before their end and lap_start: the end of the key's lap before, for
+    the first one ``start``."""
+    out = asof_join(laps, tyres, key, t, values)
+    before = F.lag(t).over(Window.partitionBy(*key).orderBy(t))
+    return out.withColumn("lap_start", before if start is None else F.coalesce(before, start))
+
+
 def mate_delta(df: DataFrame, group: list[str], member: str, x: str) -> DataFrame:
     """own less mate's value for members of groups of two or more: the mate is the first other member in order."""
     one = df.groupBy(*group, member).agg(F.min(x).alias(x))

@@ -15,10 +15,11 @@ MOST_ROUNDS = 5000
 
 
 def few(df: DataFrame, most: int = MOST_ROUNDS) -> DataFrame:
-    """df marked for a broadcast; the query raises if it has more than ``most`` rows."""
+    """df marked for a broadcast; the query raises if it has more than ``most`` rows. What is counted is cut off behind ``most``
+    rows first, so a table that is far too large is neither collected nor sent to one task."""
     n = F.row_number().over(Window.orderBy(F.lit(1)))
     fits = F.when(F.col("_n") > most, F.raise_error(F.lit(f"more than {most} rows to broadcast"))).otherwise(F.lit(True)).cast("boolean")
-    return F.broadcast(df.withColumn("_n", n).filter(fits).drop("_n"))
+    return F.broadcast(df.limit(most + 1).withColumn("_n", n).filter(fits).drop("_n"))
 
 
 def before(y: Column, r: Column, cut_y: Column, cut_r: Column) -> Column:

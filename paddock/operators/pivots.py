@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import percentile
+from .stats import exact_quantiles, percentile
 
 
 def mix(df: DataFrame, key: list[str], code: str, values: list[str], prefix: str = "share_") -> DataFrame:
@@ -51,10 +51,10 @@ def any_flags(df: DataFrame, key: list[str], tests: dict[str, Column]) -> DataFr
 
 
 def trim_bounds(df: DataFrame, x: str, low: float, high: float, p: tuple[float, float] = (0.01, 0.99)) -> DataFrame:
-    """Rows within absolute bounds, then within two percentiles of what is left."""
+    """Rows within absolute bounds, then within two percentiles of what is left; these are found by refinement, when the plan is made."""
     inside = df.filter(F.col(x).between(low, high))
-    cut = inside.agg(F.percentile(x, F.array(F.lit(p[0]), F.lit(p[1]))).alias("_q"))
-    return inside.join(F.broadcast(cut)).filter(F.col(x).between(F.col("_q")[0], F.col("_q")[1])).drop("_q")
+    lo, hi = exact_quantiles(inside, x, list(p))
+    return inside if lo is None else inside.filter(F.col(x).between(lo, hi))
 
 
 def position_changes(df: DataFrame, key: list[str], order: list[str], position: str) -> DataFrame:

@@ -71,27 +71,71 @@ def grid_penalty(score: Column, grid: Column, weight: float, default: float = 10
     return score - weight * 0.25 * (F.coalesce(grid, F.lit(default)) - 1)
 
 
+def regridded(df: DataFrame, key: list[str], grid: Column, weight: float, temperature: float = 1.0) -> DataFrame:
+    """df (rank_score, score_status, p_finish) after the grid penalty on the rank score: score, p_win and rank worked out anew."""
+    out = df.withColumn("rank_score", grid_penalty(F.col("rank_score"), grid, weight))
+    out = out.withColumn("score", 10.0 * F.col("score_status") + clipped_z("rank_score", key))
+    out = with_softmax(out.withColumn("_s", F.col("rank_score") + F.log(clip(F.col("p_finish"), 1e-6, 1.0))), "_s", key, "p_win", temperature).drop("_s")
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), *[c for c in ("driver", "k") if c in df.columns])))
+
+
+def normalised_weights(df: DataFrame, weight: str = "weight") -> DataFrame:
+    """Weights of mean 1; a mean that isn't positive counts as 1."""
+    mean = df.agg(F.avg(weight).alias("_m"))
+    return df.join(F.broadcast(mean)).withColumn(weight, F.col(weight) / F.when(F.col("_m") > 0, F.col("_m")).otherwise(1.0)).drop("_m")
+
+
+def combined_weights(maps: list[DataFrame], key: list[str], normalise: bool = True) -> DataFrame:
+    """key, weight: the product of the maps' weights; a map that lacks a key counts as 1."""
+    out = maps[0].select(*key, F.col("weight").alias("_w0"))
+    for i, m in enumerate(maps[1:], 1):
+        out = out.join(m.select(*key, F.col("weight").alias(f"_w{i}")), key, "full_outer")
+    product = F.lit(1.0)
+    for i in range(len(maps)):
+        product = product * F.coalesce(F.col(f"_w{i}"), F.lit(1.0))
+    out = out.select(*key, product.alias("weight"))
+    return normalised_weights(out) if normalise else out
+
+
+def era_summary(weights: DataFrame, era: Column) -> DataFrame:
+    """era, races and the mean, least and greatest weight of its races."""
+    return weights.groupBy(era.alias("era")).agg(F.count("*").alias("races"), F.avg("weight").alias("weight_mean"), F.min("weight").alias("weight_min"), F.max("weight").alias("weight_max"))
+
+
+def selection_score(spearman: Column, macro_f1: Column) -> Column:
+    """The sum of both, or the one that is finite."""
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    return F.coalesce(finite(spearman) + finite(macro_f1), finite(macro_f1), finite(spearman))
+
+
+def best_checkpoint(metrics: DataFrame, epoch: str = "epoch") -> DataFrame:
+    """The row of the epoch with the greatest selection score, the first of equals."""
+    scored = metrics.withColumn("selection_score", selection_score(F.col("spearman"), F.col("macro_f1")))
+    return scored.orderBy(F.col("selection_score").desc_nulls_last(), epoch).limit(1)
+
+
 def points_for(rank: Column) -> Column:
     return F.coalesce(F.get(F.array(*[F.lit(p) for p in POINTS]), rank - 1), F.lit(0))
 
 
-def standings(results: DataFrame, entity: str, rank: str, race: list[str]) -> DataFrame:
-    """entity, points, wins, podiums, races, rank: by points, wins and podiums, then by name."""
+def standings(results: DataFrame, entity: str, rank: str, race: list[str], season: list[str] = ()) -> DataFrame:
+    """entity, points, wins, podiums, races, rank: by points, wins and podiums, then by name; per season if its columns are given."""
     points = results.withColumn("_p", points_for(F.col(rank)))
-    total = points.groupBy(entity).agg(F.sum("_p").cast("long").alias("points"), F.count_if(F.col(rank) == 1).alias("wins"), F.count_if(F.col(rank) <= 3).alias("podiums"), F.count_distinct(*race).alias("races"))
-    place = F.row_number().over(Window.orderBy(F.desc("points"), F.desc("wins"), F.desc("podiums"), entity))
+    total = points.groupBy(*season, entity).agg(F.sum("_p").cast("long").alias("points"), F.count_if(F.col(rank) == 1).alias("wins"), F.count_if(F.col(rank) <= 3).alias("podiums"), F.count_distinct(*race).alias("races"))
+    place = F.row_number().over(Window.partitionBy(*season).orderBy(F.desc("points"), F.desc("wins"), F.desc("podiums"), entity))
     return total.withColumn("rank", place.cast("long"))
 
 
-def plackett_luce_nll(df: DataFrame, key: list[str], score: str, finish: str, top: int | None = None) -> DataFrame:
-    """The mean negative log likelihood of the finishing order of each group, over the first ``top`` places if given."""
+def plackett_luce_nll(df: DataFrame, key: list[str], score: str, finish: str, top: int | None = None, total: bool = False) -> DataFrame:
+    """The mean (or, as ListMLE has it, the total) negative log likelihood of the finishing order of each group, over the first
+    ``top`` places if given."""
     w = Window.partitionBy(*key)
     rows = df.filter(F.col(finish).isNotNull()).withColumn("_c", F.col(score) - F.max(score).over(w))
     tail = F.sum(F.exp("_c")).over(w.orderBy(finish).rowsBetween(0, Window.unboundedFollowing))
     terms = rows.withColumn("_l", F.log(tail) - F.col("_c")).withColumn("_n", F.row_number().over(w.orderBy(finish)))
     if top:
         terms = terms.filter(F.col("_n") <= top)
-    return terms.groupBy(*key).agg(F.avg("_l").alias("nll"))
+    return terms.groupBy(*key).agg((F.sum("_l") if total else F.avg("_l")).alias("nll"))
 
 
 def rank_metrics(df: DataFrame, key: list[str], score: str, position: str, tie: str, k: int = 5) -> DataFrame:

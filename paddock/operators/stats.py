@@ -69,8 +69,67 @@ def best_n_mean(df: DataFrame, key: list[str], x: str, order: list[Column], n: i
     return ranked.filter(F.col("_n") <= n).groupBy(*key).agg(F.avg(x).alias("best_mean"))
 
 
+def with_stats(df: DataFrame, key: list[str], stats: dict[str, Column]) -> DataFrame:
+    """df with aggregates of its key. They are aggregated and joined back, so rows of a key needn't fit one task, as in a window they must."""
+    per = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in key]).agg(*[c.alias(n) for n, c in stats.items()])
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key]
+    return df.join(per, on, "left").drop(*[f"_k_{k}" for k in key])
+
+
 def detrend(df: DataFrame, key: list[str], x: str, out: str) -> DataFrame:
-    return df.withColumn(out, F.col(x) - percentile(x, 0.5).over(Window.partitionBy(*key)))
+    """df with x less the key's median. Percentiles are merged counts of distinct values, pre-aggregated by partition."""
+    return with_stats(df, key, {"_m": percentile(x, 0.5)}).withColumn(out, F.col(x) - F.col("_m")).drop("_m")
+
+
+def exact_quantiles(df: DataFrame, x: str, ps: list[float], bins: int = 4096) -> list[float | None]:
+    """Exact quantiles of a whole column (linear interpolation) for any number of rows, in bounded memory: each pass counts the
+    values between equidistant edges of the open intervals, and keeps the interval that holds the wanted rank, until it holds one
+    value or few rows. At most ``bins`` counts an interval come back."""
+    v = F.col(x).cast("double")
+    rows = df.select(v.alias("v")).filter(v.isNotNull() & ~F.isnan(v))
+    whole = rows.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    if not whole.n:
+        return [None] * len(ps)
+    ranks = sorted({int(f(p * (whole.n - 1))) for p in ps for f in (math.floor, math.ceil)})
+    found: dict[int, float] = {0: whole.lo, whole.n - 1: whole.hi}
+    # rank -> the interval lo <= v <= hi that holds it, and the rows before it
+    open_ = {k: (whole.lo, whole.hi, 0) for k in ranks if k not in found}
+    while open_:
+        spans = sorted(set(open_.values()))
+        edge = lambda s: (s[1] - s[0]) / bins
+        cell = [F.when((F.col("v") >= s[0]) & (F.col("v") <= s[1]), F.struct(F.lit(i).alias("span"), (F.least(F.floor((F.col("v") - s[0]) / edge(s)), F.lit(bins - 1)).cast("int") if edge(s) > 0 else F.lit(0)).alias("bin"))) for i, s in enumerate(spans)]
+        counted = rows.select("v", F.explode(F.array_compact(F.array(*cell))).alias("c")).groupBy("c.span", "c.bin").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        by_span: dict[int, list] = {}
+        for r in sorted(counted, key=lambda r: (r.span, r.bin)):
+            by_span.setdefault(r.span, []).append(r)
+        left = {}
+        for k, s in open_.items():
+            before = s[2]
+            for r in by_span[spans.index(s)]:
+                if k < before + r.n:
+                    if r.lo == r.hi:
+                        found[k] = r.lo
+                    elif k == before:
+                        found[k] = r.lo
+                    elif k == before + r.n - 1:
+                        found[k] = r.hi
+                    else:
+                        left[k] = (r.lo, r.hi, before)
+                    break
+                before += r.n
+        open_ = left
+    out = []
+    for p in ps:
+        at = p * (whole.n - 1)
+        a, b = found[math.floor(at)], found[math.ceil(at)]
+        out.append(a + (b - a) * (at - math.floor(at)))
+    return out
+
+
+def with_zscore(df: DataFrame, key: list[str], x: str, out: str, sample: bool = True, sign: int = 1) -> DataFrame:
+    """df with (x - mean) / sd of the key; 0 where the sd is 0 or not defined."""
+    rows = with_stats(df, key, {"_m": F.avg(x), "_sd": F.stddev_samp(x) if sample else F.stddev_pop(x)})
+    return rows.withColumn(out, F.when(F.col(x).isNotNull(), F.when(F.col("_sd") > 0, sign * (F.col(x) - F.col("_m")) / F.col("_sd")).otherwise(0.0))).drop("_m", "_sd")
 
 
 def zscore(x: str, key: list[str], sample: bool = True, sign: int = 1) -> Column:

@@ -68,6 +68,23 @@ def band_best(key: list[str], x: str, position: str, half_width: int) -> Column:
     return F.min(x).over(Window.partitionBy(*key).orderBy(position).rangeBetween(-half_width, half_width))
 
 
+def distinct_over(x: str, key: list[str]) -> Column:
+    """How many distinct values the row's key has, for each row."""
+    return F.size(F.collect_set(x).over(Window.partitionBy(*key)))
+
+
+def distinct_in_order(df: DataFrame, key: list[str], x: str, order: list[str]) -> DataFrame:
+    """Per key the distinct values, without blanks around them, in the order in which each came first; empty ones don't count."""
+    value = F.trim(F.col(x).cast("string"))
+    firsts = df.withColumn("_v", value).filter((F.col("_v") != "") & (F.lower("_v") != "nan")).groupBy(*key, "_v").agg(F.min(F.struct(*order)).alias("_f"))
+    return firsts.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_f", "_v"))).alias("_s")).select(*key, F.col("_s._v").alias("values"))
+
+
+def run_id(stint: Column, leaves_pit: Column, key: list[str], order: list[str]) -> Column:
+    """The stint, else how many times the key has left the pits so far."""
+    return F.coalesce(stint, F.sum(leaves_pit.cast("int")).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def every_kth(df: DataFrame, key: list[str], order: list[str], stride: int) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter((F.col("_n") - 1) % stride == 0).drop("_n")
 

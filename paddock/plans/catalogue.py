@@ -135,7 +135,7 @@ def zscore_sample(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {LAPS}, a AS (SELECT *, avg(x) OVER w AS m, stddev_pop(x) OVER w AS s FROM laps WINDOW w AS (PARTITION BY code, day)) SELECT event_id, round(CASE WHEN s > 0 THEN -(x - m) / s ELSE 0 END, 6) AS z FROM a""")
 def zscore_pop_inv(spark: SparkSession, d: str) -> DataFrame:
-    return tidy(laps(spark, d).select("event_id", stats.zscore("x", ["code", "day"], sample=False, sign=-1).alias("z")))
+    return tidy(stats.with_zscore(laps(spark, d), ["code", "day"], "x", "z", sample=False, sign=-1).select("event_id", "z"))
 
 
 @query(f"""WITH {LAPS}, a AS (SELECT *, row_number() OVER (PARTITION BY driver ORDER BY us, event_id)::DOUBLE AS i FROM laps) SELECT driver, round(coalesce(CASE WHEN count(x) >= 2 THEN regr_slope(x, i) END, 0), 6) AS slope FROM a GROUP BY 1""")
@@ -672,22 +672,3 @@ def leakage_scan(spark: SparkSession, d: str) -> DataFrame:
 def session_weather_summary(spark: SparkSession, d: str) -> DataFrame:
     per = laps(spark, d).filter(F.col("code").isin("view", "click")).groupBy("day", "code").agg(stats.percentile("x", 0.5).alias("median"), F.count("*").alias("n"))
     return tidy(lookback.last_rows(per, ["day"], [(F.col("code") != "view").cast("int")], 1))
-
-
-@query()
-def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
-    """The drop of each race's rank correlation when a feature is shuffled within the race."""
-    base = results(spark, d).select("y", "r", "k", "pos", F.col("points").alias("a"), F.col("grid").cast("double").alias("b"))
-    whole = audit.spearman(base.withColumn("s", F.col("a") + F.col("b")), ["y", "r"], ["s"], "pos").select("y", "r", F.col("rho").alias("full"))
-    drops = None
-    for c in ("a", "b"):
-        part = audit.spearman(audit.permuted(base, ["y", "r"], c, "k").withColumn("s", F.col("a") + F.col("b")), ["y", "r"], ["s"], "pos").join(whole, ["y", "r"]).groupBy().agg(F.avg(F.abs("full") - F.abs("rho")).alias("drop")).withColumn("feature", F.lit(c))
-        drops = part if drops is None else drops.unionByName(part)
-    return tidy(drops)
-
-
-@query()
-def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
-    """Part names with a letter missing against the whole names."""
-    part = table(spark, d, "part").select(F.col("p_name").alias("name"))
-    return tidy(joins.fuzzy_match(part.select(F.concat(F.substring("name", 1, 4), F.expr("substring(name, 6)")).alias("name")), part, "name"))

@@ -177,11 +177,18 @@ def track_profile(ctx: Context) -> DataFrame:
 
 @feature
 def driver_track_cluster_pre(ctx: Context) -> DataFrame:
-    """The last eight races of the track's cluster, shrunk towards the field of drivers."""
+    """The last eight races of the track's cluster, shrunk towards the field of drivers.
+
+    Cut-offs of a cluster are numbered in time. A race is among a driver's last eight for the cut-offs behind it, up to the one
+    before the eighth race after it; so it is copied to these only, not to all later ones."""
     clusters = track_keys(ctx).select(*RACE, tracks.cluster_of(F.col("track")).alias("cluster"))
-    now = clusters.withColumnsRenamed({"year": "cut_y", "round": "cut_r", "cluster": "wanted"})
-    seen = ctx.past(race_results(ctx).join(lookback.few(clusters), RACE), 2_000).join(lookback.few(now), CUT).filter("cluster = wanted")
-    last = lookback.last_rows(seen, [*CUT, "driver"], [F.asc("age")], 8)
+    cuts = ctx.cutoffs.select(*RACE).distinct().join(lookback.few(clusters), RACE).withColumn("no", F.row_number().over(Window.partitionBy("cluster").orderBy(*RACE)))
+    upto = F.coalesce(F.max("no").over(Window.partitionBy("cluster").orderBy(*RACE)), F.lit(0))
+    marks = clusters.join(lookback.few(cuts.select(*RACE, "no")), RACE, "left").withColumn("upto", upto).withColumn("all", F.coalesce(F.max("no").over(Window.partitionBy("cluster")), F.lit(0)))
+    races = race_results(ctx).join(lookback.few(marks.drop("no")), RACE)
+    until = F.coalesce(F.lead("upto", 8).over(Window.partitionBy("driver", "cluster").orderBy(*RACE)), F.col("all"))
+    copied = races.withColumn("until", until).filter("until > upto").withColumn("no", F.explode(F.sequence(F.col("upto") + 1, F.col("until")))).drop(*RACE)
+    last = copied.join(lookback.few(cuts.select(F.col("year").alias("cut_y"), F.col("round").alias("cut_r"), "cluster", "no")), ["cluster", "no"])
     retired = F.coalesce(text.any_word(F.col("status"), text.DNF_WORDS), F.lit(False))
     own = last.groupBy(*CUT, "driver").agg(F.count("position").alias("n"), percentile("position", 0.5).alias("finish_p50"), F.avg(F.coalesce("points", F.lit(0.0))).alias("points_mean"), rate(F.col("position").between(1, 10), F.col("position")).alias("top10_rate"), percentile("grid", 0.5).alias("grid_p50"), rate(retired).alias("retire_rate"))
     w = Window.partitionBy(*CUT)

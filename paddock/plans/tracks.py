@@ -1,6 +1,7 @@
 """Tracks: aliases, clusters, profiles and indices.
 
-Profiles of single tracks are a table that the caller brings (slug and any of PROFILE's columns); what it lacks takes the default.
+Profiles of single tracks are a table that the caller brings (slug and any of PROFILE's columns); a column that it lacks takes the default,
+and so does a track. Pit loss and fuel effect of a track in the table follow from its other columns unless it has them.
 """
 
 from __future__ import annotations
@@ -8,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lookback import few
 from ..operators.stats import clip
 
 # Other names of tracks, the clusters of some, the default profile, and the bounds of the scaled columns.
@@ -39,13 +41,15 @@ def profiles(rounds: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """year, round, slug with the profile of the track and the indices derived from it."""
     out = rounds.withColumn("slug", F.coalesce("slug", F.lit("")))
     extra = [c for c in (known.columns if known is not None else []) if c in PROFILE or c in ("pit_loss_s", "fuel_effect_s_per10kg")]
+    matched = F.lit(False)
     if known is not None:
-        out = out.join(F.broadcast(known.select("slug", *extra)), "slug", "left")
+        out = out.join(few(known.select("slug", *extra, F.lit(True).alias("_known"))), "slug", "left")
+        matched = F.col("_known").isNotNull()
     value = {c: (F.coalesce(c, F.lit(v)) if c in extra else F.lit(v)).cast("double") for c, v in PROFILE.items()}
     cluster = cluster_of(F.col("slug"))
     scaled = {n: clip((value[c] - lo) / (hi - lo), 0, 1) for n, (c, lo, hi) in BOUNDS.items()}
-    loss = F.coalesce(*([F.col("pit_loss_s")] if "pit_loss_s" in extra else []), (17.0 + 0.6 * value["lap_km"] + 0.8 * value["drs_zones"]) if known is not None else F.lit(19.0))
-    fuel = F.coalesce(*([F.col("fuel_effect_s_per10kg")] if "fuel_effect_s_per10kg" in extra else []), (0.036 * value["lap_km"] + 0.005) if known is not None else F.lit(0.21))
+    loss = F.coalesce(*([F.col("pit_loss_s")] if "pit_loss_s" in extra else []), F.when(matched, 17.0 + 0.6 * value["lap_km"] + 0.8 * value["drs_zones"]).otherwise(19.0))
+    fuel = F.coalesce(*([F.col("fuel_effect_s_per10kg")] if "fuel_effect_s_per10kg" in extra else []), F.when(matched, 0.036 * value["lap_km"] + 0.005).otherwise(0.21))
     return out.select(
         "year", "round", F.col("slug").alias("track_slug"), *[v.alias(f"track_{c}") for c, v in value.items()], cluster.alias("track_cluster"), mapped(cluster, CLUSTER_IDS, F.lit(1)).alias("track_cluster_id"),
         *[(cluster == c).cast("int").alias(f"track_cluster_{c}") for c in CLUSTER_IDS], clip(scaled["straight"] - 0.7 * scaled["aero_df"], -1, 1).alias("track_power_vs_df_index"),

@@ -134,6 +134,24 @@ def importance(rows: DataFrame, model: RankModel, key: list[str], entity: str) -
     return changed.join(base, [*key, entity]).select(*key, entity, "feature", (F.col("_base") - F.col("_now")).alias("drop"))
 
 
+def explained(rows: DataFrame, model: RankModel, key: list[str], entity: str) -> DataFrame:
+    """key, entity, feature, abs_z (the size of the scaled value) and grad_input (the rank score's gradient times the value)."""
+    w = model.weights
+    on = {f"_o{i}": (_weighted([F.col(c) for c in model.features], w["w"][:, i], w["b"][i]) > 0).cast("double") for i in range(w["b"].size)}
+    grad = {c: _weighted([F.col(o) for o in on], w["w"][j] * w["rank"]) for j, c in enumerate(model.features)}
+    one = F.array(*[F.struct(F.lit(c).alias("feature"), F.abs(c).alias("abs_z"), (g * F.col(c)).alias("grad_input")) for c, g in grad.items()])
+    return rows.withColumns(on).select(*key, entity, F.explode(one).alias("e")).select(*key, entity, "e.*")
+
+
+def simulate_seasons(features: DataFrame, model: RankModel, season: str, race: str, entity: str, temperature: float = 1.2) -> DataFrame:
+    """Every season's standings over its races, from features that were built for each race as of its cut-off: all races are scored
+    at once. season, entity, points, wins, podiums, races, rank. Scores are compared by nine digits, then by name."""
+    scored = score(features, model, [season, race], temperature).withColumn("score", F.round("score", 9))
+    ranked = scored.withColumn("rank", scoring.sequential_rank("score", [season, race], entity))
+    place = F.when(F.col("predicted_outcome") == "finish", F.col("rank")).otherwise(F.lit(99))
+    return scoring.standings(ranked.withColumn("rank", place), entity, "rank", [race], [season])
+
+
 def simulate(scored: DataFrame, key: list[str], entity: str) -> DataFrame:
     """The standings of a season: each race's ranks by score, points by rank; races whose entity is not predicted to finish bring none."""
     ranked = scored.withColumn("rank", scoring.sequential_rank("score", key, entity))

@@ -6,6 +6,7 @@ all files of one call by one header; each group is read with its own names and t
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,6 +29,45 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     return with_name_key(files, F.col("path")).withColumn("table", F.regexp_extract("path", r"([a-z_]+?)_\d{4}_\d{1,2}[^/]*$", 1)).filter("year is not null")
 
 
+def last_pair(name: Column) -> tuple[Column, Column]:
+    """Year and round of the last ``YEAR_ROUND`` in a name; null if there is none."""
+    pair = F.get(F.reverse(F.regexp_extract_all(name, F.lit(r"(?:19|20)\d{2}_\d{1,2}"), 0)), 0)
+    return tuple(F.get(F.split(pair, "_"), i).cast("int") for i in (0, 1))
+
+
+def available_rounds(files: DataFrame, tables: list[str]) -> DataFrame:
+    return files.filter(F.col("table").isin(tables)).select("year", "round").distinct()
+
+
+def discover_rounds(files: DataFrame, races: DataFrame | None = None, allow: list[str] | None = None, tables: list[str] = ("laps", "results", "qualifying")) -> DataFrame:
+    """year, round of the files of these tables, else of the table of races; only those whose tag ``YEAR_ROUND`` is allowed."""
+    allowed = lambda df: df.filter(F.concat_ws("_", "year", "round").isin(allow)) if allow else df
+    found = allowed(available_rounds(files, list(tables)))
+    if races is None:
+        return found
+    some = F.broadcast(found.select(F.lit(1).alias("_some")).limit(1))
+    return found.unionByName(allowed(races.select("year", "round").distinct()).join(some, F.lit(True), "left_anti"))
+
+
+def saved_rounds(spark: SparkSession, folder: str, prefix: str, skip: list[str] = ()) -> DataFrame:
+    """The tables ``PREFIX_YEAR_ROUND.parquet`` or ``.csv`` of a folder as one, with year and round of their names; of two files of
+    a round the Parquet one counts, rounds whose tag is in ``skip`` don't. Names are listed, contents read by Spark."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [s.getPath().getName() for s in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)]
+    chosen: dict[str, str] = {}
+    for name in sorted(names, key=lambda n: not n.endswith(".parquet")):
+        if m := re.fullmatch(rf"{re.escape(prefix)}_(\d{{4}}_\d{{1,2}})\.(parquet|csv)", name):
+            chosen.setdefault(m[1], name)
+    frames = []
+    for kind in ("parquet", "csv"):
+        paths = [f"{folder}/{n}" for tag, n in sorted(chosen.items()) if n.endswith(kind) and tag not in skip]
+        if paths:
+            rows = spark.read.option("mergeSchema", True).parquet(*paths) if kind == "parquet" else spark.read.option("header", True).option("inferSchema", True).csv(paths)
+            file = F.regexp_extract(F.col("_metadata.file_path"), rf"{re.escape(prefix)}_(\d{{4}})_(\d{{1,2}})\.", 1), F.regexp_extract(F.col("_metadata.file_path"), rf"{re.escape(prefix)}_(\d{{4}})_(\d{{1,2}})\.", 2)
+            frames.append(rows.withColumns({"year": file[0].cast("int"), "round": file[1].cast("int")}))
+    return united(frames) if frames else spark.createDataFrame([], "year int, round int")
+
+
 def read_events(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """All files of a table with their key columns; an absent table is an empty frame. Values stay text."""
     lines = spark.read.option("pathGlobFilter", f"{table}_[0-9]*.csv").text(folder).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
@@ -77,6 +117,9 @@ def missing_rounds(schedule: DataFrame, present: DataFrame, sessions: list[str],
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share; a folder of its own only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="paddock-")
+    """A fresh path in the folder that all executors share; a folder of its own only where none is set, in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="paddock-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -19,6 +19,14 @@ def windowed(events: DataFrame, t: str, key: list[str], x: str, length: str = "1
     return events.withWatermark(t, late).groupBy(F.window(t, length), *key).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.max(x).alias("most")).select(F.col("window.start").alias("t0"), F.col("window.end").alias("t1"), *key, "n", "mean", "most")
 
 
+def per_lap(samples: DataFrame, t: str, key: list[str], speed: str, throttle: str, brake: str, late: str = "10 minutes") -> DataFrame:
+    """Per key (a driver's lap): samples, mean and greatest speed, shares of full throttle and of braking. In append mode a lap comes
+    out once the watermark has passed the window of a day that holds it."""
+    on = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("int"))
+    agg = samples.withWatermark(t, late).groupBy(F.window(t, "1 day"), *key).agg(F.count("*").alias("samples"), F.avg(speed).alias("speed_mean"), F.max(speed).alias("speed_max"), on(F.col(throttle) >= 95).alias("full_throttle_share"), on(F.col(brake) >= 0.5).alias("brake_share"))
+    return agg.drop("window")
+
+
 def before_cutoff(events: DataFrame, cutoffs: DataFrame, key: list[str], t: str, cut: str = "cutoff") -> DataFrame:
     """Stream rows strictly before their key's cut-off (a static table)."""
     return events.join(cutoffs, key).filter(F.col(t) < F.col(cut))
