@@ -6,6 +6,7 @@ quoted passage links to the latest earlier message of its conversation that hold
 the same hash. The message that most characters of the level 1 quotes link to is the parent (of equals the latest).
 Messages without a linked quote begin threads. Cleaned texts have neither quotes nor the attribution line before one.
 
+Lines may hold any number of levels. Equal messages of one turn each get their row; an empty table gives an empty result.
 Order: conversation, thread (turn of its first message), turn; a parent always stands before its replies. Null texts
 give null; rows with the same conversation and turn are told apart and reply to none of each other; null conversations or turns
 link to nothing. Extra columns stay.
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-_PREFIX = r"^((?:[ \t]{0,3}>)+)[ \t]?"
+#: Possessive, so that lines of any number of levels are matched without a stack.
+_PREFIX = r"^((?:[ \t]{0,3}>)++)[ \t]?"
+_ENDS = r"^\s++|(?<!\s)\s++$"
 _ATTRIBUTION = r"(?i)^.{0,200}\b(wrote|writes|said|schrieb|a écrit|escribió)[ \t]*:[ \t]*$"
 #: Earlier own passages of one hash are looked up in blocks of so many turns, so that a frequent one is split.
 BLOCK_TURNS = 4096
@@ -43,7 +46,7 @@ def cleaned(text: Column) -> Column:
 
         return F.filter(lines, keeps)
 
-    return F.when(text.contains(">"), F.regexp_replace(F.array_join(F.transform(F.array(lines), own)[0], "\n"), r"^\s+|\s+$", "")).otherwise(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    return F.when(text.contains(">"), F.regexp_replace(F.array_join(F.transform(F.array(lines), own)[0], "\n"), _ENDS, "")).otherwise(F.regexp_replace(text, _ENDS, ""))
 
 
 def passages(messages: DataFrame) -> DataFrame:
