@@ -5,7 +5,9 @@ key, within the set of the valid values of its format: an alternating Feistel ne
 function is a keyed SHA-256. So equal values get equal pseudonyms in all documents, different values get different ones,
 and separators, lengths and check digits stay right. Values that are not valid stay as they are.
 
-Null texts stay null, texts without values stay the same. Everything is a column expression.
+Null texts stay null, texts without values stay the same. Rows are rewritten one by one, so repeated rows get the same texts,
+empty tables stay empty, and extra columns stay (one called pii_found is replaced). At one place the first pattern of the list
+wins. Everything is a column expression.
 """
 
 from __future__ import annotations
@@ -15,11 +17,14 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-KEY, ROUNDS = "pseudonym-key-1", 10
+#: The secret is the session's setting KEY_SETTING; the queries over synthetic tables use TEST_KEY where it is unset.
+KEY_SETTING, TEST_KEY, ROUNDS = "spark.paddock.pii.key", "pseudonym-key-1", 10
 _B, _E = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
+#: A label of a host. Its loops are possessive, as those over labels: nothing shorter could match, and no stack grows with the host.
+_LABEL = r"[A-Za-z0-9]++(?:-++[A-Za-z0-9]++)*+"
 #: In this order a position is tried.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
+    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{{0,63}}@{_LABEL}(?:\.{_LABEL})++",
     "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}" + _E + "|" + r"(?<![0-9A-Za-z(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}" + _E,
     "card": _B + r"(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}|[0-9]{13,19})" + _E,
     "ssn": _B + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + r"(?![-0-9A-Za-z])",
@@ -171,7 +176,7 @@ def _email(value: Column, key: str) -> Column:
     return F.transform(F.array(out), lambda o: F.concat(o["l"], o["r"], F.lit("@"), host))[0]
 
 
-def pseudonym(value: Column, key: str = KEY) -> Column:
+def pseudonym(value: Column, key: str) -> Column:
     """struct (kind, new) of a found value; kind and new are null if it isn't valid."""
     makers = {"email": _email, "phone": _phone, "card": _card, "ssn": _ssn, "date": _date, "ip": _ip}
     kind = F.coalesce(*[F.when(value.rlike(f"^(?:{PATTERNS[k]})$"), F.lit(k)) for k in PATTERNS])
@@ -181,7 +186,7 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
     return F.transform(F.array(with_new), lambda t: F.struct(F.when(t["new"].isNotNull(), t["kind"]).alias("kind"), t["old"].alias("old"), F.coalesce(t["new"], t["old"]).alias("new")))[0]
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """docs with the text rewritten, and pii_found: array of struct (kind, old, new); kind is null for what was left."""
     found = F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
     seen = docs.drop("pii_found").withColumn("pii_found", F.when(F.col("text").isNotNull(), F.transform(found, lambda v: pseudonym(v, key))))
@@ -190,7 +195,7 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     return seen.withColumn("text", F.when(F.size("pii_found") > 0, whole).otherwise(F.col("text")))
 
 
-def rewrite(docs: DataFrame, key: str = KEY) -> DataFrame:
+def rewrite(docs: DataFrame, key: str) -> DataFrame:
     """docs with pseudonyms in the text, the same columns; n_chars follows the text."""
     out = pseudonymised(docs, key)
     if "n_chars" in docs.columns:
@@ -198,8 +203,12 @@ def rewrite(docs: DataFrame, key: str = KEY) -> DataFrame:
     return out.select(*docs.columns)
 
 
+def key_of(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, TEST_KEY)
+
+
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the rewritten text and how many values of each kind were replaced."""
-    out = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark))
     count = lambda k: F.coalesce(F.size(F.filter("pii_found", lambda p: p["kind"] == k)), F.lit(0)).cast("long").alias(f"n_{k}")
     return out.select("doc_id", "text", *[count(k) for k in PATTERNS])
