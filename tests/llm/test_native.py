@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paddock.llm import decontaminate, histogram_sort, pii, quotes
+from paddock.llm.pii import TEST_KEY as KEY
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -72,6 +73,14 @@ def test_a_frequent_line_links_to_the_latest_before(spark):
     assert all(out[5000 * t].parent_turn == 5000 * (t - 1) for t in range(1, 10, 2))
 
 
+def test_lines_of_very_many_levels(spark):
+    deep, blank = ">" * 1_000_000, "a" + " " * 300_000 + "b"
+    rows = [(1, 0, "u", "hello"), (1, 1, "u", deep + " hello\nown"), (1, 2, "u", "> hello\nyes\n" + "> " * 200_000 + "x"), (1, 3, "u", blank + " > \n")]
+    out = {r.turn: r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [out[t].text for t in range(4)] == ["hello", "own", "yes", blank + " >"]
+    assert out[1].n_quotes == 1 and out[1].n_linked == 1 and out[1].parent_turn is None and out[2].parent_turn == 0
+
+
 # --- histogram sort
 
 
@@ -104,6 +113,26 @@ def test_a_hot_key_is_cut(spark):
     assert histogram_sort.histogram_sort(df.limit(0)).count() == 0
 
 
+def test_all_64_bit_ids_and_tiny_parts(spark):
+    """The slots are those of one sorted list, for any number of parts; the plan is the same but for its literals."""
+    rng = random.Random(5)
+    ids = [None, None, -(2**63), -(2**63) + 1, 2**63 - 1, 2**63 - 2, *[rng.randrange(-(2**63), 2**63) for _ in range(300)], *range(50), *[7] * 40]
+    texts = {i: "x" * rng.randrange(200) for i in ids}
+    rng.shuffle(ids)
+    df = spark.createDataFrame([(i, texts[i]) for i in ids], "doc_id long, text string").repartition(3)
+    order = sorted(ids, key=lambda i: -(2**64) if i is None else i)
+    want, seen = [], {}
+    for i, s in zip(order, brute_shards([len(texts[i]) + 1 for i in order], 16)):
+        want.append((i, s, seen.setdefault(s, 0)))
+        seen[s] += 1
+    plans = []
+    for part_bytes in (1 << 30, 40):
+        out = histogram_sort.histogram_sort(df, part_bytes=part_bytes)
+        assert sorted(((r.doc_id, r.shard, r.slot) for r in out.collect()), key=str) == sorted(want, key=str)
+        plans.append(len(out._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+    assert plans[0] == plans[1]
+
+
 def test_a_tolerance_ends_earlier_within_it(spark):
     df = docs(spark, ["x" * 99] * 1000)
     got = histogram_sort.histogram_sort(df, shards=4, tolerance=2000).collect()
@@ -124,7 +153,7 @@ TEXTS = [
 
 
 def test_pseudonyms_keep_the_format_and_link(spark):
-    out = {r.doc_id: r for r in pii.pseudonymised(docs(spark, TEXTS, ", pii_found string")).collect()}
+    out = {r.doc_id: r for r in pii.pseudonymised(docs(spark, TEXTS, ", pii_found string"), KEY).collect()}
     values = {p.old: p for r in out.values() for p in r.pii_found or []}
     for old, kind in {"+1 (988) 555-2485": "phone", "4041894974608795": "card", "70.123.182.155": "ip", "123-45-6789": "ssn", "2024-02-29": "date", "31.12.1999": "date", "12/31/2020": "date", "Bob.Smith42@mail8.example.com": "email"}.items():
         p = values[old]
@@ -137,14 +166,14 @@ def test_pseudonyms_keep_the_format_and_link(spark):
     assert values["+1 (988) 555-2485"].new in out[0].text and values["+1 (988) 555-2485"].new in out[8].text
     assert out[5].text is None and out[6].text == "" and out[7].text == "no values here" and len(out[10].text) == 200_017
     assert "1.2.3.4.5" in out[1].text and out[9].text.count(" ") == 1
-    assert pii.rewrite(docs(spark, TEXTS)).columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
-    assert pii.pseudonymised(docs(spark, [])).count() == 0
+    assert pii.rewrite(docs(spark, TEXTS), KEY).columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
+    assert pii.pseudonymised(docs(spark, []), KEY).count() == 0
 
 
 def test_timestamps_all_years_and_split_cards(spark):
     texts = ["at 2024-05-06T10:00:00Z and 2024-05-06 10:00, 2024-05-06Txx", "card 3782-822463-10005, 3782 822463 10005, 378282246310005, bad 3782 822463 10006, mixed 3782 822463-10005, 3056 930902 5904"]
     edges = ["0001-01-01", "1799-12-31", "1800-01-01", "2199-12-31", "2200-01-01", "9999-12-31", "0000-01-01", "1900-02-29"]
-    out = {r.doc_id: r for r in pii.pseudonymised(docs(spark, [*texts, " ".join(edges)])).collect()}
+    out = {r.doc_id: r for r in pii.pseudonymised(docs(spark, [*texts, " ".join(edges)]), KEY).collect()}
     day = {p.old: p.new for p in out[0].pii_found}["2024-05-06"]
     assert day != "2024-05-06" and out[0].text == f"at {day}T10:00:00Z and {day} 10:00, 2024-05-06Txx"
     new = {p.old: p.new for p in out[1].pii_found if p.kind == "card"}
@@ -161,7 +190,7 @@ def test_days_of_other_years_are_permuted_one_to_one(spark):
     first, last = (dt.date(1800, 1, 1) - dt.date(1, 1, 1)).days, (dt.date(9999, 12, 31) - dt.date(1, 1, 1)).days
     assert first == pii.DAYS_BEFORE and n == last + 1 - pii.DATE_RADICES[0] * pii.DATE_RADICES[1]
     days = spark.range(4000).select(F.date_format(F.expr("date_add(date'1795-01-01', cast(id as int))"), "yyyy-MM-dd").alias("d"))
-    rows = days.select("d", pii.pseudonym(F.col("d")).new.alias("new")).collect()
+    rows = days.select("d", pii.pseudonym(F.col("d"), KEY).new.alias("new")).collect()
     assert len({r.new for r in rows}) == 4000 and all(("1800" <= r.d < "2200") == ("1800" <= r.new < "2200") and dt.date.fromisoformat(r.new) for r in rows)
 
 
@@ -184,8 +213,8 @@ def feistel_by_hand(left, right, n_left, n_right, key, kind):
 
 
 def test_the_network_equals_plain_python(spark):
-    got = spark.range(1).select(pii.feistel(F.lit(5), F.lit(77), F.lit(1000), F.lit(10**8), pii.KEY, "card").alias("o")).first().o
-    assert (got.l, got.r) == feistel_by_hand(5, 77, 1000, 10**8, pii.KEY, "card")
+    got = spark.range(1).select(pii.feistel(F.lit(5), F.lit(77), F.lit(1000), F.lit(10**8), KEY, "card").alias("o")).first().o
+    assert (got.l, got.r) == feistel_by_hand(5, 77, 1000, 10**8, KEY, "card")
 
 
 # --- decontamination

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from paddock.llm import decontaminate, pii, simhash, toxicity
+from paddock.llm.pii import TEST_KEY as KEY
 
 
 def test_stages(spark):
@@ -26,7 +27,7 @@ def test_stages(spark):
         if name == "pii_pseudonyms":
             assert kept.count() == before.count()
             changed = kept.join(before.withColumnRenamed("text", "old"), "doc_id").filter("text <> old")
-            assert not changed.isEmpty() and pii.pseudonymised(before).filter("exists(pii_found, p -> p.kind is not null)").count() == changed.count()
+            assert not changed.isEmpty() and pii.pseudonymised(before, KEY).filter("exists(pii_found, p -> p.kind is not null)").count() == changed.count()
     assert kept.filter("not round_trip").isEmpty() and kept.filter("n_tokens != size(ids)").isEmpty()
 
 
