@@ -95,9 +95,9 @@ def overridden_columns(spark: SparkSession, d: str) -> DataFrame:
     return tidy(columns.override(rows, {"c_acctbal": 1.5, "absent": 2}, moved, ["c_custkey"]))
 
 
-@query("""SELECT n_name, n_nationkey::BIGINT AS n_nationkey FROM nation WHERE n_name IN ('JAPAN', 'BRAZIL', 'PERU')""")
+@query("""SELECT n_name, n_nationkey::BIGINT AS n_nationkey FROM nation WHERE n_name IN ('NATION_7', 'NATION_2', 'NATION_11')""")
 def listed_rows(spark: SparkSession, d: str) -> DataFrame:
-    return tidy(columns.in_list_order(table(spark, d, "nation").select("n_name", "n_nationkey"), "n_name", ["PERU", "JAPAN", "NOWHERE", "BRAZIL"]))
+    return tidy(columns.in_list_order(table(spark, d, "nation").select("n_name", "n_nationkey"), "n_name", ["NATION_11", "NATION_7", "NOWHERE", "NATION_2"]))
 
 
 def _names(spark: SparkSession, names: list[str]) -> DataFrame:
