@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import pieces, table, written
 
 BLOCK, RATE, UNIT, ORDERS, LPC_ORDER, LPC_BITS, LPC_SHIFT = 4096, 8000, 64, 2, 4, 12, 9
 PIECE = 1 << 20  # bytes that are worked on at once
@@ -437,32 +437,55 @@ def store(docs: DataFrame) -> DataFrame:
     return plain.mapInArrow(run, f"{fields}, media binary")
 
 
-def pcm_blocks(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, block, sample_offset, n_samples, pcm: the decoded samples of a media column in seekable blocks."""
+def decoded(rows: DataFrame) -> DataFrame:
+    """rows with, instead of media, its size and SHA-256 and blocks: array of struct (sample_offset, n_samples, pcm), the decoded samples
+    in seekable blocks. All checksums are verified; a damaged stream raises ValueError. A null media gives nulls."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "media", PIECE):
-            some = [(k, m) for k, m in zip(batch.column(key).to_pylist(), batch.column("media").to_pylist()) if m is not None]
-            for (k, _), (pcm, blocks) in zip(some, decode_all([m for _, m in some])):
-                data = [pcm[:, a : a + n].T.astype("<i1").tobytes() for a, n in blocks]
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(blocks), pa.int64()), pa.array(range(len(blocks)), pa.int64()), pa.array([a for a, _ in blocks], pa.int64()), pa.array([n for _, n in blocks], pa.int64()), pa.array(data, pa.binary())], [key, "block", "sample_offset", "n_samples", "pcm"])
+            streams = batch.column(media_at).to_pylist()
+            back = iter(decode_all([m for m in streams if m is not None]))
+            lists = [None if m is None else next(back) for m in streams]
+            flat = [(a, n, pcm[:, a : a + n].T.astype("<i1").tobytes()) for pcm, blocks in filter(None, lists) for a, n in blocks]
+            at, some = [0], []
+            for one in lists:
+                at.append(at[-1] + (len(one[1]) if one else 0))
+                some.append(one is not None)
+            structs = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int64()), pa.array([x[2] for x in flat], pa.binary())], ["sample_offset", "n_samples", "pcm"])
+            offsets = pa.array([at[i] if i == len(some) or some[i] else None for i in range(len(at))], pa.int32())
+            made = [pa.array([None if m is None else len(m) for m in streams], pa.int64()), pa.array([None if m is None else hashlib.sha256(m).hexdigest() for m in streams], pa.string()), pa.ListArray.from_arrays(offsets, structs)]
+            names = ["media_bytes", "media_sha256", "blocks"]
+            kept = [i for i in range(batch.num_columns) if i != media_at]
+            fields = [batch.schema.field(i) for i in kept] + [pa.field(n, c.type) for n, c in zip(names, made)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *made], schema=pa.schema(fields))
+
+    plain = rows.drop("media_bytes", "media_sha256", "blocks")
+    media_at = plain.columns.index("media")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if f.name != "media")
+    return plain.mapInArrow(run, f"{fields}, media_bytes long, media_sha256 string, blocks array<struct<sample_offset: long, n_samples: long, pcm: binary>>")
+
 
-    return rows.select(F.col(key).cast("long").alias(key), "media").mapInArrow(run, f"`{key}` long, block long, sample_offset long, n_samples long, pcm binary")
+def pcm_blocks(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, block, sample_offset, n_samples, pcm: the decoded samples of a media column, a row for each seekable block."""
+    return decoded(rows.select(key, "media")).select(key, F.posexplode("blocks").alias("block", "b")).select(key, F.col("block").cast("long").alias("block"), "b.*")
 
 
 def features(rows: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and digests of the samples that are read back from media, and their feature: peak, energy, sign changes."""
+    """doc_id, n_bytes, the media's digests, and digests and a feature of the samples in blocks: peak, energy, sign changes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "media", PIECE):
-            streams = batch.column("media").to_pylist()
-            back = decode_all(streams) if streams else []
-            raw = [pcm.T.astype("<i1").tobytes() for pcm, _ in back]
-            feature = [f"peak={int(np.abs(x).max())};energy={int((x * x).sum())};crossings={int(((x[0, 1:] < 0) != (x[0, :-1] < 0)).sum())};blocks={len(b)}" for x, b in back]
-            columns = [batch.column("doc_id"), batch.column("n_bytes"), pa.array([len(d) for d in raw], pa.int64()), pa.array([hashlib.sha256(d).hexdigest() for d in raw], pa.string()), pa.array([zlib.crc32(d[-UNIT:]) for d in raw], pa.int64()), pa.array([len(m) for m in streams], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in streams], pa.string()), pa.array(feature, pa.string())]
+        for batch in batches:
+            lists = batch.column("blocks")
+            pcm, offsets = lists.values.field("pcm").to_pylist(), lists.offsets.to_pylist()
+            raw = [b"".join(pcm[a:b]) for a, b in zip(offsets, offsets[1:])]
+            samples = [np.frombuffer(d, np.int8).astype(np.int64) for d in raw]
+            feature = [f"peak={int(np.abs(x).max(initial=0))};energy={int((x * x).sum())};crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())};blocks={b - a}" for x, a, b in zip(samples, offsets, offsets[1:])]
+            columns = [batch.column("doc_id"), batch.column("n_bytes"), pa.array([len(d) for d in raw], pa.int64()), pa.array([hashlib.sha256(d).hexdigest() for d in raw], pa.string()), pa.array([zlib.crc32(d[-UNIT:]) for d in raw], pa.int64()), batch.column("media_bytes"), batch.column("media_sha256"), pa.array(feature, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return rows.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return rows.select("doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op4_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts' streams are decoded and checked, the PCM blocks are a written table, and digests and features come from that.
+    A null text is an empty one; rows are coded one by one, so repeated rows get equal values; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    return features(store(docs))
+    return features(written(decoded(store(docs)), "pcm-blocks", compression="zstd"))
