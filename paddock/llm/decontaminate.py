@@ -21,16 +21,29 @@ from .common import ascii_lower, numbered, table, written
 WORD, WINDOW = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", 10
 END = -1
 #: A side with at most so many narrow rows is broadcast (some tens of MB); beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
+#: Over so many tasks the rows of one key are spread where a side is too large for a broadcast.
+SALTS = 32
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), 0)
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df, marked for a broadcast if its counted rows allow it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def is_small(df: DataFrame) -> bool:
+    """Whether the counted rows, and the bytes of their texts, are few enough for a broadcast."""
+    texts = [F.octet_length(c) for c, kind in df.dtypes if kind == "string"]
+    size = df.agg(F.count("*").alias("n"), F.sum(sum(texts, F.lit(0))).alias("bytes")).first()
+    return size.n <= BROADCAST_ROWS and (size.bytes or 0) <= BROADCAST_BYTES
+
+
+def meet(big: DataFrame, little: DataFrame, key: str, spread: Column) -> DataFrame:
+    """The inner join on a key that may be hot in ``big``: ``little`` is broadcast if it is small, else it is copied SALTS times
+    and the rows of a key in ``big`` are dealt over the copies."""
+    if is_small(little):
+        return big.join(F.broadcast(little), key)
+    copies = little.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn("_salt", F.pmod(F.hash(spread), F.lit(SALTS))).join(copies, [key, "_salt"]).drop("_salt")
 
 
 def item_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -47,10 +60,10 @@ def index(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The written postings (row, doc_id, pos, term) and the terms of the windows (w, off, term)."""
     terms = windows.select("w", F.posexplode("phrase").alias("off", "word"))
     vocabulary = written(terms.select("word").distinct().withColumn("term", F.monotonically_increasing_id()), "vocabulary")
-    marked = small(vocabulary.unionByName(docs.sparkSession.range(1).select(F.lit("\x00").alias("word"), F.lit(END).cast("long").alias("term"))))
+    marked = (vocabulary.unionByName(docs.sparkSession.range(1).select(F.lit("\x00").alias("word"), F.lit(END).cast("long").alias("term"))))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("words"))
     tokens = rows.select("row", "doc_id", F.posexplode(F.concat("words", F.array(F.lit("\x00")))).alias("pos", "word"))
-    postings = written(tokens.join(marked, "word").select("row", "doc_id", "pos", "term"), "postings")
+    postings = written(meet(tokens, marked, "word", F.struct("row", "pos")).select("row", "doc_id", "pos", "term"), "postings")
     return postings, written(terms.join(vocabulary, "word").select("w", "off", "term"), "window-terms")
 
 
@@ -58,18 +71,19 @@ def ranked(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """The terms of the windows that can occur, by rank from the rarest: w, off, term, rank, n (the window's words)."""
     counts = written(postings.groupBy("term").agg(F.count("*").alias("df")), "term-counts")
     by = Window.partitionBy("w")
-    found = terms.join(small(counts), "term", "left").select("w", "off", "term", F.row_number().over(by.orderBy("df", "off")).alias("rank"), F.count("*").over(by).alias("n"), F.count("df").over(by).alias("met"))
+    found = terms.join(F.broadcast(counts) if is_small(counts) else counts, "term", "left").select("w", "off", "term", F.row_number().over(by.orderBy("df", "off")).alias("rank"), F.count("*").over(by).alias("n"), F.count("df").over(by).alias("met"))
     return written(found.filter("met = n").drop("met"), "ranked-terms")
 
 
 def matches(postings: DataFrame, ranks: DataFrame, slop: int = 0) -> DataFrame:
     """row, w, start, n: where the windows occur, exactly or with each word at most ``slop`` words from its place."""
-    rarest = small(ranks.filter("rank = 1").select("term", "w", "off", "n"))
-    starts = written(postings.join(rarest, "term").filter("pos >= off").select("row", "w", "n", (F.col("pos") - F.col("off")).alias("start")), "candidates")
+    rarest = ranks.filter("rank = 1").select("term", "w", "off", "n")
+    starts = written(meet(postings, rarest, "term", F.struct("row", "pos")).filter("pos >= off").select("row", "w", "n", (F.col("pos") - F.col("off")).alias("start")), "candidates")
     rest = ranks.filter("rank > 1").select("w", "off", "term")
     places = F.explode(F.array(*[F.col("start") + F.col("off") + d for d in range(-slop, slop + 1)])).alias("pos")
-    need = starts.join(small(rest), "w").select("row", "w", "start", "n", "off", "term", places)
-    lists = postings.select("row", "pos", "term").join(small(starts.select("row").distinct()), "row", "left_semi")
+    need = meet(starts, rest, "w", F.struct("row", "start")).select("row", "w", "start", "n", "off", "term", places)
+    rows = starts.select("row").distinct()
+    lists = postings.select("row", "pos", "term").join(F.broadcast(rows) if is_small(rows) else rows, "row", "left_semi")
     met = need.join(lists, ["row", "pos", "term"])
     if slop:
         met = met.select("row", "w", "start", "n", "off").distinct()
@@ -86,7 +100,7 @@ def contamination(docs: DataFrame, items: DataFrame, slop: int = 0) -> DataFrame
     spans = found.select("row", "start", (F.col("start") + F.col("n")).alias("stop")).distinct()
     fresh = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce(before, F.lit(0))))
     hits = spans.withColumn("fresh", fresh).groupBy("row").agg(F.sum("fresh").alias("hit"))
-    has = found.select("row", "w").distinct().join(small(owners), "w").groupBy("row").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
+    has = meet(found.select("row", "w").distinct(), owners, "w", F.col("row")).groupBy("row").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     whole = postings.filter(F.col("term") == END).select("row", "doc_id", F.col("pos").cast("long").alias("n_words"))
     return whole.join(hits, "row", "left").join(has, "row", "left").select(
