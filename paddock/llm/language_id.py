@@ -10,7 +10,8 @@ Every labelled language with a document outside the held-out fold has an automat
 are laid into one another in a sparse table, so memory goes with the arcs, not with states times letters.
 
 Phrases end at the borders of windows of WINDOW letters, so that the windows of all texts of a batch are parsed in step
-with each other, one table lookup for a letter; the whole text is parsed. Text is lower-cased; all that is no letter
+with each other, one table lookup for a letter; the whole text is parsed. This departs from one parse of the whole text by at most
+a phrase a window and language (its effect is in the README). Text is lower-cased; all that is no letter
 counts as a blank.
 """
 
@@ -185,7 +186,8 @@ def fit(docs: DataFrame) -> dict[str, str]:
 
 
 def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
-    """docs with lang_pred and lang_score; ``und`` and 0 if the text is null or has no letter."""
+    """docs with lang_pred and lang_score; ``und`` and 0 if the text is null or has no letter, or nothing was learnt. Rows are judged one
+    by one: repeated rows get equal values, extra columns stay, columns of these names are replaced, an empty table stays empty."""
     shared, key = docs.sparkSession.sparkContext.broadcast(samples), ("language", hash(tuple(sorted(samples.items()))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

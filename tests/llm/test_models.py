@@ -141,12 +141,14 @@ def test_media_columns(spark):
     import hashlib
 
     stored = flac.store(docs(spark, ODD).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")))
-    for r in flac.features(stored).collect():
+    for r in flac.features(flac.decoded(stored)).collect():
         data = flac.payload(ODD[r.doc_id])
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
     blocks = flac.pcm_blocks(stored).filter("doc_id = 10").orderBy("sample_offset").collect()
     assert b"".join(bytes(b.pcm) for b in blocks) == flac.payload(ODD[10]) and [b.sample_offset for b in blocks] == list(range(0, len(flac.payload(ODD[10])), flac.BLOCK))
-    assert flac.features(stored.limit(0)).count() == 0
+    assert flac.features(flac.decoded(stored.limit(0))).count() == 0
+    lost = flac.decoded(stored.filter("doc_id in (0, 3)").withColumn("media", F.when(F.col("doc_id") == 3, F.col("media")))).orderBy("doc_id").collect()
+    assert (lost[0].blocks, lost[0].media_bytes) == (None, None) and bytes(lost[1].blocks[0].pcm) == flac.payload(ODD[3])
 
 
 # --- toxicity
