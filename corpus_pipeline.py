@@ -1,4 +1,9 @@
-"""Corpus pipeline: toxicity, SimHash near-dedup, benchmark decontamination, PII, SentencePiece encoding and decoding."""
+"""Corpus pipeline: toxicity, SimHash near-dedup, benchmark decontamination, PII, SentencePiece encoding and decoding.
+
+Every stage decides row by row, so null and repeated doc_ids neither lose a row nor keep one; extra columns stay, also where an
+operator uses a column of the same name; an empty table stays empty. Null and empty texts score as clean, are near copies of one
+another (one of them stays), are never contaminated, stay as they are, and have no ids. Of equal rows the first numbered one stays.
+"""
 
 from __future__ import annotations
 

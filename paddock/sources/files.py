@@ -6,6 +6,7 @@ all files of one call by one header; each group is read with its own names and t
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -122,4 +123,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     base = base or tempfile.mkdtemp(prefix="paddock-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Scratch tables go when the driver ends; a session that has stopped leaves them to the folder's owner."""
+    if spark.sparkContext._jvm is not None and spark.sparkContext._jsc is not None:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -1,7 +1,12 @@
 """Rules that the catalogue's tables do not reach."""
 
 import datetime as dt
+import os
 import random
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,11 +152,16 @@ def test_streamed_windows_equal_batch(spark, tmp_path):
     assert [(r.n, r.mean) for r in spark.table("per_window").collect()] == [(5, 3.0)]
 
 
-def test_without_the_corpus_operators(spark):
-    import __spark_entry__
-
-    assert __spark_entry__.entry(spark).count() > 0
-    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+def test_without_the_corpus_operators(tmp_path):
+    """A copy of the library without the folders of the corpus operators imports, and has all other queries."""
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root, tmp_path / "copy", ignore=lambda folder, names: [n for n in names if n in (".git", "llm", "corpus_pipeline.py", "__pycache__")])
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); print(len(q), len(s), sum(n.startswith('op') and n[2].isdigit() or n == 'pipeline' for n in q))"
+    run = lambda folder: [int(n) for n in subprocess.run([sys.executable, "-c", code], cwd=folder, env=os.environ | {"PYTHONPATH": str(folder)}, capture_output=True, text=True, check=True).stdout.split()]
+    without, with_ = run(tmp_path / "copy"), run(root)
+    assert without[2] == 0 and without[0] > 100 and with_[0] - with_[2] == without[0] and with_[1] >= without[1]
+    used = subprocess.run(["grep", "-rlE", "paddock[.]llm|from [.]+llm|import llm", str(root / "paddock"), "--include=*.py"], capture_output=True, text=True).stdout.split()
+    assert all("/llm/" in f for f in used)
 
 
 def test_fuzzy_names_equal_brute_force(spark):
@@ -183,3 +193,35 @@ def test_fuzzy_names_equal_brute_force(spark):
                 want[a] = scores[0][1], -scores[0][0]
         got = {r.name: (r.match, r.score) for r in joins.fuzzy_match(table(sorted(asked)), table(known), "name", least).collect()}
         assert got == want and got["nterlagos"][0] == got["xnterlagos"][0] == got["ainterlagos"][0] == "interlagos"
+
+
+def test_quantiles_of_whole_columns(spark):
+    rng = random.Random(9)
+    for xs in ([], [3.0], [1.0, 1.0, 2.0], [rng.gauss(0, 1e6) for _ in range(2000)] + [1e-300, 1e300, 0.0], [5.0] * 500 + [float(k % 7) for k in range(500)]):
+        df = spark.createDataFrame([(x,) for x in xs] + [(None,), (float("nan"),)], "x double")
+        got = stats.exact_quantiles(df, "x", [0.0, 0.01, 0.5, 0.9, 1.0], bins=16)
+        for p, q in zip([0.0, 0.01, 0.5, 0.9, 1.0], got):
+            at = p * (len(xs) - 1)
+            ys = sorted(xs)
+            want = ys[int(at)] + (ys[min(int(at) + 1, len(ys) - 1)] - ys[int(at)]) * (at - int(at)) if xs else None
+            assert q == want or q == pytest.approx(want, rel=1e-12)
+
+
+def test_saved_rounds_are_recombined(spark, tmp_path):
+    rows = lambda x: spark.createDataFrame([("VER", x)], "Driver string, x double").coalesce(1)
+    for name, x in (("features_2025_1.parquet", 1.0), ("features_2025_2.parquet", 2.0), ("features_2024_3.parquet", 3.0), ("other_2025_4.parquet", 4.0)):
+        rows(x).write.parquet(str(tmp_path / name))
+    for name in ("features_2025_1.csv", "features_2023_9.csv"):
+        rows(9.0).write.option("header", True).csv(str(tmp_path / name))
+    got = files.saved_rounds(spark, str(tmp_path), "features", ["2025_2"])
+    assert sorted(values(got, "year", "round", "x")) == [(2023, 9, 9.0), (2024, 3, 3.0), (2025, 1, 1.0)]
+    assert files.saved_rounds(spark, str(tmp_path), "none").count() == 0
+
+
+def test_a_track_that_the_table_lacks_takes_the_defaults(spark):
+    from paddock.plans import tracks
+
+    rounds = spark.createDataFrame([(2025, 1, "known"), (2025, 2, "unknown")], "year int, round int, slug string")
+    table = spark.createDataFrame([("known", 5.0, 1.0)], "slug string, lap_km double, drs_zones double")
+    got = {r.track_slug: (round(r.track_pit_loss_s, 6), round(r.track_fuel_effect_s_per10kg, 6)) for r in tracks.profiles(rounds, table).collect()}
+    assert got == {"known": (20.8, 0.185), "unknown": (19.0, 0.21)}
