@@ -8,7 +8,7 @@ import json
 import numpy as np
 from pyspark.sql import SparkSession
 
-from .training import RankModel
+from .training import GatedModel, RankModel
 
 
 def feature_hash(features: list[str]) -> str:
@@ -16,7 +16,7 @@ def feature_hash(features: list[str]) -> str:
 
 
 def save(spark: SparkSession, model: RankModel, path: str, metrics: dict[str, float] | None = None) -> None:
-    text = json.dumps({"features": model.features, "sha1": feature_hash(model.features), "hidden": model.hidden, "seed": model.seed, "metrics": metrics or {}, "weights": {k: v.tolist() for k, v in model.weights.items()}})
+    text = json.dumps({"features": model.features, "sha1": feature_hash(model.features), "kind": type(model).__name__, "hidden": model.hidden, "seed": model.seed, "metrics": metrics or {}, "weights": {k: v.tolist() for k, v in model.weights.items()}})
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
@@ -27,7 +27,8 @@ def load(spark: SparkSession, path: str, columns: list[str] | None = None) -> Ra
         raise ValueError("the feature list doesn't fit its hash")
     if columns is not None and (missing := [f for f in data["features"] if f not in columns]):
         raise ValueError(f"missing features: {', '.join(missing)}")
-    return RankModel(data["features"], data["hidden"], data["seed"], {k: np.array(v) for k, v in data["weights"].items()})
+    kind = {c.__name__: c for c in (RankModel, GatedModel)}[data.get("kind", "RankModel")]
+    return kind(data["features"], data["hidden"], data["seed"], {k: np.array(v) for k, v in data["weights"].items()})
 
 
 def first_usable(spark: SparkSession, paths: list[str], columns: list[str]) -> RankModel:

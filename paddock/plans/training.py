@@ -1,12 +1,13 @@
 """Rank and outcome models: trained by gradients that Spark aggregates, scored with column expressions.
 
 A race is a group of rows; the loss is the mean Plackett-Luce negative log likelihood of its finishing order plus a weighted cross
-entropy of the outcomes. Each step runs one Spark job: every race gives its loss and gradient in a grouped pandas function,
-and their sums (as many numbers as the model has) come to the driver. No race and no table is collected.
+entropy of the outcomes. Each step runs one Spark job: a partition holds whole races and gives one sum of their losses and
+gradients (as many numbers as the model has), and the sum of these comes to the driver. No race and no table is collected.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,10 +34,67 @@ class RankModel:
             rng, n = np.random.default_rng(self.seed), len(self.features)
             self.weights = {"w": rng.normal(0, n**-0.5, (n, self.hidden)), "b": np.zeros(self.hidden), "rank": rng.normal(0, self.hidden**-0.5, self.hidden), "status": rng.normal(0, self.hidden**-0.5, (self.hidden, 3)), "bias": np.zeros(3)}
 
+    def hidden_layer(self, x: np.ndarray) -> np.ndarray:
+        return np.maximum(x @ self.weights["w"] + self.weights["b"], 0)
+
+    def hidden_gradient(self, x: np.ndarray, d_h: np.ndarray) -> dict[str, np.ndarray]:
+        """The gradient of the hidden layer's own weights, from that of its outputs."""
+        d = d_h * (x @ self.weights["w"] + self.weights["b"] > 0)
+        return {"w": x.T @ d, "b": d.sum(0)}
+
+    def hidden_columns(self, inputs: list[Column]) -> list[Column]:
+        return [F.greatest(_weighted(inputs, self.weights["w"][:, i], self.weights["b"][i]), F.lit(0.0)) for i in range(self.weights["b"].size)]
+
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        w = self.weights
-        h = np.maximum(x @ w["w"] + w["b"], 0)
-        return h, h @ w["rank"], h @ w["status"] + w["bias"]
+        h = self.hidden_layer(x)
+        return h, h @ self.weights["rank"], h @ self.weights["status"] + self.weights["bias"]
+
+
+_GELU = (2 / np.pi) ** 0.5
+
+
+@dataclass
+class GatedModel(RankModel):
+    """The same heads over a gated residual layer: normalised inputs are projected twice, one projection gates the other by a
+    smooth step, and the result is projected again and added to a projection of the inputs."""
+
+    def __post_init__(self):
+        if not self.weights:
+            rng, n, k = np.random.default_rng(self.seed), len(self.features), self.hidden
+            self.weights = {"up": rng.normal(0, n**-0.5, (n, k)), "up_bias": np.zeros(k), "gate": rng.normal(0, n**-0.5, (n, k)), "gate_bias": np.zeros(k), "down": rng.normal(0, k**-0.5, (k, k)), "down_bias": np.zeros(k), "skip": rng.normal(0, n**-0.5, (n, k)),
+                            "rank": rng.normal(0, k**-0.5, k), "status": rng.normal(0, k**-0.5, (k, 3)), "bias": np.zeros(3)}
+
+    def _parts(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        n = (x - x.mean(1, keepdims=True)) / np.sqrt(x.var(1, keepdims=True) + 1e-5)
+        a, b = (n @ self.weights[p] + self.weights[f"{p}_bias"] for p in ("up", "gate"))
+        return n, a, b, np.tanh(_GELU * (b + 0.044715 * b**3))
+
+    def hidden_layer(self, x: np.ndarray) -> np.ndarray:
+        _, a, b, t = self._parts(x)
+        return (a * 0.5 * b * (1 + t)) @ self.weights["down"] + self.weights["down_bias"] + x @ self.weights["skip"]
+
+    def hidden_gradient(self, x: np.ndarray, d_h: np.ndarray) -> dict[str, np.ndarray]:
+        n, a, b, t = self._parts(x)
+        g, slope = 0.5 * b * (1 + t), 0.5 * (1 + t) + 0.5 * b * (1 - t**2) * _GELU * (1 + 3 * 0.044715 * b**2)
+        d_u = d_h @ self.weights["down"].T
+        d_a, d_b = d_u * g, d_u * a * slope
+        return {"up": n.T @ d_a, "up_bias": d_a.sum(0), "gate": n.T @ d_b, "gate_bias": d_b.sum(0), "down": (a * g).T @ d_h, "down_bias": d_h.sum(0), "skip": x.T @ d_h}
+
+    def hidden_columns(self, inputs: list[Column]) -> list[Column]:
+        """Three steps, each an array of which the next one takes single values, so that none is worked out twice."""
+        w, size = self.weights, len(inputs)
+        mean = sum(inputs[1:], inputs[0]) / size
+        var = sum([(c - mean) * (c - mean) for c in inputs[1:]], (inputs[0] - mean) * (inputs[0] - mean)) / size
+        step = lambda value, made: F.transform(F.array(value), made)[0]
+        normal = F.array(*[(c - mean) / F.sqrt(var + 1e-5) for c in inputs])
+
+        def gated(n: Column) -> Column:
+            at = [n[j] for j in range(size)]
+            a, b = ([_weighted(at, w[p][:, i], w[f"{p}_bias"][i]) for i in range(self.hidden)] for p in ("up", "gate"))
+            return F.array(*[x * 0.5 * y * (1 + F.tanh(_GELU * (y + 0.044715 * y * y * y))) for x, y in zip(a, b)])
+
+        u = step(normal, gated)
+        return [_weighted([u[j] for j in range(self.hidden)], w["down"][:, i], w["down_bias"][i]) + _weighted(inputs, w["skip"][:, i]) for i in range(self.hidden)]
 
 
 def race_gradient(model: RankModel, x: np.ndarray, position: np.ndarray, outcome: np.ndarray, weight: float, class_weights: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -58,33 +116,47 @@ def race_gradient(model: RankModel, x: np.ndarray, position: np.ndarray, outcome
     cw = class_weights[outcome] / len(x)
     loss += float(-(cw * np.log(np.maximum(p[np.arange(len(x)), outcome], 1e-12))).sum())
     d_logits = cw[:, None] * (p - np.eye(3)[outcome])
-    d_h = (np.outer(d_score, w["rank"]) + d_logits @ w["status"].T) * (h > 0)
-    grads = {"w": x.T @ d_h, "b": d_h.sum(0), "rank": h.T @ d_score, "status": h.T @ d_logits, "bias": d_logits.sum(0)}
+    d_h = np.outer(d_score, w["rank"]) + d_logits @ w["status"].T
+    grads = model.hidden_gradient(x, d_h) | {"rank": h.T @ d_score, "status": h.T @ d_logits, "bias": d_logits.sum(0)}
     return weight * loss, {k: weight * g for k, g in grads.items()}
 
 
-def train(rows: DataFrame, features: list[str], key: list[str], position: str = "finish_position", outcome: str = "outcome_id", weight: str | None = None, epochs: int = 30, step: float = 0.02, decay: float = 1e-4, hidden: int = 16) -> tuple[RankModel, list[float]]:
+def train(rows: DataFrame, features: list[str], key: list[str], position: str = "finish_position", outcome: str = "outcome_id", weight: str | None = None, epochs: int = 30, step: float = 0.02, decay: float = 1e-4, hidden: int = 16, kind: type[RankModel] = RankModel) -> tuple[RankModel, list[float]]:
     """A trained model and the loss of each epoch. rows: scaled features without nulls, a race of two rows at least."""
-    model = RankModel(list(features), hidden)
+    model = kind(list(features), hidden)
     shapes = {k: v.shape for k, v in model.weights.items()}
     classes = {r[outcome]: r.weight for r in scoring.class_weights(rows, outcome).collect()}
     class_weights = np.array([classes.get(k, 1.0) for k in range(3)])
     moments = {k: (np.zeros(s), np.zeros(s)) for k, s in shapes.items()}
     columns = [*key, *features, F.col(position).cast("double").alias("_p"), F.col(outcome).cast("int").alias("_o"), (F.col(weight) if weight else F.lit(1.0)).alias("_w")]
-    data = rows.select(*columns).repartition(*key).cache()
+    data = rows.select(*columns).repartition(*key).sortWithinPartitions(*key).cache()
     losses = []
     for epoch in range(1, epochs + 1):
         current = model
 
-        def of_race(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(features)
-            if len(pdf) < 2:
-                return pd.DataFrame({"i": [], "g": []})
-            loss, grads = race_gradient(current, pdf[features].to_numpy(float), pdf["_p"].to_numpy(float), pdf["_o"].to_numpy(int), float(pdf["_w"].iloc[0]), class_weights)
-            flat = np.concatenate([[loss, 1.0], *[grads[k].ravel() for k in shapes]])
-            return pd.DataFrame({"i": np.arange(len(flat)), "g": flat})
-
-        sums = data.groupBy(*key).applyInPandas(of_race, "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).orderBy("i").toPandas()["g"].to_numpy()
+        def of_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total, held = None, None
+
+            def add(total: np.ndarray | None, pdf: pd.DataFrame) -> np.ndarray | None:
+                if len(pdf) < 2:
+                    return total
+                pdf = pdf.sort_values(features)
+                loss, grads = race_gradient(current, pdf[features].to_numpy(float), pdf["_p"].to_numpy(float), pdf["_o"].to_numpy(int), float(pdf["_w"].iloc[0]), class_weights)
+                flat = np.concatenate([[loss, 1.0], *[grads[k].ravel() for k in shapes]])
+                return flat if total is None else total + flat
+
+            # a batch may end within a race, which the next one goes on with
+            for pdf in batches:
+                pdf = pdf if held is None else pd.concat([held, pdf])
+                last = (pdf[key] == pdf[key].iloc[-1]).all(axis=1)
+                held = pdf[last]
+                for _, race in pdf[~last].groupby(key, sort=False):
+                    total = add(total, race)
+            total = add(total, held) if held is not None else total
+            if total is not None:
+                yield pd.DataFrame({"i": np.arange(len(total)), "g": total})
+
+        sums = data.mapInPandas(of_partition, "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).orderBy("i").toPandas()["g"].to_numpy()
         losses.append(sums[0] / sums[1])
         at, weights = 2, {}
         for k, shape in shapes.items():
@@ -96,7 +168,7 @@ def train(rows: DataFrame, features: list[str], key: list[str], position: str =
             v += 0.001 * (grad**2 - v)
             update = (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-8)
             weights[k] = model.weights[k] * (1 - step * decay) - step * update
-        model = RankModel(model.features, hidden, model.seed, weights)
+        model = kind(model.features, hidden, model.seed, weights)
     data.unpersist()
     return model, losses
 
@@ -111,7 +183,7 @@ def _weighted(columns: list[Column], weights: np.ndarray, bias: float = 0.0) ->
 def score(rows: DataFrame, model: RankModel, key: list[str], temperature: float = 1.2) -> DataFrame:
     """rows with p_finish, p_dnf, p_dsq, predicted_outcome, score, p_win: the forward pass as column expressions."""
     w = model.weights
-    hidden = {f"_h{i}": F.greatest(_weighted([F.col(c) for c in model.features], w["w"][:, i], w["b"][i]), F.lit(0.0)) for i in range(w["b"].size)}
+    hidden = {f"_h{i}": c for i, c in enumerate(model.hidden_columns([F.col(c) for c in model.features]))}
     out = rows.withColumns(hidden)
     names = [F.col(h) for h in hidden]
     out = out.withColumns({"rank_score": _weighted(names, w["rank"]), **{f"_l{i}": _weighted(names, w["status"][:, i], w["bias"][i]) for i in range(3)}}).drop(*hidden)
@@ -128,9 +200,8 @@ def importance(rows: DataFrame, model: RankModel, key: list[str], entity: str) -
     base = score(rows, model, key).select(*key, entity, F.col("rank_score").alias("_base"))
     grid = rows.select(*key, entity, *model.features, F.explode(F.array(*[F.lit(c) for c in model.features])).alias("feature"))
     reset = grid.withColumns({c: F.when(F.col("feature") == c, 0.0).otherwise(F.col(c)) for c in model.features})
-    w = model.weights
-    hidden = [F.greatest(_weighted([F.col(c) for c in model.features], w["w"][:, i], w["b"][i]), F.lit(0.0)) for i in range(w["b"].size)]
-    changed = reset.select(*key, entity, "feature", _weighted(hidden, w["rank"]).alias("_now"))
+    hidden = model.hidden_columns([F.col(c) for c in model.features])
+    changed = reset.select(*key, entity, "feature", _weighted(hidden, model.weights["rank"]).alias("_now"))
     return changed.join(base, [*key, entity]).select(*key, entity, "feature", (F.col("_base") - F.col("_now")).alias("drop"))
 
 

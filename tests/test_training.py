@@ -21,10 +21,11 @@ def race_rows(spark, n_races=8, n=10):
     return spark.createDataFrame(rows, "year int, round int, driver string, pace double, junk double, finish_position double, outcome_id int")
 
 
-def test_gradient_equals_differences():
+@pytest.mark.parametrize("kind", [training.RankModel, training.GatedModel])
+def test_gradient_equals_differences(kind):
     rng = np.random.default_rng(1)
-    model = training.RankModel(["a", "b"], hidden=4)
-    x, pos, out = rng.normal(size=(6, 2)), np.array([3, 1, np.nan, 2, 4, np.nan]), np.array([0, 0, 1, 0, 0, 2])
+    model = kind(["a", "b", "c"], hidden=4)
+    x, pos, out = rng.normal(size=(6, 3)), np.array([3, 1, np.nan, 2, 4, np.nan]), np.array([0, 0, 1, 0, 0, 2])
     loss, grads = training.race_gradient(model, x, pos, out, 1.5, np.array([1.0, 2.0, 3.0]))
     for name, w in model.weights.items():
         flat = w.reshape(-1)
@@ -49,6 +50,18 @@ def test_training_ranks_by_pace(spark):
     assert len(table) == 10 and sum(r.points for r in table) <= 8 * 101 and sorted(r.rank for r in table) == list(range(1, 11))
 
 
+def test_a_gated_model_trains_and_scores_as_numpy_does(spark, tmp_path):
+    from paddock.plans import artifacts
+
+    rows = race_rows(spark)
+    model, losses = training.train(rows, ["pace", "junk"], KEY, epochs=10, step=0.08, hidden=4, kind=training.GatedModel)
+    assert losses[-1] < 0.85 * losses[0]
+    artifacts.save(spark, model, str(tmp_path / "g"))
+    model = artifacts.load(spark, str(tmp_path / "g"))
+    scored = training.score(rows, model, KEY).toPandas()
+    assert np.allclose(scored.rank_score, model.forward(scored[["pace", "junk"]].to_numpy(float))[1])
+
+
 def test_models_are_stored_with_their_features(spark, tmp_path):
     from paddock.plans import artifacts
 
