@@ -102,12 +102,18 @@ class Memo(dict):
         if value is None:
             value = self.make(key)
         if (len(key) if isinstance(key, str) else sum(map(len, key))) <= 64:
-            if len(self) >= self.limit:
-                self.before = dict(self)
-                self.clear()
-            self[key] = value
+            self.put(key, value)
         return value
 
+    def put(self, key: Any, value: Any) -> None:
+        self.put_all({key: value})
+
+    def put_all(self, results: dict[Any, Any]) -> None:
+        if self and len(self) + len(results) > self.limit:
+            self.before = dict(self)
+            self.clear()
+        self.update(results)
+
 
 _HELD: dict[object, Any] = {}
 

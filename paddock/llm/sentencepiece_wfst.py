@@ -41,7 +41,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_COST, USER_BONUS = 10.0, 0.1
 #: Entries of a generation of the caches (of keys of at most 64 letters, so some 40 MB in all).
-CACHE_STRETCHES, CACHE_PAIRS = 80_000, 50_000
+CACHE_STRETCHES, CACHE_PAIRS, STABLE_PAIRS = 100_000, 10_000, 300_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -149,6 +149,7 @@ class Transducer:
     byte_fallback: bool = True
 
     def __post_init__(self) -> None:
+        self.stable: dict[int, bool] = {}
         self.pairs = Memo(lambda pair: self.merged(pair[0] + pair[1]) == [*pair], CACHE_PAIRS)
 
     @classmethod
@@ -312,6 +313,86 @@ class Transducer:
             at = end
         return start
 
+    @cached_property
+    def lattice(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The trie as arrays: the letters, the transitions (node * 2^20 + letter, ascending), where they lead, and the piece that ends
+        at a node (-1: none). Node 0 is the root."""
+        letters = sorted({ord(c) for prefix in self.arcs for c in prefix})
+        place, node = {chr(c): i for i, c in enumerate(letters)}, {"": 0} | {prefix: i for i, prefix in enumerate(self.arcs, 1)}
+        rows = sorted((node[prefix[:-1]] << 20 | place[prefix[-1]], node[prefix]) for prefix in self.arcs)
+        ends = np.full(len(node), -1, np.int64)
+        for prefix, final in self.arcs.items():
+            ends[node[prefix]] = self.ids[prefix] if final else -1
+        return np.array(letters, np.uint32), np.array([k for k, _ in rows], np.int64), np.array([n for _, n in rows], np.int64), ends
+
+    def stays(self, pair: int) -> bool:
+        """Whether the second of two pieces (ids, the first times 2^20) has weight 0 after the first."""
+        known = self.stable.get(pair)
+        if known is None:
+            if len(self.stable) >= STABLE_PAIRS:
+                self.stable.clear()
+            known = self.stable[pair] = self.weight(self.pieces[pair >> 20], self.pieces[pair & 0xFFFFF]) == 0
+        return known
+
+    def in_step(self, texts: list[str]) -> dict[str, bytes]:
+        """The ids of many short texts of a BPE model: their lattices are relaxed together, position by position. Texts with a
+        character that is no piece are left out."""
+        letters, keys, targets, ends = self.lattice
+        sizes = np.array([len(t) for t in texts], np.int64)
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = np.minimum(np.searchsorted(letters, points), len(letters) - 1).astype(np.int64)
+        at = np.minimum(np.searchsorted(keys, letter), len(keys) - 1)
+        known = (letters[letter] == points) & (keys[at] == letter)
+        known &= ends[targets[at]] >= 0
+        fits = np.logical_and.reduceat(known, np.cumsum(sizes) - sizes)
+        if not fits.all():
+            some = [t for t, f in zip(texts, fits.tolist()) if f]
+            return self.in_step(some) if some else {}
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        first = (np.cumsum(sizes) - sizes)[owner]
+        offset, node, pos, found = np.arange(len(points)) - first, targets[at], np.arange(len(points)), []
+        left = sizes[owner] - offset
+        n = 1
+        while len(pos):
+            piece = ends[node]
+            final = piece >= 0
+            found.append((pos[final], np.full(int(final.sum()), n), piece[final]))
+            on = left[pos] > n
+            pos, key = pos[on], node[on] << 20 | letter[np.minimum(pos[on] + n, len(points) - 1)]
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            on = keys[at] == key
+            pos, node, n = pos[on], targets[at[on]], n + 1
+        start, length, piece = (np.concatenate(c) for c in zip(*found))
+        order = np.argsort(offset[start], kind="stable")
+        start, length, piece = start[order], length[order], piece[order]
+        turns = np.searchsorted(offset[start], np.arange(int(sizes.max()) + 1))
+        # a text of n letters has n + 1 positions; last: the piece that a position is reached by, -1: none yet, -2: the start
+        begin = start + owner[start]
+        heads = np.cumsum(sizes + 1) - sizes - 1
+        last, before = np.full(len(points) + len(texts), -1, np.int64), np.zeros(len(points) + len(texts), np.int64)
+        last[heads] = -2
+        for a, b in zip(turns[:-1].tolist(), turns[1:].tolist()):
+            s, p = begin[a:b], piece[a:b]
+            e = s + length[a:b]
+            open_ = (last[s] != -1) & (last[e] == -1)
+            s, e, p = s[open_], e[open_], p[open_]
+            pairs, back = np.unique(np.where(last[s] == -2, -1, last[s] << 20 | p), return_inverse=True)
+            light = np.array([k < 0 or self.stays(k) for k in pairs.tolist()], bool)[back]
+            last[e[light]], before[e[light]] = p[light], s[light]
+        tails, texts_at, ids = heads + sizes, [], []
+        here, live = tails.copy(), np.arange(len(texts))
+        while len(live):
+            texts_at.append(live)
+            ids.append(last[here])
+            here = before[here]
+            on = here != heads[live]
+            here, live = here[on], live[on]
+        whose = np.concatenate(texts_at)
+        turn = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+        data = np.concatenate(ids)[np.lexsort((-turn, whose))].astype(np.uint32).tobytes()
+        stops = 4 * np.cumsum(np.bincount(whose, minlength=len(texts)))
+        return {t: data[a:b] for t, a, b in zip(texts, [0, *stops[:-1].tolist()], stops.tolist())}
+
     def path_ids(self, text: str) -> list[int]:
         out: list[int] = []
         segments = self.frozen.split(text) if self.kind == BPE and self.frozen else [text]
@@ -342,9 +423,25 @@ class Codec:
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
+        return self.whole(b"".join(map(self.stretches.__getitem__, self.runs(text))))
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """As encode; a BPE model's short stretches that aren't kept are worked out together."""
+        runs = [self.runs(t) for t in texts]
+        kept = self.stretches
+        if self.fst.kind == BPE:
+            asked = [r for r in set().union(*runs).difference(kept).difference(kept.before) if len(r) <= 64]
+            if asked:
+                kept.put_all(self.fst.in_step(asked))
+        return [self.whole(b"".join(map(kept.__getitem__, some))) for some in runs]
+
+    def runs(self, text: str) -> list[str]:
+        """The stretches of the normalised text."""
         normal, frozen = self.fst.normal(text), self.fst.kind == BPE and self.fst.frozen
-        runs = [normal] if frozen and frozen.search(normal) else self.fst.stretch.findall(normal)
-        ids = np.frombuffer(b"".join(map(self.stretches.__getitem__, runs)), np.uint32)
+        return [normal] if frozen and frozen.search(normal) else self.fst.stretch.findall(normal)
+
+    def whole(self, data: bytes) -> np.ndarray:
+        ids = np.frombuffer(data, np.uint32)
         if self.fst.byte_fallback:
             return ids
         # a run of unknown characters is one
@@ -391,7 +488,7 @@ def encode(docs: DataFrame, model: bytes, out: str = "ids", check: str | None =
         c = codec(shared.value)
         for batch in pieces(batches):
             texts = batch.column(text_at).to_pylist()
-            ids = [c.encode(t or "") for t in texts]
+            ids = c.encode_all([t or "" for t in texts])
             offsets = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
             flat = np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32)
             arrays = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
@@ -432,8 +529,7 @@ def _digests(docs: DataFrame, model: bytes) -> DataFrame:
         c = codec(shared.value)
         for batch in pieces(batches):
             n, crc, back = [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = c.encode(text or "")
+            for ids in c.encode_all([t or "" for t in batch.column("text").to_pylist()]):
                 decoded = c.decode(ids)
                 n.append(len(ids))
                 crc.append(zlib.crc32(ids.astype("<u4").tobytes()))

@@ -76,6 +76,7 @@ def test_normalisers_equal_the_library(rule, prefix, squeeze, user):
     rng, alphabet = random.Random(1), [*"abc  \n\tＡｆﬁ①²éÅ½日🎉▁.,<>\u200b\u00a0", "<sep>", "<sep", " the ", "ing"]
     texts = ["", "   ", "▁▁a", "ＡＢＣ　x  y ﬁ", *("".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(400))]
     library, codec = sentencepiece.SentencePieceProcessor(model_proto=model), sentencepiece_wfst.Codec(model)
+    assert [x.tolist() for x in codec.encode_all(texts)] == [library.encode(t) for t in texts]
     for text in texts:
         assert codec.encode(text).tolist() == library.encode(text), text
         assert codec.decode(codec.encode(text)) == library.decode(library.encode(text)), text
@@ -88,6 +89,8 @@ def test_bpe_paths_are_those_of_merging():
     for _ in range(300):
         text = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 14)))
         assert fst.shortest_path(text) == fst.merged(text)
+        if "d" not in text:
+            assert fst.in_step([text, "ab"])[text] == np.array(fst.path_ids(text), np.uint32).tobytes()
 
 
 # --- FLAC
