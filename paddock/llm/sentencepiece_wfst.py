@@ -430,7 +430,7 @@ class Codec:
         runs = [self.runs(t) for t in texts]
         kept = self.stretches
         if self.fst.kind == BPE:
-            asked = [r for r in set().union(*runs).difference(kept).difference(kept.before) if len(r) <= 64]
+            asked = [r for r in set().union(*runs).difference(kept).difference(kept.before) if len(r) <= 64 and not (self.fst.frozen and self.fst.frozen.search(r))]
             if asked:
                 kept.put_all(self.fst.in_step(asked))
         return [self.whole(b"".join(map(kept.__getitem__, some))) for some in runs]
