@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import pieces, table, written
 
-BLOCK, RATE, UNIT, ORDERS, LPC_ORDER, LPC_BITS, LPC_SHIFT = 4096, 8000, 64, 2, 4, 12, 9
-PIECE = 1 << 20  # bytes that are worked on at once
+BLOCK, RATE, UNIT, ORDERS, LPC_ORDER, LPC_BITS, LPC_SHIFT = 2048, 8000, 64, 2, 4, 12, 9
+PIECE = 1 << 19  # bytes that are worked on at once
 PARTITION = 8  # 2^8 residual partitions at most, of 64 samples at least
 
 
@@ -47,33 +47,50 @@ def crc8(data: bytes) -> int:
     return out
 
 
+#: The CRC-16 after two more bytes, by the exclusive or of the CRC and the bytes; and after a segment of zero bytes.
+SEGMENT = 64
+CRC16_TWO = np.arange(1 << 16, dtype=np.uint16)
+for _ in range(2):
+    CRC16_TWO = ((CRC16_TWO.astype(np.uint32) << 8 & 0xFFFF) ^ CRC16[CRC16_TWO >> 8]).astype(np.uint16)
+CRC16_SEGMENT = np.arange(1 << 16, dtype=np.uint16)
+for _ in range(SEGMENT // 2):
+    CRC16_SEGMENT = CRC16_TWO[CRC16_SEGMENT]
+
+
 def crc16_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The CRC-16 of each run of bytes, all runs in step."""
-    order = np.argsort(starts - ends, kind="stable")
-    at, size = starts[order], (ends - starts)[order]
-    out = np.zeros(len(at), np.uint32)
-    live = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1 if len(size) else 1), side="right")
-    for i, n in enumerate(live.tolist()):
-        crc = out[:n]
-        out[:n] = ((crc << 8) & 0xFFFF) ^ CRC16[(crc >> 8) ^ data[at[:n] + i]]
-    back = np.empty_like(out)
-    back[order] = out
-    return back
+    """The CRC-16 of each run of bytes. Zero bytes in front leave it as it is, so runs are filled up to whole segments; the segments are
+    worked on in step, then those of each run are joined."""
+    if not len(starts):
+        return np.zeros(0, np.uint16)
+    sizes = ends - starts
+    parts = -(-sizes // SEGMENT)
+    first, within = _runs(sizes)
+    filled = np.zeros(int(parts.sum()) * SEGMENT, np.uint8)
+    filled[within + np.repeat(SEGMENT * np.cumsum(parts) - sizes, sizes)] = data[within + np.repeat(starts, sizes)]
+    words = np.ascontiguousarray(filled.view(">u2").reshape(-1, SEGMENT // 2).T.astype(np.uint16))
+    crc = np.zeros(words.shape[1], np.uint16)
+    for word in words:
+        crc = CRC16_TWO[crc ^ word]
+    order = np.argsort(-parts, kind="stable")
+    at, size = (np.cumsum(parts) - parts)[order], parts[order]
+    joined = np.zeros(len(at), np.uint16)
+    for i, n in enumerate(np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), side="right").tolist()):
+        joined[:n] = CRC16_SEGMENT[joined[:n]] ^ crc[at[:n] + i]
+    out = np.empty_like(joined)
+    out[order] = joined
+    return out
 
 
 def packed(n_bytes: int, at: np.ndarray, values: np.ndarray, widths: np.ndarray) -> bytes:
-    """Values of at most 24 bits written at places (bits) of zeroed bytes, most significant bit first. They don't overlap, so the
-    bytes are sums of what each value puts into the four that it may touch."""
-    shifted = values.astype(np.int64) << (32 - (at & 7) - widths)
-    first, out = at >> 3, np.zeros(n_bytes + 4)
-    for k in range(4):
-        part = shifted >> (24 - 8 * k) & 255
-        if k == 3:
-            some = np.flatnonzero(part)
-            out += np.bincount(first[some] + k, part[some], n_bytes + 4)
-        else:
-            out += np.bincount(first + k, part, n_bytes + 4)
-    return out[:n_bytes].astype(np.uint8).tobytes()
+    """Values of at most 24 bits written at places (bits) of zeroed bytes, most significant bit first. They don't overlap, so words of
+    32 bits are sums of what each value puts into the two that it may touch."""
+    shifted = values.astype(np.uint64) << (64 - (at & 31) - widths).astype(np.uint64)
+    first, n_words = at >> 5, n_bytes // 4 + 2
+    out = np.bincount(first, shifted >> np.uint64(32), n_words)
+    low = (shifted & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    over = np.flatnonzero(low)
+    out += np.bincount(first[over] + 1, low[over], n_words)
+    return out.astype(">u4").tobytes()[:n_bytes]
 
 
 def utf8_number(n: int) -> bytes:
@@ -195,9 +212,10 @@ class Reader:
         self.data = np.append(data, np.zeros(16, np.uint8))
         n = 8 * len(data)
         bits = np.unpackbits(data)
-        ones = np.where(bits, np.arange(n, dtype=np.int32), np.int32(n))
         #: The place of the next set bit.
-        self.one = np.append(np.minimum.accumulate(ones[::-1])[::-1], np.int32(n))
+        self.one = np.full(n + 1, n, np.int32)
+        np.copyto(self.one[:-1], np.arange(n, dtype=np.int32), where=bits.view(bool))
+        np.minimum.accumulate(self.one[::-1], out=self.one[::-1])
         self.last = n
         d = self.data.astype(np.int64)
         #: The four bytes from each byte on.
@@ -250,21 +268,21 @@ DEPTHS = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
 
 def _header(data: bytes, at: int, depth: int) -> tuple[int, int, int, int]:
     """Samples, channel layout, depth and the place behind the header of a frame."""
-    if data[at] != 0xFF or data[at + 1] & 0xFC != 0xF8:
+    head = data[at : at + 16].ljust(16, b"\0")
+    if head[0] != 0xFF or head[1] & 0xFC != 0xF8:
         raise ValueError(f"no frame at byte {at}")
-    size, rate, layout, code = data[at + 2] >> 4, data[at + 2] & 15, data[at + 3] >> 4, data[at + 3] >> 1 & 7
-    lead, p = data[at + 4], at + 5
+    size, rate, layout, code = head[2] >> 4, head[2] & 15, head[3] >> 4, head[3] >> 1 & 7
+    lead, p = head[4], 5
     while lead & 0x80 and lead & 0x40:
         lead, p = lead << 1 & 0xFF, p + 1
-    if size in (6, 7):
-        n = int.from_bytes(data[p : p + size - 5], "big") + 1
-        p += size - 5
-    else:
-        n = SIZES[size]
-    p += {12: 1, 13: 2, 14: 2}.get(rate, 0)
-    if crc8(data[at:p]) != data[p]:
+    extra = {6: 1, 7: 2}.get(size, 0)
+    if size == 0:
+        raise ValueError(f"reserved block size at byte {at}")
+    n = int.from_bytes(head[p : p + extra], "big") + 1 if extra else SIZES[size]
+    p += extra + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if crc8(head[:p]) != head[p]:
         raise ValueError(f"the header at byte {at} is damaged")
-    return n, layout, DEPTHS.get(code, depth), p + 1
+    return n, layout, DEPTHS.get(code, depth), at + p + 1
 
 
 def _subframes(r: Reader, at: np.ndarray, size: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
