@@ -489,14 +489,19 @@ def pcm_blocks(rows: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def features(rows: DataFrame) -> DataFrame:
     """doc_id, n_bytes, the media's digests, and digests and a feature of the samples in blocks: peak, energy, sign changes."""
+    def of(blocks: list[bytes]) -> tuple[int, str, int, str]:
+        raw = b"".join(blocks)
+        x = np.frombuffer(raw, np.int8).astype(np.int16)
+        feature = f"peak={int(np.abs(x).max(initial=0))};energy={int((x * x).sum(dtype=np.int64))};crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())};blocks={len(blocks)}"
+        return len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-UNIT:]), feature
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("blocks")
-            pcm, offsets = lists.values.field("pcm").to_pylist(), lists.offsets.to_pylist()
-            raw = [b"".join(pcm[a:b]) for a, b in zip(offsets, offsets[1:])]
-            samples = [np.frombuffer(d, np.int8).astype(np.int64) for d in raw]
-            feature = [f"peak={int(np.abs(x).max(initial=0))};energy={int((x * x).sum())};crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())};blocks={b - a}" for x, a, b in zip(samples, offsets, offsets[1:])]
-            columns = [batch.column("doc_id"), batch.column("n_bytes"), pa.array([len(d) for d in raw], pa.int64()), pa.array([hashlib.sha256(d).hexdigest() for d in raw], pa.string()), pa.array([zlib.crc32(d[-UNIT:]) for d in raw], pa.int64()), batch.column("media_bytes"), batch.column("media_sha256"), pa.array(feature, pa.string())]
+            pcm, offsets = lists.values.field("pcm"), lists.offsets.to_pylist()
+            made = [of(pcm.slice(a, b - a).to_pylist()) for a, b in zip(offsets, offsets[1:])]
+            sizes, digests, tails, feature = (pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.int64(), pa.string())))
+            columns = [batch.column("doc_id"), batch.column("n_bytes"), sizes, digests, tails, batch.column("media_bytes"), batch.column("media_sha256"), feature]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     return rows.select("doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
