@@ -75,20 +75,31 @@ def ranked(postings: DataFrame, terms: DataFrame) -> DataFrame:
     return written(found.filter("met = n").drop("met"), "ranked-terms")
 
 
+def met_at(postings: DataFrame, starts: DataFrame, ranks: DataFrame, slop: int) -> DataFrame:
+    """row, w, start, n, off: which of the ranked terms stand at their places behind the starts (or up to ``slop`` words beside them).
+    Only the lists of these terms, in rows that have a start, are shuffled."""
+    places = F.explode(F.array(*[F.col("start") + F.col("off") + d for d in range(-slop, slop + 1)])).alias("pos")
+    need = meet(starts, ranks, "w", F.struct("row", "start")).select("row", "w", "start", "n", "off", "term", places)
+    lists = postings.select("row", "pos", "term")
+    for key, having in (("term", ranks.select("term").distinct()), ("row", starts.select("row").distinct())):
+        lists = lists.join(F.broadcast(having) if is_small(having) else having, key, "left_semi")
+    met = need.join(lists, ["row", "pos", "term"]).select("row", "w", "start", "n", "off")
+    return met.distinct() if slop else met
+
+
 def matches(postings: DataFrame, ranks: DataFrame, slop: int = 0) -> DataFrame:
-    """row, w, start, n: where the windows occur, exactly or with each word at most ``slop`` words from its place."""
+    """row, w, start, n: where the windows occur, exactly or with each word at most ``slop`` words from its place.
+
+    The list of the rarest term gives the starts, that of the next one leaves few of them, and these meet all other lists at once."""
+    by_rank = lambda which: ranks.filter(which).select("term", "w", "off")
     rarest = ranks.filter("rank = 1").select("term", "w", "off", "n")
     starts = written(meet(postings, rarest, "term", F.struct("row", "pos")).filter("pos >= off").select("row", "w", "n", (F.col("pos") - F.col("off")).alias("start")), "candidates")
-    rest = ranks.filter("rank > 1").select("w", "off", "term")
-    places = F.explode(F.array(*[F.col("start") + F.col("off") + d for d in range(-slop, slop + 1)])).alias("pos")
-    need = meet(starts, rest, "w", F.struct("row", "start")).select("row", "w", "start", "n", "off", "term", places)
-    rows = starts.select("row").distinct()
-    lists = postings.select("row", "pos", "term").join(F.broadcast(rows) if is_small(rows) else rows, "row", "left_semi")
-    met = need.join(lists, ["row", "pos", "term"])
-    if slop:
-        met = met.select("row", "w", "start", "n", "off").distinct()
-    whole = met.groupBy("row", "w", "start", "n").agg(F.count("*").alias("met")).filter("met = n - 1").drop("met")
-    return whole.unionByName(starts.filter("n = 1").select("row", "w", "start", "n"))
+    several = starts.filter("n > 1")
+    left = written(met_at(postings, several, by_rank("rank = 2"), slop).select("row", "w", "start", "n"), "candidates-2")
+    met = met_at(postings, left.filter("n > 2"), by_rank("rank > 2"), slop)
+    whole = met.groupBy("row", "w", "start", "n").agg(F.count("*").alias("met")).filter("met = n - 2").drop("met")
+    done = starts.filter("n = 1").select("row", "w", "start", "n").unionByName(left.filter("n = 2"))
+    return whole.unionByName(done)
 
 
 def contamination(docs: DataFrame, items: DataFrame, slop: int = 0) -> DataFrame:
