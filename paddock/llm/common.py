@@ -55,7 +55,7 @@ def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     column = "_row"
     while column in [c.lower() for c in df.columns]:
         column = f"_{column}"
-    return written(df.withColumn(column, F.monotonically_increasing_id()), name), column
+    return written(df.withColumn(column, F.monotonically_increasing_id()), name, compression="zstd"), column
 
 
 def crc32_of(text: Column) -> Column:
