@@ -12,6 +12,7 @@ from .histogram_sort import OP2_SQL, op2_histogram_sort
 from .language_id import op8_language_id
 from .periodic import OP11_SQL, op11_periodic_runs
 from .pii import op5_pii_pseudonyms
+from .quality import op13_quality_rules
 from .quotes import OP1_SQL, op1_quotation_linking
 from .rans_tokens import op7_rans_tokens
 from .sentencepiece_wfst import op3_sentencepiece_wfst
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 ORACLES: dict[str, str] = {"op1_quotation_linking": OP1_SQL, "op2_histogram_sort": OP2_SQL, "op9_benchmark_decontamination": OP9_SQL, "op11_periodic_runs": OP11_SQL}
