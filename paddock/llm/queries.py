@@ -17,6 +17,7 @@ from .quotes import OP1_SQL, op1_quotation_linking
 from .rans_tokens import op7_rans_tokens
 from .sentencepiece_wfst import op3_sentencepiece_wfst
 from .simhash import op10_simhash_near_dedup
+from .token_alignment import op12_cross_tokenizer_alignment
 from .toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
     "op13_quality_rules": op13_quality_rules,
 }
 
