@@ -7,11 +7,21 @@ from pyspark.sql import functions as F
 
 _ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
 _PLAIN = "aaaaaaceeeeiiiinoooooouuuuyy"
-#: Words that mark a status.
-DSQ_WORDS = ("DSQ", "DISQUALIF", "EXCLUDED")
-DNF_WORDS = ("DNF", "RETIRED", "ACCIDENT", "COLLISION", "SPUN", "ENGINE", "GEARBOX", "HYDRAULIC", "BRAKE", "SUSPENSION", "ELECTRICAL", "POWER UNIT", "PUNCTURE", "WITHDREW", "DNS", "NC")
-MECHANICAL_WORDS = ("ENGINE", "GEARBOX", "HYDRAULIC", "BRAKE", "SUSPENSION", "ELECTRICAL", "POWER UNIT", "TURBO", "CLUTCH", "OIL", "FUEL", "TRANSMISSION")
-ACCIDENT_WORDS = ("ACCIDENT", "COLLISION", "SPUN", "CRASH", "DAMAGE")
+#: Parts of a status that make an outcome; DNF_WORDS are for outcomes, the other lists for history.
+DSQ_WORDS = ("DSQ", "DISQUAL")
+DNF_WORDS = (
+    "DNF", "DNS", "DNQ", "NC", "NOT CLASSIFIED", "NOTCLASSIFIED", "RETIRED", "WITHDREW", "ACCIDENT", "COLLISION", "SPUN OFF", "SPIN", "ENGINE", "GEARBOX",
+    "TRANSMISSION", "BRAKES", "BRAKE", "SUSPENSION", "HYDRAULIC", "ELECTRICAL", "POWER UNIT", "COOLING", "PUNCTURE", "DAMAGE", "OVERHEAT",
+)
+HISTORY_DNF_WORDS = (
+    "DNF", "ACCIDENT", "COLLISION", "ENGINE", "HYDRAULICS", "ELECTRICAL", "GEARBOX", "TRANSMISSION", "SUSPENSION", "BRAKES", "PUNCTURE", "OVERHEATING",
+    "MECHANICAL", "EXHAUST", "CLUTCH", "WHEEL", "DRIVESHAFT", "STEERING", "FUEL", "OIL LEAK", "WATER PRESSURE", "POWER UNIT", "PU",
+)
+RETIRED_WORDS = ("RET", "DNF", "ACCIDENT", "COLLISION", "ENGINE", "GEARBOX", "HYDRAUL", "ELECTRICAL", "SUSPENSION", "CRASH", "POWER UNIT", "OVERHEATING")
+NO_TIME_WORDS = ("NO TIME", "NO-TIME", "NOTIME", "DNS", "DNF", "DSQ", "DISQUAL", "EXCLUDED", "PENALTY", "PEN", "DELETED", "TRACK LIMITS")
+MECHANICAL_WORDS = ("ENGINE", "GEAR", "HYDRAUL", "ELECT", "BRAKE", "SUSP", "CLUTCH", "OVERHEAT", "DRIVESHAFT", "EXHAUST", "FUEL", "TURBO", "POWER UNIT")
+ACCIDENT_WORDS = ("ACCIDENT", "COLLISION", "SPUN OFF", "CRASH")
+INCIDENT_WORDS = ("INCIDENT", "CRASH", "COLLISION", "SPIN", "DNF", "RETIRE", "CONTACT", "OFF", "WALL")
 SESSIONS = {"race": "R", "qualifying": "Q", "sprint": "S", "sprint qualifying": "SQ", "sprint shootout": "SQ", "practice 1": "FP1", "practice 2": "FP2", "practice 3": "FP3"}
 
 
@@ -80,8 +90,15 @@ def effective_position(name: Column, position: Column) -> Column:
 
 
 def status_bucket(status: Column) -> Column:
+    """A mechanical word counts before an accident's, both before a finish; ``+1 Lap`` is none of them, unlike ``+2 Laps``."""
     s = F.upper(status)
-    return F.when(any_word(s, MECHANICAL_WORDS), "mechanical").when(any_word(s, ACCIDENT_WORDS), "accident").when(s.rlike(r"FINISHED|\+?\d+\s+LAP"), "finish").otherwise("other")
+    kept = s.rlike(r"FINISHED|\+\d+ LAPS") & ~s.rlike("DISQUALIFIED|EXCLUDED")
+    return F.when(any_word(s, MECHANICAL_WORDS), "mechanical").when(any_word(s, ACCIDENT_WORDS), "accident").when(kept, "finish").otherwise("other")
+
+
+def history_dnf(status: Column) -> Column:
+    """Whether a past result counts as not finished; null without a status."""
+    return any_word(status, HISTORY_DNF_WORDS) | (F.upper(status) == "NC")
 
 
 def stage_reached(q1: Column, q2: Column, q3: Column) -> Column:

@@ -252,27 +252,38 @@ def derivative_p95(spark: SparkSession, d: str) -> DataFrame:
     return tidy(rows.groupBy("driver").agg(stats.percentile(F.when(v > 0, v), 0.95).alias("accel_p95"), stats.percentile(F.when(v < 0, -v), 0.95).alias("decel_p95")))
 
 
-_SIGNALS = "sig AS (SELECT driver, day, us / 1e6 AS t, x * 3 AS speed, x AS throttle, (x < 20)::INT AS brake, (event_id % 8)::INT AS gear, (event_id % 14)::INT AS drs FROM laps)"
+_SIGNALS = "sig AS (SELECT driver, day, us / 1e6 AS t, x * 3 AS speed, x AS throttle, (x < 20)::INT AS brake, CASE WHEN event_id % 9 > 0 THEN (event_id % 8)::INT END AS gear, (event_id % 14)::INT AS drs, 8000 + 40 * x AS rpm FROM laps)"
 
 
 def _signals(spark: SparkSession, d: str) -> DataFrame:
     x, n = F.col("x"), F.col("event_id")
-    return laps(spark, d).select("driver", "day", (F.col("us") / 1e6).alias("t"), (x * 3).alias("speed"), x.alias("throttle"), (x < 20).cast("int").alias("brake"), (n % 8).cast("int").alias("gear"), (n % 14).cast("int").alias("drs"))
+    return laps(spark, d).select("driver", "day", (F.col("us") / 1e6).alias("t"), (x * 3).alias("speed"), x.alias("throttle"), (x < 20).cast("int").alias("brake"), F.when(n % 9 > 0, (n % 8).cast("int")).alias("gear"), (n % 14).cast("int").alias("drs"), (8000 + 40 * x).alias("rpm"))
 
 
-@query(f"""WITH {LAPS}, {_SIGNALS}, a AS (SELECT *, (speed - lag(speed) OVER w) / nullif(t - lag(t) OVER w, 0) AS v, (gear <> lag(gear) OVER w)::INT AS sh FROM sig WINDOW w AS (PARTITION BY driver, day ORDER BY t))
-SELECT driver, day, round(avg(speed), 6) AS speed_mean, round(max(speed), 6) AS speed_max, round(stddev_samp(speed), 6) AS speed_std, round(avg(throttle), 6) AS throttle_mean, round(max(throttle), 6) AS throttle_max, round(stddev_samp(throttle), 6) AS throttle_std,
-  round(avg(brake), 6) AS brake_mean, max(brake)::BIGINT AS brake_max, round(stddev_samp(brake), 6) AS brake_std, round(avg(gear), 6) AS gear_mean, max(gear)::BIGINT AS gear_max, round(stddev_samp(gear), 6) AS gear_std,
-  round(avg((throttle >= 95)::INT), 6) AS full_throttle_share, round(avg((brake >= 0.5)::INT), 6) AS brake_share, round(avg((drs >= 10)::INT), 6) AS drs_share,
-  round(quantile_cont(v, 0.95) FILTER (WHERE v > 0), 6) AS accel_p95, round(quantile_cont(-v, 0.95) FILTER (WHERE v < 0), 6) AS decel_p95, round(sum(sh) / nullif(max(t) - min(t), 0), 6) AS shift_rate, count(*)::BIGINT AS samples
-FROM a GROUP BY 1, 2""")
+_LAP_STATS = [f"{c}_{n}" for c in ("speed", "throttle", "brake", "gear", "rpm", "drs") for n in ("mean", "max", "std")]
+_PER_LAP = f"""{LAPS}, {_SIGNALS}, a AS (SELECT *, (speed - lag(speed) OVER w) / nullif(t - lag(t) OVER w, 0) AS v FROM sig WINDOW w AS (PARTITION BY driver, day ORDER BY t)),
+g AS (SELECT driver, day, count_if(gear IS DISTINCT FROM before) AS sh FROM (SELECT *, lag(gear) OVER (PARTITION BY driver, day ORDER BY t) AS before FROM sig WHERE gear IS NOT NULL) GROUP BY driver, day),
+lp AS (SELECT driver, day, {', '.join(f"{f}({c}) AS {c}_{n}" for c in ("speed", "throttle", "brake", "gear", "rpm", "drs") for n, f in (("mean", "avg"), ("max", "max"), ("std", "stddev_samp")))},
+  avg((throttle >= 90)::INT) AS throttle_p90_share, avg((brake > 0)::INT) AS brake_active_share, avg((drs > 0)::INT) AS drs_share, quantile_cont(rpm, 0.95) AS rpm_p95, quantile_cont(v, 0.95) FILTER (WHERE v > 0) AS accel_p95,
+  quantile_cont(-v, 0.95) FILTER (WHERE v < 0) AS decel_p95, max(sh) / nullif(max(t) - min(t), 0) AS shift_rate_hz, count(*) AS samples FROM a LEFT JOIN g USING (driver, day) GROUP BY driver, day)"""
+_LAP_RATES = ["throttle_p90_share", "brake_active_share", "drs_share", "rpm_p95", "accel_p95", "decel_p95", "shift_rate_hz"]
+_WHOLE = ("brake_max", "gear_max", "drs_max")
+
+
+@query(f"""WITH {_PER_LAP} SELECT driver, day, {', '.join(f"{c}::BIGINT AS {c}" if c in _WHOLE else f"round({c}, 6) AS {c}" for c in [*_LAP_STATS, *_LAP_RATES])}, samples::BIGINT AS samples FROM lp""")
 def per_lap_telemetry_agg(spark: SparkSession, d: str) -> DataFrame:
-    return tidy(telemetry.per_lap(_signals(spark, d), ["driver", "day"], "t", "speed", "throttle", "brake", "gear", "drs"))
+    return tidy(telemetry.per_lap(_signals(spark, d), ["driver", "day"], "t", "speed", "throttle", "brake", "gear", "drs", "rpm"))
+
+
+@query(f"""WITH {_PER_LAP} SELECT driver, {', '.join(f"round(avg({c}), 6) AS {c}" for c in [*_LAP_STATS, *_LAP_RATES, "samples"])} FROM lp GROUP BY driver""")
+def per_race_telemetry_agg(spark: SparkSession, d: str) -> DataFrame:
+    per = telemetry.per_lap(_signals(spark, d), ["driver", "day"], "t", "speed", "throttle", "brake", "gear", "drs", "rpm")
+    return tidy(telemetry.per_race(per.drop("day"), ["driver"]))
 
 
 @query(f"""WITH {LAPS}, {_SIGNALS}, a AS (SELECT *, throttle >= 95 AND speed >= 150 AS st, drs >= 10 AS o FROM sig)
 SELECT driver, count(*)::BIGINT AS samples, round(quantile_cont(speed, 0.95), 6) AS speed_p95, round(max(speed), 6) AS speed_max, round(avg((throttle >= 95)::INT), 6) AS full_throttle_share, round(avg((brake >= 0.5)::INT), 6) AS brake_share,
-  round(avg(o::INT), 6) AS drs_share, round(avg(st::INT), 6) AS straight_share, round(avg(speed) FILTER (WHERE st), 6) AS straight_speed_mean, round(avg(speed) FILTER (WHERE st AND o) - avg(speed) FILTER (WHERE st AND NOT o), 6) AS drs_gain FROM a GROUP BY 1""")
+  round(avg(speed) FILTER (WHERE brake >= 0.5), 6) AS brake_speed_mean, round(avg(o::INT), 6) AS drs_share, round(avg(st::INT), 6) AS straight_share, round(avg(speed) FILTER (WHERE st), 6) AS straight_speed_mean, round(avg(speed) FILTER (WHERE st AND o) - avg(speed) FILTER (WHERE st AND NOT o), 6) AS drs_gain FROM a GROUP BY 1""")
 def weekend_telemetry_metrics(spark: SparkSession, d: str) -> DataFrame:
     return tidy(telemetry.efficiency(_signals(spark, d), ["driver"], "speed", "throttle", "brake", "drs"))
 
@@ -442,7 +453,7 @@ def _statuses(df: DataFrame) -> DataFrame:
 _OUT = f"""{RES}, s AS (SELECT *, {_STATUS}[k % 6 + 1] AS s FROM res), o AS (SELECT *, CASE WHEN s = 'Disqualified' THEN 'dsq' WHEN s IN ('Finished', '+1 Lap') THEN 'finish' WHEN s IN ('Engine', 'Collision') THEN 'dnf' WHEN pos > 0 THEN 'finish' ELSE 'dnf' END AS outcome FROM s)"""
 
 
-@query(f"WITH {_OUT} SELECT k, outcome, CASE outcome WHEN 'finish' THEN 0 WHEN 'dnf' THEN 1 ELSE 2 END::BIGINT AS outcome_id, CASE s WHEN 'Engine' THEN 'mechanical' WHEN 'Collision' THEN 'accident' WHEN 'Finished' THEN 'finish' WHEN '+1 Lap' THEN 'finish' ELSE 'other' END AS bucket FROM o")
+@query(f"WITH {_OUT} SELECT k, outcome, CASE outcome WHEN 'finish' THEN 0 WHEN 'dnf' THEN 1 ELSE 2 END::BIGINT AS outcome_id, CASE s WHEN 'Engine' THEN 'mechanical' WHEN 'Collision' THEN 'accident' WHEN 'Finished' THEN 'finish' ELSE 'other' END AS bucket FROM o")
 def outcome_normalise(spark: SparkSession, d: str) -> DataFrame:
     rows = _statuses(results(spark, d)).withColumn("outcome", text.outcome(F.col("s"), F.col("pos")))
     return tidy(rows.select("k", "outcome", text.outcome_id(F.col("outcome")).alias("outcome_id"), text.status_bucket(F.col("s")).alias("bucket")))

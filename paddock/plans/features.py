@@ -26,12 +26,15 @@ CUT = ["cut_y", "cut_r"]
 TABLES = {
     "results": "year int, round int, session string, driver string, team string, position double, grid double, points double, status string, q1 double, q2 double, q3 double, time double",
     "laps": "year int, round int, session string, driver string, team string, lap int, lap_s double, time_s double, start_s double, stint int, compound string, tyre_age int, track_status string, is_accurate boolean, deleted boolean, pit_in double, pit_out double, position double, s1 double, s2 double, s3 double, gap_s double",
-    "meta": "year int, round int, event string, circuit string, location string, format string",
-    "weather": "year int, round int, session string, t_s double, air double, track double, humidity double, wind double, rain double",
+    "meta": "year int, round int, event string, official string, circuit string, location string, format string",
+    "schedule": "year int, round int, session string, starts timestamp",
+    "session_windows": "year int, round int, session string, t0 timestamp, t1 timestamp",
+    "weather": "year int, round int, session string, t_s double, utc timestamp, air double, track double, humidity double, wind double, rain double, rain_prob double",
     "race_ctrl": "year int, round int, t_s double, lap int, category string, message string, status string, flag string",
     "track_status": "year int, round int, t_s double, status string, message string",
-    "session_status": "year int, round int, t_s double, status string",
-    "telemetry": "year int, round int, session string, driver string, t_s double, speed double, throttle double, brake double, drs double",
+    "race_events": "year int, round int, lap int, driver string, event string",
+    "session_status": "year int, round int, t_s double, status string, message string",
+    "telemetry": "year int, round int, session string, driver string, t_s double, speed double, throttle double, brake double, drs double, gear double, rpm double",
     "pit_stops": "year int, round int, driver string, lap int, seconds double",
 }
 SESSION_ORDER = {"FP1": 1, "FP2": 2, "FP3": 3, "Q": 4}
@@ -99,7 +102,7 @@ def is_pit(df_in: str = "pit_in", df_out: str = "pit_out") -> Column:
 
 def race_results(ctx: Context) -> DataFrame:
     rows = ctx.table("results").filter("session = 'R'")
-    return rows.withColumn("dnf", F.coalesce(text.any_word(F.col("status"), text.DNF_WORDS), F.lit(False)).cast("int"))
+    return rows.withColumn("dnf", text.history_dnf(F.col("status")).cast("int"))
 
 
 def pick(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -135,17 +138,17 @@ def quali_priors_pre(ctx: Context) -> DataFrame:
     q = ctx.table("results")
     rows = lookback.first_available([q.filter("session = 'Q'"), q.filter("session = 'SQ'")], RACE)
     rows = rows.withColumn("rel", clip(F.col("position") - percentile("position", 0.5).over(Window.partitionBy(*RACE)), -5, 5))
-    missing = F.coalesce(F.upper("status").rlike("NO TIME|PENALT|DNS|DSQ"), F.col("position").isNull())
+    missing = F.coalesce(text.any_word(F.col("status"), text.NO_TIME_WORDS) | (F.upper("status") == "NC"), F.col("position").isNull())
     spread = iqr("rel")
     p = "quali_pre_"
     agg = ctx.past(rows, 30).groupBy(*CUT, "driver").agg(F.count("*").alias(f"{p}hist_n"), percentile("position", 0.5).alias(f"{p}pos_p50"), spread.alias(f"{p}pos_iqr"), F.min("position").alias(f"{p}bestpos_min"), rate(F.col("position") <= 10, F.col("position")).alias(f"{p}top10_rate"), rate(missing).alias(f"{p}notime_or_pen_rate"), F.avg("points").alias(f"{p}points_mean"), (-spread).alias(f"{p}pos_consistency"), F.max(F.struct("year", "round")).alias("m"))
     out = back(agg.withColumns({f"{p}last_seen_year": F.col("m.year"), f"{p}last_seen_round": F.col("m.round")}).drop("m"))
-    return on_roster(ctx, out).na.fill(0, [f"{p}hist_n"])
+    return on_roster(ctx, out)
 
 
 def track_keys(ctx: Context) -> DataFrame:
     """year, round, keys: slugs of the event, circuit and place."""
-    slugs = F.array(*[text.slug_ascii(F.col(c)) for c in ("event", "circuit", "location")])
+    slugs = F.array(*[text.slug_ascii(F.col(c)) for c in ("event", "circuit", "official", "location")])
     return ctx.table("meta").select(*RACE, F.array_distinct(F.filter(slugs, lambda s: F.coalesce(s, F.lit("")) != "")).alias("keys"), tracks.slug_of(text.slug_ascii(F.coalesce("circuit", "event"))).alias("track"))
 
 
@@ -189,7 +192,7 @@ def driver_track_cluster_pre(ctx: Context) -> DataFrame:
     until = F.coalesce(F.lead("upto", 8).over(Window.partitionBy("driver", "cluster").orderBy(*RACE)), F.col("all"))
     copied = races.withColumn("until", until).filter("until > upto").withColumn("no", F.explode(F.sequence(F.col("upto") + 1, F.col("until")))).drop(*RACE)
     last = copied.join(lookback.few(cuts.select(F.col("year").alias("cut_y"), F.col("round").alias("cut_r"), "cluster", "no")), ["cluster", "no"])
-    retired = F.coalesce(text.any_word(F.col("status"), text.DNF_WORDS), F.lit(False))
+    retired = F.coalesce(text.any_word(F.col("status"), text.RETIRED_WORDS), F.lit(False))
     own = last.groupBy(*CUT, "driver").agg(F.count("position").alias("n"), percentile("position", 0.5).alias("finish_p50"), F.avg(F.coalesce("points", F.lit(0.0))).alias("points_mean"), rate(F.col("position").between(1, 10), F.col("position")).alias("top10_rate"), percentile("grid", 0.5).alias("grid_p50"), rate(retired).alias("retire_rate"))
     w = Window.partitionBy(*CUT)
     rules = {"finish_p50": (3, percentile("finish_p50", 0.5)), "points_mean": (6, F.avg("points_mean")), "top10_rate": (6, F.avg("top10_rate")), "grid_p50": (3, percentile("grid_p50", 0.5)), "retire_rate": (6, F.avg("retire_rate"))}
@@ -218,7 +221,7 @@ def history_form(ctx: Context) -> DataFrame:
     pace = back(seen.groupBy(*CUT, "driver").agg(F.count("*").alias(f"{p}hist_n"), percentile("best10_rel", 0.5).alias(f"{p}best10_pace_p50_s"), iqr("best10_rel").alias(f"{p}best10_pace_iqr_s"), clip(mean, -0.3, 0.3).alias(f"{p}clean_share_mean"), F.max(F.struct("year", "round")).alias("m")).withColumns({f"{p}last_seen_year": F.col("m.year"), f"{p}last_seen_round": F.col("m.round")}).drop("m"))
     team = ctx.roster.select(F.col("year").alias("cut_y"), F.col("round").alias("cut_r"), "driver", F.col("team").alias("now_team"))
     res = back(ctx.past(race_results(ctx), 10).join(team, [*CUT, "driver"], "left").groupBy(*CUT, "driver").agg(F.avg("dnf").alias(f"{p}dnf_rate"), F.avg((F.col("team") == F.col("now_team")).cast("int")).alias(f"{p}team_stability")))
-    return on_roster(ctx, pace.join(res, KEY, "full_outer")).na.fill(0, [f"{p}hist_n"])
+    return on_roster(ctx, pace.join(res, KEY, "full_outer"))
 
 
 @feature
@@ -256,17 +259,19 @@ def dev_trend_pre(ctx: Context) -> DataFrame:
 
 @feature
 def traffic_overtake_pre(ctx: Context) -> DataFrame:
+    """Places won on the first lap, incidents on it, what a car close ahead costs, and net passes a hundred green laps: means of ten races.
+
+    Incidents are those of the race's events; only where these name nobody, who lost three places or stopped has one."""
     laps = ctx.table("laps").filter("session = 'R'")
     grid = race_results(ctx).select(*KEY, "grid")
-    first = laps.filter("lap = 1").groupBy(*KEY).agg(F.min("position").alias("after"), F.max(is_pit().cast("int")).alias("pit")).join(grid, KEY, "left").withColumn("gain", F.col("grid") - F.col("after"))
-    said = ctx.table("race_ctrl").filter((F.col("lap") == 1) & F.upper("message").rlike("INCIDENT|COLLISION|CRASH")).select(*RACE, "message")
-    named = said.join(first.select(*KEY), RACE).filter(F.col("message").contains(F.col("driver"))).select(*KEY).distinct().withColumn("named", F.lit(1))
+    first = laps.filter("lap = 1").groupBy(*KEY).agg(F.min("position").alias("after"), F.max(is_pit().cast("int")).alias("pit")).join(grid, KEY, "left").withColumn("gain", F.col("grid") - F.col("after")).filter("gain is not null")
+    named = ctx.table("race_events").filter((F.col("lap") == 1) & text.any_word(F.col("event"), text.INCIDENT_WORDS)).select(*KEY).distinct().withColumn("named", F.lit(1))
     first = first.join(named, KEY, "left").withColumn("any_named", F.max(F.coalesce("named", F.lit(0))).over(Window.partitionBy(*RACE)))
-    incident = F.when(F.col("any_named") == 1, F.coalesce("named", F.lit(0))).otherwise(F.coalesce((F.col("gain") <= -3) | (F.col("pit") == 1), F.lit(False)).cast("int"))
-    usable = laps.filter(F.col("lap_s").between(40, 200) & ~is_pit() & no_caution(F.col("track_status")))
+    incident = F.when(F.col("any_named") == 1, F.coalesce("named", F.lit(0))).otherwise(((F.col("gain") <= -3) | (F.col("pit") == 1)).cast("int"))
+    free = laps.filter(~is_pit() & no_caution(F.col("track_status")))
     close = F.coalesce(F.col("gap_s") < 1.5, F.lit(False))
-    traffic = usable.groupBy(*KEY).agg((F.avg(F.when(close, F.col("lap_s"))) - F.avg(F.when(~close, F.col("lap_s")))).alias("penalty"), F.count("*").alias("green"))
-    net = pivots.position_changes(laps.filter(no_caution(F.col("track_status"))), KEY, ["lap"], "position").select(*KEY, "net_change")
+    traffic = free.filter(F.col("lap_s").between(40, 200)).groupBy(*KEY).agg((F.avg(F.when(close, F.col("lap_s"))) - F.avg(F.when(~close, F.col("lap_s")))).alias("penalty"))
+    net = pivots.position_changes(free, KEY, ["lap"], "position").select(*KEY, "net_change").join(free.groupBy(*KEY).agg((F.count_distinct("lap") - 1).alias("green")), KEY)
     per = first.withColumn("incident", incident).select(*KEY, "gain", "incident").join(traffic, KEY, "full_outer").join(net, KEY, "full_outer").withColumn("net", F.try_divide(100 * F.col("net_change"), F.col("green")))
     agg = ctx.past(per, 10).groupBy(*CUT, "driver").agg(F.avg("gain").alias("lap1_gain_avg_prev10"), F.avg("incident").alias("lap1_incident_rate_prev10"), F.avg("penalty").alias("traffic_penalty_s_prev10"), F.avg("net").alias("net_pass_index_prev10"))
     return on_roster(ctx, back(agg))
@@ -275,34 +280,63 @@ def traffic_overtake_pre(ctx: Context) -> DataFrame:
 # --- risks and strategy ----------------------------------------------------------------------------------------------
 
 
-def chaos_stats(ctx: Context) -> DataFrame:
-    """Per race: whether and how often neutralisations came, wet and late starts, early yellows. A virtual deployment also sets the
-    safety-car flag, as its words contain the other's."""
-    up = lambda c: F.upper(F.coalesce(F.col(c), F.lit("")))
-    rc = ctx.table("race_ctrl").withColumn("m", F.concat_ws(" ", up("category"), up("message"), up("status"), up("flag")))
-    early = F.col("t_s") <= 900
-    control = rc.groupBy(*RACE).agg(
-        F.max(F.col("m").contains("SAFETY CAR DEPLOYED").cast("int")).alias("sc"), F.max(F.col("m").contains("VIRTUAL SAFETY CAR DEPLOYED").cast("int")).alias("vsc"), F.max(F.col("m").rlike("RED FLAG").cast("int")).alias("red"), F.max(F.col("m").rlike("DELAYED|START DELAY").cast("int")).alias("delayed"), F.max(F.col("m").rlike("BEHIND THE SAFETY CAR|ROLLING START").cast("int")).alias("behind"),
-        F.max(F.when(early, F.col("m").rlike("YELLOW|SAFETY CAR").cast("int"))).alias("yellow"), F.count_if(F.col("m").contains("SAFETY CAR DEPLOYED") & ~F.col("m").contains("VIRTUAL")).alias("sc_n"), F.count_if(F.col("m").contains("VIRTUAL SAFETY CAR DEPLOYED")).alias("vsc_n"))
-    start = F.min("t_s").over(Window.partitionBy(*RACE))
-    ts = ctx.table("track_status").withColumn("early", F.col("t_s") <= start + 900)
-    status = ts.groupBy(*RACE).agg(F.max((F.col("status") == "4").cast("int")).alias("sc_t"), F.max(F.col("status").isin("6", "7").cast("int")).alias("vsc_t"), F.max((F.col("status") == "5").cast("int")).alias("red_t"), F.max(F.when(F.col("early"), F.col("status").isin("2", "4", "5", "6", "7").cast("int"))).alias("yellow_t"), F.count_if(F.col("status") == "4").alias("sc_tn"), F.count_if(F.col("status") == "6").alias("vsc_tn"))
-    wet = ctx.table("weather").filter("session = 'R'").filter(F.col("t_s") <= 720).groupBy(*RACE).agg(F.max((F.col("rain") > 0).cast("int")).alias("wet"), F.avg((F.col("rain") > 0).cast("int")).alias("rain_share"))
-    late = ctx.table("session_status").groupBy(*RACE).agg(F.max(F.upper("status").contains("DELAY").cast("int")).alias("delayed_s"))
-    out = control.join(status, RACE, "full_outer").join(wet, RACE, "full_outer").join(late, RACE, "full_outer")
-    both = lambda a, b: F.greatest(F.col(a), F.col(b))
-    return out.select(*RACE, both("sc", "sc_t").alias("sc_rate"), both("vsc", "vsc_t").alias("vsc_rate"), both("red", "red_t").alias("red_flag_rate"), F.col("wet").alias("wet_start_rate"), both("delayed", "delayed_s").alias("delayed_start_rate"), F.col("behind").alias("start_behind_sc_rate"), both("yellow", "yellow_t").alias("early_yellow_rate"),
-                      (F.coalesce("sc_n", F.lit(0)) + F.coalesce("sc_tn", F.lit(0))).alias("sc_deploy_mean"), (F.coalesce("vsc_n", F.lit(0)) + F.coalesce("vsc_tn", F.lit(0))).alias("vsc_deploy_mean"), F.col("rain_share").alias("rainfall_share_start"))
+def any_of(c: Column, *parts: str) -> Column:
+    """Whether an upper-case text holds one of the parts."""
+    return reduce(lambda a, b: a | b, [c.contains(p) for p in parts])
+
 
+def races_of(ctx: Context) -> DataFrame:
+    """The rounds of the calendar: those of the meta data and of the race results."""
+    return ctx.table("meta").select(*RACE).unionByName(race_results(ctx).select(*RACE)).distinct()
 
-CHAOS_WEIGHTS = {"sc_rate": 0.28, "vsc_rate": 0.12, "red_flag_rate": 0.22, "wet_start_rate": 0.16, "delayed_start_rate": 0.10, "start_behind_sc_rate": 0.04, "early_yellow_rate": 0.08}
+
+def chaos_stats(ctx: Context) -> DataFrame:
+    """Per race of the calendar: whether and how often neutralisations came, red flags, wet and late starts, early yellows. What no
+    message tells did not happen; wet starts and early yellows are unknown without rows. A virtual deployment also sets the
+    safety-car flag and count, as its words contain the other's."""
+    up = lambda c: F.upper(F.coalesce(F.col(c), F.lit("")))
+    said = lambda c, *parts: F.max(any_of(up(c), *parts).cast("int"))
+    control = ctx.table("race_ctrl").groupBy(*RACE).agg(
+        F.greatest(said("message", "SAFETY CAR DEPLOYED", "SAFETY CAR IN THIS LAP", "SAFETY CAR THROUGH THE PIT LANE"), F.max(((up("category") == "SAFETYCAR") & up("status").isin("DEPLOYED", "IN THIS LAP")).cast("int"))).alias("sc"),
+        said("message", "VIRTUAL SAFETY CAR DEPLOYED", "VIRTUAL SAFETY CAR ENDING").alias("vsc"), F.greatest(said("message", "RED FLAG"), said("flag", "RED")).alias("red"),
+        said("message", "STARTING PROCEDURE SUSPENDED", "START DELAYED", "FORMATION LAP WILL START AT").alias("delayed"), said("message", "RACE WILL START BEHIND THE SAFETY CAR", "FORMATION LAP WILL BE STARTED BEHIND THE SAFETY CAR").alias("behind"),
+        F.count_if(up("message").rlike(r"\bSAFETY CAR DEPLOYED\b")).alias("sc_n"), F.count_if(up("message").rlike(r"\bVIRTUAL SAFETY CAR DEPLOYED\b")).alias("vsc_n"))
+    early = any_of(up("message"), "YELLOW", "SCDEPLOYED", "VSCDEPLOYED", "RED") | F.coalesce(F.col("status").isin("2", "4", "5", "6", "7"), F.lit(False))
+    status = ctx.table("track_status").groupBy(*RACE).agg(
+        said("message", "SCDEPLOYED").alias("sc_t"), said("message", "VSCDEPLOYED", "VSCENDING").alias("vsc_t"), said("message", "RED").alias("red_t"), F.max(F.when(F.col("t_s") <= 900, early.cast("int"))).alias("yellow"),
+        F.count_if(up("message") == "SCDEPLOYED").alias("sc_tn"), F.count_if(up("message") == "VSCDEPLOYED").alias("vsc_tn"))
+    session = ctx.table("session_status").groupBy(*RACE).agg(
+        said("message", "VIRTUAL SAFETY CAR").alias("vsc_s"), F.greatest(said("message", "RED FLAG"), said("status", "ABORTED", "SUSPENDED", "RED")).alias("red_s"),
+        F.greatest(said("message", "DELAY", "SUSPEND"), said("status", "DELAYED", "SUSPENDED")).alias("delayed_s"), said("message", "START BEHIND THE SAFETY CAR").alias("behind_s"))
+    rain = F.coalesce("rain", clip(F.col("rain_prob"), 0, 1))
+    first = (F.col("t_s") <= 720).cast("int")
+    start = ctx.table("weather").filter("session = 'R'").withColumn("_first", F.coalesce(first, F.lit(0))).withColumn("_any", F.max("_first").over(Window.partitionBy(*RACE))).filter("_first = 1 or _any = 0")
+    wet = start.groupBy(*RACE).agg(F.max((rain > 0).cast("int")).alias("wet"), F.avg(rain).alias("rain_share"))
+    out = races_of(ctx).join(control, RACE, "left").join(status, RACE, "left").join(session, RACE, "left").join(wet, RACE, "left")
+    one = lambda *names: F.greatest(*[F.coalesce(n, F.lit(0)) for n in names], F.lit(0))
+    sums = lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+    return out.select(*RACE, one("sc", "sc_t").alias("sc_rate"), one("vsc", "vsc_t", "vsc_s").alias("vsc_rate"), one("red", "red_t", "red_s").alias("red_flag_rate"), F.col("wet").alias("wet_start_rate"), one("delayed", "delayed_s").alias("delayed_start_rate"), one("behind", "behind_s").alias("start_behind_sc_rate"),
+                      F.col("yellow").alias("early_yellow_rate"), sums("sc_n", "sc_tn").alias("sc_deploy_mean"), sums("vsc_n", "vsc_tn").alias("vsc_deploy_mean"), F.col("rain_share").alias("rainfall_share_start"))
+
+
+# The weights of the index.
+CHAOS_WEIGHTS = {"sc_rate": 0.28, "vsc_rate": 0.12, "red_flag_rate": 0.22, "wet_start_rate": 0.16, "start_behind_sc_rate": 0.10, "delayed_start_rate": 0.04, "early_yellow_rate": 0.08}
+
+
+def with_same_event(ctx: Context, seen: DataFrame) -> DataFrame:
+    """seen with ``same``: the past round has the cut-off's event name, else official name, place or circuit."""
+    slug = ctx.table("meta").select(*RACE, text.slug_word(F.coalesce("event", "official", "location", "circuit")).alias("_s"))
+    past, cut = slug.withColumnRenamed("_s", "_ps"), slug.select(F.col("year").alias("cut_y"), F.col("round").alias("cut_r"), F.col("_s").alias("_cs"))
+    return seen.join(lookback.few(past), RACE, "left").join(lookback.few(cut), CUT, "left").withColumn("same", F.coalesce(F.col("_ps") == F.col("_cs"), F.lit(False))).drop("_ps", "_cs")
 
 
 def chaos_priors(ctx: Context) -> DataFrame:
-    """Per cut-off: means of the last eight races blended with those at the same track among the last ten."""
-    seen = with_same_track(ctx, ctx.past(chaos_stats(ctx), 10))
+    """Per cut-off: means of the last eight races blended with those at the same event among the last ten."""
+    recent, wide = int(ctx.options.get("chaos_recent_window", 8)), int(ctx.options.get("chaos_prev_n", 10))
+    seen = with_same_event(ctx, ctx.past(chaos_stats(ctx), wide))
     names = [*CHAOS_WEIGHTS, "sc_deploy_mean", "vsc_deploy_mean", "rainfall_share_start"]
-    agg = seen.groupBy(*CUT).agg(F.count("*").alias("chaos_pre_hist_n"), F.count_if("same").alias("chaos_pre_same_track_n"), *[F.avg(F.when(F.col("same"), F.col(c))).alias(f"s_{c}") for c in names], *[F.avg(F.when(F.col("age") <= 8, F.col(c))).alias(f"r_{c}") for c in names])
+    late = F.col("age") <= recent
+    agg = seen.groupBy(*CUT).agg(F.count_if(late).alias("chaos_pre_hist_n"), F.count_if("same").alias("chaos_pre_same_track_n"), *[F.avg(F.when(F.col("same"), F.col(c))).alias(f"s_{c}") for c in names], *[F.avg(F.when(late, F.col(c))).alias(f"r_{c}") for c in names])
     out = agg.select(*CUT, "chaos_pre_hist_n", "chaos_pre_same_track_n", *[stats.blend(F.col(f"s_{c}"), F.col(f"r_{c}"), F.col("chaos_pre_same_track_n")).alias(f"chaos_pre_{c}") for c in names])
     index = total([w * F.coalesce(F.col(f"chaos_pre_{c}"), F.lit(0.0)) for c, w in CHAOS_WEIGHTS.items()])
     return out.withColumn("chaos_pre_index", F.when(F.coalesce(*[F.col(f"chaos_pre_{c}") for c in CHAOS_WEIGHTS]).isNotNull(), index))
@@ -313,15 +347,44 @@ def event_chaos_priors_pre(ctx: Context) -> DataFrame:
     return on_roster(ctx, back(chaos_priors(ctx)), RACE).na.fill(0, ["chaos_pre_hist_n", "chaos_pre_same_track_n"])
 
 
+#: The order in which sessions stand in for the race's weather where no schedule tells their times.
+EARLIER_SESSIONS = ("Q", "SQ", "S", "FP3", "FP2", "FP1")
+FORECAST = "FC"
+
+
+def weather_source(ctx: Context) -> DataFrame:
+    """The rows of each round's source, with ``tail``: whether it is an earlier session, of which the last minutes count.
+
+    By ``weather_mode``: pre_race takes the forecast, else the latest session that the schedule has before the race (else the
+    first of EARLIER_SESSIONS); auto does too and, with ``allow_fallback_actual``, then takes the race's own; forecast and actual
+    take theirs alone."""
+    mode, fallback = ctx.options.get("weather_mode", "pre_race"), bool(ctx.options.get("allow_fallback_actual", False))
+    starts = ctx.now(ctx.table("schedule")).groupBy(*RACE, "session").agg(F.max("starts").alias("starts"))
+    race = starts.filter("session = 'R'").select(*RACE, F.col("starts").alias("_race"))
+    before = starts.filter("session <> 'R'").join(lookback.few(race), RACE, "left").filter(F.coalesce(F.col("starts") < F.col("_race"), F.lit(True)))
+    place = before.select(*RACE, "session", F.row_number().over(Window.partitionBy(*RACE).orderBy(F.desc_nulls_last("starts"), "session")).alias("_place"))
+    few = lambda df: lookback.few(df, 8 * lookback.MOST_ROUNDS)
+    rows = ctx.now(ctx.table("weather")).join(few(place), [*RACE, "session"], "left").join(few(place.select(*RACE, F.lit(True).alias("_listed")).distinct()), RACE, "left")
+    listed = F.coalesce(*[F.when(F.col("session") == s, F.lit(n + 1)) for n, s in enumerate(EARLIER_SESSIONS)])
+    forecast, earlier, own = F.when(F.col("session") == FORECAST, 0), F.when(F.col("_listed"), F.col("_place")).otherwise(listed), F.when(F.col("session") == "R", 99)
+    rank = {"forecast": forecast, "actual": own, "pre_race": F.coalesce(forecast, earlier), "auto": F.coalesce(forecast, earlier, own) if fallback else F.coalesce(forecast, earlier)}[mode]
+    one = rows.withColumn("_o", rank).withColumn("_b", F.min("_o").over(Window.partitionBy(*RACE))).filter("_o = _b")
+    return one.withColumn("tail", F.col("_o").between(1, 98)).drop("_place", "_listed", "_o", "_b")
+
+
 def weather_means(ctx: Context) -> DataFrame:
-    """Per cut-off: the last 15 minutes of the latest session before the race."""
-    order = {"Q": 0, "SQ": 1, "S": 2, "FP3": 3, "FP2": 4, "FP1": 5}
-    w = ctx.now(ctx.table("weather").filter(F.col("session").isin(list(order))))
-    rank = F.coalesce(*[F.when(F.col("session") == s, F.lit(n)) for s, n in order.items()])
-    one = w.withColumn("_o", rank).withColumn("_b", F.min("_o").over(Window.partitionBy(*RACE))).filter("_o = _b")
-    tail = windows.edge_rows(one, RACE, "t_s", 900, head=False)
+    """Per cut-off: the source's rows within the race's own window where both have absolute times, else the last 15 minutes of an
+    earlier session or the first 15 of a forecast; all of them where that leaves none."""
+    w = Window.partitionBy(*RACE)
+    span = ctx.table("session_windows").filter("session = 'R'").groupBy(*RACE).agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"))
+    rows = weather_source(ctx).join(lookback.few(span), RACE, "left")
+    absolute = F.max((F.col("utc").isNotNull() & F.col("t0").isNotNull() & F.col("t1").isNotNull()).cast("int")).over(w) == 1
+    edge = F.when(F.col("tail"), F.col("t_s") >= F.max("t_s").over(w) - 900).otherwise(F.col("t_s") <= 900)
+    inside = F.coalesce(F.when(absolute, F.col("utc").between(F.col("t0"), F.col("t1"))).otherwise(edge), F.lit(False))
+    kept = rows.withColumn("_in", inside.cast("int")).withColumn("_any", F.max("_in").over(w)).filter("_in = 1 or _any = 0")
     p = "weather_pre_"
-    return tail.groupBy(*RACE).agg(F.avg("air").alias(f"{p}air_temp_mean"), F.stddev_pop("air").alias(f"{p}air_temp_std"), F.avg("track").alias(f"{p}track_temp_mean"), F.avg("humidity").alias(f"{p}humidity_mean"), (3.6 * F.avg("wind")).alias(f"{p}wind_kph_mean"), percentile("rain", 0.75).alias(f"{p}rain_prob_p75"), F.count("*").alias(f"{p}records_n"))
+    rain = F.coalesce(percentile("rain_prob", 0.75), percentile("rain", 0.75))
+    return kept.groupBy(*RACE).agg(F.avg("air").alias(f"{p}air_temp_mean"), F.stddev_pop("air").alias(f"{p}air_temp_std"), F.avg("track").alias(f"{p}track_temp_mean"), F.avg("humidity").alias(f"{p}humidity_mean"), F.avg("wind").alias(f"{p}wind_kph_mean"), rain.alias(f"{p}rain_prob_p75"), F.count("*").alias(f"{p}records_n"))
 
 
 @feature
@@ -451,7 +514,7 @@ def practice_longrun_pre(ctx: Context) -> DataFrame:
     long = pick(runs, KEY, [F.desc("n"), F.desc("ord"), F.asc_nulls_last("best3"), *tie]).select(*KEY, F.col("pace").alias(f"{p}longrun_pace_s"), F.col("slope").alias(f"{p}longrun_deg_s_per_lap"), F.col("iqr").alias(f"{p}longrun_iqr_s"), F.col("n").alias(f"{p}longrun_laps"), F.col("ord").alias(f"{p}longrun_session_ord"))
     short = pick(runs.filter("best3 is not null"), KEY, [F.asc("best3"), F.desc("ord"), *tie]).select(*KEY, F.col("best3").alias(f"{p}shortrun_best3_s"), F.col("ord").alias(f"{p}shortrun_session_ord"))
     n = runs.groupBy(*KEY).agg(F.count("*").alias(f"{p}dry_runs_n"))
-    return on_roster(ctx, n.join(long, KEY, "left").join(short, KEY, "left")).na.fill(0, [f"{p}dry_runs_n"])
+    return on_roster(ctx, n.join(long, KEY, "left").join(short, KEY, "left"))
 
 
 @feature
@@ -460,7 +523,7 @@ def practice_compound_pre(ctx: Context) -> DataFrame:
     best = pick(practice_laps(ctx, 0), [*KEY, "compound"], [F.asc("lap_s"), F.desc("ord"), F.asc("lap")]).groupBy(*KEY).agg(F.count("*").alias(f"{p}dry_compounds_n"), *[F.max(F.when(F.col("compound") == c, F.col("lap_s"))).alias(f"{p}{c[0].lower()}_best_s") for c in DRY])
     long = pick(practice_runs(ctx), [*KEY, "compound"], [F.desc("n"), F.desc("ord"), F.asc("pace"), F.asc("stint")]).groupBy(*KEY).agg(*[F.max(F.when(F.col("compound") == c, F.col(x))).alias(f"{p}{c[0].lower()}_{n}") for c in DRY for x, n in (("pace", "longrun_pace_s"), ("slope", "deg_s_per_lap"))])
     out = best.join(long, KEY, "left").withColumns({f"{p}crossover_sm_s": F.col(f"{p}m_best_s") - F.col(f"{p}s_best_s"), f"{p}crossover_mh_s": F.col(f"{p}h_best_s") - F.col(f"{p}m_best_s")})
-    return on_roster(ctx, out).na.fill(0, [f"{p}dry_compounds_n"])
+    return on_roster(ctx, out)
 
 
 def mates(ctx: Context, df: DataFrame, pairs: dict[str, str]) -> DataFrame:
@@ -477,69 +540,78 @@ def mates(ctx: Context, df: DataFrame, pairs: dict[str, str]) -> DataFrame:
 
 @feature
 def practice_readiness_pre(ctx: Context) -> DataFrame:
+    """Who ran how much in practice. Who did not run, and flags of sessions that nobody ran, are unknown."""
     p = "ready_pre_"
-    laps = ctx.now(ctx.table("laps").filter(F.col("session").isin("FP1", "FP2", "FP3"))).withColumn("ord", session_ord())
-    flags = {"accurate": F.coalesce("is_accurate", F.lit(True)), "green": no_caution(F.col("track_status")), "dry": F.coalesce(F.upper("compound").isin(DRY), F.lit(False))}
+    laps = ctx.now(ctx.table("laps").filter(F.col("session").isin("FP1", "FP2", "FP3") & F.col("lap_s").isNotNull())).withColumn("ord", session_ord())
+    flags = {"accurate": F.coalesce("is_accurate", F.lit(True)), "green": is_green(F.col("track_status")), "dry": F.coalesce(F.upper("compound").isin(DRY), F.lit(False))}
     per = laps.groupBy(*KEY, "session", "ord").agg(F.count("*").alias("n"), *[F.avg(c.cast("int")).alias(k) for k, c in flags.items()])
     agg = per.groupBy(*KEY).agg(F.count("*").alias(f"{p}sessions_seen_n"), F.sum("n").alias(f"{p}total_laps"), *[stats.weighted_mean(F.col(k), F.col("n")).alias(f"{p}{k}_share") for k in flags], F.max("ord").alias(f"{p}latest_session_ord"), F.max_by("n", "ord").alias(f"{p}latest_session_laps"), *[F.max((F.col("session") == s).cast("int")).alias(f"has_{s}") for s in ("FP2", "FP3")])
     held = per.groupBy(*RACE).agg(*[F.max((F.col("session") == s).cast("int")).alias(f"held_{s}") for s in ("FP2", "FP3")])
-    out = on_roster(ctx, agg).join(held, RACE, "left").na.fill(0, [f"{p}sessions_seen_n", f"{p}total_laps", "has_FP2", "has_FP3", "held_FP2", "held_FP3"])
-    out = out.withColumns({f"{p}missing_{s.lower()}_flag": F.greatest(F.col(f"held_{s}") - F.col(f"has_{s}"), F.lit(0)) for s in ("FP2", "FP3")}).drop("has_FP2", "has_FP3", "held_FP2", "held_FP3")
+    out = on_roster(ctx, agg).join(lookback.few(held), RACE, "left")
+    out = out.withColumns({f"{p}missing_{s.lower()}_flag": F.when(F.col(f"held_{s}") == 1, 1 - F.col(f"has_{s}")) for s in ("FP2", "FP3")})
     out = mates(ctx, out, {f"{p}total_laps": f"{p}total_laps_tm_delta", f"{p}accurate_share": f"{p}accurate_share_tm_delta"})
-    issue = 0.6 * F.col(f"{p}missing_fp3_flag") + 0.35 * F.col(f"{p}missing_fp2_flag") + F.coalesce(clip(-F.col(f"{p}total_laps_tm_delta") / 25, 0, 1), F.lit(0.0)) + F.coalesce(clip(0.9 - F.col(f"{p}accurate_share"), 0, 0.9), F.lit(0.0))
-    return out.withColumn(f"{p}issue_index", clip(issue, 0, 3))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    issue = 0.6 * zero(F.col(f"{p}missing_fp3_flag")) + 0.35 * zero(F.col(f"{p}missing_fp2_flag")) + zero(clip(-F.col(f"{p}total_laps_tm_delta") / 25, 0, 1)) + zero(clip(0.9 - F.col(f"{p}accurate_share"), 0, 0.9))
+    return out.withColumn(f"{p}issue_index", F.when(F.col("held_FP2").isNotNull(), clip(issue, 0, 3))).drop("has_FP2", "has_FP3", "held_FP2", "held_FP3")
 
 
 def quali_laps(ctx: Context) -> DataFrame:
-    return ctx.now(ctx.table("laps").filter("session = 'Q'")).withColumn("good", no_caution(F.col("track_status")) & F.coalesce("is_accurate", F.lit(True)) & ~F.coalesce("deleted", F.lit(False)) & (F.col("lap_s") > 0))
+    """Timed laps of the qualifying; good ones are green, accurate and not deleted."""
+    laps = ctx.now(ctx.table("laps").filter("session = 'Q' and lap_s is not null"))
+    return laps.withColumn("good", is_green(F.col("track_status")) & F.coalesce("is_accurate", F.lit(True)) & ~F.coalesce("deleted", F.lit(False)))
+
+
+def good_or_all(laps: DataFrame) -> DataFrame:
+    """The good laps; where a whole field has none, all of them."""
+    return laps.withColumn("_any", F.max("good").over(Window.partitionBy(*RACE))).filter(F.col("good") | ~F.col("_any")).drop("_any")
 
 
-def quali_best(ctx: Context) -> DataFrame:
+def quali_times(ctx: Context) -> DataFrame:
+    """position, best time and the stage reached of the qualifying's results."""
     res = ctx.now(ctx.table("results").filter("session = 'Q'"))
-    timed = res.select(*KEY, "position", text.row_stat([F.col("q1"), F.col("q2"), F.col("q3"), F.col("time")], "min").alias("q_best"), text.stage_reached(F.col("q1"), F.col("q2"), F.col("q3")).alias("stage"))
-    lap = quali_laps(ctx).filter("lap_s > 0").groupBy(*KEY).agg(F.min("lap_s").alias("lap_best"))
-    return timed.join(lap, KEY, "full_outer").withColumn("best", F.coalesce("q_best", "lap_best"))
+    return res.select(*KEY, "position", text.row_stat([F.col("q1"), F.col("q2"), F.col("q3"), F.col("time")], "min").alias("best"), text.stage_reached(F.col("q1"), F.col("q2"), F.col("q3")).alias("stage"))
 
 
 @feature
 def quali_execution_pre(ctx: Context) -> DataFrame:
-    p, laps = "qexec_pre_", quali_laps(ctx).filter("lap_s > 0")
-    chosen = laps.withColumn("_any", F.max("good").over(Window.partitionBy(*RACE))).filter(F.col("good") | ~F.col("_any"))
+    p, laps = "qexec_pre_", quali_laps(ctx)
     out_lap = F.sum(F.col("pit_out").isNotNull().cast("int")).over(Window.partitionBy(*KEY).orderBy("lap", "time_s").rowsBetween(Window.unboundedPreceding, 0))
-    runs = chosen.withColumn("run", F.coalesce("stint", out_lap)).withColumn("_last", F.max("run").over(Window.partitionBy(*KEY)))
-    agg = runs.groupBy(*KEY).agg((F.min("s1") + F.min("s2") + F.min("s3")).alias("ideal"), (F.min(F.when(F.col("run") < F.col("_last"), F.col("lap_s"))) - F.min(F.when(F.col("run") == F.col("_last"), F.col("lap_s")))).alias(f"{p}final_run_improve_s"))
-    all_ = laps.groupBy(*KEY).agg(F.avg(F.coalesce("deleted", F.lit(False)).cast("int")).alias(f"{p}deleted_lap_share"), F.count("*").alias(f"{p}timed_laps_n"))
-    out = quali_best(ctx).join(agg, KEY, "left").join(all_, KEY, "left")
-    out = out.withColumns({f"{p}best_lap_s": F.col("best"), f"{p}gap_to_pole_s": F.col("best") - F.min("best").over(Window.partitionBy(*RACE)), f"{p}ideal_lap_gap_s": F.col("best") - F.col("ideal"), f"{p}stage_reached": F.coalesce("stage", F.lit(0))})
+    runs = good_or_all(laps.withColumn("run", F.coalesce("stint", out_lap))).withColumn("_last", F.max("run").over(Window.partitionBy(*KEY)))
+    agg = runs.groupBy(*KEY).agg(F.min("lap_s").alias("lap_best"), (F.min("s1") + F.min("s2") + F.min("s3")).alias("ideal"), (F.min(F.when(F.col("run") < F.col("_last"), F.col("lap_s"))) - F.min(F.when(F.col("run") == F.col("_last"), F.col("lap_s")))).alias(f"{p}final_run_improve_s"), F.count("*").alias(f"{p}timed_laps_n"))
+    gone = laps.groupBy(*KEY).agg(F.avg(F.coalesce("deleted", F.lit(False)).cast("int")).alias(f"{p}deleted_lap_share"))
+    out = quali_times(ctx).join(agg.join(gone, KEY), KEY, "full_outer").withColumn("best", F.coalesce("best", "lap_best"))
+    out = out.withColumns({f"{p}best_lap_s": F.col("best"), f"{p}gap_to_pole_s": F.col("best") - F.min("best").over(Window.partitionBy(*RACE)), f"{p}ideal_lap_gap_s": F.col("lap_best") - F.col("ideal"), f"{p}stage_reached": F.col("stage")})
     out = mates(ctx, out, {f"{p}best_lap_s": f"{p}gap_to_tm_s"})
-    return on_roster(ctx, out.select(*KEY, *[c for c in out.columns if c.startswith(p)])).na.fill(0, [f"{p}timed_laps_n"])
+    return on_roster(ctx, out.select(*KEY, *[c for c in out.columns if c.startswith(p)]))
 
 
 @feature
 def quali_evolution_pre(ctx: Context) -> DataFrame:
     """Where in the session laps were set; positions are whole thousandths of the session, so that frames are exact."""
-    p, laps = "qevo_pre_", quali_laps(ctx).filter("good and time_s is not null")
-    progress = clip(F.col("time_s") / F.max("time_s").over(Window.partitionBy(*RACE)), 0, 1)
+    p, laps = "qevo_pre_", good_or_all(quali_laps(ctx).filter("time_s is not null"))
+    progress = clip(F.try_divide(F.col("time_s"), F.max("time_s").over(Window.partitionBy(*RACE))), 0, 1)
     rows = laps.withColumn("progress", progress).withColumn("_m", F.round(F.col("progress") * 1000).cast("long"))
     rows = rows.withColumn("band", windows.band_best(RACE, "lap_s", "_m", 75)).withColumn("session_best", F.min("lap_s").over(Window.partitionBy(*RACE)))
     best = pick(rows, KEY, [F.asc("lap_s"), F.asc("time_s")]).select(*KEY, F.col("progress").alias(f"{p}best_lap_progress_pct"), (F.col("lap_s") - F.col("band")).alias(f"{p}window_gap_s"), (F.col("band") - F.col("session_best")).alias(f"{p}timing_luck_s"))
     agg = rows.groupBy(*KEY).agg(F.max("progress").alias(f"{p}final_push_progress_pct"), F.avg((F.col("progress") >= 0.6).cast("int")).alias(f"{p}late_push_share"), F.count("*").alias(f"{p}push_laps_n"))
-    out = best.join(agg, KEY).withColumn(f"{p}window_rank_pct", windows.percent_rank_avg(f"{p}window_gap_s", RACE))
-    return on_roster(ctx, out).na.fill(0, [f"{p}push_laps_n"])
+    out = on_roster(ctx, best.join(agg, KEY))
+    return out.withColumn(f"{p}window_rank_pct", windows.percent_rank_avg(f"{p}window_gap_s", RACE))
 
 
 @feature
 def weekend_team_delta_pre(ctx: Context) -> DataFrame:
+    """Differences from the team mate in qualifying and practice, and how even the sectors are."""
     p = "wknd_pre_"
-    clean = quali_laps(ctx).filter(no_caution(F.col("track_status")) & F.coalesce("is_accurate", F.lit(True)))
+    clean = quali_laps(ctx).filter(is_green(F.col("track_status")) & F.coalesce("is_accurate", F.lit(True)))
     sectors = clean.groupBy(*KEY).agg(*[F.min(s).alias(s) for s in ("s1", "s2", "s3")])
     prac = practice_longrun_pre(ctx).select(*KEY, F.col("prac_pre_shortrun_best3_s").alias("short"), F.col("prac_pre_longrun_pace_s").alias("long"), F.col("prac_pre_longrun_deg_s_per_lap").alias("deg"))
-    out = quali_best(ctx).select(*KEY, "best", "position").join(sectors, KEY, "full_outer").join(prac, KEY, "full_outer")
-    names = {"best": "q_tm_delta_s", "position": "q_pos_tm_delta", "s1": "s1_tm_delta_s", "s2": "s2_tm_delta_s", "s3": "s3_tm_delta_s", "short": "short_tm_delta_s", "long": "long_tm_delta_s", "deg": "deg_tm_delta"}
+    out = on_roster(ctx, quali_times(ctx).select(*KEY, "best", "position")).join(sectors, KEY, "left").join(prac, KEY, "left")
+    names = {"best": "q_tm_delta_s", "position": "q_pos_tm_delta", "s1": "q_s1_tm_delta_s", "s2": "q_s2_tm_delta_s", "s3": "q_s3_tm_delta_s", "long": "prac_longrun_tm_delta_s", "deg": "prac_deg_tm_delta_s_per_lap", "short": "prac_shortrun_tm_delta_s"}
     out = mates(ctx, out, {x: f"{p}{n}" for x, n in names.items()})
-    deltas, own = [F.col(f"{p}s{i}_tm_delta_s") for i in (1, 2, 3)], [F.col(f"s{i}") for i in (1, 2, 3)]
-    out = out.withColumns({f"{p}sector_delta_std": text.row_stat(deltas, "std"), f"{p}sector_delta_max": text.row_stat(deltas, "max"), f"{p}sector_delta_min": text.row_stat(deltas, "min"), f"{p}sector_std": text.row_stat(own, "std"), f"{p}sector_span": text.row_stat(own, "max") - text.row_stat(own, "min"), f"{p}pair_available": F.col(f"{p}q_tm_delta_s").isNotNull().cast("int")})
-    return on_roster(ctx, out.select(*KEY, *[c for c in out.columns if c.startswith(p)])).na.fill(0, [f"{p}pair_available"])
+    size = ctx.roster.select(*KEY, "team").distinct().filter("team is not null").withColumn("_size", F.count("*").over(Window.partitionBy(*RACE, "team"))).select(*KEY, F.when(F.col("_size") >= 2, (F.col("_size") == 2).cast("int")).alias(f"{p}tm_has_pair"))
+    deltas, own = [F.col(f"{p}q_s{i}_tm_delta_s") for i in (1, 2, 3)], [F.col(f"s{i}") for i in (1, 2, 3)]
+    out = out.join(size, KEY, "left").withColumns({f"{p}q_sector_tm_delta_std_s": text.row_stat(deltas, "std"), f"{p}q_sector_tm_delta_max_s": text.row_stat(deltas, "max"), f"{p}q_sector_tm_delta_min_s": text.row_stat(deltas, "min"), f"{p}q_sector_balance_std_s": text.row_stat(own, "std"), f"{p}q_sector_balance_span_s": text.row_stat(own, "max") - text.row_stat(own, "min")})
+    return out.select(*KEY, *[c for c in out.columns if c.startswith(p)])
 
 
 @feature
@@ -558,15 +630,17 @@ def weekend_field_form_pre(ctx: Context) -> DataFrame:
 
 @feature
 def sprint_weekend_pre(ctx: Context) -> DataFrame:
+    """Sprint qualifying and sprint of the weekend. has_data tells whether the weekend has results of either."""
     p, res = "sprint_pre_", ctx.now(ctx.table("results"))
-    sq = res.filter("session = 'SQ'").select(*KEY, F.col("position").alias(f"{p}quali_pos"), text.row_stat([F.col("q1"), F.col("q2"), F.col("q3")], "min").alias(f"{p}quali_best_s"))
-    s = res.filter("session = 'S'").select(*KEY, F.col("position").alias(f"{p}finish_pos"), (F.col("grid") - F.col("position")).alias(f"{p}gain"), F.col("points").alias(f"{p}points"))
-    out = sq.join(s, KEY, "full_outer").withColumns({f"{p}quali_gap_s": F.col(f"{p}quali_best_s") - F.min(f"{p}quali_best_s").over(Window.partitionBy(*RACE)), f"{p}abs_gain": F.abs(f"{p}gain"), f"{p}has_data": F.lit(1)})
-    out = mates(ctx, out, {f"{p}quali_pos": f"{p}quali_tm_delta", f"{p}finish_pos": f"{p}finish_tm_delta"})
-    named = ctx.now(ctx.table("meta")).select(*RACE, F.coalesce(F.lower("format").contains("sprint"), F.lit(False)).alias("named"))
-    present = res.filter("session in ('S', 'SQ')").select(*RACE).distinct().withColumn("present", F.lit(True))
-    flags = ctx.cutoffs.select(*RACE).distinct().join(named, RACE, "left").join(present, RACE, "left").select(*RACE, F.coalesce(F.col("named") | F.col("present"), F.col("present"), F.col("named"), F.lit(False)).cast("int").alias(f"{p}format_flag"))
-    return on_roster(ctx, out).join(flags, RACE, "left").na.fill(0, [f"{p}has_data", f"{p}format_flag"])
+    times = text.row_stat([F.col("q1"), F.col("q2"), F.col("q3"), F.col("time")], "min")
+    sq = res.filter("session = 'SQ'").select(*KEY, F.col("position").alias(f"{p}sq_pos"), times.alias(f"{p}sq_best_s"))
+    s = res.filter("session = 'S'").select(*KEY, F.col("position").alias(f"{p}finish_pos"), (F.col("grid") - F.col("position")).alias(f"{p}gain_vs_grid"), F.col("points").alias(f"{p}points"))
+    out = on_roster(ctx, sq.join(s, KEY, "full_outer")).withColumns({f"{p}sq_gap_to_best_s": F.col(f"{p}sq_best_s") - F.min(f"{p}sq_best_s").over(Window.partitionBy(*RACE)), f"{p}gain_abs": F.abs(f"{p}gain_vs_grid")})
+    out = mates(ctx, out, {f"{p}sq_best_s": f"{p}sq_tm_delta_s", f"{p}finish_pos": f"{p}tm_finish_delta"})
+    named = ctx.now(ctx.table("meta")).groupBy(*RACE).agg(F.max(F.lower("format").contains("sprint").cast("int")).alias("named"))
+    present = res.filter("session in ('S', 'SQ')").select(*RACE).distinct().withColumn("present", F.lit(1))
+    flags = ctx.cutoffs.select(*RACE).distinct().join(lookback.few(named), RACE, "left").join(lookback.few(present), RACE, "left").select(*RACE, F.greatest(F.coalesce("named", F.lit(0)), F.coalesce("present", F.lit(0))).alias(f"{p}format_flag"), F.coalesce("present", F.lit(0)).alias(f"{p}has_data"))
+    return out.join(lookback.few(flags), RACE, "left")
 
 
 @feature
@@ -575,8 +649,9 @@ def telemetry_efficiency_pre(ctx: Context) -> DataFrame:
     order = {"Q": 4, "FP3": 3, "FP2": 2}
     rows = ctx.now(ctx.table("telemetry").filter(F.col("session").isin(list(order)))).withColumn("ord", F.coalesce(*[F.when(F.col("session") == s, F.lit(n)) for s, n in order.items()]))
     best = pick(telemetry.efficiency(rows, [*KEY, "ord"], "speed", "throttle", "brake", "drs"), KEY, [F.desc("ord"), F.desc("samples"), F.desc("speed_p95")])
-    out = best.select(*KEY, F.col("ord").alias(f"{p}session_ord"), *[F.col(c).alias(f"{p}{c}") for c in ("samples", "speed_p95", "speed_max", "full_throttle_share", "brake_share", "drs_share", "straight_share", "straight_speed_mean", "drs_gain")])
-    return on_roster(ctx, mates(ctx, out, {f"{p}speed_p95": f"{p}speed_p95_tm_delta"}))
+    names = {"ord": "session_ord", "samples": "samples_n", "speed_p95": "speed_p95_kph", "speed_max": "speed_max_kph", "full_throttle_share": "full_throttle_share", "brake_share": "brake_share", "brake_speed_mean": "brake_speed_mean_kph", "drs_share": "drs_open_share", "drs_gain": "drs_speed_gain_kph"}
+    out = best.select(*KEY, *[F.col(c).alias(f"{p}{n}") for c, n in names.items()])
+    return on_roster(ctx, mates(ctx, out, {f"{p}speed_p95_kph": f"{p}speed_tm_delta_kph", f"{p}drs_speed_gain_kph": f"{p}drs_gain_tm_delta_kph"}))
 
 
 @feature

@@ -18,8 +18,8 @@ laps AS (SELECT *, 80 + v / 10 AS lap_s, (lap + 2) // 3 AS stint, ['SOFT', 'MEDI
 per AS (SELECT year, round, session, driver, team, sum(v) AS v, 80 + min(v) / 10 AS best, min(n) AS n FROM ev GROUP BY ALL),
 placed AS (SELECT *, row_number() OVER (PARTITION BY year, round, session ORDER BY v DESC, driver)::DOUBLE AS place FROM per),
 results AS (SELECT year, round, session, driver, team, n, CASE WHEN n % 11 <> 0 THEN place END AS position,
-  row_number() OVER (PARTITION BY year, round, session ORDER BY n, driver)::DOUBLE AS grid, greatest(0, 26 - place) AS points, n % 10 = 7 AS mech, n % 10 = 8 AS acc,
-  (n % 10 IN (7, 8))::INT AS dnf, best + 1 AS q1, CASE WHEN n % 3 > 0 THEN best + 0.5 END AS q2, CASE WHEN n % 3 > 1 THEN best END AS q3 FROM placed),
+  row_number() OVER (PARTITION BY year, round, session ORDER BY n, driver)::DOUBLE AS grid, greatest(0, 26 - place) AS points, n // 10 % 10 = 7 AS mech, n // 10 % 10 = 8 AS acc,
+  (n // 10 % 10 IN (7, 8))::INT AS dnf, (n // 10 % 10 = 9)::INT AS dsq, best + 1 AS q1, CASE WHEN n % 3 > 0 THEN best + 0.5 END AS q2, CASE WHEN n % 3 > 1 THEN best END AS q3 FROM placed),
 race AS (SELECT * FROM results WHERE session = 'R'),
 meta AS (SELECT *, ['monza', 'interlagos', 'suzuka', 'spa', 'marina_bay'][round % 5 + 1] AS place,
   ['italian_grand_prix', 'sao_paulo_grand_prix', 'japanese_grand_prix', 'belgian_grand_prix', 'marina_bay'][round % 5 + 1] AS track,
@@ -70,8 +70,8 @@ _add("quali_priors_pre", f"""q0 AS (SELECT *, min(session) OVER (PARTITION BY ye
 q1 AS (SELECT *, position - quantile_cont(position, 0.5) OVER (PARTITION BY year, round) AS off FROM q0 WHERE session = first),
 q AS (SELECT *, {_clip('off', -5, 5)} AS rel FROM q1), {_seen('q', 30, 's')},
 d AS (SELECT cy, cr, driver, count(*) AS quali_pre_hist_n, quantile_cont(position, 0.5) AS quali_pre_pos_p50, {_iqr('rel')} AS quali_pre_pos_iqr, min(position) AS quali_pre_bestpos_min,
-  {_top10()} AS quali_pre_top10_rate, 0.0::DOUBLE AS quali_pre_notime_or_pen_rate, avg(points) AS quali_pre_points_mean, -({_iqr('rel')}) AS quali_pre_pos_consistency, max(year * 1000 + round) AS last FROM s {_CUT})""",
-     f"""{_KEY}, {_long('quali_pre_hist_n')}, {_round('quali_pre_pos_p50 quali_pre_pos_iqr quali_pre_bestpos_min quali_pre_top10_rate quali_pre_notime_or_pen_rate quali_pre_points_mean quali_pre_pos_consistency')}, {_last('quali_pre_')} {_ON}""")
+  {_top10()} AS quali_pre_top10_rate, avg(dsq) AS quali_pre_notime_or_pen_rate, avg(points) AS quali_pre_points_mean, -({_iqr('rel')}) AS quali_pre_pos_consistency, max(year * 1000 + round) AS last FROM s {_CUT})""",
+     f"""{_KEY}, {_long('quali_pre_hist_n', False)}, {_round('quali_pre_pos_p50 quali_pre_pos_iqr quali_pre_bestpos_min quali_pre_top10_rate quali_pre_notime_or_pen_rate quali_pre_points_mean quali_pre_pos_consistency')}, {_last('quali_pre_')} {_ON}""")
 
 _add("track_onehot", f"""{_seen('race', 256, 's')},
 d AS (SELECT cy, cr, driver, count(*) AS track_same_hist_n, quantile_cont(position, 0.5) AS track_same_finish_p50, min(position) AS track_same_bestpos_min, {_top10()} AS track_same_top10_rate, avg(dnf) AS track_same_dnf_rate,
@@ -95,25 +95,25 @@ o AS (SELECT cy, cr, driver, count(position) AS n, quantile_cont(position, 0.5)
 d AS (SELECT cy, cr, driver, n AS {_C}hist_n, {', '.join(f'(n * {c} + {k} * {b} OVER (PARTITION BY cy, cr)) / (n + {k}) AS {_C}{c}' for c, (k, b) in _SHRUNK.items())} FROM o)""",
      f"{_KEY}, {_long(_C + 'hist_n', False)}, {_round(' '.join(_C + c for c in _SHRUNK))} {_ON}")
 
-_WEATHER = """w0 AS (SELECT year, round, t, 15 + v / 10 AS air, 20 + v / 5 AS track, v AS humidity, v / 20 AS wind, (n % 7 = 0)::INT AS rain, CASE session WHEN 'Q' THEN 0 WHEN 'SQ' THEN 1 WHEN 'FP3' THEN 3 WHEN 'FP2' THEN 4 ELSE 5 END AS o
-  FROM ses WHERE kind = 'view' AND session <> 'R'),
-w1 AS (SELECT * FROM w0 QUALIFY o = min(o) OVER (PARTITION BY year, round)), w2 AS (SELECT * FROM w1 QUALIFY t >= max(t) OVER (PARTITION BY year, round) - 900),
-weather AS (SELECT year, round, avg(air) AS air, stddev_pop(air) AS air_std, avg(track) AS track, avg(humidity) AS humidity, 3.6 * avg(wind) AS wind, quantile_cont(rain, 0.75) AS rain, count(*) AS n FROM w2 GROUP BY ALL)"""
+_WEATHER = """w0 AS (SELECT year, round, t, 15 + v / 10 AS air, 20 + v / 5 AS track, v AS humidity, v / 20 AS wind, (n % 7 = 0)::INT AS rain, CASE session WHEN 'Q' THEN 1 WHEN 'SQ' THEN 2 WHEN 'FP3' THEN 4 WHEN 'FP2' THEN 5 ELSE 6 END AS o
+  FROM ses WHERE kind = 'view' AND session <> 'R' UNION ALL SELECT year, round, t, 15 + v / 10, 20 + v / 5, v, v / 20, v / 100, 0 FROM ev WHERE kind = 'signup' AND round % 3 = 0),
+w1 AS (SELECT * FROM w0 QUALIFY o = min(o) OVER (PARTITION BY year, round)), w2 AS (SELECT *, CASE WHEN o = 0 THEN t <= 900 ELSE t >= max(t) OVER (PARTITION BY year, round) - 900 END AS inside FROM w1),
+w3 AS (SELECT * FROM w2 QUALIFY inside OR NOT bool_or(inside) OVER (PARTITION BY year, round)),
+weather AS (SELECT year, round, avg(air) AS air, stddev_pop(air) AS air_std, avg(track) AS track, avg(humidity) AS humidity, avg(wind) AS wind, quantile_cont(rain, 0.75) AS rain, count(*) AS n FROM w3 GROUP BY ALL)"""
 _add("weather_basic", _WEATHER, f"""{_KEY}, round(air, 6) AS weather_pre_air_temp_mean, round(air_std, 6) AS weather_pre_air_temp_std, round(w.track, 6) AS weather_pre_track_temp_mean, round(humidity, 6) AS weather_pre_humidity_mean,
   round(wind, 6) AS weather_pre_wind_kph_mean, round(rain, 6) AS weather_pre_rain_prob_p75, coalesce(w.n, 0)::BIGINT AS weather_pre_records_n FROM roster p LEFT JOIN weather w ON w.year = p.year AND w.round = p.round""")
 
-_RATES = {"sc_rate": 0.28, "vsc_rate": 0.12, "red_flag_rate": 0.22, "wet_start_rate": 0.16, "delayed_start_rate": 0.10, "start_behind_sc_rate": 0.04, "early_yellow_rate": 0.08}
+_RATES = {"sc_rate": 0.28, "vsc_rate": 0.12, "red_flag_rate": 0.22, "wet_start_rate": 0.16, "start_behind_sc_rate": 0.10, "delayed_start_rate": 0.04, "early_yellow_rate": 0.08}
 _NAMES = [*_RATES, "sc_deploy_mean", "vsc_deploy_mean", "rainfall_share_start"]
-_CHAOS = f"""c1 AS (SELECT year, round, max((n % 7 IN (1, 2))::INT) AS sc, max((n % 7 = 2)::INT) AS vsc, max((n % 7 = 3)::INT) AS red, max((n % 7 = 4)::INT) AS delayed, 0 AS behind,
-  max((n % 7 IN (1, 2, 5))::INT) FILTER (WHERE t <= 900) AS yellow, count_if(n % 7 = 1) AS sc_n, count_if(n % 7 = 2) AS vsc_n FROM ev WHERE kind = 'error' GROUP BY ALL),
-c2 AS (SELECT year, round, max((n % 4 = 2)::INT) AS sc_t, max((n % 4 = 3)::INT) AS vsc_t, 0 AS red_t, max((n % 4 > 0)::INT) FILTER (WHERE t <= start + 900) AS yellow_t, count_if(n % 4 = 2) AS sc_tn, count_if(n % 4 = 3) AS vsc_tn
-  FROM (SELECT *, min(t) OVER (PARTITION BY year, round) AS start FROM ev WHERE kind = 'signup') GROUP BY year, round),
-c3 AS (SELECT year, round, max((n % 7 = 0)::INT) AS wet, avg((n % 7 = 0)::INT) AS rain_share FROM ev WHERE kind = 'view' AND session = 'R' AND t <= 720 GROUP BY ALL),
+_CHAOS = f"""c1 AS (SELECT year, round, max((n % 7 IN (1, 2))::INT) AS sc, max((n % 7 = 2)::INT) AS vsc, max((n % 7 = 3)::INT) AS red, max((n % 7 = 4)::INT) AS delayed,
+  count_if(n % 7 IN (1, 2)) AS sc_n, count_if(n % 7 = 2) AS vsc_n FROM ev WHERE kind = 'error' GROUP BY ALL),
+c2 AS (SELECT year, round, max((n % 4 >= 2)::INT) AS sc_t, max((n % 4 = 3)::INT) AS vsc_t, max((n % 4 > 0)::INT) FILTER (WHERE t <= 900) AS yellow, count_if(n % 4 = 2) AS sc_tn, count_if(n % 4 = 3) AS vsc_tn FROM ev WHERE kind = 'signup' GROUP BY year, round),
+c3 AS (SELECT year, round, max((n % 7 = 0)::INT) AS wet, avg((n % 7 = 0)::INT) AS rain_share FROM (SELECT * FROM ev WHERE kind = 'view' AND session = 'R' QUALIFY t <= 720 OR NOT bool_or(t <= 720) OVER (PARTITION BY year, round)) GROUP BY ALL),
 c4 AS (SELECT year, round, max((n % 40 = 39)::INT) AS delayed_s FROM ev WHERE kind = 'click' GROUP BY ALL),
-chaos AS (SELECT year, round, greatest(sc, sc_t) AS sc_rate, greatest(vsc, vsc_t) AS vsc_rate, greatest(red, red_t) AS red_flag_rate, wet AS wet_start_rate, greatest(delayed, delayed_s) AS delayed_start_rate, behind AS start_behind_sc_rate,
-  greatest(yellow, yellow_t) AS early_yellow_rate, coalesce(sc_n, 0) + coalesce(sc_tn, 0) AS sc_deploy_mean, coalesce(vsc_n, 0) + coalesce(vsc_tn, 0) AS vsc_deploy_mean, rain_share AS rainfall_share_start
-  FROM c1 FULL JOIN c2 USING (year, round) FULL JOIN c3 USING (year, round) FULL JOIN c4 USING (year, round)), {_seen('chaos', 10, 'cs')},
-ca AS (SELECT cy, cr, count(*) AS hist_n, count_if(same) AS same_n, {', '.join(f'avg({c}) FILTER (WHERE same) AS s_{c}, avg({c}) FILTER (WHERE age <= 8) AS r_{c}' for c in _NAMES)} FROM cs GROUP BY cy, cr),
+chaos AS (SELECT year, round, greatest(coalesce(sc, 0), coalesce(sc_t, 0)) AS sc_rate, greatest(coalesce(vsc, 0), coalesce(vsc_t, 0)) AS vsc_rate, coalesce(red, 0) AS red_flag_rate, wet AS wet_start_rate, greatest(coalesce(delayed, 0), coalesce(delayed_s, 0)) AS delayed_start_rate,
+  0 AS start_behind_sc_rate, yellow AS early_yellow_rate, coalesce(sc_n, 0) + coalesce(sc_tn, 0) AS sc_deploy_mean, coalesce(vsc_n, 0) + coalesce(vsc_tn, 0) AS vsc_deploy_mean, rain_share AS rainfall_share_start
+  FROM days LEFT JOIN c1 USING (year, round) LEFT JOIN c2 USING (year, round) LEFT JOIN c3 USING (year, round) LEFT JOIN c4 USING (year, round)), {_seen('chaos', 10, 'cs')},
+ca AS (SELECT cy, cr, count_if(age <= 8) AS hist_n, count_if(same) AS same_n, {', '.join(f'avg({c}) FILTER (WHERE same) AS s_{c}, avg({c}) FILTER (WHERE age <= 8) AS r_{c}' for c in _NAMES)} FROM cs GROUP BY cy, cr),
 cb AS (SELECT cy, cr, hist_n, same_n, {', '.join(f'CASE WHEN s_{c} IS NULL THEN r_{c} WHEN r_{c} IS NULL THEN s_{c} ELSE least(same_n / 3, 1) * s_{c} + (1 - least(same_n / 3, 1)) * r_{c} END AS {c}' for c in _NAMES)} FROM ca)"""
 _add("event_chaos_priors_pre", _CHAOS, f"""{_KEY}, coalesce(hist_n, 0)::BIGINT AS chaos_pre_hist_n, coalesce(same_n, 0)::BIGINT AS chaos_pre_same_track_n, {', '.join(f'round({c}, 6) AS chaos_pre_{c}' for c in _NAMES)},
   round(CASE WHEN coalesce({', '.join(_RATES)}) IS NOT NULL THEN {' + '.join(f'{w} * coalesce({c}, 0)' for c, w in _RATES.items())} END, 6) AS chaos_pre_index FROM roster p LEFT JOIN cb ON cy = p.year AND cr = p.round""")
@@ -139,7 +139,7 @@ b AS (SELECT *, {_clip('share_rel', -0.5, 0.5)} AS x, row_number() OVER (PARTITI
 d1 AS (SELECT cy, cr, driver, count(*) AS hist_n, quantile_cont(best_rel, 0.5) AS p50, {_iqr('best_rel')} AS iqr, CASE WHEN sum(w) > 0 THEN sum(w * x) / sum(w) END AS mean, max(year * 1000 + round) AS last FROM w {_CUT}), {_seen('race', 10, 'rs')},
 d2 AS (SELECT rs.cy, rs.cr, rs.driver, avg(dnf) AS dnf, avg((rs.team = p.team)::INT) AS stable FROM rs LEFT JOIN roster p ON p.year = cy AND p.round = cr AND p.driver = rs.driver GROUP BY rs.cy, rs.cr, rs.driver),
 d AS (SELECT * FROM d1 FULL JOIN d2 USING (cy, cr, driver))""",
-     f"""{_KEY}, coalesce(hist_n, 0)::BIGINT AS hist_pre_hist_n, round(p50, 6) AS hist_pre_best10_pace_p50_s, round(iqr, 6) AS hist_pre_best10_pace_iqr_s, round({_clip('mean', -0.3, 0.3)}, 6) AS hist_pre_clean_share_mean, {_last('hist_pre_')},
+     f"""{_KEY}, hist_n::BIGINT AS hist_pre_hist_n, round(p50, 6) AS hist_pre_best10_pace_p50_s, round(iqr, 6) AS hist_pre_best10_pace_iqr_s, round({_clip('mean', -0.3, 0.3)}, 6) AS hist_pre_clean_share_mean, {_last('hist_pre_')},
   round(dnf, 6) AS hist_pre_dnf_rate, round(stable, 6) AS hist_pre_team_stability {_ON}""")
 
 _add("telemetry_history_pre", f"""b1 AS (SELECT year, round, driver, min(lap_s) AS best FROM laps WHERE session = 'R' AND NOT pit GROUP BY ALL), b2 AS (SELECT year, round, driver, max(100 + 2 * v) AS top FROM ev WHERE session = 'R' GROUP BY ALL),
@@ -169,10 +169,11 @@ sp AS (SELECT cy, cr, driver, quantile_cont(z - team_z, 0.75) - quantile_cont(z
 FROM roster p LEFT JOIN sp ON sp.cy = p.year AND sp.cr = p.round AND sp.driver = p.driver LEFT JOIN driver_trend a ON a.cy = p.year AND a.cr = p.round AND a.driver = p.driver LEFT JOIN team_dev_trend b ON b.cy = p.year AND b.cr = p.round AND b.team = p.team""")
 
 _add("traffic_overtake_pre", f"""l AS (SELECT * FROM laps WHERE session = 'R'), f0 AS (SELECT year, round, driver, min(position) AS after, max(pit::INT) AS pit FROM l WHERE lap = 1 GROUP BY ALL),
-f AS (SELECT f0.*, r.grid - after AS gain FROM f0 LEFT JOIN race r USING (year, round, driver)), f1 AS (SELECT year, round, driver, gain, coalesce(gain <= -3 OR pit = 1, false)::INT AS incident FROM f),
-tr AS (SELECT year, round, driver, avg(lap_s) FILTER (WHERE gap < 1.5) - avg(lap_s) FILTER (WHERE gap >= 1.5) AS penalty, count(*) AS green FROM l WHERE lap_s BETWEEN 40 AND 200 AND NOT pit AND NOT caution GROUP BY ALL),
-n0 AS (SELECT *, position - lag(position) OVER (PARTITION BY year, round, driver ORDER BY lap) AS s FROM l WHERE NOT caution), nt AS (SELECT year, round, driver, sum(greatest(-s, 0)) - sum(greatest(s, 0)) AS net FROM n0 GROUP BY year, round, driver),
-x AS (SELECT year, round, driver, gain, incident, penalty, 100 * net / green AS net FROM f1 FULL JOIN tr USING (year, round, driver) FULL JOIN nt USING (year, round, driver)), {_seen('x', 10, 's')},
+f AS (SELECT f0.*, r.grid - after AS gain FROM f0 JOIN race r USING (year, round, driver)), nm AS (SELECT DISTINCT year, round, driver, 1 AS named FROM ev WHERE kind = 'error' AND n % 5 = 0 AND n // 5 % 4 IN (1, 3)),
+f1 AS (SELECT year, round, driver, gain, CASE WHEN max(coalesce(named, 0)) OVER (PARTITION BY year, round) = 1 THEN coalesce(named, 0) ELSE (gain <= -3 OR pit = 1)::INT END AS incident FROM f LEFT JOIN nm USING (year, round, driver)),
+fr AS (SELECT * FROM l WHERE NOT pit AND NOT caution), tr AS (SELECT year, round, driver, avg(lap_s) FILTER (WHERE gap < 1.5) - avg(lap_s) FILTER (WHERE gap >= 1.5) AS penalty FROM fr WHERE lap_s BETWEEN 40 AND 200 GROUP BY ALL),
+n0 AS (SELECT *, position - lag(position) OVER (PARTITION BY year, round, driver ORDER BY lap) AS s FROM fr), nt AS (SELECT year, round, driver, coalesce(sum(greatest(-s, 0)), 0) - coalesce(sum(greatest(s, 0)), 0) AS net, count(DISTINCT lap) - 1 AS green FROM n0 GROUP BY year, round, driver),
+x AS (SELECT year, round, driver, gain, incident, penalty, CASE WHEN green > 0 THEN 100 * net / green END AS net FROM f1 FULL JOIN tr USING (year, round, driver) FULL JOIN nt USING (year, round, driver)), {_seen('x', 10, 's')},
 d AS (SELECT cy, cr, driver, avg(gain) AS lap1_gain_avg_prev10, avg(incident) AS lap1_incident_rate_prev10, avg(penalty) AS traffic_penalty_s_prev10, avg(net) AS net_pass_index_prev10 FROM s {_CUT})""",
      f"{_KEY}, {_round('lap1_gain_avg_prev10 lap1_incident_rate_prev10 traffic_penalty_s_prev10 net_pass_index_prev10')} {_ON}")
 
@@ -240,14 +241,14 @@ rl AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY year, round, d
 rh AS (SELECT * FROM runs WHERE best3 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY year, round, driver ORDER BY best3, ord DESC, stint, compound) = 1),
 longrun AS (SELECT c.year, c.round, c.driver, c.c AS dry, rl.pace, rl.slope, rl.iqr, rl.k, rl.ord, rh.best3 AS short, rh.ord AS short_ord FROM (SELECT year, round, driver, count(*) AS c FROM runs GROUP BY ALL) c LEFT JOIN rl USING (year, round, driver) LEFT JOIN rh USING (year, round, driver))"""
 _NOW = "LEFT JOIN {0} ON {0}.year = p.year AND {0}.round = p.round AND {0}.driver = p.driver"
-_add("practice_longrun_pre", _RUNS, f"""{_KEY}, coalesce(dry, 0)::BIGINT AS prac_pre_dry_runs_n, round(pace, 6) AS prac_pre_longrun_pace_s, round(slope, 6) AS prac_pre_longrun_deg_s_per_lap, round(iqr, 6) AS prac_pre_longrun_iqr_s,
+_add("practice_longrun_pre", _RUNS, f"""{_KEY}, dry::BIGINT AS prac_pre_dry_runs_n, round(pace, 6) AS prac_pre_longrun_pace_s, round(slope, 6) AS prac_pre_longrun_deg_s_per_lap, round(iqr, 6) AS prac_pre_longrun_iqr_s,
   k::BIGINT AS prac_pre_longrun_laps, ord::BIGINT AS prac_pre_longrun_session_ord, round(short, 6) AS prac_pre_shortrun_best3_s, short_ord::BIGINT AS prac_pre_shortrun_session_ord FROM roster p {_NOW.format('longrun')}""")
 
 _DRY = [("SOFT", "s"), ("MEDIUM", "m"), ("HARD", "h")]
 _add("practice_compound_pre", f"""{_RUNS}, cb AS (SELECT year, round, driver, count(DISTINCT compound) AS k, {', '.join(f"min(lap_s) FILTER (WHERE compound = '{c}') AS {x}_best" for c, x in _DRY)} FROM pl GROUP BY year, round, driver),
 cl AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY year, round, driver, compound ORDER BY k DESC, ord DESC, pace, stint) = 1),
 cg AS (SELECT year, round, driver, {', '.join(f"max(pace) FILTER (WHERE compound = '{c}') AS {x}_pace, max(slope) FILTER (WHERE compound = '{c}') AS {x}_slope" for c, x in _DRY)} FROM cl GROUP BY year, round, driver)""",
-     f"""{_KEY}, coalesce(k, 0)::BIGINT AS prac_cmp_pre_dry_compounds_n, {', '.join(f'round({x}_best, 6) AS prac_cmp_pre_{x}_best_s, round({x}_pace, 6) AS prac_cmp_pre_{x}_longrun_pace_s, round({x}_slope, 6) AS prac_cmp_pre_{x}_deg_s_per_lap' for _, x in _DRY)},
+     f"""{_KEY}, k::BIGINT AS prac_cmp_pre_dry_compounds_n, {', '.join(f'round({x}_best, 6) AS prac_cmp_pre_{x}_best_s, round({x}_pace, 6) AS prac_cmp_pre_{x}_longrun_pace_s, round({x}_slope, 6) AS prac_cmp_pre_{x}_deg_s_per_lap' for _, x in _DRY)},
   round(m_best - s_best, 6) AS prac_cmp_pre_crossover_sm_s, round(h_best - m_best, 6) AS prac_cmp_pre_crossover_mh_s FROM roster p {_NOW.format('cb')} {_NOW.format('cg')}""")
 
 
@@ -262,39 +263,39 @@ _add("practice_readiness_pre", f"""rd AS (SELECT year, round, driver, session, c
   FROM laps WHERE session IN ('FP1', 'FP2', 'FP3') GROUP BY year, round, driver, session),
 ra AS (SELECT year, round, driver, count(*) AS seen, sum(k) AS laps, {', '.join(f'sum(k * {c}) / sum(k) AS {c}' for c in _SHARES)}, max(ord) AS ord, arg_max(k, ord) AS last, max((session = 'FP2')::INT) AS fp2, max((session = 'FP3')::INT) AS fp3 FROM rd GROUP BY year, round, driver),
 rh AS (SELECT year, round, max((session = 'FP2')::INT) AS h2, max((session = 'FP3')::INT) AS h3 FROM rd GROUP BY year, round),
-rj AS (SELECT {_KEY}, coalesce(seen, 0) AS seen, coalesce(laps, 0) AS laps, accurate, green, dry, ord, last, greatest(coalesce(h2, 0) - coalesce(fp2, 0), 0) AS no2, greatest(coalesce(h3, 0) - coalesce(fp3, 0), 0) AS no3 FROM roster p {_NOW.format('ra')} LEFT JOIN rh ON rh.year = p.year AND rh.round = p.round),
+rj AS (SELECT {_KEY}, seen, laps, accurate, green, dry, ord, last, h2, CASE WHEN h2 = 1 THEN 1 - fp2 END AS no2, CASE WHEN h3 = 1 THEN 1 - fp3 END AS no3 FROM roster p {_NOW.format('ra')} LEFT JOIN rh ON rh.year = p.year AND rh.round = p.round),
 {_mates('rj', {'laps': 'd_laps', 'accurate': 'd_accurate'}, 'rm')}""",
      f"""year, round, driver, seen::BIGINT AS ready_pre_sessions_seen_n, laps::BIGINT AS ready_pre_total_laps, {', '.join(f'round({c}::DOUBLE, 6) AS ready_pre_{c}_share' for c in _SHARES)}, ord::BIGINT AS ready_pre_latest_session_ord, last::BIGINT AS ready_pre_latest_session_laps,
   no2::BIGINT AS ready_pre_missing_fp2_flag, no3::BIGINT AS ready_pre_missing_fp3_flag, d_laps::BIGINT AS ready_pre_total_laps_tm_delta, round(d_accurate, 6) AS ready_pre_accurate_share_tm_delta,
-  round(least(greatest(0.6 * no3 + 0.35 * no2 + coalesce(least(greatest(-d_laps / 25, 0), 1), 0) + coalesce(least(greatest(0.9 - accurate, 0), 0.9), 0), 0), 3)::DOUBLE, 6) AS ready_pre_issue_index FROM rm""")
-
-_QUALI = """ql AS (SELECT *, NOT caution AND accurate AND NOT deleted AS good FROM laps WHERE session = 'Q'),
-qb AS (SELECT year, round, driver, r.position, coalesce(least(q1, q2, q3), l.best) AS best, CASE WHEN q3 IS NOT NULL THEN 3 WHEN q2 IS NOT NULL THEN 2 WHEN q1 IS NOT NULL THEN 1 ELSE 0 END AS stage
-  FROM (SELECT * FROM results WHERE session = 'Q') r FULL JOIN (SELECT year, round, driver, min(lap_s) AS best FROM ql GROUP BY ALL) l USING (year, round, driver))"""
-_EXEC = f"""{_QUALI}, qc AS (SELECT * FROM (SELECT *, max(good::INT) OVER (PARTITION BY year, round) AS any_good FROM ql) WHERE good OR any_good = 0), qr AS (SELECT *, max(stint) OVER (PARTITION BY year, round, driver) AS final FROM qc),
-qa AS (SELECT year, round, driver, min(s1) + min(s2) + min(s3) AS ideal, min(lap_s) FILTER (WHERE stint < final) - min(lap_s) FILTER (WHERE stint = final) AS improve FROM qr GROUP BY year, round, driver),
-qd AS (SELECT year, round, driver, avg(deleted::INT) AS gone, count(*) AS timed FROM ql GROUP BY year, round, driver),
-qx AS (SELECT qb.*, ideal, improve, gone, timed, best - min(best) OVER (PARTITION BY qb.year, qb.round) AS pole FROM qb LEFT JOIN qa USING (year, round, driver) LEFT JOIN qd USING (year, round, driver)), {_mates('qx', {'best': 'tm'}, 'qm')}"""
-_add("quali_execution_pre", _EXEC, f"""{_KEY}, round(improve, 6) AS qexec_pre_final_run_improve_s, round(gone, 6) AS qexec_pre_deleted_lap_share, coalesce(timed, 0)::BIGINT AS qexec_pre_timed_laps_n, round(best, 6) AS qexec_pre_best_lap_s, round(pole, 6) AS qexec_pre_gap_to_pole_s,
-  round(best - ideal, 6) AS qexec_pre_ideal_lap_gap_s, stage::BIGINT AS qexec_pre_stage_reached, round(tm, 6) AS qexec_pre_gap_to_tm_s FROM roster p {_NOW.format('qm')}""")
-
-_add("quali_evolution_pre", f"""{_QUALI}, g0 AS (SELECT *, least(greatest(t / max(t) OVER (PARTITION BY year, round), 0), 1) AS progress, min(lap_s) OVER (PARTITION BY year, round) AS top FROM ql WHERE good),
+  round(CASE WHEN h2 IS NOT NULL THEN least(greatest(0.6 * coalesce(no3, 0) + 0.35 * coalesce(no2, 0) + coalesce(least(greatest(-d_laps / 25, 0), 1), 0) + coalesce(least(greatest(0.9 - accurate, 0), 0.9), 0), 0), 3) END::DOUBLE, 6) AS ready_pre_issue_index FROM rm""")
+
+_QUALI = """ql AS (SELECT *, NOT caution AND accurate AND NOT deleted AS good FROM laps WHERE session = 'Q'), qc AS (SELECT * FROM (SELECT *, max(good::INT) OVER (PARTITION BY year, round) AS any_good FROM ql) WHERE good OR any_good = 0),
+qb AS (SELECT year, round, driver, position, least(q1, q2, q3) AS best, CASE WHEN q3 IS NOT NULL THEN 3 WHEN q2 IS NOT NULL THEN 2 WHEN q1 IS NOT NULL THEN 1 ELSE 0 END AS stage FROM results WHERE session = 'Q')"""
+_EXEC = f"""{_QUALI}, qr AS (SELECT *, max(stint) OVER (PARTITION BY year, round, driver) AS final FROM qc),
+qa AS (SELECT year, round, driver, min(lap_s) AS lap_best, min(s1) + min(s2) + min(s3) AS ideal, min(lap_s) FILTER (WHERE stint < final) - min(lap_s) FILTER (WHERE stint = final) AS improve, count(*) AS timed FROM qr GROUP BY year, round, driver),
+qd AS (SELECT year, round, driver, avg(deleted::INT) AS gone FROM ql GROUP BY year, round, driver), qe AS (SELECT * FROM qa JOIN qd USING (year, round, driver)),
+qx AS (SELECT year, round, driver, stage, coalesce(best, lap_best) AS best, lap_best, ideal, improve, gone, timed, coalesce(best, lap_best) - min(coalesce(best, lap_best)) OVER (PARTITION BY year, round) AS pole FROM qb FULL JOIN qe USING (year, round, driver)), {_mates('qx', {'best': 'tm'}, 'qm')}"""
+_add("quali_execution_pre", _EXEC, f"""{_KEY}, round(improve, 6) AS qexec_pre_final_run_improve_s, round(gone, 6) AS qexec_pre_deleted_lap_share, timed::BIGINT AS qexec_pre_timed_laps_n, round(best, 6) AS qexec_pre_best_lap_s, round(pole, 6) AS qexec_pre_gap_to_pole_s,
+  round(lap_best - ideal, 6) AS qexec_pre_ideal_lap_gap_s, stage::BIGINT AS qexec_pre_stage_reached, round(tm, 6) AS qexec_pre_gap_to_tm_s FROM roster p {_NOW.format('qm')}""")
+
+_add("quali_evolution_pre", f"""{_QUALI}, g0 AS (SELECT *, least(greatest(t / max(t) OVER (PARTITION BY year, round), 0), 1) AS progress, min(lap_s) OVER (PARTITION BY year, round) AS top FROM qc),
 g1 AS (SELECT *, round(progress * 1000)::BIGINT AS m FROM g0), g2 AS (SELECT *, min(lap_s) OVER (PARTITION BY year, round ORDER BY m RANGE BETWEEN 75 PRECEDING AND 75 FOLLOWING) AS band FROM g1),
 gb AS (SELECT year, round, driver, progress AS pushed, lap_s - band AS gap, band - top AS luck FROM g2 QUALIFY row_number() OVER (PARTITION BY year, round, driver ORDER BY lap_s, t) = 1),
 ga AS (SELECT year, round, driver, max(progress) AS final, avg((progress >= 0.6)::INT) AS late, count(*) AS k FROM g2 GROUP BY year, round, driver),
 gr AS (SELECT *, CASE WHEN count(*) OVER w = 1 THEN 1 ELSE 1 - (rank() OVER (PARTITION BY year, round ORDER BY gap) + (count(*) OVER (PARTITION BY year, round, gap) - 1) / 2 - 1) / greatest(count(*) OVER w - 1, 1) END AS pct
   FROM gb JOIN ga USING (year, round, driver) WINDOW w AS (PARTITION BY year, round))""",
      f"""{_KEY}, round(pushed, 6) AS qevo_pre_best_lap_progress_pct, round(gap, 6) AS qevo_pre_window_gap_s, round(luck, 6) AS qevo_pre_timing_luck_s, round(final, 6) AS qevo_pre_final_push_progress_pct, round(late, 6) AS qevo_pre_late_push_share,
-  coalesce(k, 0)::BIGINT AS qevo_pre_push_laps_n, round(pct, 6) AS qevo_pre_window_rank_pct FROM roster p {_NOW.format('gr')}""")
+  k::BIGINT AS qevo_pre_push_laps_n, round(pct, 6) AS qevo_pre_window_rank_pct FROM roster p {_NOW.format('gr')}""")
 
-_W = {"best": "q_tm_delta_s", "s1": "s1_tm_delta_s", "s2": "s2_tm_delta_s", "s3": "s3_tm_delta_s", "short": "short_tm_delta_s", "long": "long_tm_delta_s", "deg": "deg_tm_delta"}
+_W = {"best": "q_tm_delta_s", "s1": "q_s1_tm_delta_s", "s2": "q_s2_tm_delta_s", "s3": "q_s3_tm_delta_s", "long": "prac_longrun_tm_delta_s", "deg": "prac_deg_tm_delta_s_per_lap", "short": "prac_shortrun_tm_delta_s"}
 _spread = lambda x, f: f"(SELECT {f}(v) FROM (SELECT unnest([{', '.join(x)}]) AS v))"
-_OWN, _DEL = ("s1", "s2", "s3"), ("s1_tm_delta_s", "s2_tm_delta_s", "s3_tm_delta_s")
+_OWN, _DEL = ("s1", "s2", "s3"), ("q_s1_tm_delta_s", "q_s2_tm_delta_s", "q_s3_tm_delta_s")
 _TEAM_DELTA = f"""{_EXEC}, {_RUNS}, sc AS (SELECT year, round, driver, min(s1) AS s1, min(s2) AS s2, min(s3) AS s3 FROM ql WHERE NOT caution AND accurate GROUP BY year, round, driver),
-lr AS (SELECT year, round, driver, short, pace AS long, slope AS deg FROM longrun), td AS (SELECT year, round, driver, best, position, s1, s2, s3, short, long, deg FROM qb FULL JOIN sc USING (year, round, driver) FULL JOIN lr USING (year, round, driver)),
-{_mates('td', {**_W, 'position': 'q_pos_tm_delta'}, 'tm')}"""
-_add("weekend_team_delta_pre", _TEAM_DELTA, f"""{_KEY}, {', '.join(f'round({c}, 6) AS wknd_pre_{c}' for c in [*_W.values(), 'q_pos_tm_delta'])}, round({_spread(_DEL, 'stddev_pop')}, 6) AS wknd_pre_sector_delta_std, round(greatest({', '.join(_DEL)}), 6) AS wknd_pre_sector_delta_max,
-  round(least({', '.join(_DEL)}), 6) AS wknd_pre_sector_delta_min, round({_spread(_OWN, 'stddev_pop')}, 6) AS wknd_pre_sector_std, round(greatest(s1, s2, s3) - least(s1, s2, s3), 6) AS wknd_pre_sector_span, (q_tm_delta_s IS NOT NULL)::BIGINT AS wknd_pre_pair_available FROM roster p {_NOW.format('tm')}""")
+lr AS (SELECT year, round, driver, short, pace AS long, slope AS deg FROM longrun), td AS (SELECT {_KEY}, best, position, s1, s2, s3, short, long, deg FROM roster p {_NOW.format('qb')} {_NOW.format('sc')} {_NOW.format('lr')}),
+{_mates('td', {**_W, 'position': 'q_pos_tm_delta'}, 'tm')}, sz AS (SELECT *, count(*) OVER (PARTITION BY year, round, team) AS size FROM roster)"""
+_add("weekend_team_delta_pre", _TEAM_DELTA, f"""{_KEY}, CASE WHEN size >= 2 THEN (size = 2)::BIGINT END AS wknd_pre_tm_has_pair, {', '.join(f'round({c}, 6) AS wknd_pre_{c}' for c in [*_W.values(), 'q_pos_tm_delta'])}, round({_spread(_DEL, 'stddev_pop')}, 6) AS wknd_pre_q_sector_tm_delta_std_s,
+  round(greatest({', '.join(_DEL)}), 6) AS wknd_pre_q_sector_tm_delta_max_s, round(least({', '.join(_DEL)}), 6) AS wknd_pre_q_sector_tm_delta_min_s, round({_spread(_OWN, 'stddev_pop')}, 6) AS wknd_pre_q_sector_balance_std_s, round(greatest(s1, s2, s3) - least(s1, s2, s3), 6) AS wknd_pre_q_sector_balance_span_s
+FROM roster p {_NOW.format('tm')} {_NOW.format('sz')}""")
 
 _pct = lambda x: f"CASE WHEN {x} IS NOT NULL THEN CASE WHEN count({x}) OVER w = 1 THEN 1 ELSE 1 - (rank() OVER (PARTITION BY year, round, {x} IS NOT NULL ORDER BY {x}) + (count(*) OVER (PARTITION BY year, round, {x}) - 1) / 2 - 1) / greatest(count({x}) OVER w - 1, 1) END END"
 _FIELD = {"q": "q_rank_pct", "s": "prac_short_rank_pct", "l": "prac_longrun_rank_pct", "d": "tm_delta_rank_pct"}
@@ -303,15 +304,15 @@ fx AS (SELECT *, q - min(q) OVER w AS a, q - quantile_cont(q, 0.5) OVER w AS b,
      f"""year, round, driver, round(a, 6) AS field_pre_q_gap_to_best_s, round(b, 6) AS field_pre_q_gap_to_median_s, {', '.join(f'round({n}, 6) AS field_pre_{n}' for n in _FIELD.values())},
   {_spread(_FIELD.values(), 'count')}::BIGINT AS field_pre_available_scores_n, round({_spread(_FIELD.values(), 'avg')}, 6) AS field_pre_combo_rank_pct FROM fx""")
 
-_add("sprint_weekend_pre", f"""sq AS (SELECT year, round, driver, position AS pos, least(q1, q2, q3) AS best, least(q1, q2, q3) - min(least(q1, q2, q3)) OVER (PARTITION BY year, round) AS gap FROM results WHERE session = 'SQ'), {_mates('sq', {'pos': 'tm'}, 'sm')},
-has AS (SELECT DISTINCT year, round FROM sq)""",
-     f"""{_KEY}, round(pos, 6) AS sprint_pre_quali_pos, round(best, 6) AS sprint_pre_quali_best_s, NULL::DOUBLE AS sprint_pre_finish_pos, NULL::DOUBLE AS sprint_pre_gain, NULL::DOUBLE AS sprint_pre_points, round(gap, 6) AS sprint_pre_quali_gap_s, NULL::DOUBLE AS sprint_pre_abs_gain,
-  (sm.driver IS NOT NULL)::BIGINT AS sprint_pre_has_data, round(tm, 6) AS sprint_pre_quali_tm_delta, NULL::DOUBLE AS sprint_pre_finish_tm_delta, (m.sprint OR has.year IS NOT NULL)::BIGINT AS sprint_pre_format_flag
-FROM roster p {_NOW.format('sm')} JOIN meta m ON m.year = p.year AND m.round = p.round LEFT JOIN has ON has.year = p.year AND has.round = p.round""")
+_add("sprint_weekend_pre", f"""sr AS (SELECT {_KEY}, x.position AS pos, least(q1, q2, q3) AS best, x.driver IS NOT NULL AS ran FROM roster p LEFT JOIN (SELECT * FROM results WHERE session = 'SQ') x ON x.year = p.year AND x.round = p.round AND x.driver = p.driver),
+sq AS (SELECT *, best - min(best) OVER (PARTITION BY year, round) AS gap FROM sr), {_mates('sq', {'best': 'tm'}, 'sm')}, has AS (SELECT DISTINCT year, round FROM results WHERE session = 'SQ')""",
+     f"""sm.year, sm.round, sm.driver, round(pos, 6) AS sprint_pre_sq_pos, round(best, 6) AS sprint_pre_sq_best_s, NULL::DOUBLE AS sprint_pre_finish_pos, NULL::DOUBLE AS sprint_pre_gain_vs_grid, NULL::DOUBLE AS sprint_pre_points, round(gap, 6) AS sprint_pre_sq_gap_to_best_s, NULL::DOUBLE AS sprint_pre_gain_abs,
+  (has.year IS NOT NULL)::BIGINT AS sprint_pre_has_data, round(tm, 6) AS sprint_pre_sq_tm_delta_s, NULL::DOUBLE AS sprint_pre_tm_finish_delta, (m.sprint OR has.year IS NOT NULL)::BIGINT AS sprint_pre_format_flag
+FROM sm JOIN meta m ON m.year = sm.year AND m.round = sm.round LEFT JOIN has ON has.year = sm.year AND has.round = sm.round""")
 
-_EFF = "speed_p95 speed_max full_throttle_share brake_share drs_share straight_share straight_speed_mean drs_gain"
+_EFF = {"speed_p95": "speed_p95_kph", "speed_max": "speed_max_kph", "full_throttle_share": "full_throttle_share", "brake_share": "brake_share", "brake_speed_mean": "brake_speed_mean_kph", "drs_share": "drs_open_share", "drs_gain": "drs_speed_gain_kph"}
 _add("telemetry_efficiency_pre", f"""tl AS (SELECT *, 100 + 2 * v AS speed, v >= 95 AS full_, n % 14 >= 10 AS open, v >= 95 AND 100 + 2 * v >= 150 AS straight, CASE session WHEN 'Q' THEN 4 WHEN 'FP3' THEN 3 ELSE 2 END AS ord FROM ev WHERE session IN ('Q', 'FP3', 'FP2')),
-te AS (SELECT year, round, driver, ord, count(*) AS samples, quantile_cont(speed, 0.95) AS speed_p95, max(speed) AS speed_max, avg(full_::INT) AS full_throttle_share, avg((v < 20)::INT) AS brake_share, avg(open::INT) AS drs_share, avg(straight::INT) AS straight_share,
-  avg(speed) FILTER (WHERE straight) AS straight_speed_mean, avg(speed) FILTER (WHERE straight AND open) - avg(speed) FILTER (WHERE straight AND NOT open) AS drs_gain FROM tl GROUP BY year, round, driver, ord),
-tb AS (SELECT * FROM te QUALIFY row_number() OVER (PARTITION BY year, round, driver ORDER BY ord DESC, samples DESC, speed_p95 DESC) = 1), {_mates('tb', {'speed_p95': 'tm'}, 'tm0')}""",
-     f"""{_KEY}, ord::BIGINT AS tele_eff_pre_session_ord, samples::BIGINT AS tele_eff_pre_samples, {', '.join(f'round({c}, 6) AS tele_eff_pre_{c}' for c in _EFF.split())}, round(tm, 6) AS tele_eff_pre_speed_p95_tm_delta FROM roster p {_NOW.format('tm0')}""")
+te AS (SELECT year, round, driver, ord, count(*) AS samples, quantile_cont(speed, 0.95) AS speed_p95, max(speed) AS speed_max, avg(full_::INT) AS full_throttle_share, avg((v < 20)::INT) AS brake_share, avg(speed) FILTER (WHERE v < 20) AS brake_speed_mean, avg(open::INT) AS drs_share,
+  avg(speed) FILTER (WHERE straight AND open) - avg(speed) FILTER (WHERE straight AND NOT open) AS drs_gain FROM tl GROUP BY year, round, driver, ord),
+tb AS (SELECT * FROM te QUALIFY row_number() OVER (PARTITION BY year, round, driver ORDER BY ord DESC, samples DESC, speed_p95 DESC) = 1), {_mates('tb', {'speed_p95': 'tm', 'drs_gain': 'tg'}, 'tm0')}""",
+     f"""{_KEY}, ord::BIGINT AS tele_eff_pre_session_ord, samples::BIGINT AS tele_eff_pre_samples_n, {', '.join(f'round({c}, 6) AS tele_eff_pre_{n}' for c, n in _EFF.items())}, round(tm, 6) AS tele_eff_pre_speed_tm_delta_kph, round(tg, 6) AS tele_eff_pre_drs_gain_tm_delta_kph FROM roster p {_NOW.format('tm0')}""")

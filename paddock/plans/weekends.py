@@ -32,20 +32,23 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.row_number().over(order).cast("double").alias("position"), *[(26 + F.col("value") / 30 + (n % k) / 10).alias(f"s{i}") for i, k in ((1, 3), (2, 5), (3, 7))], (n % 5).cast("double").alias("gap_s"))
     per = sessions.groupBy("year", "round", "session", "driver", "team").agg(F.sum("value").alias("v"), F.min("value").alias("best"), F.min("event_id").alias("n"))
     place = lambda c: F.row_number().over(Window.partitionBy("year", "round", "session").orderBy(c, "driver")).cast("double")
-    status = choose(F.col("n"), ["Finished"] * 6 + ["+1 Lap", "Engine", "Collision", "Disqualified"])
+    status = choose(F.floor(F.col("n") / 10), ["Finished"] * 6 + ["+1 Lap", "Engine", "Collision", "Disqualified"])
     best = 80 + F.col("best") / 10
     results = per.select("year", "round", "session", "driver", "team", F.when(F.col("n") % 11 != 0, place(F.desc("v"))).alias("position"), place("n").alias("grid"), F.greatest(F.lit(0.0), 26 - place(F.desc("v"))).alias("points"), status.alias("status"), (best + 1).alias("q1"), F.when(F.col("n") % 3 > 0, best + 0.5).alias("q2"), F.when(F.col("n") % 3 > 1, best).alias("q3"), F.lit(None).cast("double").alias("time"))
     days = e.select("year", "round").distinct()
     slug = choose(F.col("round"), ["Monza", "Interlagos", "Suzuka", "Spa", "Marina Bay"])
     messages = choose(n, ["GREEN", "SAFETY CAR DEPLOYED", "VIRTUAL SAFETY CAR DEPLOYED", "RED FLAG", "START DELAYED", "YELLOW", "CLEAR"])
+    measured, forecast = sessions.filter("event_type = 'view'"), sessions.filter("event_type = 'signup' and round % 3 = 0").withColumn("session", F.lit(fq.FORECAST))
+    air = ["year", "round", "session", F.col("t").alias("t_s"), F.lit(None).cast("timestamp").alias("utc"), (15 + F.col("value") / 10).alias("air"), (20 + F.col("value") / 5).alias("track"), F.col("value").alias("humidity"), (F.col("value") / 20).alias("wind")]
     return {
         "laps": laps, "results": results,
-        "meta": days.select("year", "round", F.concat(slug, F.lit(" Grand Prix")).alias("event"), slug.alias("circuit"), F.lit(None).cast("string").alias("location"), choose(F.col("round"), ["conventional", "sprint"]).alias("format")),
-        "weather": sessions.filter("event_type = 'view'").select("year", "round", "session", F.col("t").alias("t_s"), (15 + F.col("value") / 10).alias("air"), (20 + F.col("value") / 5).alias("track"), F.col("value").alias("humidity"), (F.col("value") / 20).alias("wind"), (n % 7 == 0).cast("double").alias("rain")),
+        "meta": days.select("year", "round", F.concat(slug, F.lit(" Grand Prix")).alias("event"), F.lit(None).cast("string").alias("official"), slug.alias("circuit"), F.lit(None).cast("string").alias("location"), choose(F.col("round"), ["conventional", "sprint"]).alias("format")),
+        "weather": measured.select(*air, (n % 7 == 0).cast("double").alias("rain"), F.lit(None).cast("double").alias("rain_prob")).unionByName(forecast.select(*air, F.lit(None).cast("double").alias("rain"), (F.col("value") / 100).alias("rain_prob"))),
+        "race_events": e.filter("event_type = 'error'").select("year", "round", (n % 5 + 1).cast("int").alias("lap"), "driver", choose(F.floor(n / 5), ["Pit exit closed", "Contact with car 4", "Yellow", "Spin at turn 3"]).alias("event")),
         "race_ctrl": e.filter("event_type = 'error'").select("year", "round", F.col("t").alias("t_s"), (n % 50 + 1).cast("int").alias("lap"), F.lit("Other").alias("category"), messages.alias("message"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("flag")),
-        "track_status": e.filter("event_type = 'signup'").select("year", "round", F.col("t").alias("t_s"), choose(n, ["1", "2", "4", "6"]).alias("status"), F.lit("").alias("message")),
-        "session_status": e.filter("event_type = 'click'").select("year", "round", F.col("t").alias("t_s"), choose(n, ["Started"] * 39 + ["Delayed"]).alias("status")),
-        "telemetry": sessions.select("year", "round", "session", "driver", F.col("t").alias("t_s"), (100 + 2 * F.col("value")).alias("speed"), F.col("value").alias("throttle"), (F.col("value") < 20).cast("double").alias("brake"), (n % 14).cast("double").alias("drs")),
+        "track_status": e.filter("event_type = 'signup'").select("year", "round", F.col("t").alias("t_s"), choose(n, ["1", "2", "4", "6"]).alias("status"), choose(n, ["AllClear", "Yellow", "SCDeployed", "VSCDeployed"]).alias("message")),
+        "session_status": e.filter("event_type = 'click'").select("year", "round", F.col("t").alias("t_s"), choose(n, ["Started"] * 39 + ["Delayed"]).alias("status"), F.lit(None).cast("string").alias("message")),
+        "telemetry": sessions.select("year", "round", "session", "driver", F.col("t").alias("t_s"), (100 + 2 * F.col("value")).alias("speed"), F.col("value").alias("throttle"), (F.col("value") < 20).cast("double").alias("brake"), (n % 14).cast("double").alias("drs"), (n % 8).cast("double").alias("gear"), (8000 + 40 * F.col("value")).alias("rpm")),
         "pit_stops": laps.filter("session = 'R' and pit_in is not null").select("year", "round", "driver", "lap", (2 + F.col("gap_s")).alias("seconds")),
     }
 
@@ -67,12 +70,12 @@ _PEOPLE = """e AS (SELECT event_id, year(ts)::BIGINT AS year, dayofyear(ts)::BIG
 people AS (SELECT year, round, driver, max(team) AS team FROM e GROUP BY 1, 2, 3),
 per AS (SELECT year, round, session, driver, team, sum(value) AS v, min(value) AS best, min(event_id) AS n FROM e GROUP BY 1, 2, 3, 4, 5),
 res AS (SELECT *, CASE WHEN n % 11 <> 0 THEN row_number() OVER (PARTITION BY year, round, session ORDER BY v DESC, driver) END AS position, row_number() OVER (PARTITION BY year, round, session ORDER BY n, driver) AS grid,
-  greatest(0, 26 - row_number() OVER (PARTITION BY year, round, session ORDER BY v DESC, driver)) AS points, n % 10 IN (7, 8, 9) AS odd, n % 10 IN (7, 8) AS dnf FROM per),
+  greatest(0, 26 - row_number() OVER (PARTITION BY year, round, session ORDER BY v DESC, driver)) AS points, n // 10 % 10 IN (7, 8, 9) AS odd, n // 10 % 10 IN (7, 8) AS dnf FROM per),
 seen AS (SELECT c.year AS cy, c.round AS cr, p.year, p.round, c.o - p.o AS age FROM (SELECT *, row_number() OVER (ORDER BY year, round) AS o FROM (SELECT DISTINCT year, round FROM people)) c
   JOIN (SELECT *, row_number() OVER (ORDER BY year, round) AS o FROM (SELECT DISTINCT year, round FROM people)) p ON p.o < c.o AND p.o >= c.o - 10),
 h AS (SELECT res.*, cy, cr FROM res JOIN seen USING (year, round) WHERE session = 'R')"""
 
-SQL["weekend_results_target"] = f"""WITH {_PEOPLE} SELECT year, round, driver, position::DOUBLE AS finish_position, ['Finished', 'Finished', 'Finished', 'Finished', 'Finished', 'Finished', '+1 Lap', 'Engine', 'Collision', 'Disqualified'][n % 10 + 1] AS "Status",
+SQL["weekend_results_target"] = f"""WITH {_PEOPLE} SELECT year, round, driver, position::DOUBLE AS finish_position, ['Finished', 'Finished', 'Finished', 'Finished', 'Finished', 'Finished', '+1 Lap', 'Engine', 'Collision', 'Disqualified'][n // 10 % 10 + 1] AS "Status",
   points::DOUBLE AS "Points", grid::DOUBLE AS "GridPosition", NULL::DOUBLE AS "Time" FROM res WHERE session = 'R'"""
 
 SQL["weekend_driver_team_priors_pre"] = f"""WITH {_PEOPLE},
