@@ -20,7 +20,9 @@ repeated rows count as documents of their own. Tables without rows give none; ot
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +31,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held, pieces, table, written
+from .sentencepiece_wfst import META, Transducer
 
-META = "▁"
 #: Postings of a block, at most (one document may have more), and of a shuffle partition; a hot id has over so many postings.
 BLOCK, PARTITION, HOT = 3_000_000, 4_000_000, 1_000_000
 #: Postings whose counts are computed at a time, beside a group of more.
 PIECE = 500_000
 #: Links that are expanded at a time.
 EXPAND = 4_000_000
+#: Units that a worker keeps, their longest, and how many words are aligned as one text.
+CACHE_UNITS, LONG, JOINED = 250_000, 64, 2000
+_WHITE = re.compile(r"\s\s")
 #: The fixed pattern of the file's pre-tokenizer (ByteLevel with use_regex).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DOCS = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string"
@@ -114,39 +119,127 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[at], np.add.reduceat(values, at) if len(at) else values
 
 
+def words_apart(model: bytes) -> bool:
+    """Whether each word of a text has its own pieces: no piece goes on behind a blank, and nothing is normalised but blanks."""
+    try:
+        t = Transducer.compile(model)
+    except ValueError:
+        return False
+    n = t.normal
+    return not (n.rules or n.kept or n.squeeze) and n.prefix and n.space == META and not any(META in p.lstrip(META) for p in t.pieces)
+
+
 class Aligner:
+    """Aligns texts. A text whose words are parted by single blanks is the chain of its words, each with the blank before it: both
+    sides have a token end between them. So words are aligned once, joined to long texts, and those met are kept up to a number;
+    what is full begins anew. Other texts are aligned whole."""
+
     def __init__(self, spec: str, model: bytes):
         self.a, self.b = ByteSide(spec), PieceSide(model)
         self.sizes = [np.array([len(x) for x in side.bytes], np.int64) for side in (self.a, self.b)]
         # ids in decimal, by the sign that follows: within a side, between the sides, between groups
         self.told = [f"{i}{sign}" for sign in ",|;" for i in range(max(map(len, self.sizes)))]
+        self.by_word = self.a.quick is not None and words_apart(model)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Of each kept unit: its four numbers, its groups as text, and its pairs (from first[k] to first[k + 1])."""
+        self.place: dict[str, int] = {}
+        self.texts: list[str] = []
+        self.numbers, self.first, self.pairs = np.zeros((0, 4), np.int64), np.zeros(1, np.int64), np.zeros((0, 3), np.int64)
 
-    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        none = np.zeros(0, np.int64)
+    def units(self, text: str | None) -> list[str]:
         if not text:
-            return none, none
-        want = b" " + text.encode()
+            return []
+        words = text.split(" ")
+        return words if self.by_word and not _WHITE.search(text) and "" not in words else [text]
+
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        want, none = b" " + text.encode(), np.zeros(0, np.int64)
         a, b = self.a.encode(" " + text), self.b.encode(text)
         same = all(b"".join(map(side.bytes.__getitem__, ids.tolist())) == want for side, ids in ((self.a, a), (self.b, b)))
         return (a, b) if same else (none, none)
 
-    def __call__(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[str], list[np.ndarray]]:
-        """For each text: n_a, n_b, n_groups, n_links (four arrays) and the groups as text. For the distinct pairs of each text,
-        by text: its place, the A id, the B id and how often it is linked (four arrays)."""
-        both = [self.tokens(t) for t in texts]
+    def _learn(self, units: list[str]) -> None:
+        """Aligns units: words joined by blanks, the others (with blanks, white space at an end, or long) one by one and last."""
+        words, single = [], []
+        for u in units:
+            (words if self.by_word and len(u) <= LONG and " " not in u and u == u.strip() else single).append(u)
+        single.sort(key=len)
+        order, both, kept = words + single, [], []
+        for some in [words[k : k + JOINED] for k in range(0, len(words), JOINED)]:
+            ids = self.tokens(" ".join(some))
+            parts = [ids] if len(ids[0]) else [self.tokens(w) for w in some]
+            both += parts
+            kept += [True] * len(some) if len(ids[0]) else [len(p[0]) > 0 for p in parts]
+        both += [self.tokens(u) for u in single]
+        kept += [len(p[0]) > 0 for p in both[len(both) - len(single) :]]
         sides = [np.concatenate([np.zeros(0, np.int64), *[x[k] for x in both]]) for k in (0, 1)]
-        n = [np.array([len(x[k]) for x in both], np.int64) for k in (0, 1)]
         ends = [np.cumsum(self.sizes[k][sides[k]]) for k in (0, 1)]
+        # units without tokens have no bytes here either
+        width = np.array([len(u.encode()) + 1 for u in order], np.int64) * np.array(kept, np.int64)
+        stops = np.cumsum(width)
+        owner = [np.searchsorted(stops, e, side="left") for e in ends]
         cuts = np.intersect1d(*ends, assume_unique=True)
         group = [np.searchsorted(cuts, e) for e in ends]
-        doc = np.repeat(np.arange(len(texts)), n[0])
         per = [np.bincount(g, minlength=len(cuts)) for g in group]
-        # a group's document is that of its first token of A
-        doc_of = doc[np.cumsum(per[0]) - per[0]] if len(cuts) else np.zeros(0, np.int64)
-        links = np.zeros(len(texts), np.int64)
-        np.add.at(links, doc_of, per[0] * per[1])
-        numbers = [*n, np.bincount(doc_of, minlength=len(texts)), links]
-        return numbers, self._told(n, sides, group, per), self._pairs(sides, group, doc_of)
+        # a group's unit is that of its first token of A
+        unit_of = owner[0][np.cumsum(per[0]) - per[0]] if len(cuts) else np.zeros(0, np.int64)
+        links = np.zeros(len(order), np.int64)
+        np.add.at(links, unit_of, per[0] * per[1])
+        n = [np.bincount(o, minlength=len(order)) for o in owner]
+        where, *pair = self._pairs(sides, group, unit_of)
+        self.place.update(zip(order, range(len(self.texts), len(self.texts) + len(order))))
+        self.texts += self._told(n, sides, group, per)
+        self.numbers = np.concatenate([self.numbers, np.stack([*n, np.bincount(unit_of, minlength=len(order)), links], 1)])
+        self.first = np.append(self.first, self.first[-1] + np.cumsum(np.bincount(where, minlength=len(order))))
+        self.pairs = np.concatenate([self.pairs, np.stack(pair, 1)])
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[str], list[np.ndarray]]:
+        """For each text: n_a, n_b, n_groups, n_links (four arrays) and the groups as text. For the distinct pairs of each text,
+        by text: its place, the A id, the B id and how often it is linked (four arrays)."""
+        units = [self.units(t) for t in texts]
+        if len(self.place) > CACHE_UNITS:
+            self._forget()
+        new = sorted(set(chain.from_iterable(units)).difference(self.place))
+        if new:
+            self._learn(new)
+        n_units = np.array([len(u) for u in units], np.int64)
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(units)), np.int64, int(n_units.sum()))
+        owner = np.repeat(np.arange(len(texts)), n_units)
+        # a unit that a side does not give back leaves its text without tokens
+        lost = np.bincount(owner, self.numbers[at, 0] == 0, len(texts)) > 0
+        numbers = [np.zeros(len(texts), np.int64) for _ in range(4)]
+        for k in range(4):
+            np.add.at(numbers[k], owner, self.numbers[at, k])
+            numbers[k][lost] = 0
+        told, start, known = [], 0, self.texts
+        for m, gone in zip(n_units.tolist(), lost.tolist()):
+            told.append("" if gone or not m else ";".join(map(known.__getitem__, at[start : start + m].tolist())))
+            start += m
+        some = ~lost[owner]
+        keys, times = _summed(owner[some] * len(known) + at[some], np.ones(int(some.sum()), np.int64))
+        unit = keys % len(known) if len(keys) else keys
+        wide = self.first[unit + 1] - self.first[unit]
+        nth = np.arange(int(wide.sum())) - np.repeat(np.cumsum(wide) - wide, wide)
+        found = self.pairs[np.repeat(self.first[unit], wide) + nth]
+        width = len(self.told) // 3
+        doc = np.repeat(keys // max(1, len(known)), wide)
+        keys, times = _summed((doc * width + found[:, 0]) * width + found[:, 1], found[:, 2] * np.repeat(times, wide))
+        self._drop_long(new)
+        return numbers, told, [keys // (width * width), keys // width % width, keys % width, times]
+
+    def _drop_long(self, new: list[str]) -> None:
+        """Units of over LONG letters are not kept: those of a batch stand last."""
+        long = [u for u in new if len(u) > LONG]
+        if not long:
+            return
+        left = len(self.texts) - len(long)
+        for u in long:
+            del self.place[u]
+        del self.texts[left:]
+        self.numbers, self.first = self.numbers[:left].copy(), self.first[: left + 1].copy()
+        self.pairs = self.pairs[: self.first[-1]].copy()
 
     def _told(self, n: list[np.ndarray], ids: list[np.ndarray], group: list[np.ndarray], per: list[np.ndarray]) -> list[str]:
         """The groups of each document: A ids, |, B ids; groups are parted by ;"""
@@ -158,11 +251,9 @@ class Aligner:
             # A tokens stand behind the B tokens of earlier groups, B tokens behind the A tokens of their own group too
             before = total[0][group[1]] if k else total[1][group[0]] - per[1][group[0]]
             out[at + before] = ids[k] + width * np.where(last, 2 if k else 1, 0)
-        names, told, start = self.told, [], 0
-        for m in (n[0] + n[1]).tolist():
-            told.append("".join(map(names.__getitem__, out[start : start + m].tolist()))[:-1])
-            start += m
-        return told
+        names = list(map(self.told.__getitem__, out.tolist()))
+        whole, stops = "".join(names), np.cumsum(np.concatenate([[0], np.fromiter(map(len, names), np.int64, len(names))]))[np.cumsum(np.concatenate([[0], n[0] + n[1]]))].tolist()
+        return [whole[i : max(i, j - 1)] for i, j in zip(stops, stops[1:])]
 
     def _pairs(self, ids: list[np.ndarray], group: list[np.ndarray], doc_of: np.ndarray) -> list[np.ndarray]:
         """Distinct pairs of the documents: ids are counted within their group and side first, so a group of many equal tokens
@@ -314,13 +405,9 @@ def _group_sums(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     posting = np.repeat(n_docs > 0, sizes)
     count = of_pair[inverse[posting]]
     is_best = count == best[np.repeat(group, n_docs)]
-    row = np.repeat(base, n_docs) + docs
-    rows, at = np.unique(row, return_inverse=True)
-    sums, bests = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-    np.add.at(sums, at, ms * count)
-    np.add.at(bests, at[is_best], ms[is_best])
-    if len(rows):
-        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(sums), pa.array(bests)], ["row", "count_sum", "n_best"])
+    if len(docs):
+        # a row a posting: what a document gets from many groups is summed by Spark, in the task first
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(base, n_docs) + docs), pa.array(ms * count), pa.array(np.where(is_best, ms, 0))], ["row", "count_sum", "n_best"])
 
 
 def linked_counts(postings: DataFrame, hot_size: int = HOT) -> DataFrame:

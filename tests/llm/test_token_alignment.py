@@ -116,6 +116,30 @@ def test_very_long_texts(sides):
         assert len(pairs[0]) < 200
 
 
+def test_words_and_whole_texts_agree(sides, monkeypatch):
+    """What is kept of words, and how many are joined, changes nothing; nor does aligning whole texts."""
+    texts = [*ODD, *some_texts(60, 4), "a \nb", "a\n b", "\nab cd", "ab cd\n", "x" * 100 + " y", "one ▁two three", "' 's 't 're"] * 2
+    assert sides[0].by_word and ta.words_apart(ta.side_b())
+    whole = ta.Aligner(ta.side_a(), ta.side_b())
+    whole.by_word = False
+    want = whole(texts)
+    for units, joined in ((120_000, 2000), (30, 3), (1, 1)):
+        monkeypatch.setattr(ta, "CACHE_UNITS", units)
+        monkeypatch.setattr(ta, "JOINED", joined)
+        own = ta.Aligner(ta.side_a(), ta.side_b())
+        for size in (len(texts), 7):
+            done = 0
+            for k in range(0, len(texts), size):
+                numbers, told, pairs = own(texts[k : k + size])
+                assert told == want[1][k : k + size]
+                for x, y in zip(numbers, want[0]):
+                    assert x.tolist() == y[k : k + size].tolist()
+                got = list(zip(*(p.tolist() for p in pairs)))
+                assert [(d + k, *r) for d, *r in got] == [r for r in zip(*(p.tolist() for p in want[2])) if k <= r[0] < k + size]
+                done += len(told)
+            assert done == len(texts)
+
+
 def test_expansion_in_parts(sides, monkeypatch):
     texts = some_texts(30, 7) * 2
     want = sides[0](texts)[2]
