@@ -39,6 +39,14 @@ def duration_seconds(text: Column) -> Column:
     return F.when(text.rlike(form), signed).otherwise(F.when(~F.isnan(number), number))
 
 
+def duration_text(seconds: Column) -> Column:
+    """``0 days 00:01:35.400000``, which ``duration_seconds`` reads; microseconds are rounded."""
+    micros = F.round(F.abs(seconds) * 1e6).cast("long")
+    part = lambda unit, many: (F.floor(micros / unit) % many).cast("int")
+    form = F.format_string("%d days %02d:%02d:%02d.%06d", F.floor(micros / 86_400_000_000), part(3_600_000_000, 24), part(60_000_000, 60), part(1_000_000, 60), (micros % 1_000_000).cast("int"))
+    return F.when(seconds.isNotNull(), F.concat(F.when(seconds < 0, "-").otherwise(""), form))
+
+
 def milliseconds(text: Column) -> Column:
     """A plain number is taken as milliseconds, a duration is converted."""
     number = text.try_cast("double")

@@ -35,6 +35,8 @@ TABLES = {
     "race_events": "year int, round int, lap int, driver string, event string",
     "session_status": "year int, round int, t_s double, status string, message string",
     "telemetry": "year int, round int, session string, driver string, t_s double, speed double, throttle double, brake double, drs double, gear double, rpm double",
+    "telemetry_best": "year int, round int, driver string, best double, top double",
+    "entries": "year int, round int, session string, driver string, team string",
     "pit_stops": "year int, round int, driver string, lap int, seconds double",
 }
 SESSION_ORDER = {"FP1": 1, "FP2": 2, "FP3": 3, "Q": 4}
@@ -226,10 +228,11 @@ def history_form(ctx: Context) -> DataFrame:
 
 @feature
 def telemetry_history_pre(ctx: Context) -> DataFrame:
-    """Best lap and top speed of ten races, from telemetry where there is any and from clean laps elsewhere."""
+    """Best lap and top speed of ten races: from a race's own summary, else the top speed from telemetry and the best clean lap."""
     tele = ctx.table("telemetry").filter("session = 'R'").groupBy(*KEY).agg(F.max("speed").alias("top"))
     best = ctx.table("laps").filter((F.col("session") == "R") & ~is_pit() & (F.col("lap_s") > 0)).groupBy(*KEY).agg(F.min("lap_s").alias("best"))
-    per = best.join(tele, KEY, "full_outer").withColumn("z", stats.zscore("best", RACE, sample=False, sign=-1))
+    own = best.join(tele, KEY, "full_outer").select(*KEY, "best", "top")
+    per = lookback.first_available([ctx.table("telemetry_best").select(*KEY, "best", "top"), own], RACE).withColumn("z", stats.zscore("best", RACE, sample=False, sign=-1))
     seen = with_same_track(ctx, ctx.past(per, 10)).withColumn("w", 1 + 0.5 * F.col("same").cast("int"))
     p = "tele_pre_"
     agg = seen.groupBy(*CUT, "driver").agg(F.count("*").alias(f"{p}hist_n"), percentile("best", 0.5).alias(f"{p}bestlap_p50_s"), iqr("best").alias(f"{p}bestlap_iqr_s"), (F.coalesce(F.sum(F.col("w") * F.col("z")), F.lit(0.0)) / F.sum("w")).alias(f"{p}pace_z_mean"), percentile("top", 0.75).alias(f"{p}topspeed_p75"), F.count_if("same").alias(f"{p}same_track_n"), F.max(F.struct("year", "round")).alias("m"))
@@ -665,12 +668,17 @@ def results_target(ctx: Context) -> DataFrame:
 
 
 def roster_of(tables: dict[str, DataFrame], cutoffs: DataFrame) -> DataFrame:
-    """The drivers of each cut-off: its qualifying, else its practice laps, else the latest earlier race."""
+    """The drivers of each cut-off: its qualifying, else its entry list (the qualifying's first), else its practice laps, else the
+    latest earlier race. The round's own race is never read."""
     now = cutoffs.select(*RACE).distinct()
-    res, laps = tables["results"], tables.get("laps")
-    sources = [res.filter("session = 'Q'").join(now, RACE, "left_semi").select(*KEY, "team")]
+    res, laps, entries = tables["results"], tables.get("laps"), tables.get("entries")
+    people = [*KEY, "team"]
+    of_now = lambda df: df.filter("driver is not null").join(lookback.few(now), RACE, "left_semi").select(*people)
+    sources = [of_now(res.filter("session = 'Q'"))]
+    if entries is not None:
+        sources += [of_now(entries.filter("session = 'Q'")), of_now(entries.filter("session <> 'Q'"))]
     if laps is not None:
-        sources.append(laps.filter("session <> 'R'").join(now, RACE, "left_semi").select(*KEY, "team"))
+        sources.append(of_now(laps.filter("session <> 'R'")))
     sources.append(lookback.seen_by(res.filter("session = 'R'"), now, 1).select(F.col("cut_y").alias("year"), F.col("cut_r").alias("round"), "driver", "team"))
     return lookback.first_available(sources, RACE).groupBy(*KEY).agg(F.max("team").alias("team"))
 

@@ -1,6 +1,6 @@
 """Per-event CSV files as one typed table, and tables by (year, round).
 
-File names hold the key: ``table_YEAR_ROUND[_SESSION][_DRIVER].csv``. Files are grouped by their header line, as Spark reads
+File names hold the key: ``table_YEAR_ROUND[_SESSION][_DRIVER].csv``; a folder of that name is what Spark writes. Files are grouped by their header line, as Spark reads
 all files of one call by one header; each group is read with its own names and the groups are united by name.
 """
 
@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import pick
 
-NAME = r"([a-z_]+?)_(\d{4})_(\d{1,2})(?:_(FP1|FP2|FP3|Q|SQ|S))?(?:_([A-Z]{3}))?\.csv$"
+NAME = r"([a-z_]+?)_(\d{4})_(\d{1,2})(?:_(FP1|FP2|FP3|Q|SQ|SS|S|R))?(?:_([A-Z0-9]{3}))?\.csv(?:/part-[^/]*)?$"
 
 
 def with_name_key(df: DataFrame, path: Column) -> DataFrame:
     part = lambda i: F.nullif(F.regexp_extract(path, NAME, i), F.lit(""))
-    return df.withColumns({"year": part(2).cast("int"), "round": part(3).cast("int"), "session": F.coalesce(part(4), F.lit("R")), "file_driver": part(5)})
+    return df.withColumns({"year": part(2).cast("int"), "round": part(3).cast("int"), "session": F.coalesce(F.when(part(4) == "SS", "SQ").otherwise(part(4)), F.lit("R")), "file_driver": part(5)})
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,16 +69,32 @@ def saved_rounds(spark: SparkSession, folder: str, prefix: str, skip: list[str]
     return united(frames) if frames else spark.createDataFrame([], "year int, round int")
 
 
-def read_events(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """All files of a table with their key columns; an absent table is an empty frame. Values stay text."""
-    lines = spark.read.option("pathGlobFilter", f"{table}_[0-9]*.csv").text(folder).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+def exists(spark: SparkSession, pattern: str) -> bool:
+    """Whether any file or folder has a path of this pattern."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
+def read_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame | None:
+    """All files of a pattern as one table, each read by its own header, with their paths (_path); None if there are none.
+    Values stay text."""
+    where = f"{folder.rstrip('/')}/{pattern}"
+    if not exists(spark, where):
+        return None
+    lines = spark.read.text(where).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
     headers = lines.groupBy("path").agg(F.min_by("value", F.struct("start", "n")).alias("header")).groupBy("header").agg(F.collect_list("path").alias("paths")).collect()
-    out = None
+    frames = []
     for h in headers:
-        part = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(list(h.paths))
-        part = with_name_key(part, F.col("_metadata.file_path"))
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out if out is not None else spark.createDataFrame([], "year int, round int, session string, file_driver string")
+        part = spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"').csv(list(h.paths))
+        frames.append(part.withColumn("_path", F.col("_metadata.file_path")))
+    return united(frames) if frames else None
+
+
+def read_events(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """All files of a table with their key columns; an absent table is an empty frame. Values stay text."""
+    out = read_files(spark, folder, f"{table}_[0-9]*.csv")
+    return with_name_key(out, F.col("_path")).drop("_path") if out is not None else spark.createDataFrame([], "year int, round int, session string, file_driver string")
 
 
 def normalise(df: DataFrame, spec: dict[str, tuple[list[str], str]]) -> DataFrame:
@@ -103,6 +119,24 @@ def write_csv(df: DataFrame, path: str) -> None:
     plain.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_events(df: DataFrame, folder: str, table: str) -> None:
+    """One ``table_YEAR_ROUND[_SESSION].csv`` for each round and session of df (year, round, session): a folder, as Spark writes them.
+    What it had of these rounds is replaced. The rows of a file are written by one task; the renames are as many as the files."""
+    spark, root = df.sparkSession, folder.rstrip("/")
+    name = F.concat(F.lit(f"{table}_"), F.col("year").cast("string"), F.lit("_"), F.col("round").cast("string"), F.when(F.col("session") == "R", "").otherwise(F.concat(F.lit("_"), "session")), F.lit(".csv"))
+    work = f"{root}/_writing-{uuid.uuid4().hex}"
+    rows = df.withColumn("_file", name).drop("year", "round", "session").repartition("_file")
+    rows.write.partitionBy("_file").option("header", True).option("escape", '"').csv(work)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(work).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(path(work)):
+        if status.isDirectory() and status.getPath().getName().startswith("_file="):
+            target = path(f"{root}/{status.getPath().getName().removeprefix('_file=')}")
+            fs.delete(target, True)
+            fs.rename(status.getPath(), target)
+    fs.delete(path(work), True)
+
+
 def united(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

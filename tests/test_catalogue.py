@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from conftest import DATA
 
-from paddock.plans import catalogue, catalogue_tools, streams, weekend_sql, weekends  # noqa: F401
+from paddock.plans import catalogue, catalogue_files, catalogue_tools, streams, weekend_sql, weekends  # noqa: F401
 from paddock.plans.registry import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
