@@ -187,3 +187,19 @@ def half_life_weight(age: Column, half_life: float) -> Column:
 def correlation(a: str, b: str) -> Column:
     """Pearson's coefficient; null where either side is constant."""
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
+def weighted_percentile(x: Column, weight: Column, p: float) -> Column:
+    """An aggregate: the percentile of a group's known values whose weights are positive. A value stands at the middle of its own
+    share of the weights, between two it is linear; with equal weights the median is the usual one. Groups are small: a group's
+    values are held as an array."""
+    points = F.array_sort(F.collect_list(F.when(x.isNotNull() & (weight > 0), F.struct(x.cast("double").alias("x"), weight.cast("double").alias("w")))))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v["w"])
+
+    def of(a: Column) -> Column:
+        placed = F.transform(a, lambda v, i: F.struct(v["x"].alias("x"), ((total(F.slice(a, 1, i + 1)) - v["w"] / 2) / total(a)).alias("c")))
+        low, high = F.filter(placed, lambda v: v["c"] <= p), F.filter(placed, lambda v: v["c"] > p)
+        before, behind = F.get(low, F.size(low) - 1), F.get(high, F.lit(0))
+        return F.when(F.size(low) == 0, behind["x"]).when(F.size(high) == 0, before["x"]).otherwise(before["x"] + (behind["x"] - before["x"]) * F.try_divide(F.lit(p) - before["c"], behind["c"] - before["c"]))
+
+    return F.get(F.transform(F.array(points), of), F.lit(0))

@@ -281,6 +281,17 @@ def per_race_telemetry_agg(spark: SparkSession, d: str) -> DataFrame:
     return tidy(telemetry.per_race(per.drop("day"), ["driver"]))
 
 
+@query(f"""WITH {RES}, w AS (SELECT driver, pos, pow(2, -((row_number() OVER (PARTITION BY driver ORDER BY y DESC, r DESC, k DESC)) - 1) / 4.0) AS w FROM res WHERE pos IS NOT NULL),
+c AS (SELECT driver, pos, w, (sum(w) OVER o - w / 2) / sum(w) OVER (PARTITION BY driver) AS c FROM w WINDOW o AS (PARTITION BY driver ORDER BY pos, w ROWS UNBOUNDED PRECEDING)),
+lo AS (SELECT driver, max(c) AS c, arg_max(pos, c) AS x FROM c WHERE c <= 0.5 GROUP BY driver), hi AS (SELECT driver, min(c) AS c, arg_min(pos, c) AS x FROM c WHERE c > 0.5 GROUP BY driver)
+SELECT driver, round(CASE WHEN lo.c IS NULL THEN hi.x WHEN hi.c IS NULL THEN lo.x ELSE lo.x + (hi.x - lo.x) * (0.5 - lo.c) / (hi.c - lo.c) END::DOUBLE, 6) AS middle FROM lo FULL JOIN hi USING (driver)""")
+def recency_weighted_median(spark: SparkSession, d: str) -> DataFrame:
+    """The median position, each result worth half of one four results later."""
+    rows = results(spark, d).filter("pos is not null")
+    back = rows.withColumn("age", F.row_number().over(Window.partitionBy("driver").orderBy(F.desc("y"), F.desc("r"), F.desc("k"))) - 1)
+    return tidy(back.groupBy("driver").agg(stats.weighted_percentile(F.col("pos"), stats.half_life_weight(F.col("age"), 4), 0.5).alias("middle")))
+
+
 @query(f"""WITH {LAPS}, {_SIGNALS}, a AS (SELECT *, throttle >= 95 AND speed >= 150 AS st, drs >= 10 AS o FROM sig)
 SELECT driver, count(*)::BIGINT AS samples, round(quantile_cont(speed, 0.95), 6) AS speed_p95, round(max(speed), 6) AS speed_max, round(avg((throttle >= 95)::INT), 6) AS full_throttle_share, round(avg((brake >= 0.5)::INT), 6) AS brake_share,
   round(avg(speed) FILTER (WHERE brake >= 0.5), 6) AS brake_speed_mean, round(avg(o::INT), 6) AS drs_share, round(avg(st::INT), 6) AS straight_share, round(avg(speed) FILTER (WHERE st), 6) AS straight_speed_mean, round(avg(speed) FILTER (WHERE st AND o) - avg(speed) FILTER (WHERE st AND NOT o), 6) AS drs_gain FROM a GROUP BY 1""")

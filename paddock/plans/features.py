@@ -118,8 +118,14 @@ def session_ord() -> Column:
 # --- priors from results ---------------------------------------------------------------------------------------------
 
 
-def _priors(prefix: str, with_grid: bool) -> list[Column]:
-    out = [F.count("*").alias(f"{prefix}hist_n"), percentile("position", 0.5).alias(f"{prefix}finish_p50"), rate(F.col("position") <= 10, F.col("position")).alias(f"{prefix}top10_rate"), F.avg("dnf").alias(f"{prefix}dnf_rate"), F.avg("points").alias(f"{prefix}points_mean")]
+def middle(ctx: Context, option: str, x: str) -> Column:
+    """The median of a cut-off's past rounds; with a half-life in rounds as the option, later rounds weigh more."""
+    half_life = ctx.options.get(option)
+    return stats.weighted_percentile(F.col(x), stats.half_life_weight(F.col("age") - 1, float(half_life)), 0.5) if half_life else percentile(x, 0.5)
+
+
+def _priors(ctx: Context, prefix: str, with_grid: bool) -> list[Column]:
+    out = [F.count("*").alias(f"{prefix}hist_n"), middle(ctx, "driver_team_recency_half_life", "position").alias(f"{prefix}finish_p50"), rate(F.col("position") <= 10, F.col("position")).alias(f"{prefix}top10_rate"), F.avg("dnf").alias(f"{prefix}dnf_rate"), F.avg("points").alias(f"{prefix}points_mean")]
     return [*out, iqr("position").alias(f"{prefix}finish_iqr"), percentile("grid", 0.5).alias(f"{prefix}grid_p50")] if with_grid else out
 
 
@@ -128,8 +134,8 @@ def driver_team_priors_pre(ctx: Context) -> DataFrame:
     """Ten rounds of the driver and of the current team, else of the last known one."""
     seen = ctx.past(race_results(ctx), 10)
     pre = "driver_team_pre_"
-    drivers = back(seen.groupBy(*CUT, "driver").agg(*_priors(f"{pre}driver_", True), F.max_by("team", F.struct("year", "round")).alias("last_team"), F.max(F.struct("year", "round")).alias("m")).withColumns({f"{pre}last_seen_year": F.col("m.year"), f"{pre}last_seen_round": F.col("m.round")}).drop("m"))
-    teams = back(seen.groupBy(*CUT, "team").agg(*_priors(f"{pre}team_", False)))
+    drivers = back(seen.groupBy(*CUT, "driver").agg(*_priors(ctx, f"{pre}driver_", True), F.max_by("team", F.struct("year", "round")).alias("last_team"), F.max(F.struct("year", "round")).alias("m")).withColumns({f"{pre}last_seen_year": F.col("m.year"), f"{pre}last_seen_round": F.col("m.round")}).drop("m"))
+    teams = back(seen.groupBy(*CUT, "team").agg(*_priors(ctx, f"{pre}team_", False)))
     base = ctx.roster.select(*KEY, "team").distinct().join(drivers, KEY, "left").withColumn("team", F.coalesce("team", "last_team")).drop("last_team")
     return base.join(teams, [*RACE, "team"], "left").select(*KEY, F.col("team").alias("Team"), *[c for c in [*drivers.columns, *teams.columns] if c.startswith(pre)])
 
@@ -143,7 +149,7 @@ def quali_priors_pre(ctx: Context) -> DataFrame:
     missing = F.coalesce(text.any_word(F.col("status"), text.NO_TIME_WORDS) | (F.upper("status") == "NC"), F.col("position").isNull())
     spread = iqr("rel")
     p = "quali_pre_"
-    agg = ctx.past(rows, 30).groupBy(*CUT, "driver").agg(F.count("*").alias(f"{p}hist_n"), percentile("position", 0.5).alias(f"{p}pos_p50"), spread.alias(f"{p}pos_iqr"), F.min("position").alias(f"{p}bestpos_min"), rate(F.col("position") <= 10, F.col("position")).alias(f"{p}top10_rate"), rate(missing).alias(f"{p}notime_or_pen_rate"), F.avg("points").alias(f"{p}points_mean"), (-spread).alias(f"{p}pos_consistency"), F.max(F.struct("year", "round")).alias("m"))
+    agg = ctx.past(rows, 30).groupBy(*CUT, "driver").agg(F.count("*").alias(f"{p}hist_n"), middle(ctx, "quali_recency_half_life", "position").alias(f"{p}pos_p50"), spread.alias(f"{p}pos_iqr"), F.min("position").alias(f"{p}bestpos_min"), rate(F.col("position") <= 10, F.col("position")).alias(f"{p}top10_rate"), rate(missing).alias(f"{p}notime_or_pen_rate"), F.avg("points").alias(f"{p}points_mean"), (-spread).alias(f"{p}pos_consistency"), F.max(F.struct("year", "round")).alias("m"))
     out = back(agg.withColumns({f"{p}last_seen_year": F.col("m.year"), f"{p}last_seen_round": F.col("m.round")}).drop("m"))
     return on_roster(ctx, out)
 
@@ -235,7 +241,7 @@ def telemetry_history_pre(ctx: Context) -> DataFrame:
     per = lookback.first_available([ctx.table("telemetry_best").select(*KEY, "best", "top"), own], RACE).withColumn("z", stats.zscore("best", RACE, sample=False, sign=-1))
     seen = with_same_track(ctx, ctx.past(per, 10)).withColumn("w", 1 + 0.5 * F.col("same").cast("int"))
     p = "tele_pre_"
-    agg = seen.groupBy(*CUT, "driver").agg(F.count("*").alias(f"{p}hist_n"), percentile("best", 0.5).alias(f"{p}bestlap_p50_s"), iqr("best").alias(f"{p}bestlap_iqr_s"), (F.coalesce(F.sum(F.col("w") * F.col("z")), F.lit(0.0)) / F.sum("w")).alias(f"{p}pace_z_mean"), percentile("top", 0.75).alias(f"{p}topspeed_p75"), F.count_if("same").alias(f"{p}same_track_n"), F.max(F.struct("year", "round")).alias("m"))
+    agg = seen.groupBy(*CUT, "driver").agg(F.count("*").alias(f"{p}hist_n"), middle(ctx, "telemetry_recency_half_life", "best").alias(f"{p}bestlap_p50_s"), iqr("best").alias(f"{p}bestlap_iqr_s"), (F.coalesce(F.sum(F.col("w") * F.col("z")), F.lit(0.0)) / F.sum("w")).alias(f"{p}pace_z_mean"), percentile("top", 0.75).alias(f"{p}topspeed_p75"), F.count_if("same").alias(f"{p}same_track_n"), F.max(F.struct("year", "round")).alias("m"))
     slope = stats.trend(seen, [*CUT, "driver"], "z", ["year", "round"]).withColumnRenamed("slope", f"{p}pace_z_trend")
     out = back(agg.join(slope, [*CUT, "driver"], "left").withColumns({f"{p}last_seen_year": F.col("m.year"), f"{p}last_seen_round": F.col("m.round")}).drop("m"))
     return on_roster(ctx, out).na.fill(0, [f"{p}hist_n", f"{p}same_track_n", f"{p}pace_z_mean", f"{p}pace_z_trend"])
@@ -430,7 +436,7 @@ def tyre_priors_pre(ctx: Context) -> DataFrame:
     kept = joins.without_laps(laps, laps.filter("pit_in is not null"), KEY, "lap")
     per = pivots.mix(laps, RACE, "compound", DRY, "f_").join(pivots.median_deltas(kept, RACE, "compound", "lap_s", [("SOFT", "MEDIUM"), ("MEDIUM", "HARD")]), RACE, "full_outer")
     rows = lookback.prefer_same(with_same_track(ctx, ctx.past(per, 12)), CUT, F.col("same"), 3, F.col("age") <= 8)
-    mixes = back(rows.groupBy(*CUT).agg(*[percentile(f"f_{c}", 0.5).alias(f"compound_mix_priors_{c[0]}") for c in DRY], percentile("delta_SOFT_MEDIUM", 0.5).alias("tyre_delta_priors_s_SM"), percentile("delta_MEDIUM_HARD", 0.5).alias("tyre_delta_priors_s_MH")))
+    mixes = back(rows.groupBy(*CUT).agg(*[middle(ctx, "tyre_recency_half_life", f"f_{c}").alias(f"compound_mix_priors_{c[0]}") for c in DRY], percentile("delta_SOFT_MEDIUM", 0.5).alias("tyre_delta_priors_s_SM"), percentile("delta_MEDIUM_HARD", 0.5).alias("tyre_delta_priors_s_MH")))
     now = stats.robust_slope(practice_laps(ctx), [*KEY, "session", "stint", "compound"], "tyre_age", "lap_s").filter("slope > 0").groupBy(*RACE, "compound").agg(percentile("slope", 0.5).alias("practice"))
     old = stats.robust_slope(kept.filter(F.col("compound").isin(DRY)), [*KEY, "stint", "compound"], "tyre_age", "lap_s").filter("slope > 0").groupBy(*RACE, "compound").agg(percentile("slope", 0.5).alias("race"))
     history = back(ctx.past(old, 12).groupBy(*CUT, "compound").agg(percentile("race", 0.5).alias("historic")))

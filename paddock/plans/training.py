@@ -7,8 +7,9 @@ gradients (as many numbers as the model has), and the sum of these comes to the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+import zlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -97,6 +98,61 @@ class GatedModel(RankModel):
         return [_weighted([u[j] for j in range(self.hidden)], w["down"][:, i], w["down_bias"][i]) + _weighted(inputs, w["skip"][:, i]) for i in range(self.hidden)]
 
 
+@dataclass
+class DeepModel(RankModel):
+    """The same heads over several rectified layers (``layers``, their sizes), of which training leaves out a share ``dropout`` of the
+    outputs, another one for each race and epoch."""
+
+    layers: tuple[int, ...] = (256, 128)
+    dropout: float = 0.1
+    epoch: int = 0
+
+    def __post_init__(self):
+        self.layers, self.hidden = tuple(self.layers), self.layers[-1]
+        if not self.weights:
+            rng, sizes = np.random.default_rng(self.seed), [len(self.features), *self.layers]
+            self.weights = {"rank": rng.normal(0, self.hidden**-0.5, self.hidden), "status": rng.normal(0, self.hidden**-0.5, (self.hidden, 3)), "bias": np.zeros(3)}
+            for i, (n, k) in enumerate(zip(sizes, self.layers)):
+                self.weights |= {f"w{i}": rng.normal(0, (2 / n) ** 0.5, (n, k)), f"b{i}": np.zeros(k)}
+
+    def _masks(self, x: np.ndarray) -> list[np.ndarray | float]:
+        """What the layers' outputs are multiplied by: the same for the same race and epoch, nothing outside training (epoch 0)."""
+        if not self.epoch or not self.dropout:
+            return [1.0] * len(self.layers)
+        rng = np.random.default_rng([self.seed, self.epoch, zlib.crc32(np.ascontiguousarray(x).tobytes())])
+        return [(rng.random((len(x), k)) >= self.dropout) / (1 - self.dropout) for k in self.layers]
+
+    def _outputs(self, x: np.ndarray) -> list[np.ndarray]:
+        out = [x]
+        for i, mask in enumerate(self._masks(x)):
+            out.append(np.maximum(out[-1] @ self.weights[f"w{i}"] + self.weights[f"b{i}"], 0) * mask)
+        return out
+
+    def hidden_layer(self, x: np.ndarray) -> np.ndarray:
+        return self._outputs(x)[-1]
+
+    def hidden_gradient(self, x: np.ndarray, d_h: np.ndarray) -> dict[str, np.ndarray]:
+        outputs, masks, grads = self._outputs(x), self._masks(x), {}
+        for i in reversed(range(len(self.layers))):
+            # an output that is zero was cut off or left out
+            d = d_h * masks[i] * (outputs[i + 1] > 0)
+            grads |= {f"w{i}": outputs[i].T @ d, f"b{i}": d.sum(0)}
+            d_h = d @ self.weights[f"w{i}"].T
+        return grads
+
+    def hidden_columns(self, inputs: list[Column]) -> list[Column]:
+        """Each layer is one array of sums of products, so that no value is worked out twice."""
+        value = F.array(*inputs)
+        for i in range(len(self.layers)):
+            value = self._layer(value, i)
+        return [value[j] for j in range(self.hidden)]
+
+    def _layer(self, value: Column, i: int) -> Column:
+        rows = F.array(*[F.array(*[F.lit(float(v)) for v in [*self.weights[f"w{i}"][:, j], self.weights[f"b{i}"][j]]]) for j in range(self.layers[i])])
+        bound = F.transform(F.array(value), lambda x: F.transform(rows, lambda w: F.greatest(F.lit(0.0), F.aggregate(F.zip_with(F.concat(x, F.array(F.lit(1.0))), w, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b))))
+        return bound[0]
+
+
 def race_gradient(model: RankModel, x: np.ndarray, position: np.ndarray, outcome: np.ndarray, weight: float, class_weights: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Loss and gradient of one race. position: NaN for who did not finish; outcome: 0, 1, 2."""
     w = model.weights
@@ -121,9 +177,48 @@ def race_gradient(model: RankModel, x: np.ndarray, position: np.ndarray, outcome
     return weight * loss, {k: weight * g for k, g in grads.items()}
 
 
-def train(rows: DataFrame, features: list[str], key: list[str], position: str = "finish_position", outcome: str = "outcome_id", weight: str | None = None, epochs: int = 30, step: float = 0.02, decay: float = 1e-4, hidden: int = 16, kind: type[RankModel] = RankModel) -> tuple[RankModel, list[float]]:
-    """A trained model and the loss of each epoch. rows: scaled features without nulls, a race of two rows at least."""
-    model = kind(list(features), hidden)
+@dataclass
+class Fit:
+    """A trained model, the loss of each epoch, and, with validation rows, the metrics of each epoch and which one was kept."""
+
+    model: RankModel
+    losses: list[float]
+    metrics: list[dict[str, float]] = field(default_factory=list)
+    best: int | None = None
+
+
+def evaluate(rows: DataFrame, model: RankModel, key: list[str], entity: str, position: str = "finish_position", outcome: str = "outcome_id") -> dict[str, float]:
+    """Means over races of spearman, mae, top1 and ndcg, and accuracy and macro_f1 of the outcomes; None where nothing is known."""
+    scored = score(rows, model, key).cache()
+    ranks = scoring.rank_metrics(scored, key, "score", position, entity).agg(*[F.avg(c).alias(c) for c in ("spearman", "mae", "top1", "ndcg")]).first().asDict()
+    guess = F.coalesce(*[F.when(F.col("predicted_outcome") == o, F.lit(i)) for i, o in enumerate(OUTCOMES)])
+    classes = scoring.class_metrics(scored.withColumn("_g", guess), outcome, "_g").agg(F.avg("f1").alias("macro_f1"), F.max("accuracy").alias("accuracy")).first().asDict()
+    scored.unpersist()
+    return ranks | classes
+
+
+def fit(rows: DataFrame, features: list[str], key: list[str], validation: DataFrame, entity: str, patience: int | None = None, **options) -> Fit:
+    """Trains on rows and keeps the weights of the epoch whose sum of spearman and macro_f1 on the validation rows is greatest, the
+    first of equals. With ``patience``, so many epochs without a better one end the training."""
+    best: list = [None, -np.inf, None]
+    metrics: list[dict[str, float]] = []
+
+    def after(epoch: int, model: RankModel) -> bool:
+        metrics.append({"epoch": epoch} | evaluate(validation, model, key, entity, options.get("position", "finish_position"), options.get("outcome", "outcome_id")))
+        known = [v for v in (metrics[-1]["spearman"], metrics[-1]["macro_f1"]) if v is not None and np.isfinite(v)]
+        value = sum(known) if known else -np.inf
+        if best[0] is None or value > best[1]:
+            best[:] = [model, value, epoch]
+        return patience is not None and epoch - best[2] >= patience
+
+    model, losses = train(rows, features, key, after=after, **options)
+    return Fit(best[0] or model, losses, metrics, best[2])
+
+
+def train(rows: DataFrame, features: list[str], key: list[str], position: str = "finish_position", outcome: str = "outcome_id", weight: str | None = None, epochs: int = 30, step: float = 0.02, decay: float = 1e-4, hidden: int = 16, kind: type[RankModel] = RankModel, after: Callable[[int, RankModel], bool] | None = None, **shape) -> tuple[RankModel, list[float]]:
+    """A trained model and the loss of each epoch. rows: scaled features without nulls, a race of two rows at least. ``after`` is
+    called with each epoch's model and ends the training when it says so; ``shape`` are further fields of the model's kind."""
+    model = kind(list(features), hidden, **shape)
     shapes = {k: v.shape for k, v in model.weights.items()}
     classes = {r[outcome]: r.weight for r in scoring.class_weights(rows, outcome).collect()}
     class_weights = np.array([classes.get(k, 1.0) for k in range(3)])
@@ -132,7 +227,7 @@ def train(rows: DataFrame, features: list[str], key: list[str], position: str =
     data = rows.select(*columns).repartition(*key).sortWithinPartitions(*key).cache()
     losses = []
     for epoch in range(1, epochs + 1):
-        current = model
+        current = replace(model, epoch=epoch) if isinstance(model, DeepModel) else model
 
         def of_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total, held = None, None
@@ -168,7 +263,9 @@ def train(rows: DataFrame, features: list[str], key: list[str], position: str =
             v += 0.001 * (grad**2 - v)
             update = (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-8)
             weights[k] = model.weights[k] * (1 - step * decay) - step * update
-        model = kind(model.features, hidden, model.seed, weights)
+        model = replace(model, weights=weights)
+        if after is not None and after(epoch, model):
+            break
     data.unpersist()
     return model, losses
 

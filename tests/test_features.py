@@ -167,3 +167,16 @@ def test_all_clicks_are_session_statuses(spark):
     control = {day(ts) for i, ts, kind in events if kind == "error" and i % 7 == 4}
     stats = {(r.year, r["round"]): r.delayed_start_rate for r in fq.chaos_stats(weekends.context(spark, DATA)).collect()}
     assert {d for d, v in stats.items() if v == 1} == late | control and late - control and any(v == 0 for v in stats.values())
+
+
+def test_later_rounds_weigh_more_with_a_half_life(spark):
+    q = [result(1, "VER", "A", 1.0, session="Q"), result(2, "VER", "A", 18.0, session="Q")]
+    past = [result(1, "VER", "A", 1.0), result(2, "VER", "A", 17.0)]
+    laps = [lap(1, "VER", 1, 90.0, compound="SOFT"), lap(2, "VER", 1, 100.0, compound="MEDIUM")]
+    plain = context(spark, results=[*q, *past], laps=laps)
+    half = context(spark, results=[*q, *past], laps=laps)
+    half.options.update(quali_recency_half_life=1, driver_team_recency_half_life=1, telemetry_recency_half_life=1, tyre_recency_half_life=1)
+    of = lambda ctx: (rows(fq.quali_priors_pre(ctx))["VER"].quali_pre_pos_p50, rows(fq.driver_team_priors_pre(ctx))["VER"].driver_team_pre_driver_finish_p50, rows(fq.telemetry_history_pre(ctx))["VER"].tele_pre_bestlap_p50_s, rows(fq.tyre_priors_pre(ctx))["VER"].compound_mix_priors_M)
+    assert of(plain) == (9.5, 9.0, 95.0, 0.5)
+    third = lambda a, b: pytest.approx(a + (b - a) * 2 / 3)
+    assert of(half) == (third(1, 18), third(1, 17), third(90, 100), third(0, 1))

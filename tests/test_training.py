@@ -78,3 +78,41 @@ def test_parameters():
     from paddock.functions import params
 
     assert params.number_list("1, 2,5-8,2") == [1, 2, 5, 6, 7, 8] and params.pairs("VER=1,NOR=2.5") == {"VER": 1.0, "NOR": 2.5} and params.name_list(" a,,b ") == ["a", "b"]
+
+
+def test_gradient_of_layers_with_dropout_equals_differences():
+    rng = np.random.default_rng(1)
+    model = training.DeepModel(["a", "b", "c"], layers=(5, 4), dropout=0.3, epoch=3)
+    x, pos, out = rng.normal(size=(6, 3)), np.array([3, 1, np.nan, 2, 4, np.nan]), np.array([0, 0, 1, 0, 0, 2])
+    one = np.array([1.0, 2.0, 3.0])
+    loss, grads = training.race_gradient(model, x, pos, out, 1.5, one)
+    for name, w in model.weights.items():
+        flat = w.reshape(-1)
+        for i in range(flat.size):
+            kept, e = flat[i], 1e-6
+            flat[i] = kept + e
+            up = training.race_gradient(model, x, pos, out, 1.5, one)[0]
+            flat[i] = kept
+            assert (up - loss) / e == pytest.approx(grads[name].reshape(-1)[i], abs=1e-4)
+    masks = model._masks(x)
+    assert all(set(np.unique(m)) == {0.0, 1 / 0.7} for m in masks) and training.DeepModel(["a"], layers=(3,))._masks(x[:, :1]) == [1.0]
+
+
+def test_the_best_epoch_of_the_validation_is_kept(spark, tmp_path):
+    from paddock.plans import artifacts
+
+    rows = race_rows(spark, 9)
+    train, held = rows.filter("round < 6"), rows.filter("round >= 6")
+    fitted = training.fit(train, ["pace", "junk"], KEY, held, "driver", epochs=8, step=0.05, kind=training.DeepModel, layers=(8, 6), dropout=0.1)
+    totals = [m["spearman"] + m["macro_f1"] for m in fitted.metrics]
+    assert fitted.best == 1 + int(np.argmax(totals)) and len(fitted.losses) == 8 and fitted.metrics[fitted.best - 1]["spearman"] > fitted.metrics[0]["spearman"]
+    again = training.evaluate(held, fitted.model, KEY, "driver")
+    assert again["spearman"] == pytest.approx(fitted.metrics[fitted.best - 1]["spearman"])
+    scored = training.score(held, fitted.model, KEY).toPandas()
+    assert np.allclose(scored.rank_score, fitted.model.forward(scored[["pace", "junk"]].to_numpy(float))[1])
+    artifacts.save(spark, fitted.model, str(tmp_path / "deep"), again, [{"feature": "pace", "mean": 0.0, "std": 1.0}])
+    back = artifacts.load(spark, str(tmp_path / "deep"))
+    assert isinstance(back, training.DeepModel) and back.layers == (8, 6) and all((back.weights[k] == v).all() for k, v in fitted.model.weights.items())
+    assert artifacts.told(spark, str(tmp_path / "deep"))["scaler"][0]["feature"] == "pace"
+    stopped = training.fit(train, ["junk"], KEY, held, "driver", patience=1, epochs=8, step=0.0, hidden=2)
+    assert len(stopped.losses) == 2 and stopped.best == 1
