@@ -40,7 +40,7 @@ PIECE = 500_000
 #: Links that are expanded at a time.
 EXPAND = 4_000_000
 #: Units that a worker keeps, their longest, and how many words are aligned as one text.
-CACHE_UNITS, LONG, JOINED = 250_000, 64, 2000
+CACHE_UNITS, LONG, JOINED = 150_000, 64, 2000
 _WHITE = re.compile(r"\s\s")
 #: The fixed pattern of the file's pre-tokenizer (ByteLevel with use_regex).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
