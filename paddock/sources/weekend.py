@@ -17,7 +17,7 @@ from ..functions import text
 from ..functions.columns import detect
 from ..operators.lookback import first_available
 from ..operators.stats import percentile
-from .files import read_events, read_files
+from .files import exists, read_events, read_files
 
 FILE = ["year", "round", "session"]
 KEY = [*FILE, "driver"]
@@ -37,6 +37,7 @@ UTC = ["Utc", "UTC", "Timestamp", "DateTime"]
 TOP_SPEED = ["TopSpeed", "TopSpeedKph", "TopSpeedKMH", "TopSpeed_kph", "SpeedTrapKph", "SpeedTrapKMH"]
 BEST_LAP = ["BestLapTime", "BestLapTime_s", *LAP_TIME]
 BOUNDS = [("StartUtc", "EndUtc"), ("StartUTC", "EndUTC"), ("Start", "End"), ("DateStart", "DateEnd")]
+CALENDARS = "{schedule_[0-9][0-9][0-9][0-9],races}.csv"
 MISSING = ("", "nan", "nat", "none", "null", "<na>")
 
 
@@ -140,7 +141,7 @@ def meta(spark: SparkSession, folder: str) -> DataFrame:
 
 def _schedule_rows(spark: SparkSession, folder: str) -> DataFrame | None:
     """The rows of schedule_YEAR.csv and races.csv with year and round."""
-    raw = read_files(spark, folder, "{schedule_[0-9][0-9][0-9][0-9],races}.csv")
+    raw = read_files(spark, folder, CALENDARS)
     if raw is None:
         return None
     year = F.coalesce(number(raw, ["year", "Year", "season"]), F.nullif(F.regexp_extract("_path", r"schedule_(\d{4})\.csv", 1), F.lit("")).try_cast("double"))
@@ -219,15 +220,25 @@ def track_profiles(spark: SparkSession, folder: str) -> DataFrame | None:
 
 
 def read(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The canonical tables of a folder."""
+    """The canonical tables of a folder: results, laps and stops, and of the others those that have files."""
+    has = lambda *names: any(exists(spark, f"{folder.rstrip('/')}/{n}_[0-9]*.csv") for n in names)
+    planned = exists(spark, f"{folder.rstrip('/')}/{CALENDARS}")
     driven = laps(spark, folder)
-    out = {
-        "results": results(spark, folder), "laps": driven, "meta": meta(spark, folder), "schedule": schedule(spark, folder), "session_windows": session_windows(spark, folder), "weather": weather(spark, folder),
-        "race_ctrl": messages(spark, folder, "race_ctrl", {"category": ["Category"], "message": ["Message"], "status": ["Status"], "flag": ["Flag"], "lap": ["Lap"]}).withColumn("lap", F.col("lap").try_cast("double").cast("int")),
-        "track_status": messages(spark, folder, "track_status", {"status": ["Status"], "message": ["Message"]}), "session_status": messages(spark, folder, "session_status", {"status": ["Status"], "message": ["Message"]}),
-        "race_events": messages(spark, folder, "race_events", {"lap": ["Lap", "lap", "LapNumber"], "driver": LAP_DRIVER, "event": ["Event", "Type", "event", "type", "Flag", "flag", "Description"]}).select("year", "round", F.col("lap").try_cast("double").cast("int").alias("lap"), "driver", "event"),
-        "telemetry": telemetry(spark, folder), "telemetry_best": telemetry_best(spark, folder), "entries": entries(spark, folder), "pit_stops": pit_stops(spark, folder, driven),
-    }
+    out = {"results": results(spark, folder), "laps": driven, "pit_stops": pit_stops(spark, folder, driven)}
+    if planned or has("meta"):
+        out |= {"meta": meta(spark, folder)} | ({"session_windows": session_windows(spark, folder)} if has("meta") else {}) | ({"schedule": schedule(spark, folder)} if planned else {})
+    if has("weather", "weather_forecast"):
+        out["weather"] = weather(spark, folder)
+    if has("race_ctrl"):
+        out["race_ctrl"] = messages(spark, folder, "race_ctrl", {"category": ["Category"], "message": ["Message"], "status": ["Status"], "flag": ["Flag"], "lap": ["Lap"]}).withColumn("lap", F.col("lap").try_cast("double").cast("int"))
+    for name in filter(has, ("track_status", "session_status")):
+        out[name] = messages(spark, folder, name, {"status": ["Status"], "message": ["Message"]})
+    if has("race_events"):
+        events = messages(spark, folder, "race_events", {"lap": ["Lap", "lap", "LapNumber"], "driver": LAP_DRIVER, "event": ["Event", "Type", "event", "type", "Flag", "flag", "Description"]})
+        out["race_events"] = events.select("year", "round", F.col("lap").try_cast("double").cast("int").alias("lap"), "driver", "event")
+    for name, source, of in (("telemetry", "telemetry", telemetry), ("telemetry_best", "telemetry_agg", telemetry_best), ("entries", "entrylist", entries)):
+        if has(source):
+            out[name] = of(spark, folder)
     known = track_profiles(spark, folder)
     return out | ({"track_profiles": known} if known is not None else {})
 

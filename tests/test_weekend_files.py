@@ -179,4 +179,4 @@ def test_stops_profiles_and_store(spark, tmp_path):
     (raw / "laps_2025_1.csv").unlink()
     weekend.store({"laps": weekend.laps(spark, str(raw))}, path)
     assert weekend.stored(spark, path, fq.TABLES)["laps"].count() == 4
-    assert weekend.read(spark, str(tmp_path / "raw"))["telemetry"].count() == 0
+    assert "telemetry" not in tables and weekend.telemetry(spark, str(raw)).count() == 0
