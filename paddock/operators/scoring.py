@@ -131,8 +131,9 @@ def plackett_luce_nll(df: DataFrame, key: list[str], score: str, finish: str, to
     ``top`` places if given."""
     w = Window.partitionBy(*key)
     rows = df.filter(F.col(finish).isNotNull()).withColumn("_c", F.col(score) - F.max(score).over(w))
-    tail = F.sum(F.exp("_c")).over(w.orderBy(finish).rowsBetween(0, Window.unboundedFollowing))
-    terms = rows.withColumn("_l", F.log(tail) - F.col("_c")).withColumn("_n", F.row_number().over(w.orderBy(finish)))
+    # summed from the last place on: a frame that ends with the group would be summed anew for every row
+    tail = F.sum(F.exp("_c")).over(w.orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, 0))
+    terms = rows.withColumn("_n", F.row_number().over(w.orderBy(finish))).withColumn("_l", F.log(tail) - F.col("_c"))
     if top:
         terms = terms.filter(F.col("_n") <= top)
     return terms.groupBy(*key).agg((F.sum("_l") if total else F.avg("_l")).alias("nll"))
