@@ -30,7 +30,10 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "year", "round", "session", "driver", "team", "lap", (80 + F.col("value") / 10).alias("lap_s"), F.col("t").alias("time_s"), (F.col("t") - 80).alias("start_s"), ((F.col("lap") + 2) / 3).cast("int").alias("stint"), choose(F.col("lap") / 3, fq.DRY).alias("compound"), F.col("lap").alias("tyre_age"),
         choose(n, ["1"] * 9 + ["12"]).alias("track_status"), (n % 17 != 0).alias("is_accurate"), (n % 23 == 0).alias("deleted"), F.when(F.col("event_type") == "purchase", F.col("t")).alias("pit_in"), F.lit(None).cast("double").alias("pit_out"),
         F.row_number().over(order).cast("double").alias("position"), *[(26 + F.col("value") / 30 + (n % k) / 10).alias(f"s{i}") for i, k in ((1, 3), (2, 5), (3, 7))], (n % 5).cast("double").alias("gap_s"))
-    per = sessions.groupBy("year", "round", "session", "driver", "team").agg(F.sum("value").alias("v"), F.min("value").alias("best"), F.min("event_id").alias("n"))
+    # places are by sums of doubles, so these are summed in the order of the events, as the table has them
+    key = ["year", "round", "session", "driver", "team"]
+    summed = sessions.withColumn("sum", F.sum("value").over(Window.partitionBy(*key).orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)))
+    per = summed.groupBy(*key).agg(F.max_by("sum", "event_id").alias("v"), F.min("value").alias("best"), F.min("event_id").alias("n"))
     place = lambda c: F.row_number().over(Window.partitionBy("year", "round", "session").orderBy(c, "driver")).cast("double")
     status = choose(F.floor(F.col("n") / 10), ["Finished"] * 6 + ["+1 Lap", "Engine", "Collision", "Disqualified"])
     best = 80 + F.col("best") / 10
