@@ -41,3 +41,10 @@ def test_places_do_not_depend_on_how_events_are_split(spark, tmp_path):
     # positions hide every eleventh id, the points' order shows all
     got = weekends.tables(spark, str(tmp_path))["results"].select("driver", (26 - F.col("points")).cast("int")).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_millionths_round_as_in_sql(spark):
+    """The double next to 0.5082625 is below it once multiplied by a million, though its shortest decimal ends in 5."""
+    values = [0.5082625, 0.4734375, 0.1234565, -0.5082625, 2.5e-7, 5e-7, 12345.6789015]
+    got = [r.v for r in registry.tidy(spark.createDataFrame([(v,) for v in values], "v double")).collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
