@@ -68,9 +68,9 @@ def band_best(key: list[str], x: str, position: str, half_width: int) -> Column:
     return F.min(x).over(Window.partitionBy(*key).orderBy(position).rangeBetween(-half_width, half_width))
 
 
-def distinct_over(x: str, key: list[str]) -> Column:
-    """How many distinct values the row's key has, for each row."""
-    return F.size(F.collect_set(x).over(Window.partitionBy(*key)))
+def with_distinct(df: DataFrame, x: str, key: list[str], out: str) -> DataFrame:
+    """df with how many distinct values the row's key has: counted once a key and joined back."""
+    return with_stats(df, key, {out: F.count_distinct(x)})
 
 
 def distinct_in_order(df: DataFrame, key: list[str], x: str, order: list[str]) -> DataFrame:

@@ -170,7 +170,7 @@ def rebuilt_laps(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {LAPS} SELECT event_id, n::BIGINT AS drivers FROM laps JOIN (SELECT day, count(DISTINCT driver) AS n FROM laps GROUP BY 1) USING (day)""")
 def distinct_in_group(spark: SparkSession, d: str) -> DataFrame:
-    return tidy(laps(spark, d).select("event_id", windows.distinct_over("driver", ["day"]).alias("drivers")))
+    return tidy(windows.with_distinct(laps(spark, d), "driver", ["day"], "drivers").select("event_id", "drivers"))
 
 
 @query(f"""WITH {LAPS}, f AS (SELECT driver, code, min((us, event_id)) AS f FROM laps WHERE code <> 'error' GROUP BY 1, 2) SELECT driver, string_agg(code, ',' ORDER BY f) AS codes FROM f GROUP BY 1""")

@@ -48,3 +48,9 @@ def test_millionths_round_as_in_sql(spark):
     values = [0.5082625, 0.4734375, 0.1234565, -0.5082625, 2.5e-7, 5e-7, 12345.6789015]
     got = [r.v for r in registry.tidy(spark.createDataFrame([(v,) for v in values], "v double")).collect()]
     assert got == [duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
+
+
+def test_distinct_values_are_counted_once_a_key(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (1, None), (2, "a"), (None, "z")], "d int, x string")
+    out = windows.with_distinct(rows, "x", ["d"], "n")
+    assert "collect_set" not in plan(out) and sorted(map(tuple, out.select("d", "n").collect()), key=str) == [(1, 2)] * 4 + [(2, 1), (None, 1)]
