@@ -1,15 +1,15 @@
 """Sharding by histogram sort: splitters that cut the sorted documents into shards of near equal bytes.
 
-Rows are sorted by (doc_id, seq); seq is a running number that is written once with the narrow table, so a doc_id that
-holds many rows can be cut as well. Splitter j is the first key at which the bytes below reach j / shards of all
+Rows are sorted by (doc_id, seq); seq is a running number that is written once with the rows, so a doc_id that
+holds many rows can be cut as well. Splitters are found from the narrow columns of what was written. Splitter j is the first key at which the bytes below reach j / shards of all
 bytes. Each round puts equidistant probes into every open interval, counts the exact bytes between the probes in one
 pre-aggregated pass (at most parts x PROBES sums come back), and narrows the interval to the two probes around the
 target; it ends when the bytes below a splitter are within the tolerance of its target or its interval holds one key.
-Then the rows are exchanged once. Shards are dealt in parts, all of known counts, so slots are numbered part by part.
+Then the whole rows, texts included, are exchanged once. Shards are dealt in parts, all of known counts, so slots are numbered part by part.
 Splitters are looked up by halving in a sorted array, one literal, so the plan has one size for any number of them.
 
 A null text has size 1; a null doc_id sorts first; doc_ids are any 64-bit integers; rows of one doc_id are ordered by
-seq, so repeated rows are cut like others; extra columns are not read; an empty table gives no rows.
+seq, so repeated rows are cut like others; all other columns come along; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from .common import crc32_of, table, written
 
 #: Keys are decimals, which hold all 64-bit integers, one for null below them, and their differences.
 SHARDS, PROBES, LOWEST, KEY = 16, 64, -(2**63) - 1, "decimal(20,0)"
-#: Bytes of a part of a shard, the unit of the exchange, and the most parts there are: each holds narrow rows only.
+RESULT = ("size", "text_crc32", "shard", "slot")
+#: Bytes of a part of a shard, the unit of the exchange, and the most parts there are.
 PART_BYTES, MOST_PARTS = 64 << 20, 1024
 
 
@@ -107,23 +108,26 @@ def _part(cuts: list[tuple[int, int]]) -> Column:
 
 
 def histogram_sort(docs: DataFrame, shards: int = SHARDS, tolerance: int = 0, part_bytes: int = PART_BYTES) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot: shards are ranges of doc_id, slots count a shard's rows in order from 0."""
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), crc32_of(F.col("text")).alias("text_crc32"))
-    narrow = written(sized.withColumn("key", F.coalesce(F.col("doc_id").cast(KEY), F.lit(str(LOWEST)).cast(KEY))).withColumn("seq", F.monotonically_increasing_id()), "sizes")
+    """The documents, sorted and whole, with size, text_crc32 (of the text as it was exchanged), shard and slot: shards are ranges of
+    doc_id, slots count a shard's rows in order from 0. Columns of docs that have such a name give way."""
+    rest = [c for c in docs.columns if c.lower() not in ("doc_id", *RESULT)]
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+    key = F.coalesce(F.col("doc_id").cast("long").cast(KEY), F.lit(str(LOWEST)).cast(KEY))
+    rows = written(docs.select(key.alias("key"), F.monotonically_increasing_id().alias("seq"), size.alias("size"), F.struct(F.col("doc_id").cast("long").alias("doc_id"), *rest).alias("row")), "rows", compression="zstd")
+    narrow = rows.select("key", "seq", "size")
     total = narrow.agg(F.sum("size")).first()[0]
-    if total is None:
-        return narrow.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    each = max(1, min(MOST_PARTS // shards, -(-total // (shards * part_bytes))))
-    dealt = narrow.withColumn("part", _part(splitters(narrow, shards, each, total, tolerance)))
-    counts = {r.part: r.n for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    each = max(1, min(MOST_PARTS // shards, -(-(total or 0) // (shards * part_bytes))))
+    part = _part(splitters(narrow, shards, each, total, tolerance) if total else []).alias("part")
+    counts = {r.part: r.n for r in narrow.groupBy(part).agg(F.count("*").alias("n")).collect()}
     first, seen = [], 0
     for p in range(shards * each):
         seen = 0 if p % each == 0 else seen
         first.append(seen)
         seen += counts.get(p, 0)
     place = F.row_number().over(Window.partitionBy("part").orderBy("key", "seq"))
-    slot = F.get(array_of(first, "bigint"), F.col("part")) + place - 1
-    return dealt.withColumn("place", place).select("doc_id", "size", "text_crc32", F.floor(F.col("part") / each).cast("int").alias("shard"), slot.cast("long").alias("slot"))
+    slot = F.get(array_of(first, "bigint"), F.col("part")) + F.col("place") - 1
+    whole = rows.select("*", part).withColumn("place", place)
+    return whole.select("row.*", "size", crc32_of(F.col("row.text")).alias("text_crc32"), F.floor(F.col("part") / each).cast("int").alias("shard"), slot.cast("long").alias("slot"))
 
 
 def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
