@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import with_stats
+
 
 def ffill(x: str, key: list[str], order: list[str]) -> Column:
     return F.last(x, ignorenulls=True).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
@@ -63,9 +65,18 @@ def state_windows(df: DataFrame, key: list[str], t: str, code: str, opens: list[
     return rows.withColumn("_again", again).filter(F.col("_again").isNull() | (F.col("_again") != F.col("_end"))).select(*key, F.col(code).alias("kind"), F.col(t).alias("t0"), F.col("_end").alias("t1"))
 
 
-def band_best(key: list[str], x: str, position: str, half_width: int) -> Column:
-    """The least value among the rows of the key within ``half_width`` of the row's position (whole numbers)."""
-    return F.min(x).over(Window.partitionBy(*key).orderBy(position).rangeBetween(-half_width, half_width))
+def with_band_best(df: DataFrame, key: list[str], x: str, position: str, half_width: int, out: str) -> DataFrame:
+    """df with the least value among the rows of the key within ``half_width`` of the row's position (whole numbers).
+
+    Positions are cut into blocks as wide as half the band. A row meets its own block and copies of the rows of the next block up to the
+    band's upper end and of the one before down to its lower end: two running minima, where a moving frame is read anew for every row."""
+    width = F.lit(half_width + 1)
+    own = F.col(position) - F.pmod(F.col(position), width)
+    rows = df.withColumn("_g", F.explode(F.array(*[F.lit(g) for g in (-1, 0, 1)]))).withColumn("_b", own - F.col("_g") * width)
+    w = Window.partitionBy(*key, "_b")
+    running = lambda order, kept: F.min(F.when(kept, F.col(x))).over(w.orderBy(order).rangeBetween(Window.unboundedPreceding, half_width))
+    rows = rows.withColumns({"_up": running(F.asc(position), F.col("_g") >= 0), "_down": running(F.desc(position), F.col("_g") <= 0)})
+    return rows.filter("_g = 0").withColumn(out, F.least("_up", "_down")).drop("_g", "_b", "_up", "_down")
 
 
 def with_distinct(df: DataFrame, x: str, key: list[str], out: str) -> DataFrame:

@@ -600,7 +600,7 @@ def quali_evolution_pre(ctx: Context) -> DataFrame:
     p, laps = "qevo_pre_", good_or_all(quali_laps(ctx).filter("time_s is not null"))
     progress = clip(F.try_divide(F.col("time_s"), F.max("time_s").over(Window.partitionBy(*RACE))), 0, 1)
     rows = laps.withColumn("progress", progress).withColumn("_m", F.round(F.col("progress") * 1000).cast("long"))
-    rows = rows.withColumn("band", windows.band_best(RACE, "lap_s", "_m", 75)).withColumn("session_best", F.min("lap_s").over(Window.partitionBy(*RACE)))
+    rows = windows.with_band_best(rows, RACE, "lap_s", "_m", 75, "band").withColumn("session_best", F.min("lap_s").over(Window.partitionBy(*RACE)))
     best = pick(rows, KEY, [F.asc("lap_s"), F.asc("time_s")]).select(*KEY, F.col("progress").alias(f"{p}best_lap_progress_pct"), (F.col("lap_s") - F.col("band")).alias(f"{p}window_gap_s"), (F.col("band") - F.col("session_best")).alias(f"{p}timing_luck_s"))
     agg = rows.groupBy(*KEY).agg(F.max("progress").alias(f"{p}final_push_progress_pct"), F.avg((F.col("progress") >= 0.6).cast("int")).alias(f"{p}late_push_share"), F.count("*").alias(f"{p}push_laps_n"))
     out = on_roster(ctx, best.join(agg, KEY))
