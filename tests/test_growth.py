@@ -66,3 +66,19 @@ def test_band_minima_without_a_moving_frame(spark, half):
         near = [x for d, t, x in rows if d == r.d and x is not None and (t == r.t if r.t is None or t is None else abs(t - r.t) <= half)]
         assert r.best == min(near, default=None), r
     assert out.count() == len(rows)
+
+
+def facts_of(spark):
+    rng = random.Random(8)
+    rows = [(2023 + o // 4, 1 + o % 4, d, rng.randrange(20)) for o in range(12) for d in "abcd" for _ in range(rng.randrange(3))]
+    return rows, spark.createDataFrame([*rows, (None, 1, "a", 7)], "y int, r int, d string, v int")
+
+
+def test_rounds_seen_copies_no_facts(spark):
+    """Equal to the history that copies each fact to every cut-off, and without its join of facts and cut-offs."""
+    rows, df = facts_of(spark)
+    out = lookback.rounds_seen(df, ["d"], 3, total=F.sum("v"), rows=F.count("*"))
+    add = lambda c: F.aggregate("seen", F.lit(0).cast("long"), lambda a, x: a + x[c])
+    got = out.select("cut_y", "cut_r", "d", add("total"), add("rows"), F.array_max("seen.r"), F.element_at("seen", -1)["y"])
+    want = lookback.history(df, 3).groupBy("cut_y", "cut_r", "d").agg(F.sum("v"), F.count("*"), F.max("r"), F.max("y"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
