@@ -82,3 +82,13 @@ def test_rounds_seen_copies_no_facts(spark):
     got = out.select("cut_y", "cut_r", "d", add("total"), add("rows"), F.array_max("seen.r"), F.element_at("seen", -1)["y"])
     want = lookback.history(df, 3).groupBy("cut_y", "cut_r", "d").agg(F.sum("v"), F.count("*"), F.max("r"), F.max("y"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_own_history_copies_facts_to_own_rounds_only(spark):
+    rows, df = facts_of(spark)
+    out = lookback.own_history(df, ["d"], 3)
+    past = sorted(map(tuple, out.filter("age > 0").select("cut_y", "cut_r", "d", "y", "r", "v", "age").collect()))
+    mine = df.select(F.col("y").alias("cut_y"), F.col("r").alias("cut_r"), "d").distinct()
+    want = lookback.history(df, 3).join(mine, ["cut_y", "cut_r", "d"]).select("cut_y", "cut_r", "d", "y", "r", "v", "age")
+    assert past == sorted(map(tuple, want.collect()))
+    assert out.filter("age = 0").count() == len(rows) + 1
