@@ -51,7 +51,10 @@ def percent_rank_avg(x: str, key: list[str], ascending: bool = True) -> Column:
 
 
 def average_rank(x: str, key: list[str]) -> Column:
-    return F.rank().over(Window.partitionBy(*key).orderBy(x)) + (F.count("*").over(Window.partitionBy(*key, x)) - 1) / 2.0
+    """The middle of the first and last place of a row's ties, both from one sort: cume_dist is the last place over all."""
+    w = Window.partitionBy(*key)
+    by = w.orderBy(x)
+    return (F.rank().over(by) + F.round(F.cume_dist().over(by) * F.count("*").over(w))) / 2.0
 
 
 def state_windows(df: DataFrame, key: list[str], t: str, code: str, opens: list[str], closes: list[str]) -> DataFrame:

@@ -92,3 +92,10 @@ def test_own_history_copies_facts_to_own_rounds_only(spark):
     want = lookback.history(df, 3).join(mine, ["cut_y", "cut_r", "d"]).select("cut_y", "cut_r", "d", "y", "r", "v", "age")
     assert past == sorted(map(tuple, want.collect()))
     assert out.filter("age = 0").count() == len(rows) + 1
+
+
+def test_average_ranks_take_one_sort(spark):
+    rows = [(k, v) for k in (1, 2) for v in (3.0, 1.0, 3.0, 2.0, 3.0, 1.0)] + [(3, 5.0)]
+    out = spark.createDataFrame(rows, "k int, v double").select("k", "v", windows.average_rank("v", ["k"]).alias("a"))
+    assert plan(out).count("sort [") == 1
+    assert {(r.k, r.v): r.a for r in out.collect()} == {**{(k, v): a for k in (1, 2) for v, a in ((1.0, 1.5), (2.0, 3.0), (3.0, 5.0))}, (3, 5.0): 1.0}
