@@ -676,7 +676,7 @@ def results_target(ctx: Context) -> DataFrame:
 def roster_of(tables: dict[str, DataFrame], cutoffs: DataFrame) -> DataFrame:
     """The drivers of each cut-off: its qualifying, else its entry list (the qualifying's first), else its practice laps, else the
     latest earlier race. The round's own race is never read."""
-    now = cutoffs.select(*RACE).distinct()
+    now = lookback.fixed(cutoffs.select(*RACE).distinct())
     res, laps, entries = tables["results"], tables.get("laps"), tables.get("entries")
     people = [*KEY, "team"]
     of_now = lambda df: df.filter("driver is not null").join(lookback.few(now), RACE, "left_semi").select(*people)

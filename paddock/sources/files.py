@@ -16,12 +16,18 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import pick
 
-NAME = r"([a-z_]+?)_(\d{4})_(\d{1,2})(?:_(FP1|FP2|FP3|Q|SQ|SS|S|R))?(?:_([A-Z0-9]{3}))?\.csv(?:/part-[^/]*)?$"
+NAME = r"[a-z_]_(\d{4}_\d{1,2}(?:_(?:FP1|FP2|FP3|Q|SQ|SS|S|R))?(?:_[A-Z0-9]{3})?)\.csv(?:/part-[^/]*)?$"
+SESSIONS = ("FP1", "FP2", "FP3", "Q", "SQ", "SS", "S", "R")
 
 
 def with_name_key(df: DataFrame, path: Column) -> DataFrame:
-    part = lambda i: F.nullif(F.regexp_extract(path, NAME, i), F.lit(""))
-    return df.withColumns({"year": part(2).cast("int"), "round": part(3).cast("int"), "session": F.coalesce(F.when(part(4) == "SS", "SQ").otherwise(part(4)), F.lit("R")), "file_driver": part(5)})
+    """year, round, session and file_driver of a file's path. This is done for each row, so it is one search in the path's last two
+    names: the key has no slash but that before a part."""
+    said = F.split(F.regexp_extract(F.substring_index(path, "/", -2), NAME, 1), "_")
+    part = lambda i: F.get(said, F.lit(i))
+    session = F.when(part(2).isin(*SESSIONS), part(2))
+    driver = F.when(session.isNull(), part(2)).otherwise(part(3))
+    return df.withColumns({"year": F.nullif(part(0), F.lit("")).cast("int"), "round": part(1).cast("int"), "session": F.coalesce(F.when(session == "SS", "SQ").otherwise(session), F.lit("R")), "file_driver": driver})
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from paddock.operators import lookback, scoring, windows
-from paddock.plans import registry, weekends
+from paddock.plans import features, registry, weekends
+from paddock.sources import files
 
 
 def plan(df):
@@ -99,3 +100,28 @@ def test_average_ranks_take_one_sort(spark):
     out = spark.createDataFrame(rows, "k int, v double").select("k", "v", windows.average_rank("v", ["k"]).alias("a"))
     assert plan(out).count("sort [") == 1
     assert {(r.k, r.v): r.a for r in out.collect()} == {**{(k, v): a for k in (1, 2) for v, a in ((1.0, 1.5), (2.0, 3.0), (3.0, 5.0))}, (3, 5.0): 1.0}
+
+
+def test_rounds_of_a_roster_are_found_once(spark):
+    """The cut-offs meet each source of a roster; what they are told from is not read again for each."""
+    people = "year int, round int, session string, driver string, team string"
+    res = spark.createDataFrame([(2024, 1, "R", "a", "A"), (2024, 2, "Q", "b", "B"), (2024, 4, "Q", "z", "Z")], people)
+    laps = spark.createDataFrame([(2024, 2, "FP1", "c", "C"), (2024, 3, "FP1", "c", "C"), (2024, 3, "R", "d", "D")], people)
+    cuts = spark.range(1, 4).select(F.lit(2024).alias("year"), F.col("id").cast("int").alias("round"))
+    out = features.roster_of({"results": res, "laps": laps}, cuts)
+    assert " range (" not in plan(out)
+    assert sorted(map(tuple, out.collect())) == [(2024, 2, "b", "B"), (2024, 3, "c", "C")]
+    assert features.roster_of({"results": res, "laps": laps}, cuts.filter("round > 9")).collect() == []
+    with pytest.raises(ValueError, match="too many rounds"):
+        lookback.fixed(spark.range(lookback.MOST_ROUNDS + 1).select(F.lit(1).alias("year"), F.col("id").cast("int").alias("round")))
+
+
+def test_keys_of_files_take_one_search(spark):
+    names = {"f:/t_2023_1.csv/laps_2024_10_FP1_VER.csv/part-1-a.csv": (2024, 10, "FP1", "VER"), "laps_2024_1_SS.csv": (2024, 1, "SQ", None), "x/laps_2024_1_VER.csv": (2024, 1, "R", "VER"), "x/laps_2024_1_Q_44A.csv": (2024, 1, "Q", "44A"),
+             "x/laps_2024_1.csv": (2024, 1, "R", None), "x/9_2024_1.csv": (None, None, "R", None), "x/laps_2024_1_SQS.csv": (2024, 1, "R", "SQS"), "x/laps_2024_123.csv": (None, None, "R", None), "x/laps_2024_1_FP1_FP2.csv": (2024, 1, "FP1", "FP2")}
+    # a written table, as a local one is computed when it is planned
+    df = spark.createDataFrame([(n,) for n in names], "n string").repartition(2)
+    out = files.with_name_key(df, F.col("n"))
+    assert plan(out.select("year", "round", "session", "file_driver")).count("regexp_extract(substring_index(") > 0
+    assert plan(out.select("year")).count("regexp_extract(") == 1 and plan(out.select("session")).count(", 3)") == 0
+    assert {r.n: (r.year, r["round"], r.session, r.file_driver) for r in out.collect()} == names
