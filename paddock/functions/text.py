@@ -29,21 +29,32 @@ def any_word(text: Column, words: tuple[str, ...]) -> Column:
     return F.upper(text).rlike("|".join(words))
 
 
+def clock_seconds(text: Column) -> Column:
+    """``[d days ][h:]m:s[.f]``; null for what is none. One search a text, whose numbers (the first is the sign) are read at once: a
+    projection that is too long is not compiled, and a cast that fails costs an exception a row. A lacking part is 0."""
+    form = r"^\s*(-)?(?:(\d+) days?,? ?)?(?:(\d+):)?(\d{1,2}):(\d{1,2}(?:\.\d+)?)\s*$"
+    numbers = F.split(F.regexp_replace(F.translate(text, "|", "x"), form, "$11|0$2|0$3|0$4|0$5"), r"\|").try_cast("array<double>")
+    part = lambda i: F.get(numbers, F.lit(i))
+    return (part(1) * 86400 + part(2) * 3600 + part(3) * 60 + part(4)) * part(0)
+
+
+def plain_number(text: Column) -> Column:
+    """A number that is not NaN, else null. What has a colon is no number, and is not tried."""
+    number = F.when(~text.contains(":"), text.try_cast("double"))
+    return F.when(~F.isnan(number), number)
+
+
 def duration_seconds(text: Column) -> Column:
     """``[d days ][h:]m:s[.f]`` or a plain number of seconds; null for what is neither."""
-    form = r"^\s*(-)?(?:(\d+) days?,? ?)?(?:(\d+):)?(\d{1,2}):(\d{1,2}(?:\.\d+)?)\s*$"
-    part = lambda i: F.coalesce(F.regexp_extract(text, form, i).try_cast("double"), F.lit(0.0))
-    seconds = part(2) * 86400 + part(3) * 3600 + part(4) * 60 + part(5)
-    signed = F.when(F.regexp_extract(text, form, 1) == "-", -seconds).otherwise(seconds)
-    number = text.try_cast("double")
-    return F.when(text.rlike(form), signed).otherwise(F.when(~F.isnan(number), number))
+    return F.coalesce(clock_seconds(text), plain_number(text))
 
 
 def duration_text(seconds: Column) -> Column:
     """``0 days 00:01:35.400000``, which ``duration_seconds`` reads; microseconds are rounded."""
     micros = F.round(F.abs(seconds) * 1e6).cast("long")
     part = lambda unit, many: (F.floor(micros / unit) % many).cast("int")
-    form = F.format_string("%d days %02d:%02d:%02d.%06d", F.floor(micros / 86_400_000_000), part(3_600_000_000, 24), part(60_000_000, 60), part(1_000_000, 60), (micros % 1_000_000).cast("int"))
+    two = lambda unit, many: F.lpad(part(unit, many).cast("string"), 2, "0")
+    form = F.concat(F.floor(micros / 86_400_000_000).cast("string"), F.lit(" days "), two(3_600_000_000, 24), F.lit(":"), two(60_000_000, 60), F.lit(":"), two(1_000_000, 60), F.lit("."), F.lpad((micros % 1_000_000).cast("string"), 6, "0"))
     return F.when(seconds.isNotNull(), F.concat(F.when(seconds < 0, "-").otherwise(""), form))
 
 

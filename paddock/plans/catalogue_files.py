@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -33,12 +33,16 @@ def _exported(spark: SparkSession, d: str, *names: str) -> str:
     return folder
 
 
+def _third(c: str) -> Column:
+    """Thousandths, rounded as SQL rounds doubles (see ``tidy``)."""
+    return (F.round(F.col(c) * 1000) / 1000).alias(c)
+
+
 @query(f"""WITH {_TABLES} SELECT year, round, session, driver, team, lap::BIGINT AS lap, round(lap_s, 3) AS lap_s, CASE WHEN session NOT LIKE 'FP%' THEN round(t, 3) END AS time_s, stint::BIGINT AS stint, compound, CASE WHEN caution THEN '12' ELSE '1' END AS track_status, accurate AS is_accurate, CASE WHEN pit THEN round(t, 3) END AS pit_in FROM laps""")
 def files_laps(spark: SparkSession, d: str) -> DataFrame:
     """Laps that were exported and read back: durations and milliseconds both become seconds."""
     rows = weekend.laps(spark, _exported(spark, d, "laps"))
-    third = lambda c: F.round(c, 3).alias(c)
-    return tidy(rows.select("year", "round", "session", "driver", "team", "lap", third("lap_s"), third("time_s"), "stint", "compound", "track_status", "is_accurate", third("pit_in")))
+    return tidy(rows.select("year", "round", "session", "driver", "team", "lap", _third("lap_s"), _third("time_s"), "stint", "compound", "track_status", "is_accurate", _third("pit_in")))
 
 
 @query(f"""WITH {_TABLES} SELECT year, round, session, count(*)::BIGINT AS n, round(avg(15 + v / 10), 6) AS air, round(avg(v / 20), 6) AS wind, round(avg((n % 7 = 0)::INT), 6) AS rain, round(min(t), 6) AS first, round(max(t), 6) AS last FROM ses WHERE kind = 'view' GROUP BY year, round, session""")
@@ -50,7 +54,7 @@ def files_weather(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_TABLES} SELECT year, round, session, driver, team, position, grid, points::DOUBLE AS points, ['Finished', 'Finished', 'Finished', 'Finished', 'Finished', 'Finished', '+1 Lap', 'Engine', 'Collision', 'Disqualified'][n // 10 % 10 + 1] AS status, round(q1, 3) AS q1, round(q2, 3) AS q2, round(q3, 3) AS q3 FROM results""")
 def files_results(spark: SparkSession, d: str) -> DataFrame:
     rows = weekend.results(spark, _exported(spark, d, "results"))
-    return tidy(rows.select("year", "round", "session", "driver", "team", "position", "grid", "points", "status", *[F.round(c, 3).alias(c) for c in ("q1", "q2", "q3")]))
+    return tidy(rows.select("year", "round", "session", "driver", "team", "position", "grid", "points", "status", *[_third(c) for c in ("q1", "q2", "q3")]))
 
 
 _ROSTER = f"""WITH {_TABLES}, hq AS (SELECT *, bool_or(session = 'Q') OVER (PARTITION BY year, round) AS has_q FROM ev)

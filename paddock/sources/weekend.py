@@ -71,10 +71,10 @@ def moment(df: DataFrame, names: list[str]) -> Column:
 
 def in_seconds(rows: DataFrame, columns: list[str], key: list[str] = FILE) -> DataFrame:
     """The columns (texts) as seconds. Whether plain numbers are milliseconds is decided for each file and column by their median."""
-    plain = lambda c: F.when(~F.isnan(F.col(c).try_cast("double")), F.col(c).try_cast("double"))
+    plain = lambda c: text.plain_number(F.col(c))
     scale = rows.groupBy(*key).agg(*[F.when(percentile(plain(c), 0.5) > 1000, 1000.0).otherwise(1.0).alias(f"_of_{c}") for c in columns])
     out = rows.join(scale, key, "left")
-    return out.withColumns({c: F.coalesce(plain(c) / F.col(f"_of_{c}"), text.duration_seconds(F.col(c))) for c in columns}).drop(*[f"_of_{c}" for c in columns])
+    return out.withColumns({c: F.coalesce(text.clock_seconds(F.col(c)), plain(c) / F.col(f"_of_{c}")) for c in columns}).drop(*[f"_of_{c}" for c in columns])
 
 
 def compound(value: Column) -> Column:

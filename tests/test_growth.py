@@ -1,14 +1,16 @@
 """Steps whose work must not grow with the square of a group, and results that must not depend on how a table is split."""
 
 import random
+import re
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from paddock.functions import text
 from paddock.operators import lookback, scoring, windows
-from paddock.plans import features, registry, weekends
-from paddock.sources import files
+from paddock.plans import catalogue_files, features, registry, weekends
+from paddock.sources import files, weekend
 
 
 def plan(df):
@@ -125,3 +127,34 @@ def test_keys_of_files_take_one_search(spark):
     assert plan(out.select("year", "round", "session", "file_driver")).count("regexp_extract(substring_index(") > 0
     assert plan(out.select("year")).count("regexp_extract(") == 1 and plan(out.select("session")).count(", 3)") == 0
     assert {r.n: (r.year, r["round"], r.session, r.file_driver) for r in out.collect()} == names
+
+
+def test_durations_are_compiled(spark, tmp_path):
+    """Java leaves methods of over 8000 bytes interpreted, so the projections of laps must stay below; and they are read as before."""
+    (tmp_path / "laps_2025_1_Q.csv").write_text("Driver,LapNumber,LapTime,Time,PitInTime\nVER,1,0 days 00:01:35.400000,0 days 01:00:00.500000,\nVER,2,1:35,-0 days 00:00:01.5,1:00:00\n")
+    (tmp_path / "laps_2025_1_FP1.csv").write_text("Driver,LapNumber,LapTime\nVER,1,95400\nVER,2,x|1|2|3|4\n")
+    rows = weekend.laps(spark, str(tmp_path)).select(*weekend.KEY, "lap", "lap_s", "time_s", "pit_in", "stint", "compound", "track_status")
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", rows.select("*")._jdf.queryExecution().explainString(mode))]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+    assert sizes and max(sizes) < 8000
+    assert {(r.session, r.lap): (r.lap_s, r.time_s, r.pit_in) for r in rows.collect()} == {("Q", 1): (95.4, 3600.5, None), ("Q", 2): (95.0, -1.5, 3600.0), ("FP1", 1): (95.4, None, None), ("FP1", 2): (None, None, None)}
+
+
+def test_durations_of_all_shapes(spark):
+    said = {"1 day, 1:02:03.25": 90123.25, "-1:02": -62.0, " 5:06 ": 306.0, "2 days 1:02": 172862.0, "7.5": 7.5, "1:|02": None, "1|0|0|1|2": None, "1:2:3:4": None, "nan": None, "": None, "x": None}
+    got = spark.createDataFrame([(v,) for v in said], "v string").repartition(2).select("v", text.duration_seconds(F.col("v")).alias("s")).collect()
+    assert {r.v: r.s for r in got} == said
+    texts = {95.4: "0 days 00:01:35.400000", -1.5: "-0 days 00:00:01.500000", 90123.25: "1 days 01:02:03.250000", 0.000001: "0 days 00:00:00.000001"}
+    out = spark.createDataFrame([(v,) for v in texts], "v double").select("v", text.duration_text(F.col("v")).alias("t"))
+    assert "format_string" not in plan(out) and {r.v: r.t for r in out.collect()} == texts
+
+
+def test_thousandths_of_files_round_as_in_sql(spark):
+    values = [16485.9855, 2079.3385, 80.0065, -1.0005, 95.4]
+    got = [r.v for r in spark.createDataFrame([(v,) for v in values], "v double").select(catalogue_files._third("v")).collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 3)", [v]).fetchone()[0] for v in values]
