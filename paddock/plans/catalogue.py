last_known_team: a team holds until the driver's next round, so copies are not grouped

Symptom: on larger tables the query spends its time sorting and grouping ten copies of every result by cut-off and driver, and shuffles and spills those copies.
Evidence: six times the rows of sf0.1 took 6.7 times the CPU seconds and 7.3 times the shuffle; nearly all of it lay in the two sort aggregates over the copies (61 of 62 CPU seconds on 6 times sf0.1), and on 60 times they spilled 1080 MB.
Fix: the last result of a driver's round is taken first, the driver's next round is noted beside it (one lead over the rounds), and a copy is kept only for cut-offs up to that next round; each driver and cut-off then has one row and nothing is grouped after the copying.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 938 -> 269 s, shuffle 1.61 -> 0.30 GB, spill 0.00 -> 0.00 GB, read 0.17 -> 0.17 GB, longest task 73 -> 7 s, most memory of a task 1043 -> 137 MB; at 6 GB of input CPU 2424 -> 845 s, shuffle 1.65 -> 1.65 GB, spill 7.71 -> 0.00 GB, read 1.02 -> 1.02 GB, longest task 146 -> 37 s, most memory of a task 2198 -> 721 MB; with hot keys, at 1 GB of input CPU 940 -> 314 s, shuffle 1.34 -> 0.25 GB, spill 0.00 -> 0.00 GB, read 0.16 -> 0.16 GB, longest task 74 -> 8 s, most memory of a task 1009 -> 137 MB.

@@ -57,7 +57,12 @@ def last_seen_independent(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {RES}, {SEEN.format(n=10)} SELECT cut_y, cut_r, driver, arg_max(team, (y * 100 + r)::HUGEINT * 1000000000 + k) AS last_team FROM hist GROUP BY 1, 2, 3""")
 def last_known_team(spark: SparkSession, d: str) -> DataFrame:
-    return lookback.latest(lookback.history(results(spark, d), 10), DRIVER, "team", ["y", "r", "k"]).withColumnRenamed("team", "last_team")
+    ends = lookback.latest(results(spark, d), ["driver", "y", "r"], "team", ["k"])
+    own = Window.partitionBy("driver").orderBy("y", "r")
+    seen = lookback.history(ends.withColumns({"next_y": F.lead("y").over(own), "next_r": F.lead("r").over(own)}), 10)
+    # a round is the last that a cut-off sees until the driver's next one is before the cut-off, so no copies need to be grouped
+    last = seen.filter(F.col("next_y").isNull() | ~lookback.before(F.col("next_y"), F.col("next_r"), F.col("cut_y"), F.col("cut_r")))
+    return last.select(*DRIVER, F.col("team").alias("last_team"))
 
 
 @query(f"""WITH {RES} SELECT driver, k, y, r FROM (SELECT *, row_number() OVER (PARTITION BY driver ORDER BY y DESC, r DESC, k DESC) AS n FROM res) WHERE n <= 8""")
