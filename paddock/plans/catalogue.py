same_else_recent: sums by round are dealt by driver before they are copied to cut-offs

Symptom: the query shuffles twelve copies of every result to their cut-off and driver, over 20 times the MB that it reads.
Evidence: on 6 times sf0.1 218 MB were shuffled of 9.7 MB of tables, all but 20 KB of it in the exchange of the copies before the window; its sort and the two hash aggregates after it took 62 of 72 CPU seconds.
Fix: points are summed by driver and round first, history deals them by driver before it copies them (new argument by), so the window and the sums over a cut-off need no exchange; prefer_same drops rows that are neither same nor recent before its sort, and the sums are taken over the sorted window in place of hash aggregates.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 768 -> 602 s, shuffle 2.72 -> 0.35 GB, spill 0.00 -> 0.00 GB, read 0.18 -> 0.18 GB, longest task 15 -> 9 s, most memory of a task 503 -> 163 MB; at 6 GB of input CPU 3503 -> 2017 s, shuffle 1.67 -> 1.67 GB, spill 21.05 -> 5.54 GB, read 1.10 -> 1.10 GB, longest task 226 -> 109 s, most memory of a task 5956 -> 3003 MB; with hot keys, at 1 GB of input CPU 950 -> 439 s, shuffle 2.57 -> 0.29 GB, spill 0.00 -> 0.00 GB, read 0.17 -> 0.17 GB, longest task 29 -> 5 s, most memory of a task 537 -> 129 MB.

@@ -18,6 +18,11 @@ _CODES = ", ".join(f"'{c}'" for c in CODES)
 # --- look-back and history -------------------------------------------------------------------------------------------
 
 
+def _round_points(res: DataFrame) -> DataFrame:
+    """A driver's points by round: their total, how many are known, and the rows. A driver has a calendar's rounds at most."""
+    return res.groupBy("driver", "y", "r").agg(F.sum("points").alias("total"), F.count("points").alias("known"), F.count("*").alias("rows"))
+
+
 @query(f"""WITH {RES}, {SEEN.format(n=10)}
 SELECT c.y AS cut_y, c.r AS cut_r, c.driver, coalesce(count(h.k), 0)::BIGINT AS hist_n, round(quantile_cont(h.pos, 0.5), 6) AS finish_p50,
   round(CASE WHEN count(h.pos) >= 2 THEN quantile_cont(h.pos, 0.75) - quantile_cont(h.pos, 0.25) END, 6) AS finish_iqr,
@@ -73,8 +78,13 @@ def last_n_rows_per_key(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {RES}, {SEEN.format(n=12)}, m AS (SELECT *, count_if(r = cut_r) OVER (PARTITION BY cut_y, cut_r, driver) >= 1 AS e FROM hist)
 SELECT cut_y, cut_r, driver, count(*)::BIGINT AS n, round(avg(points), 6) AS points_mean FROM m WHERE (e AND r = cut_r) OR (NOT e AND age <= 8) GROUP BY 1, 2, 3""")
 def same_else_recent(spark: SparkSession, d: str) -> DataFrame:
-    seen = lookback.history(results(spark, d), 12)
-    return tidy(lookback.prefer_same(seen, DRIVER, F.col("r") == F.col("cut_r"), 1, F.col("age") <= 8).groupBy(*DRIVER).agg(F.count("*").alias("n"), F.avg("points").alias("points_mean")))
+    seen = lookback.history(_round_points(results(spark, d)), 12, by=["driver"])
+    cut = ["driver", "cut_y", "cut_r"]
+    used = lookback.prefer_same(seen, cut, F.col("r") == F.col("cut_r"), 1, F.col("age") <= 8)
+    # summed where they are sorted already; a driver has a round once, so one of a cut-off's rows is the latest
+    over = lambda c: c.over(Window.partitionBy(*cut))
+    summed = used.select(*DRIVER, "age", over(F.min("age")).alias("latest"), over(F.sum("rows")).alias("n"), F.try_divide(over(F.sum("total")), over(F.sum("known"))).alias("points_mean"))
+    return tidy(summed.filter("age = latest").drop("age", "latest"))
 
 
 @query(f"""WITH {RES}, {SEEN.format(n=24)} SELECT cut_y, cut_r, driver, count(*)::BIGINT AS same_n, round(quantile_cont(pos, 0.5), 6) AS finish_p50, min(pos)::BIGINT AS best

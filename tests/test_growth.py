@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paddock.functions import text
@@ -185,3 +186,23 @@ def test_last_team_groups_no_copies(spark, odd_results):
     want = lookback.latest(lookback.history(views.results(spark, odd_results), 10), catalogue.DRIVER, "team", ["y", "r", "k"])
     assert rows_of(out, *catalogue.DRIVER, "last_team") == rows_of(want, *catalogue.DRIVER, "team") != []
     assert "hashpartitioning(cut_" not in plan(out) and "keys=[cut_" not in plan(out) and "key=[cut_" not in plan(out)
+
+
+def test_same_else_recent_shuffles_no_copies(spark, odd_results):
+    """Equal to groups of the copied rows themselves, while only sums by round are dealt by driver, before they are copied."""
+    out = catalogue.same_else_recent(spark, odd_results)
+    seen = lookback.history(views.results(spark, odd_results), 12)
+    e = F.count_if(F.col("r") == F.col("cut_r")).over(Window.partitionBy(*catalogue.DRIVER)) >= 1
+    used = seen.withColumn("e", e).filter((F.col("e") & (F.col("r") == F.col("cut_r"))) | (~F.col("e") & (F.col("age") <= 8)))
+    want = used.groupBy(*catalogue.DRIVER).agg(F.count("*").alias("n"), F.avg("points").alias("points_mean"))
+    assert rows_of(out, *catalogue.DRIVER, "n", "points_mean") == rows_of(want, *catalogue.DRIVER, "n", "points_mean") != []
+    assert "cut_y" not in "".join(x for x in plan(out).splitlines() if "hashpartitioning(" in x)
+    # as many partitions as a shuffle has, whatever the size before the copying
+    assert re.search(r"hashpartitioning\(driver#\w+, 4\), repartition_by_num", plan(out))
+
+
+def test_other_rows_are_not_sorted_for_the_same(spark):
+    rows = spark.createDataFrame([(1, True, False), (1, False, True), (1, False, False), (1, None, True), (2, None, True), (2, False, None), (2, False, False), (3, None, None)], "c int, s boolean, w boolean")
+    got = lookback.prefer_same(rows.repartition(2), ["c"], F.col("s"), 1, F.col("w"))
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, True, False), (2, None, True)]
+    assert "filter (s#" in plan(got)[plan(got).index("window"):]
