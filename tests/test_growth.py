@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paddock.functions import text
-from paddock.operators import lookback, scoring, windows
+from paddock.operators import lookback, scoring, stats, windows
 from paddock.plans import catalogue, catalogue_files, features, registry, views, weekends
 from paddock.sources import files, weekend
 
@@ -206,3 +206,13 @@ def test_other_rows_are_not_sorted_for_the_same(spark):
     got = lookback.prefer_same(rows.repartition(2), ["c"], F.col("s"), 1, F.col("w"))
     assert sorted(map(tuple, got.collect()), key=str) == [(1, True, False), (2, None, True)]
     assert "filter (s#" in plan(got)[plan(got).index("window"):]
+
+
+def test_blend_holds_few_copies_a_task(spark, odd_results):
+    """Equal to means of the copied rows themselves, while sums by round are dealt over more partitions than a shuffle has, for the copies."""
+    out = catalogue.blend_same_recent(spark, odd_results)
+    same, points = F.col("r") % 4 == F.col("cut_r") % 4, F.col("points")
+    a = lookback.history(views.results(spark, odd_results), 10).groupBy(*catalogue.DRIVER).agg(F.avg(F.when(same, points)).alias("same"), F.count_if(same).alias("n"), F.avg(F.when(F.col("age") <= 8, points)).alias("recent"))
+    want = registry.tidy(a.select(*catalogue.DRIVER, stats.blend(F.col("same"), F.col("recent"), F.col("n")).alias("blended")))
+    assert rows_of(out, *catalogue.DRIVER, "blended") == rows_of(want, *catalogue.DRIVER, "blended") != []
+    assert "hashpartitioning(cut_" not in plan(out) and re.search(r"hashpartitioning\(driver#\w+, 16\), repartition_by_num", plan(out))
